@@ -81,3 +81,17 @@ def tree_sum(vectors: DataFrame, width: int, dtype: str, fan_in: int = 32) -> np
     for row in sums.collect():
         total = total + np.frombuffer(bytes(row[0]), dtype)
     return total
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, heavy: int = 1000, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups`` (one row per key, a written table) on ``keys``, whatever the size of a group.
+
+    Groups of more than total / heavy rows number fewer than ``heavy``: they are broadcast, and their rows don't
+    shuffle. The rest are joined by key. ``keys`` are not null. ``how``: inner or left.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    large = groups.where(F.col(size_col) > total / heavy).withColumn("_large", F.lit(True))
+    marked = rows.join(F.broadcast(large), keys, "left")
+    hot = marked.where("_large").drop("_large")
+    rest = marked.where("_large IS NULL").drop("_large", *values)
+    return hot.unionByName(rest.join(groups, keys, how))

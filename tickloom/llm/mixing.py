@@ -3,12 +3,12 @@
 Each source gets a target in words; a document of a source is to be copied target / source size times, between 0 and
 2. The whole part of that is certain. The fractions are settled in pairs: of two documents, words move from one to
 the other, in a direction drawn so that neither's expectation changes, until one fraction is 0 or 1; the other goes on
-to the next pair. Words are conserved in every pair, so a source misses its target by less than one document, which
-is drawn by its last fraction. Pairs form a tree: buckets of about ``bucket`` documents fold their rows into one
+to the next pair. Words are conserved in every pair, so a source misses its target by at most half of one document: the last
+fraction goes to the nearer side. Pairs form a tree: buckets of about ``bucket`` documents fold their rows into one
 residual each, residuals are dealt into buckets again, until a source has one left. A hot source has more buckets,
 not larger ones.
 
-Draws are hashes of id, size and seed, and rows are folded in the order of such a hash: reruns agree, however the
+Draws are hashes of id, size and seed, and a bucket is folded from its longest document on: reruns agree, however the
 input is dealt out.
 
 Defined results: a null text has no words; documents without words and those of sources without words take nothing;
@@ -82,7 +82,7 @@ def pivotal_round(units: DataFrame, most_buckets: int, bucket: int = 128, seed:
     out, level = None, 0
     while True:
         at = F.pmod(F.xxhash64("id", "size", F.lit(seed), F.lit(level)), F.col("buckets"))
-        item = F.struct(_draw(F.col("id"), F.col("size"), F.lit(seed), F.lit(level), F.lit("order")).alias("order"), _draw(F.col("id"), F.col("size"), F.lit(seed), F.lit(level), F.lit("draw")).alias("u"), F.struct(*UNIT).alias("unit"))
+        item = F.struct((-F.col("size")).alias("large_first"), _draw(F.col("id"), F.col("size"), F.lit(seed), F.lit(level), F.lit("order")).alias("order"), _draw(F.col("id"), F.col("size"), F.lit(seed), F.lit(level), F.lit("draw")).alias("u"), F.struct(*UNIT).alias("unit"))
         folded = units.groupBy("source", at.alias("_at")).agg(F.array_sort(F.collect_list(item)).alias("_items"))
         rows = materialize(folded.select(F.explode(_fold(F.col("_items"))).alias("_e")).select("_e.unit.*", "_e.bit"), f"pivotal-{level}")
         done = rows.where("bit IS NOT NULL")
@@ -93,7 +93,8 @@ def pivotal_round(units: DataFrame, most_buckets: int, bucket: int = 128, seed:
         most_buckets = -(-most_buckets // bucket)
         units = units.withColumn("buckets", F.ceil(F.col("buckets") / bucket))
         level += 1
-    last = units.withColumn("bit", (_draw(F.col("id"), F.col("size"), F.lit(seed), F.lit("last")) < F.col("p")).cast("int"))
+    # The one left of a source goes to the nearer side: it alone decides how far the source misses its target.
+    last = units.withColumn("bit", (F.col("p") >= 0.5).cast("int"))
     last = done.unionByName(last)
     return last if out is None else out.unionByName(last)
 

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .chat import chat_digests, format_chat
-from .common import table
+from .common import learns, table
 from .exact_dedup import find_exact_duplicates
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_report
+from .packing import pack_documents
+from .quality import score_quality
+from .simhash import simhash_components
+from .toxicity import fit_toxicity, score_toxicity
 from .warc import archive_pages
 
 #: A conversation whose texts hold control strings of chat templates.
@@ -32,17 +37,41 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chat(rows.unionByName(hard)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), folds=5, held_out=0)
+    return score_toxicity(docs, model).select("doc_id", (~learns(F.col("doc_id"), 5, 0)).alias("held_out"), "score", "predicted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), folds=3, held_out=1)
+    return scored.select("doc_id", (~learns(F.col("doc_id"), 3, 1)).alias("held_out"), "score", "predicted")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean.select("doc_id", "n_lines", "removed_lines", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, most=3)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), length=1024, end=2)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("payload")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_mixing, op3_chat_format, op7_line_dedup, op10_warc]
+    found = [op1_exact_dedup, op2_mixing, op3_chat_format, op4_toxicity, op5_quality, op6_nearest, op7_line_dedup, op8_simhash, op9_packing, op10_warc]
     return {f.__name__: f for f in found}
 
 
