@@ -3,11 +3,10 @@
 Documents are tokenized where they lie; a document longer than a sequence is cut into full pieces, of which the first
 may be shorter. Pieces of full length are sequences of their own. The others are dealt out evenly, sorted by falling
 length, and each task places them one by one: of all open gaps that fit (and a new sequence), the one after which the
-sum over all gaps of the squared number of open sequences with that gap is smallest. A task holds the number of open
-sequences by gap and a stack of them for each gap, no texts or tokens.
+sum over all gaps of the squared number of open sequences with that gap is smallest. Tasks hold lengths, not texts or tokens.
 
-What a task's last sequences leave open is packed again: sequences that are not full become items of a second round,
-dealt into fewer tasks, until one task is left whose input is at most ``shard`` items or a round no longer helps.
+A task takes about ``shard`` lengths. What lies in sequences that are not full is taken out and packed again, first in the
+task, as long as that saves a sequence, then over all tasks, in rounds of a sixteenth of the tasks each.
 
 Defined results: a null text is empty, a single end token; ties between gaps go to the smaller gap and a new sequence
 comes last; rows that repeat an id are packed each for itself; a null id is kept as it is; an empty table gives an
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,23 +31,35 @@ from .common import materialize, parts_for, text_of
 
 #: Places where a text may not be cut before a space: white space, a space, and no word after it.
 RUN = re.compile(r"\s (?!\S)")
-CACHE = 400_000
+#: How byte-level vocabularies of this kind split texts into words; a fixed value of the vocabulary.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words a process remembers (of about 150 bytes each) before it starts anew.
+CACHE = 600_000
 
 
 class WordTokenizer:
     """Token ids of whole texts, as bytes of little-endian unsigned 32-bit integers.
 
     The vocabulary's splitter never joins what stands before a space with a space and a word after it, so a text is
-    cut there and each piece tokenized once; texts with runs of white space or special tokens go through whole.
+    cut there and each word tokenized once; the ids of words seen before are remembered. New words go through tiktoken
+    with the vocabulary's own ranks, which gives the ids of ``tokenizers`` at a sixth of its time; texts with runs of
+    white space or special tokens go through ``tokenizers`` whole, as all texts do in ``whole``.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        # Byte-level vocabularies spell a byte as the character of that number if it is printable, else as the next from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spelled = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(spelled[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if i not in added}
+        self.words = Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[str, bytes] = {}  # by word, with the space before it
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,14 +67,18 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if RUN.search(text) or any(s in text for s in self.special):
             return self.whole([text])[0]
-        first, *rest = text.split(" ")
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = list({w for w in rest if w not in known})
-        if new:
-            known.update(zip(new, self.whole([" " + w for w in new])))
-        return (self.whole([first])[0] if first else b"") + b"".join([known[w] for w in rest])
+        known, encode = self.known, self.words.encode_ordinary
+        words = text.split(" ")
+        ids = list(map(known.get, words))
+        ids[0] = array("I", encode(words[0])).tobytes()
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            word = words[at]
+            ids[at] = known.get(word) or known.setdefault(word, array("I", encode(" " + word)).tobytes())
+        return b"".join(ids)
 
 
 @cache
@@ -95,7 +111,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str
                 ids = tokenizer.encode(text.as_py()) + last
                 n = len(ids) // 4
                 cuts = [0, *range(n % length or length, n + 1, length)]
-                rows += [(at, k, i, j - i, ids[4 * i : 4 * j]) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
+                rows += [(at, piece, i, j - i, ids[4 * i : 4 * j]) for piece, (i, j) in enumerate(zip(cuts, cuts[1:]))]
                 held += len(ids)
                 if held > 8 << 20:
                     yield batch_of(rows, batch)
@@ -142,20 +158,44 @@ class Packer:
         return at, offset
 
 
+def pack_lengths(sizes: list[int], capacity: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, whether the bin is full) of each of ``sizes``, which fall.
+
+    What lies in bins that are not full is taken out and packed anew, as long as that saves a bin.
+    """
+    bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    full = np.zeros(len(sizes), bool)
+    left, first, opened = np.arange(len(sizes)), 0, None
+    for _ in range(rounds):
+        packer = Packer(capacity)
+        placed = np.array([packer.place(sizes[i]) for i in left], np.int64).reshape(-1, 2)
+        unfilled = np.array(packer.fills, np.int64) < capacity
+        if opened is not None and len(packer.fills) >= opened:
+            break
+        bins[left], offsets[left], full[left] = placed[:, 0] + first, placed[:, 1], ~unfilled[placed[:, 0]]
+        first, opened = first + len(packer.fills), int(unfilled.sum())
+        left = left[unfilled[placed[:, 0]]]
+        if not len(left):
+            break
+    return bins, offsets, full
+
+
 def _pack(items: DataFrame, parts: int, capacity: int) -> DataFrame:
-    """``items`` (length, ...) and bin, at: dealt into ``parts`` tasks that pack by falling length."""
+    """``items`` (length, ...) and bin, at, full: dealt evenly into ``parts`` tasks that pack by falling length."""
     schema = items.schema
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, base = Packer(capacity), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            placed = [packer.place(n) for n in batch.column("length").to_pylist()]
-            bins = np.fromiter((b for b, _ in placed), np.int64, len(placed)) + base
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins), pa.array([o for _, o in placed], pa.int64())], [*names, "bin", "at"])
+        held = list(batches)
+        if held:
+            t = pa.Table.from_batches(held)
+            bins, at, full = pack_lengths(t["length"].to_pylist(), capacity)
+            for name, x in (("bin", bins + (TaskContext.get().partitionId() << 40)), ("at", at), ("full", full)):
+                t = t.append_column(name, pa.array(x))
+            yield from t.combine_chunks().to_batches(10_000)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return items.repartition(parts).sortWithinPartitions(F.col("length").desc(), *[c for c in names if c != "length"]).mapInArrow(run, f"{kinds}, bin long, at long")
+    return items.repartition(parts).sortWithinPartitions(F.col("length").desc(), *[c for c in names if c != "length"]).mapInArrow(run, f"{kinds}, bin long, at long, full boolean")
 
 
 def assign_sequences(pieces: DataFrame, length: int = 1024, shard: int = 1 << 16) -> DataFrame:
@@ -163,20 +203,16 @@ def assign_sequences(pieces: DataFrame, length: int = 1024, shard: int = 1 << 16
 
     Sequence ids are distinct numbers; offsets within a sequence are gapless from 0.
     """
-    full = pieces.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    short = pieces.where(F.col("length") < length)
-    parts = parts_for(short.count(), shard)
-    placed = materialize(_pack(short, parts, length), "packed-0")
-    level = 0
-    while parts > 1:
-        fewer = parts_for(parts, 16)
-        level += 1
-        bins = placed.groupBy("bin").agg(F.sum("length").alias("length")).where(F.col("length") < length)
-        moved = materialize(_pack(bins.withColumnRenamed("bin", "old"), fewer, length).select("old", F.col("bin").alias("_to"), F.col("at").alias("_by")), f"repacked-{level}")
-        to = F.when(F.col("_to").isNull(), F.col("bin")).otherwise(F.col("_to") + F.lit(level << 56))
-        placed = materialize(placed.join(moved, F.col("bin") == F.col("old"), "left").withColumn("bin", to).withColumn("at", F.col("at") + F.coalesce("_by", F.lit(0))).drop("old", "_to", "_by"), f"packed-{level}")
-        parts = fewer
-    return placed.withColumnRenamed("bin", "sequence_id").withColumnRenamed("at", "offset").unionByName(full)
+    whole = pieces.where(F.col("length") >= length).withColumn("bin", -1 - F.monotonically_increasing_id()).withColumn("at", F.lit(0).cast("long"))
+    left = pieces.where(F.col("length") < length)
+    parts, level, done = parts_for(left.count(), shard), 0, whole
+    while True:
+        placed = materialize(_pack(left, parts, length).withColumn("bin", F.col("bin") + F.lit(level << 56)), f"packed-{level}")
+        done = done.unionByName((placed.where("full") if parts > 1 else placed).drop("full"))
+        if parts == 1:
+            return done.withColumnRenamed("bin", "sequence_id").withColumnRenamed("at", "offset")
+        left = placed.where("NOT full").drop("bin", "at", "full")
+        parts, level = parts_for(parts, 16), level + 1
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end: int = 2, shard: int = 1 << 16) -> DataFrame:
