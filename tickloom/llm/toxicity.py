@@ -8,6 +8,8 @@ bucket and class, the documents that have it; the counts are summed in the tasks
 gets a fixed number of arrays. From them follow the smoothed log-count ratios r, and the ``features`` buckets whose
 ratio is most certain. A second pass gives each sampled document's chosen buckets; over these, scaled by r, the driver
 fits a logistic regression by Newton steps with conjugate gradients (at most sample x features two-byte numbers).
+Toxic rows are few, so even odds are not the best place to divide: two more models, each of one half's ratios and
+rows, score the other half, and the bias is moved to where those scores divide the classes best (by F1).
 
 Scoring is one pass over all texts, whole and in bounded pieces, with a broadcast table of 2**BITS weights.
 
@@ -70,9 +72,10 @@ class ToxicityModel:
 
 
 def sampled_labels(labels: DataFrame, label: str, id_col: str, folds: int, held_out: int, sample: int) -> DataFrame:
-    """(id, y): at most ``sample`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+    """(id, y, half): at most ``sample`` labelled rows outside the held-out fold, chosen by a hash of the id."""
     known = labels.where(F.col(label).isNotNull() & learns(F.col(id_col), folds, held_out))
     one = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    one = one.withColumn("half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int"))
     return materialize(one.orderBy(F.xxhash64(F.col("_id"), F.lit("sample")), "_id").limit(sample), "sampled-labels")
 
 
@@ -111,46 +114,69 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Learn from at most ``sample`` labelled rows outside the held-out fold."""
     chosen = sampled_labels(labels, label, id_col, folds, held_out, sample)
     # At most ``sample`` rows of an id and a label: small enough to broadcast at any input size.
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", F.col("y").cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "y", "half")
     texts = materialize(texts, "toxicity-sample")
-    width = 2 * (1 << BITS) + 2
+    n_buckets = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(width, np.int64), False
+        # By half and class: documents with each bucket, and at the end all documents.
+        total, some = np.zeros((2, 2, n_buckets + 1), np.int64), False
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                total[np.unique(ngram_buckets(text.as_py())) + (y << BITS)] += 1
-                total[width - 2 + y] += 1
+            for text, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                total[half, y, np.unique(ngram_buckets(text.as_py()))] += 1
+                total[half, y, n_buckets] += 1
                 some = True
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    total = tree_sum(texts.mapInArrow(count, "v binary"), width, "<i8")
-    n0, n1 = int(total[-2]), int(total[-1])
+    total = tree_sum(texts.mapInArrow(count, "v binary"), 4 * (n_buckets + 1), "<i8", fan_in=8).reshape(2, 2, n_buckets + 1)
+    n0, n1 = total[:, :, n_buckets].sum(0).tolist()
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.5
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30)))
-    c0, c1 = total[: 1 << BITS], total[1 << BITS : -2]
-    q0, q1 = (c0 + 1) / (n0 + 2), (c1 + 1) / (n1 + 2)
-    ratio = np.log(q1 / q0)
-    doubt = np.sqrt(1 / (c1 + 1) + 1 / (c0 + 1))
+        return ToxicityModel(np.zeros(n_buckets, np.float32), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30)))
+
+    def ratios(count: np.ndarray) -> np.ndarray:
+        share = (count[:, :n_buckets] + 1) / (count[:, n_buckets:] + 2)
+        return np.log(share[1] / share[0])
+
+    both = total.sum(0)
+    ratio, doubt = ratios(both), np.sqrt((1 / (both[:, :n_buckets] + 1)).sum(0))
     top = np.argsort(-np.abs(ratio) / doubt, kind="stable")[:features]
-    top = np.sort(top[(c0 + c1)[top] > 0])
-    place = np.full(1 << BITS, -1, np.int32)
+    top = np.sort(top[both[:, top].sum(0) > 0])
+    place = np.full(n_buckets, -1, np.int32)
     place[top] = np.arange(len(top))
     placed = docs.sparkSession.sparkContext.broadcast(place)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [placed.value[np.unique(ngram_buckets(x.as_py()))] for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[x >= 0].astype("<u2").tobytes() for x in own], pa.binary())], ["y", "at"])
-
-    picked = texts.mapInArrow(pick, "y int, at binary").collect()
-    y = np.array([r.y for r in picked], np.float64)
-    weights, bias = _fit([np.frombuffer(bytes(r["at"]), "<u2") for r in picked], y, ratio[top], penalty)
-    table = np.zeros(1 << BITS, np.float32)
-    table[top] = weights * ratio[top]
-    return ToxicityModel(table, bias)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x[x >= 0].astype("<u2").tobytes() for x in own], pa.binary())], ["y", "half", "at"])
+
+    picked = texts.mapInArrow(pick, "y int, half int, at binary").collect()
+    y, half = np.array([r.y for r in picked], np.float64), np.array([r.half for r in picked])
+    at = [np.frombuffer(bytes(r["at"]), "<u2") for r in picked]
+    weights, bias = _fit(at, y, ratio[top], penalty)
+    weights = weights * ratio[top]
+    apart = np.full(len(y), np.nan)
+    for k in range(2):
+        own = np.flatnonzero(half == k)
+        if 0 < y[own].sum() < len(own):
+            scale = ratios(total[k])[top]
+            w, b = _fit([at[i] for i in own], y[own], scale, penalty)
+            apart[half != k] = [b + (w * scale)[at[i]].sum() for i in np.flatnonzero(half != k)]
+    table = np.zeros(n_buckets, np.float32)
+    table[top] = weights
+    return ToxicityModel(table, bias - dividing_score(y[~np.isnan(apart)], apart[~np.isnan(apart)]))
+
+
+def dividing_score(y: np.ndarray, score: np.ndarray) -> float:
+    """Where to divide ``score`` for the best F1 of class 1: midway to the next; 0 if there is only one class."""
+    if y.sum() in (0, len(y)):
+        return 0.0
+    order = np.argsort(-score, kind="stable")
+    hits = np.cumsum(y[order])
+    k = int((2 * hits / (np.arange(1, len(y) + 1) + y.sum())).argmax())
+    return float((score[order[k]] + score[order[min(k + 1, len(y) - 1)]]) / 2)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
