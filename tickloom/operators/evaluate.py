@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import content_hash
-from ..sources.ticks import BY_DAY
+from ..sources.ticks import by_day
 
 #: Target mean and deviation used where labels give none; fixed values.
 STATIC_TARGET = (-0.167, 27.41)
@@ -26,7 +26,7 @@ def calibrate_variance(rows: DataFrame, pred: str = "yhat", label: str | None =
 
 def previous_label(label: str = "label") -> Column:
     """The label before; the first of a day predicts itself."""
-    return F.coalesce(F.lag(label).over(BY_DAY), F.col(label))
+    return F.coalesce(F.lag(label).over(by_day()), F.col(label))
 
 
 def class_prior(rows: DataFrame, label: str = "label") -> DataFrame:

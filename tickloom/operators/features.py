@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nulled
-from ..sources.ticks import BY_DAY
+from ..sources.ticks import by_day
 
 #: Feature sets by name; ranges of the fixed feature layout.
 PRESETS: dict[str, tuple[int, ...]] = {
@@ -65,27 +65,27 @@ def load_feature_set(text: str, contract: str | None = None) -> dict:
 
 
 def _full(value: Column, w: int) -> Column:
-    return F.when(F.count(F.lit(1)).over(BY_DAY.rowsBetween(-(w - 1), 0)) == w, value)
+    return F.when(F.count(F.lit(1)).over(by_day().rowsBetween(-(w - 1), 0)) == w, value)
 
 
 def rolling_mean(x: str, w: int) -> Column:
-    return _full(F.avg(x).over(BY_DAY.rowsBetween(-(w - 1), 0)), w)
+    return _full(F.avg(x).over(by_day().rowsBetween(-(w - 1), 0)), w)
 
 
 def rolling_std(x: str, w: int) -> Column:
-    return _full(F.stddev_pop(x).over(BY_DAY.rowsBetween(-(w - 1), 0)), w)
+    return _full(F.stddev_pop(x).over(by_day().rowsBetween(-(w - 1), 0)), w)
 
 
 def rolling_slope(x: str, w: int) -> Column:
     """Least-squares slope per step over the last ``w`` rows: sums of x and seq x give it without a second frame."""
-    frame = BY_DAY.rowsBetween(-(w - 1), 0)
+    frame = by_day().rowsBetween(-(w - 1), 0)
     # With t = 0..w-1 inside the frame: sum (t - mean t) x / sum (t - mean t)^2.
     t_x = F.sum(F.col("seq") * F.col(x)).over(frame) - (F.col("seq") - (w - 1)) * F.sum(x).over(frame)
     return _full((t_x - (w - 1) / 2 * F.sum(x).over(frame)) / (w * (w * w - 1) / 12), w)
 
 
 def rate_of_change(x: str, w: int) -> Column:
-    return F.col(x) - F.lag(x, w - 1).over(BY_DAY)
+    return F.col(x) - F.lag(x, w - 1).over(by_day())
 
 
 def momentum(x: str, short: int = 5, long: int = 20) -> Column:
@@ -95,18 +95,18 @@ def momentum(x: str, short: int = 5, long: int = 20) -> Column:
 def log_return(rows: DataFrame, price: str = "price", out: str = "logret", floor: float = 1e-6) -> DataFrame:
     """Adds the one-step log return within the day; prices below the floor count as 1."""
     p = F.when(F.col(price) < floor, 1.0).otherwise(F.col(price))
-    return rows.withColumn(out, F.ln(p) - F.ln(F.lag(p, 1).over(BY_DAY)))
+    return rows.withColumn(out, F.ln(p) - F.ln(F.lag(p, 1).over(by_day())))
 
 
 def realized_vol(logret: str, w: int) -> Column:
     """Deviation of the last ``w`` log returns, scaled by the root of ``w``."""
-    full = F.count(logret).over(BY_DAY.rowsBetween(-(w - 1), 0)) == w
-    return F.when(full, F.stddev_pop(logret).over(BY_DAY.rowsBetween(-(w - 1), 0)) * F.sqrt(F.lit(float(w))))
+    full = F.count(logret).over(by_day().rowsBetween(-(w - 1), 0)) == w
+    return F.when(full, F.stddev_pop(logret).over(by_day().rowsBetween(-(w - 1), 0)) * F.sqrt(F.lit(float(w))))
 
 
 def realized_vol_bps(logret: str, w: int) -> Column:
     """Root of the summed squares of the last ``w`` log returns, in basis points."""
-    frame = BY_DAY.rowsBetween(-(w - 1), 0)
+    frame = by_day().rowsBetween(-(w - 1), 0)
     return F.when(F.count(logret).over(frame) == w, F.sqrt(F.sum(F.pow(logret, F.lit(2))).over(frame)) * 1e4)
 
 
@@ -116,7 +116,7 @@ def cross_products(columns: list[str]) -> list[Column]:
 
 def sequences(rows: DataFrame, features: Column, window: int, stride: int = 1) -> DataFrame:
     """Adds sequence: the last ``window`` feature vectors, kept where complete and on the stride."""
-    got = rows.withColumn("sequence", F.collect_list(features).over(BY_DAY.rowsBetween(-(window - 1), 0)))
+    got = rows.withColumn("sequence", F.collect_list(features).over(by_day().rowsBetween(-(window - 1), 0)))
     return got.where((F.size("sequence") == window) & ((F.col("seq") - (window - 1)) % stride == 0))
 
 

@@ -5,50 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.ticks import BY_DAY
+from ..sources.ticks import by_day
 
 BPS = 1e4
 
 
 def _complete(value: Column, rows: int, low: int, high: int) -> Column:
     """``value`` where the frame [low, high] is full."""
-    return F.when(F.count(F.lit(1)).over(BY_DAY.rowsBetween(low, high)) == rows, value)
+    return F.when(F.count(F.lit(1)).over(by_day().rowsBetween(low, high)) == rows, value)
 
 
 def point_return(h: int, price: str = "price") -> Column:
     p = F.col(price)
-    return (F.lead(p, h).over(BY_DAY) - p) / p * BPS
+    return (F.lead(p, h).over(by_day()) - p) / p * BPS
 
 
 def smoothed_return(h: int, k: int, price: str = "price") -> Column:
     """Mean of [t+h-k, t+h] against mean of [t-k, t]."""
-    past = _complete(F.avg(price).over(BY_DAY.rowsBetween(-k, 0)), k + 1, -k, 0)
-    future = _complete(F.avg(price).over(BY_DAY.rowsBetween(h - k, h)), k + 1, h - k, h)
+    past = _complete(F.avg(price).over(by_day().rowsBetween(-k, 0)), k + 1, -k, 0)
+    future = _complete(F.avg(price).over(by_day().rowsBetween(h - k, h)), k + 1, h - k, h)
     return (future - past) / past * BPS
 
 
 def mean_return(h: int, price: str = "price") -> Column:
     """Mean of [t+1, t+h] against the price at t."""
     p = F.col(price)
-    return (_complete(F.avg(p).over(BY_DAY.rowsBetween(1, h)), h, 1, h) - p) / p * BPS
+    return (_complete(F.avg(p).over(by_day().rowsBetween(1, h)), h, 1, h) - p) / p * BPS
 
 
 def peak_return(h: int, price: str = "price") -> Column:
     """The return within [t+1, t+h] of largest size, with its sign; of two equal ones the rise."""
-    p, frame = F.col(price), BY_DAY.rowsBetween(1, h)
+    p, frame = F.col(price), by_day().rowsBetween(1, h)
     up, down = (F.max(p).over(frame) - p) / p * BPS, (F.min(p).over(frame) - p) / p * BPS
     return _complete(F.when(F.abs(up) >= F.abs(down), up).otherwise(down), h, 1, h)
 
 
 def forward_variance(rows: DataFrame, h: int, out: str, price: str = "price") -> DataFrame:
     """Adds ``out``: sum over [t+1, t+h] of squared one-step log returns."""
-    step = rows.withColumn("_r", F.ln(F.col(price) / F.lag(price, 1).over(BY_DAY)))
-    return step.withColumn(out, _complete(F.sum(F.pow("_r", F.lit(2))).over(BY_DAY.rowsBetween(1, h)), h, 1, h)).drop("_r")
+    step = rows.withColumn("_r", F.ln(F.col(price) / F.lag(price, 1).over(by_day())))
+    return step.withColumn(out, _complete(F.sum(F.pow("_r", F.lit(2))).over(by_day().rowsBetween(1, h)), h, 1, h)).drop("_r")
 
 
 def forward_prices(k: int, most_h: int, price: str = "price") -> Column:
     """array [t-k, ..., t+most_h], null where incomplete."""
-    got = F.collect_list(price).over(BY_DAY.rowsBetween(-k, most_h))
+    got = F.collect_list(price).over(by_day().rowsBetween(-k, most_h))
     return F.when(F.size(got) == k + most_h + 1, got)
 
 
@@ -67,9 +67,9 @@ def profit_labels(window: int, horizon: int, stride: int, threshold: float, pric
     """Mean of the next horizon // stride prices against the mean of the last ``window`` (fewer at the day's start);
     0 where the day ends first or the past is below 1e-8."""
     kf = horizon // stride
-    past = F.avg(price).over(BY_DAY.rowsBetween(-(window - 1), 0))
-    future = F.avg(price).over(BY_DAY.rowsBetween(1, kf))
-    whole = F.lead(price, kf).over(BY_DAY).isNotNull() & (past >= 1e-8)
+    past = F.avg(price).over(by_day().rowsBetween(-(window - 1), 0))
+    future = F.avg(price).over(by_day().rowsBetween(1, kf))
+    whole = F.lead(price, kf).over(by_day()).isNotNull() & (past >= 1e-8)
     move = F.try_divide(future - past, past) * BPS
     return F.when(~whole, 0).otherwise(classify(move, threshold))
 
@@ -136,9 +136,9 @@ def sample_weights(rows: DataFrame, horizon: int, by: str = "day") -> DataFrame:
     With one label at each step, step t of a day of n rows is covered by min(t+1, h, n, n+h-1-t) labels, so the
     spans need no explosion: prefix sums of 1 / c give the mean over any span.
     """
-    n = F.count(F.lit(1)).over(BY_DAY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    n = F.count(F.lit(1)).over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     steps = F.sequence(F.col("seq"), F.col("seq") + (horizon - 1))
     cover = F.transform(steps, lambda t: 1.0 / F.least(t + 1, F.lit(horizon).cast("long"), F.col("_n"), F.col("_n") + (horizon - 1) - t))
     raw = F.aggregate(cover, F.lit(0.0), lambda s, x: s + x) / horizon
     rows = rows.withColumn("_n", n).withColumn("_w", raw)
-    return rows.withColumn("weight", F.col("_w") / F.avg("_w").over(BY_DAY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("_n", "_w")
+    return rows.withColumn("weight", F.col("_w") / F.avg("_w").over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("_n", "_w")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,6 @@ def fit_boosting(rows: DataFrame, features: list[str], label: str, trees: int =
 
 def score_with(rows: DataFrame, predict, columns: list[str], out: str = "yhat") -> DataFrame:
     """Adds ``out`` by a callable on Arrow-backed pandas frames of ``columns``: the boundary to outside models."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")

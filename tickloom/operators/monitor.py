@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, finite
 
-BY_RUN = Window.partitionBy("run").orderBy("epoch")
-SO_FAR = BY_RUN.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY_RUN.rowsBetween(Window.unboundedPreceding, -1)
+def by_run() -> WindowSpec:
+    return Window.partitionBy("run").orderBy("epoch")
+
+
+def so_far() -> WindowSpec:
+    return by_run().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return by_run().rowsBetween(Window.unboundedPreceding, -1)
 
 
 class TrainingDiverged(RuntimeError):
@@ -31,25 +38,25 @@ def early_stopping(log: DataFrame, loss: str = "val_loss", patience: int = 3, mi
     running minimum. ``waited`` counts epochs since the last improvement, ``stop`` holds from the first time it
     reaches ``patience``.
     """
-    best_before = F.min(loss).over(BEFORE)
-    got = log.withColumn("improved", best_before.isNull() | (F.col(loss) < best_before - min_delta)).withColumn("best", F.min(loss).over(SO_FAR))
-    last = F.max(F.when(F.col("improved"), F.col("epoch"))).over(SO_FAR)
+    best_before = F.min(loss).over(before())
+    got = log.withColumn("improved", best_before.isNull() | (F.col(loss) < best_before - min_delta)).withColumn("best", F.min(loss).over(so_far()))
+    last = F.max(F.when(F.col("improved"), F.col("epoch"))).over(so_far())
     got = got.withColumn("waited", F.col("epoch") - last)
-    return got.withColumn("stop", F.max((F.col("waited") >= patience).cast("int")).over(SO_FAR) == 1)
+    return got.withColumn("stop", F.max((F.col("waited") >= patience).cast("int")).over(so_far()) == 1)
 
 
 def overfit_flags(log: DataFrame, train: str = "train_loss", val: str = "val_loss") -> DataFrame:
     """Adds overfit: the last three training losses don't rise and the last three validation losses don't fall."""
     t, v = F.col(train), F.col(val)
-    t1, t2, v1, v2 = F.lag(t, 1).over(BY_RUN), F.lag(t, 2).over(BY_RUN), F.lag(v, 1).over(BY_RUN), F.lag(v, 2).over(BY_RUN)
+    t1, t2, v1, v2 = F.lag(t, 1).over(by_run()), F.lag(t, 2).over(by_run()), F.lag(v, 1).over(by_run()), F.lag(v, 2).over(by_run())
     return log.withColumn("overfit", F.coalesce((t2 >= t1) & (t1 >= t) & (v2 <= v1) & (v1 <= v), F.lit(False)))
 
 
 def health_flags(log: DataFrame, loss: str = "loss", score: str = "accuracy", patience: int = 5, blowup: float = 2.0, poor: float = 0.35) -> DataFrame:
     """Adds stagnant (epochs since the best score), diverged (loss over ``blowup`` x the first) and weak (poor score after epoch 3)."""
-    best = F.max_by("epoch", F.struct(score, (-F.col("epoch")).alias("e"))).over(SO_FAR)
+    best = F.max_by("epoch", F.struct(score, (-F.col("epoch")).alias("e"))).over(so_far())
     got = log.withColumn("stagnant", F.col("epoch") - best >= patience)
-    got = got.withColumn("diverged", F.col(loss) > blowup * F.first(loss).over(SO_FAR))
+    got = got.withColumn("diverged", F.col(loss) > blowup * F.first(loss).over(so_far()))
     return got.withColumn("weak", (F.col("epoch") > 3) & (F.col(score) < poor))
 
 
@@ -72,16 +79,16 @@ def learning_rates(spark: SparkSession, epochs: int, lr: float, kind: str = "cos
 
 def plateau_rates(log: DataFrame, lr: float, loss: str = "val_loss", factor: float = 0.5, patience: int = 5) -> DataFrame:
     """Adds lr: cut by ``factor`` for every full ``patience`` epochs without a new best since the last best."""
-    best_before = F.min(loss).over(BEFORE)
+    best_before = F.min(loss).over(before())
     got = log.withColumn("_new", best_before.isNull() | (F.col(loss) < best_before))
-    got = got.withColumn("_since", F.col("epoch") - F.max(F.when(F.col("_new"), F.col("epoch"))).over(SO_FAR))
+    got = got.withColumn("_since", F.col("epoch") - F.max(F.when(F.col("_new"), F.col("epoch"))).over(so_far()))
     cut = ((F.col("_since") > 0) & (F.col("_since") % (patience + 1) == 0)).cast("int")
-    return got.withColumn("lr", lr * F.pow(F.lit(factor), F.sum(cut).over(SO_FAR))).drop("_new", "_since")
+    return got.withColumn("lr", lr * F.pow(F.lit(factor), F.sum(cut).over(so_far()))).drop("_new", "_since")
 
 
 def checkpoint_decisions(log: DataFrame, loss: str = "val_loss", every: int = 5, best_only: bool = False) -> DataFrame:
     """Adds is_best and save: an improvement, or every n epochs unless only the best are kept."""
-    best_before = F.min(loss).over(BEFORE)
+    best_before = F.min(loss).over(before())
     got = log.withColumn("is_best", best_before.isNull() | (F.col(loss) < best_before))
     due = F.lit(False) if best_only else (F.col("epoch") + 1) % every == 0
     return got.withColumn("save", F.col("is_best") | due)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, finite, ratio, share, sign
-from ..sources.ticks import BY_DAY
+from ..sources.ticks import by_day
 from .labels import point_return
 
 
@@ -91,7 +91,7 @@ def by_horizon(rows: DataFrame, horizons: list[int], yhat: str = "yhat", price:
 def hit_tripwire(rows: DataFrame, y: str = "y", p: str = "yhat") -> DataFrame:
     """Directional accuracy on moves that are not 0, their number, and the lag-1 autocorrelation of hits within days."""
     moved = rows.where(F.col(y) != 0).withColumn("_hit", F.when(sign(F.col(y)) == sign(F.col(p)), 1.0).otherwise(0.0))
-    chained = moved.withColumn("_before", F.lag("_hit").over(BY_DAY))
+    chained = moved.withColumn("_before", F.lag("_hit").over(by_day()))
     got = chained.agg(F.avg("_hit").alias("da"), F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("_s"), F.sum(F.col("_hit") * F.col("_before")).alias("_xy"), F.sum(F.when(F.col("_before").isNotNull(), F.col("_hit"))).alias("_x"), F.sum("_before").alias("_y"), F.count("_before").alias("_pairs"))
     # Sum (x - m)(x' - m) over pairs / sum (x - m)^2 over all, from sums.
     m = F.col("da")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import round6
 from ..operators.labels import classify, point_return
-from ..sources.ticks import BY_DAY, table, ticks
+from ..sources.ticks import by_day, table, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,8 +56,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labeled(spark, sf_dir).where(F.col("y").isNotNull()).withColumn("label", (classify(F.col("y"), THRESHOLD) + 1).cast("int"))
     return rows.select(
         "*",
-        F.coalesce(F.lag("label").over(BY_DAY), F.col("label")).alias("pred"),
-        F.coalesce(-F.lag("y").over(BY_DAY), F.lit(0.0)).alias("yhat"),
+        F.coalesce(F.lag("label").over(by_day()), F.col("label")).alias("pred"),
+        F.coalesce(-F.lag("y").over(by_day()), F.lit(0.0)).alias("yhat"),
         ((F.col("k") % 3) / 2.0).alias("agreement"),
         (F.col("k") / 100.0).alias("confirmation"),
         (F.col("value") - 3 * F.floor(F.col("value") / 3)).alias("spread"),

@@ -117,9 +117,9 @@ def q_prediction_distribution(spark, d):
 
 @query(f"WITH {SCORED}, m AS (SELECT label, pred, coalesce(lead(label, 5) OVER w, -1) AS l5 FROM scored {W}) SELECT 10 AS horizon, {r(_share('label = pred'), 'accuracy')}, count(*) AS n FROM m UNION ALL SELECT 15, {r(_share('l5 = pred'), 'accuracy')}, count(*) FROM m")
 def q_horizon_accuracy(spark, d):
-    from ..sources.ticks import BY_DAY
+    from ..sources.ticks import by_day
 
-    rows = scored(spark, d).select(F.col("label").alias("label_h10"), F.col("pred").alias("pred_h10"), F.coalesce(F.lead("label", 5).over(BY_DAY), F.lit(-1)).alias("label_h15"), F.col("pred").alias("pred_h15"))
+    rows = scored(spark, d).select(F.col("label").alias("label_h10"), F.col("pred").alias("pred_h10"), F.coalesce(F.lead("label", 5).over(by_day()), F.lit(-1)).alias("label_h15"), F.col("pred").alias("pred_h15"))
     return C.horizon_accuracy(rows, [10, 15])
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Per-day sequences keep their order; windows of all operators share this specification.
-BY_DAY = Window.partitionBy("day").orderBy("seq")
+def by_day() -> WindowSpec:
+    """Per-day sequences keep their order; windows of all operators share this specification."""
+    return Window.partitionBy("day").orderBy("seq")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
