@@ -62,10 +62,10 @@ def learns(id_col: Column, folds: int, held_out: int) -> Column:
 
 
 def tree_sum(vectors: DataFrame, width: int, dtype: str, fan_in: int = 32) -> np.ndarray:
-    """Sum of the arrays in the one binary column of ``vectors``, each of ``width`` items of ``dtype``.
+    """Sum of the arrays in the one binary column of ``vectors`` (a few per task), each of ``width`` items of ``dtype``.
 
-    Each task adds what it reads, ``fan_in`` tasks add those sums one after another, and the driver adds at most
-    ``fan_in`` arrays, whatever the number of tasks. An empty input gives zeros.
+    ``fan_in`` tasks add them one after another, and the driver adds at most ``fan_in`` sums, whatever the number of
+    tasks. An empty input gives zeros.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +76,8 @@ def tree_sum(vectors: DataFrame, width: int, dtype: str, fan_in: int = 32) -> np
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    sums = vectors.toDF("v").mapInArrow(add, "v binary").repartition(fan_in).mapInArrow(add, "v binary")
     total = np.zeros(width, dtype)
-    for row in sums.collect():
+    for row in vectors.toDF("v").repartition(fan_in).mapInArrow(add, "v binary").collect():
         total = total + np.frombuffer(bytes(row[0]), dtype)
     return total
 

@@ -15,11 +15,12 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, parts_for, text_of
+from .memory import release
 
 #: Places where a text may not be cut before a space: white space, a space, and no word after it.
 RUN = re.compile(r"\s (?!\S)")
 #: How byte-level vocabularies of this kind split texts into words; a fixed value of the vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a process remembers (of about 150 bytes each) before it starts anew.
-CACHE = 600_000
+CACHE = 250_000
 
 
 class WordTokenizer:
@@ -47,20 +49,27 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tiktoken import Encoding
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = list(added)
         # Byte-level vocabularies spell a byte as the character of that number if it is printable, else as the next from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spelled = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(spelled[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if i not in added}
+        ranks = {bytes(spelled[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.words = Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}  # by word, with the space before it
 
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -118,6 +127,8 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str
                     rows, held = [], 0
             if rows:
                 yield batch_of(rows, batch)
+            del rows
+        release()
 
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary")
 

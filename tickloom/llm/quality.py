@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import learns, materialize, text_of, tree_sum
+from .memory import release
 from .toxicity import predicted
 
 STATISTICS = (
@@ -68,6 +69,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             flat = [document_statistics(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.list_(pa.float64()))], ["id", "stats"])
+        release()
 
     return rows.mapInArrow(run, f"id {kind}, stats array<double>")
 
@@ -118,9 +120,11 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     m = len(STATISTICS)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * m + 2)
         for batch in batches:
             x, y = _stats(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([np.r_[x.sum(0), (x * x).sum(0), len(y), y.sum()].astype("<f8").tobytes()], pa.binary())], ["v"])
+            total += np.r_[x.sum(0), (x * x).sum(0), len(y), y.sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["v"])
 
     total = tree_sum(own.mapInArrow(moments, "v binary"), 2 * m + 2, "<f8")
     n, good = total[-2], total[-1]
@@ -189,9 +193,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     stats = materialize(statistics(docs, id_col, text_col), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(stats, labels, id_col, **options))
 
-    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
-            x = np.array([document_statistics(t or "") for t in column.to_pylist()], np.float64).reshape(-1, len(STATISTICS))
-            yield pa.array(model.value.score(x) >= 0.5)
-
-    return docs.where(F.arrow_udf(good, "boolean")(text_of(text_col)))
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([document_statistics(t.as_py()) for t in batch.column(n)], np.float64).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.value.score(x) >= 0.5)).select(range(n))
+        release()
+
+    # Columns go by place, so that names that clash or repeat do no harm.
+    n = len(docs.columns)
+    placed = docs.toDF(*[f"c{i}" for i in range(n)]).withColumn("text", text_of(f"c{docs.columns.index(text_col)}"))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    return placed.mapInArrow(good, kinds).toDF(*docs.columns)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import learns, materialize, text_of, tree_sum
+from .memory import release
 
 BITS = 18
 SIZES = (4, 5)
@@ -190,6 +191,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         for batch in batches:
             scores = [sent.value.score(x.as_py(), seen) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
+        release()
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, score double").withColumn("predicted", predicted(F.col("score")))
 
