@@ -8,7 +8,7 @@ positives cost time and never change the result.
 A block of the filter is 65,536 slots (8 KB); a document's slots all lie in one block. Tasks send the marked slots
 (two bytes each) and not rows; the blocks are merged by a streaming pass over sorted rows. The filter has
 ``bits_per_key`` bits a row, so its size is known before it is made: up to ``max_broadcast_bytes`` it is broadcast,
-beyond that the digests (no texts) meet it in a join by block.
+beyond that the digests (no texts) meet it in a join by block. Groups that hold over a thousandth of all rows are broadcast.
 
 Defined results: a null text is an empty text; empty texts are equal to each other; an id that is null comes after all
 others; rows that repeat the id of the row that stays count as that row in ``find_exact_duplicates`` (all are marked
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, text_of
+from .common import SPACES, join_groups, materialize, text_of
 
 SLOTS = 1 << 16
 PROBES = 3
@@ -117,11 +117,13 @@ def find_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     points) stays, then the smallest id.
     """
     narrow = materialize(docs.select(F.col(id_col).alias("_id"), _digest(text_col).alias("_sha"), F.length(text_of(text_col)).alias("_n")), "digests")
-    repeats, blocks = _repeat_filter(narrow.select("_sha"), narrow.count(), bits_per_key)
+    n = narrow.count()
+    repeats, blocks = _repeat_filter(narrow.select("_sha"), n, bits_per_key)
     rows = _flagged(narrow, repeats, blocks, max_broadcast_bytes)
     maybe = rows.where("_maybe")
     groups = maybe.groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("last"), F.col("_id").alias("id"))).alias("_best"))
-    grouped = maybe.join(groups, "_sha").select("_id", F.col("_best.id").alias("_keep"), "_size", "_sha")
+    groups = materialize(groups.select("_sha", "_size", F.col("_best.id").alias("_keep")), "repeat-groups")
+    grouped = join_groups(maybe, groups, ["_sha"], "_size", n).select("_id", "_keep", "_size", "_sha")
     alone = rows.where("NOT _maybe").select("_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), "_sha")
     return grouped.unionByName(alone).select(
         F.col("_id").alias(id_col),

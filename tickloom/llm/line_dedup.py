@@ -5,7 +5,7 @@ to 128 bits, repeated hashes are found over the whole corpus, and every occurren
 smallest position) marks the lines it covers; the marked positions of a document are merged and deleted.
 
 Counting and the first occurrence are aggregated before the shuffle, so that a line found in a third of all documents
-sends one row per task. Occurrences meet the repeated hashes in a join that adaptive execution can split.
+sends one row per task. Occurrences meet the repeated hashes in a join by hash, those of very common windows in a broadcast.
 
 Defined results: a null text is empty and has no lines; documents of fewer lines than a window keep all; blank lines
 are never counted or removed; documents with a null id keep all their lines and mark none of others; rows that
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, text_of
+from .common import SPACES, join_groups, materialize, text_of
 
 
 def _lines(text: Column) -> Column:
@@ -36,8 +36,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     starts = F.when(F.size("_lines") >= window, F.sequence(F.lit(0), F.size("_lines") - window)).otherwise(F.array().cast("array<int>"))
     key = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("_lines", i + 1, window)).alias("h1"), F.xxhash64(F.lit(window), F.reverse(F.slice("_lines", i + 1, window))).alias("h2")))
     windows = materialize(lines.select("_id", F.explode(key).alias("_w")).select("_id", "_w.*"), "line-windows")
-    first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "pos")).alias("_first")).where("_n > 1").drop("_n")
-    later = windows.join(first, ["h1", "h2"]).where((F.col("_id") != F.col("_first._id")) | (F.col("pos") != F.col("_first.pos")))
+    first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "pos")).alias("_first")).where("_n > 1")
+    first = materialize(first, "repeated-windows")
+    later = join_groups(windows, first, ["h1", "h2"], "_n", windows.count()).where((F.col("_id") != F.col("_first._id")) | (F.col("pos") != F.col("_first.pos")))
     covered = later.groupBy("_id").agg(F.collect_set("pos").alias("_starts"))
     spread = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (window - 1)))))
     return covered.select("_id", spread.alias("positions"))

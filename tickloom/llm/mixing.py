@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, word_count
+from .common import join_groups, materialize, text_of, word_count
 
 UNIT = ("id", "source", "size", "rows", "source_size", "target", "base", "p", "buckets")
 SPREAD = 1 << 52
@@ -105,7 +105,10 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     units = materialize(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-units")
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("_units"))
     targets = materialize(source_targets(totals, weights, share, most), "mix-targets")
-    known = units.alias("u").join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source"))).select("u.*", "source_size", "target", "_units")
+    # Sources of over a thousandth of all units are broadcast; the key stands for the source, null included.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("_key")
+    total = targets.agg(F.sum("_units")).first()[0] or 0
+    known = join_groups(units.select("*", key), targets.select(key, "source_size", "target", "_units"), ["_key"], "_units", total)
     known = known.withColumn("_times", F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.least(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(most))).otherwise(0.0))
     known = known.withColumn("base", F.floor("_times")).withColumn("p", F.col("_times") - F.col("base")).withColumn("buckets", F.ceil(F.col("_units") / bucket)).select(*UNIT)
     most_buckets = targets.agg(F.max(F.ceil(F.col("_units") / bucket))).first()[0] or 1

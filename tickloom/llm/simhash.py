@@ -9,7 +9,7 @@ meet are held against the Manhattan bound over all segments, and those left are
 
 Only distinct fingerprints take part, each with the smallest id that has it. Cells are streamed from sorted
 partitions; a cell sends a spanning forest of its links and not all pairs, which joins the same documents. Cells of more
-than ``block`` members are split: members are dealt into blocks, and each pair of blocks is a group of its own.
+than ``block`` members are split: members and probes are dealt into blocks, and each pair of blocks is a group of its own.
 
 Components are found by alternating large and small stars over the forests' edges, written to the shared folder in
 each round; nothing of them goes to the driver but the number of edges that changed.
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import join_groups, materialize, text_of
 from .memory import release
 
 SEED = 42
@@ -71,10 +71,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, fp long")
 
 
-def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, across: bool = False, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within one group: pairs of ids. ``own``: members of the cell, the rest are probes.
 
-    Links among probes only are left out; they meet in other cells.
+    Links among probes only are left out; they meet in other cells. ``across``: those among members are left out too.
     """
     n = len(fp)
     parent = np.arange(n)
@@ -100,7 +100,7 @@ def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, step: i
             i, j = np.nonzero(bound <= most)
             i, j = a[i], b[j]
             keep = i != j
-            keep &= ~own[j] | (i < j)
+            keep &= ~own[j] if across else ~own[j] | (i < j)
             i, j = i[keep], j[keep]
             x = fp[i] ^ fp[j]
             near = POPCOUNT[x.view(np.uint8).reshape(-1, 8)].sum(1) <= most
@@ -137,7 +137,7 @@ def near_links(nodes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
         def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             fp, rep, own = t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy(), t["own"].to_numpy()
-            u, v = _forest(fp, rep, own, most) if len(fp) > 1 else (rep[:0], rep[:0])
+            u, v = _forest(fp, rep, own, most, t["part"][0].as_py() < 0) if len(fp) > 1 and own.any() else (rep[:0], rep[:0])
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
         held, now, out, n_out = [], None, [], 0
@@ -160,15 +160,20 @@ def near_links(nodes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     placed = nodes.select("fp", "rep").mapInArrow(place, "cell long, own boolean, fp long, rep long")
-    # A cell of more than ``block`` members is dealt into blocks; a member of block i goes to the groups (i, j) for all j >= i
-    # as a member and (j, i) for j < i as a probe. Cells of one block stay one group, and those without members go.
-    sizes = materialize(placed.where("own").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "large-cells")
-    known = placed.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    at = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    groups = F.when(
-        F.col("own"),
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.least(at, j) * F.col("blocks") + F.greatest(at, j)).alias("part"), (at <= j).alias("own"))),
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((j * F.col("blocks") + j).alias("part"), F.lit(False).alias("own"))))
+    # The members of a cell of more than ``block`` are dealt into k blocks, its probes into 8 k: one group for each pair of
+    # blocks of members, and one (numbered below 0) for each pair of a block of members and one of probes.
+    sizes = materialize(placed.where("own").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).withColumn("k", F.ceil(F.col("n") / block).cast("int")).drop("n"), "large-cells")
+    known = placed.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    k, n_probes = F.col("k"), 8 * F.col("k")
+    at, probe = F.pmod(F.xxhash64("fp"), k).cast("int"), F.pmod(F.xxhash64("fp"), n_probes).cast("int")
+    group = lambda part, own: F.struct(part.cast("int").alias("part"), own.alias("own"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    members = F.transform(upto(k), lambda j: group(F.least(at, j) * k + F.greatest(at, j), at <= j))
+    groups = (
+        F.when(k == 1, F.array(group(F.lit(0), F.col("own"))))
+        .when(F.col("own"), F.concat(members, F.transform(upto(n_probes), lambda j: group(-1 - (at * n_probes + j), F.lit(True)))))
+        .otherwise(F.transform(upto(k), lambda j: group(-1 - (j * n_probes + probe), F.lit(False))))
+    )
     dealt = known.select("cell", F.explode(groups).alias("g"), "fp", "rep").select("cell", "g.part", "g.own", "fp", "rep")
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(links, "u long, v long")
 
@@ -197,10 +202,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, block: int = 4096) -> DataFrame:
     """One row per document: ``id_col``, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = connected_components(near_links(nodes.where("rep IS NOT NULL").select("fp", F.col("rep").cast("long").alias("rep")), most, block))
-    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")), "named")
+    return join_groups(rows, named, ["fp"], "n", rows.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

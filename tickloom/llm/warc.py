@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import join_groups, materialize, shared_path
 
 INDEX = "page_id long, url string, file string, offset long, length long, record_type string, refers_to long, payload_digest string, payload_bytes long"
 RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -66,8 +66,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     digests = materialize(keyed.where(F.col("size") >= min_bytes).select("page_id", "digest", "size"), "page-digests")
-    keepers = digests.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("keeper")).where("_n > 1").drop("_n")
-    return keyed.join(keepers, ["digest", "size"], "left")
+    keepers = digests.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("keeper")).where("_n > 1")
+    return join_groups(keyed, materialize(keepers, "keepers"), ["digest", "size"], "_n", digests.count(), how="left").drop("_n")
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 1000, level: int = 6, path: str | None = None) -> DataFrame:
