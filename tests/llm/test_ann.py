@@ -53,6 +53,40 @@ def test_recall_beyond_one_block(spark, scaled):
     assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_a_third_of_copies_hides_no_neighbour(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(6000)[:2000]] = x[0]
+    got, want = search(spark, x, least=32, most_block=50), exact(np.arange(6000), x, 20, 20)
+    same = [q for q in want if (x[q] == x[0]).all()]
+    assert len(same) > 50 and all(got[q] == want[q] for q in same)
+    assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize("width", [1e-3, 1e-6])
+def test_a_third_in_a_tight_cluster(spark, width):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    some = rng.permutation(6000)[:2000]
+    x[some] = x[0] + width * rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = search(spark, x, least=32, most_block=50)
+    recall = []
+    for q in set(some.tolist()) & got.keys():
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        recall.append(len(set(got[q]) & set(np.argsort(far)[:20].tolist())) / 20)
+    assert len(recall) > 50 and np.mean(recall) >= 0.9
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [2.0, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df, F.col("id") % 20 == 0, k=3).collect())
+    assert got == [(0, 1, 20, 4.0), (0, 2, 1, 2.0), (0, 3, 2, 2.0), (20, 1, 0, 4.0), (20, 2, 0, 2.0), (20, 3, 1, 2.0)]
+
+
 def test_odd_vectors_take_no_part(spark):
     bad = float("nan")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 1.0]), (40, [0.0, 0.0]), (60, [bad, 1.0]), (80, [float("inf"), 1.0]), (100, None), (120, [1.0, None]), (140, []), (None, [1.0, 1.0]), (1, [2.0, 0.0]), (0, [1.0, 0.0])]

@@ -2,14 +2,17 @@
 
 Largest inner product becomes nearest point by one more coordinate (candidates are divided by the largest norm and
 get the coordinate that makes them unit vectors; queries are divided by their own norm and get 0). For each of
-``curves`` curves, points are projected onto ``dims`` random orthonormal directions, shifted, cut into 2**``bits`` steps
-per direction (bounds: from at most ``sample`` rows) and ordered along a Hilbert curve. Spark range-partitions the
-orderings; a point's rank follows from the partitions' counts. A curve is cut into blocks of equal size, and a query is
+``curves`` curves, points are projected onto ``dims`` random orthonormal directions, shifted, cut into 2**(2 ``bits``) steps
+per direction (bounds: from at most ``sample`` rows) and ordered along a Hilbert curve, whose place is two words; points
+of one cell are ordered by a projection of the curve's own, and what is equal there too by a hash of the curve's own, so
+that no two curves give a tight cluster the same windows. Spark range-partitions the orderings; a point's rank follows
+from the partitions' counts. A curve is cut into blocks of equal size, and a query is
 held against its own block and its neighbours, so that its window is a fixed share of all rows (3 / ``blocks`` per curve,
 and at least ``least`` rows to a block), whatever the number of rows or of equal vectors. Windows' best are merged over all
 curves and ranked by exact inner products in double precision.
 
-Every row is indexed. The directions near a query's neighbours are few where vectors have structure; on vectors
+Each distinct vector is indexed once, with the k + 1 smallest ids that have it, and asked once; ids are put in after the
+search, so that copies take no room in windows and are exact among each other. Every vector is indexed. The directions near a query's neighbours are few where vectors have structure; on vectors
 without any, in 64 dimensions, recall of 0.9 takes most of the pairs, however they are ordered (README).
 
 Defined results: vectors that are null, zero, of another length than most_common_length's or hold null or non-finite
@@ -24,14 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for
+from .common import join_groups, materialize, parts_for
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place along the Hilbert curve of each row of ``cells``: (n, dims) integers below 2**bits; dims * bits <= 63.
+def hilbert_words(cells: np.ndarray, bits: int, words: int) -> list[np.ndarray]:
+    """Place along the Hilbert curve of each row of ``cells``: (n, dims) integers below 2**(bits * words).
+
+    The place is ``words`` integers, the first from the top ``bits`` bit planes; dims * bits <= 63.
 
     Works from the top bit plane down: Gray-decodes the plane's corner and undoes the rotation and reflection that
     the curve has there.
@@ -44,7 +49,8 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     low_ones = np.zeros(mask + 1, np.int64)
     for k in range(1, dims + 1):
         low_ones[((np.arange(mask + 1) + 1) & ((1 << k) - 1)) == 0] = k
-    for plane in range(bits - 1, -1, -1):
+    found = []
+    for plane in range(bits * words - 1, -1, -1):
         corner = np.zeros(n, np.int64)
         for d in range(dims):
             corner |= ((cells[:, d] >> plane) & 1) << d
@@ -61,12 +67,28 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
         way = np.where(at == 0, 0, np.where(at & 1, low_ones[at], low_ones[np.maximum(at - 1, 0)])) % dims
         entry ^= rotate(start, (dims - (turn + 1)) % dims)
         turn = (turn + way + 1) % dims
-    return key
+        if plane % bits == 0:
+            found.append(key)
+            key = np.zeros(n, np.int64)
+    return found
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The place as one integer: (n, dims) integers below 2**bits; dims * bits <= 63."""
+    return hilbert_words(cells, bits, 1)[0]
+
+
+def mixed(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each id that differs by ``salt``."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt + 1) * np.uint64(0xD1B54A32D192ED03)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec array<double>): the rows that take part."""
-    vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    vec = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 is 0.0
     good = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     return good.where(F.coalesce(fine, F.lit(False)))
@@ -76,22 +98,50 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 28, dims: int = 8, bits: int = 4, blocks: int = 75, least: int = 256, most_block: int = 8192, sample: int = 10_000, seed: int = 11) -> DataFrame:
+def distinct_vectors(rows: DataFrame, most: int, salts: int = 64) -> DataFrame:
+    """(node, h1, h2, vec, ids), written: each vector once with its ``most`` smallest ids.
+
+    A vector's rows are dealt by a hash of the id first, so that no task takes all copies of one vector.
+    """
+    place = Window.partitionBy("h1", "h2", "_salt").orderBy("id")
+    few = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= most)
+    some = few.groupBy("h1", "h2", "_salt").agg(F.first("vec").alias("vec"), F.collect_list("id").alias("ids"))
+    whole = some.groupBy("h1", "h2").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
+    return materialize(whole.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "vec", "ids"), "distinct-vectors")
+
+
+def distinct_questions(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that ask, (id, h1, h2, own), and what they ask, written: (node, h1, h2, own, n, vec).
+
+    ``own``: empty, or the id where it has other vectors too, all of which its question must leave out.
+    """
+    several = materialize(rows.groupBy("id").count().where("count > 1").select("id", F.col("id").cast("string").alias("own")), "repeated-ids")
+    asking = rows.where("asked").select("id", "h1", "h2").join(several, "id", "left").withColumn("own", F.coalesce("own", F.lit("")))
+    asking = materialize(asking, "asking")
+    each = asking.groupBy("h1", "h2", "own").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("h1", "h2", "vec"), ["h1", "h2"])
+    return asking, materialize(each.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "own", "n", "vec"), "questions")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 28, dims: int = 8, bits: int = 7, blocks: int = 75, least: int = 256, most_block: int = 8192, sample: int = 10_000, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows found of each row where ``is_query`` (of ``id``)."""
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors, id_col, vec_col).dropDuplicates(["id", "vec"]), "vectors")
+    rows = usable(vectors, id_col, vec_col).dropDuplicates(["id", "vec"])
+    rows = materialize(rows.select("id", "vec", is_query.alias("asked"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(k), F.reverse("vec")).alias("h2")), "vectors")
     common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n = common["d"], common["count"]
+    width = common["d"]
     rows = rows.where(F.size("vec") == width)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    largest = rows.agg(F.max(norm)).first()[0]
-    n_queries = rows.where(is_query).count()
+    nodes = distinct_vectors(rows, k + 1)
+    n = nodes.count()
+    asking, questions = distinct_questions(rows, nodes)
+    n_queries = questions.count()
+    largest = nodes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
 
     rng = np.random.default_rng(seed)
     dims = min(dims, width + 1)
-    axes = np.stack([np.linalg.qr(rng.normal(size=(width + 1, width + 1)))[0][:, :dims] for _ in range(curves)])
+    turns = [np.linalg.qr(rng.normal(size=(width + 1, width + 1)))[0] for _ in range(curves)]
+    axes, aside = np.stack([t[:, :dims] for t in turns]), np.stack([t @ rng.normal(size=width + 1) for t in turns])
     shifts = rng.random((curves, dims))
 
     def points(x: np.ndarray, query: bool) -> np.ndarray:
@@ -100,32 +150,40 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (size / largest) ** 2))
         return np.c_[own, more]
 
-    some = np.array([r.vec for r in rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vec").collect()])
+    some = np.array([r.vec for r in nodes.orderBy(F.xxhash64("h1", F.lit(seed)), "h1", "h2").limit(sample).select("vec").collect()])
     low, high = np.quantile(np.einsum("nd,cdk->cnk", points(some, False), axes), [0.001, 0.999], axis=1)
     reach = np.maximum(high - low, 1e-12)
 
+    steps = 1 << (2 * bits)
+
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x, asked = batch.column(0), _matrix(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False)
-            for query, keep in ((False, np.ones(len(x), bool)), (True, asked)):
+            ids, x, asked = batch.column(0).to_numpy(), _matrix(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False)
+            for query in (False, True):
+                keep = asked == query
                 if keep.any():
-                    at = points(x[keep], query)
+                    own, at = ids[keep], points(x[keep], query)
                     for c in range(curves):
                         # Half of the cube holds the points, the shift moves them within it.
                         y = ((at @ axes[c] - low[c]) / reach[c] + shifts[c]) / 2
-                        key = hilbert_keys(np.clip(y * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), ids.filter(pa.array(keep)), pa.array(np.full(len(key), query))], ["curve", "key", "id", "query"])
+                        key, fine = hilbert_words(np.clip(y * steps, 0, steps - 1).astype(np.int64), bits, 2)
+                        places = [np.full(len(own), c, np.int32), key, fine, at @ aside[c], mixed(own, 2 * c + query), own, np.full(len(own), query)]
+                        yield pa.RecordBatch.from_arrays([pa.array(p) for p in places], [*along, "id", "query"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(at, at + batch.num_rows))], ["curve", "id", "query", "part", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(at, at + batch.num_rows))], ["curve", "id", "query", "part", "at"])
             at += batch.num_rows
 
-    asked = rows.select("id", "vec", is_query.alias("query"))
+    none = F.array().cast("array<long>")
+    items = nodes.select("node", "vec", F.lit(False).alias("query"), F.lit("").alias("own"), "ids")
+    items = items.unionByName(questions.select("node", "vec", F.lit(True).alias("query"), "own", none.alias("ids")))
+    along = ["curve", "key", "fine", "side", "mixed"]
     entries = (n + n_queries) * curves
-    keyed = asked.mapInArrow(order, "curve int, key long, id long, query boolean").repartitionByRange(parts_for(entries, 500_000, 8), "curve", "key", "id", "query")
-    ordered = materialize(keyed.sortWithinPartitions("curve", "key", "id", "query").mapInArrow(number, "curve int, id long, query boolean, part int, at long"), "curve-order")
+    keyed = items.select("node", "vec", "query").mapInArrow(order, "curve int, key long, fine long, side double, mixed long, id long, query boolean")
+    keyed = keyed.repartitionByRange(parts_for(entries, 500_000, 8), *along).sortWithinPartitions(*along).select("curve", "id", "query")
+    ordered = materialize(keyed.mapInArrow(number, "curve int, id long, query boolean, part int, at long"), "curve-order")
     counts = dict(ordered.groupBy("part").count().collect())  # one number per partition
     before, total = {}, 0
     for p in sorted(counts):
@@ -137,42 +195,60 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rank = F.col("before") + F.col("at") - F.col("curve").cast("long") * (n + n_queries)
     last = (n + n_queries - 1) // size
     block = F.floor(rank / size)
-    placed = ordered.join(F.broadcast(starts), "part").select("id", F.struct("curve", "query", block.alias("block")).alias("place"))
-    places = placed.groupBy("id").agg(F.collect_list("place").alias("places"))  # 2 x curves, times the rows of an id
+    placed = ordered.join(F.broadcast(starts), "part").select(F.col("id").alias("node"), "query", F.struct("curve", block.alias("block")).alias("place"))
+    places = placed.groupBy("node", "query").agg(F.collect_list("place").alias("places"))  # one on each curve
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(2).flatten()
-            curve, query, own = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
-            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            places, asked = batch.column(5), batch.column(2).to_numpy(zero_copy_only=False)
+            curve, own = (x.to_numpy(zero_copy_only=False) for x in places.flatten().flatten())
+            row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+            query = asked[row]
             for step in range(-wide, wide + 1):
                 to = own + step
                 keep = (to >= 0) & (to <= last) & (query | (step == 0))
                 for lo in range(0, int(keep.sum()), 4096):
                     i = np.flatnonzero(keep)[lo : lo + 4096]
                     take = pa.array(row[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(curve[i]), pa.array(to[i]), pa.array(query[i]), batch.column(0).take(take), batch.column(1).take(take)], ["curve", "block", "query", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(curve[i]), pa.array(to[i]), *(batch.column(k).take(take) for k in range(5))], ["curve", "block", "node", "vec", "query", "own", "ids"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            query, ids = t["query"].to_numpy(), t["id"].to_numpy()
+            asked, node = t["query"].to_numpy(), t["node"].to_numpy()
             x = _matrix(t["vec"].chunk(0), width)
-            q, qid, c, cid = x[query], ids[query], x[~query], ids[~query]
+            q, qid, c = x[asked], node[asked], x[~asked]
+            leave = t["own"].filter(pa.array(asked)).to_pylist()
+            ids = t["ids"].filter(pa.array(~asked)).combine_chunks()
+            many, ids = ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
+            start = np.cumsum(many) - many
             for lo in range(0, len(q) if len(c) else 0, 512):
                 own, oid = q[lo : lo + 512], qid[lo : lo + 512]
                 near = own @ c.T
-                near[oid[:, None] == cid[None, :]] = -np.inf
-                kth = np.partition(near, -k, axis=1)[:, -k] if len(c) > k else np.full(len(own), -np.inf)
+                without = {i: int(o) for i, o in enumerate(leave[lo : lo + 512]) if o}
+                for i, o in without.items():
+                    near[i, (many == 1) & (ids[start] == o)] = -np.inf
+                kth = np.partition(near, -k - 1, axis=1)[:, -k - 1] if len(c) > k + 1 else np.full(len(own), -np.inf)
                 # Products rounded in another order differ by far less than this slack; the rest is exact.
-                slack = 1e-9 * np.maximum(1, np.abs(kth)) if len(c) > k else 0
+                slack = 1e-9 * np.maximum(1, np.abs(kth)) if len(c) > k + 1 else 0
                 i, j = np.nonzero((near >= (kth - slack)[:, None]) & (near > -np.inf))
                 score = (own[i] * c[j]).sum(1)
-                o = np.lexsort((cid[j], -score, i))
+                o = np.lexsort((ids[start[j]], -score, i))
                 i, j, score = i[o], j[o], score[o]
-                at = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, score = i[at < k], j[at < k], score[at < k]
-                yield pa.RecordBatch.from_arrays([pa.array(oid[i]), pa.array(cid[j]), pa.array(score)], ["query_id", "vec_id", "score"])
+                # One more than k vectors, and of their ids one more than k: a question's own id is taken out later.
+                top = np.arange(len(i)) - np.searchsorted(i, i) <= k
+                i, j, score = i[top], j[top], score[top]
+                of = np.repeat(np.arange(len(i)), many[j])
+                hit = ids[start[j][of] + np.arange(len(of)) - np.repeat(np.cumsum(many[j]) - many[j], many[j])]
+                i, score = i[of], score[of]
+                if without:
+                    stay = hit != np.array([without.get(a, -1) for a in range(len(own))])[i]
+                    stay |= ~np.isin(i, list(without))
+                    i, score, hit = i[stay], score[stay], hit[stay]
+                o = np.lexsort((hit, -score, i))
+                i, score, hit = i[o], score[o], hit[o]
+                top = np.arange(len(i)) - np.searchsorted(i, i) <= k
+                yield pa.RecordBatch.from_arrays([pa.array(oid[i[top]]), pa.array(hit[top]), pa.array(score[top])], ["node", "vec_id", "score"])
 
         held, now = [], None
         for batch in batches:
@@ -188,11 +264,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         if held:
             yield from best(held)
 
-    with_vec = rows.join(places, "id").select("id", "vec", "places")
-    dealt = with_vec.mapInArrow(deal, "curve int, block long, query boolean, id long, vec array<double>")
+    with_places = items.join(places, ["node", "query"]).select("node", "vec", "query", "own", "ids", "places")
+    dealt = with_places.mapInArrow(deal, "curve int, block long, node long, vec array<double>, query boolean, own string, ids array<long>")
     groups = parts_for(curves * (last + 1), 64, 8)
-    found = dealt.repartition(groups, "curve", "block").sortWithinPartitions("curve", "block").mapInArrow(search, "query_id long, vec_id long, score double")
-    # At most curves x (2 x wide + 1) x k rows per query, whatever the number of rows.
-    ranked = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id").alias("vec_id")))), 1, k)
-    each = found.groupBy("query_id").agg(ranked.alias("_best")).select("query_id", F.posexplode("_best").alias("_at", "_hit"))
-    return each.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_hit.vec_id").alias("vec_id"), (-F.col("_hit.less")).alias("score"))
+    found = dealt.repartition(groups, "curve", "block").sortWithinPartitions("curve", "block").mapInArrow(search, "node long, vec_id long, score double")
+    # At most curves x (2 x wide + 1) x (k + 1) rows per question, whatever the number of rows.
+    hits = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id").alias("vec_id"))))
+    best = found.groupBy("node").agg(F.slice(hits, 1, k + 1).alias("_best")).join(questions.select("node", "h1", "h2", "own", "n"), "node").drop("node")
+    each = join_groups(asking, materialize(best, "answers"), ["h1", "h2", "own"], "n", asking.count())
+    each = each.select(F.col("id").alias("query_id"), F.filter("_best", lambda x: x["vec_id"] != F.col("id")).alias("_best"))
+    once = each.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_best")))), 1, k).alias("_best"))
+    return once.select("query_id", F.posexplode("_best").alias("_at", "_hit")).select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_hit.vec_id").alias("vec_id"), (-F.col("_hit.less")).alias("score"))
