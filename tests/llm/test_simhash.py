@@ -76,3 +76,10 @@ def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (100, 95), (3, 3)], "u long, v long")
     got = {r.node: r.root for r in simhash.connected_components(edges).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {90: 90, 95: 90, 100: 90}
+
+
+@pytest.mark.parametrize("most", [4, 10])
+def test_links_wider_than_the_grids_are_refused(spark, most):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="at most 3 bits"):
+        simhash.simhash_components(docs, most=most)

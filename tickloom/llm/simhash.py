@@ -116,8 +116,10 @@ def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, across:
 def near_links(nodes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
     """(u, v), u < v: links that join the same nodes as all links of at most ``most`` (3 or fewer) bits do.
 
-    ``nodes``: (fp, rep), distinct fingerprints and their ids.
+    ``nodes``: (fp, rep), distinct fingerprints and their ids. The grids cover no wider links, so those are refused.
     """
+    if most > 3:
+        raise ValueError(f"the grids cover links of at most 3 bits, not {most}")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
