@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.ann import hilbert_keys, nearest
+from tickloom.llm.ann import hilbert_keys, nearest, norm_ranges
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (5, 2), (8, 1), (1, 4)])
@@ -80,6 +80,30 @@ def test_a_third_in_a_tight_cluster(spark, width):
     assert len(recall) > 50 and np.mean(recall) >= 0.9
 
 
+def recall_of(got, want):
+    assert got.keys() == want.keys()
+    return np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want])
+
+
+def test_one_long_vector_leaves_the_others_order(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 8))
+    x[17] *= 1000
+    assert recall_of(search(spark, x, least=32, most_block=50, curves=8), exact(np.arange(6000), x, 20, 20)) >= 0.9
+
+
+def test_recall_with_heavy_tailed_norms(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    x *= (rng.pareto(1, (6000, 1)) + 1) / np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall_of(search(spark, x, least=32, most_block=50), exact(np.arange(6000), x, 20, 20)) >= 0.9
+
+
+def test_norm_ranges():
+    assert norm_ranges({0: 1, 3: 5, 10: 900, 11: 800, 12: 3, 40: 2}, 100, 8) == [(3, 6), (10, 900), (11, 800), (40, 5)]
+    assert norm_ranges({0: 500, 1: 500, 2: 500, 9: 500}, 100, 2) == [(0, 500), (9, 1500)]
+
+
 def test_ids_with_several_vectors(spark):
     rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [2.0, 0.0]), (3, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

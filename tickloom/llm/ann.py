@@ -1,9 +1,13 @@
 """Nearest neighbours by inner product over shifted Hilbert curves.
 
-Largest inner product becomes nearest point by one more coordinate (candidates are divided by the largest norm and
+Candidates are split by norm into ranges of powers of two below the largest (at most ``ranges``, the rest in the last), and
+each range is searched on its own: neighbouring ranges that hold no more than ``curves`` x ``least`` vectors together are
+one, compared with every query; the others have curves, bounds and a largest norm of their own. So a few long vectors
+leave the order of the others as it is. Within a range
+largest inner product becomes nearest point by one more coordinate (candidates are divided by the range's largest norm and
 get the coordinate that makes them unit vectors; queries are divided by their own norm and get 0). For each of
 ``curves`` curves, points are projected onto ``dims`` random orthonormal directions, shifted, cut into 2**(2 ``bits``) steps
-per direction (bounds: from at most ``sample`` rows) and ordered along a Hilbert curve, whose place is two words; points
+per direction (bounds: from at most ``sample`` candidates and as many queries) and ordered along a Hilbert curve, whose place is two words; points
 of one cell are ordered by a projection of the curve's own, and what is equal there too by a hash of the curve's own, so
 that no two curves give a tight cluster the same windows. Spark range-partitions the orderings; a point's rank follows
 from the partitions' counts. A curve is cut into blocks of equal size, and a query is
@@ -98,16 +102,40 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def distinct_vectors(rows: DataFrame, most: int, salts: int = 64) -> DataFrame:
-    """(node, h1, h2, vec, ids), written: each vector once with its ``most`` smallest ids.
+def norm_ranges(counts: dict[int, int], small: int, most: int) -> list[tuple[int, int]]:
+    """(last power, vectors) of each range, longest vectors first.
+
+    ``counts``: vectors by the number of halvings below the largest norm. Powers are put together as long as they hold
+    at most ``small`` vectors; the last of ``most`` ranges takes all the rest.
+    """
+    found: list[tuple[int, int]] = []
+    for power in sorted(counts):
+        if found and (found[-1][1] + counts[power] <= small or len(found) == most):
+            found[-1] = (power, found[-1][1] + counts[power])
+        else:
+            found.append((power, counts[power]))
+    return found
+
+
+def distinct_vectors(rows: DataFrame, width: int, most: int, salts: int = 64) -> DataFrame:
+    """(node, h1, h2, vec, ids, norm), written: each vector (of ``width`` parts) once with its ``most`` smallest ids.
 
     A vector's rows are dealt by a hash of the id first, so that no task takes all copies of one vector.
     """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(3), width)
+            # Scaled by the largest part first, so that squares neither overflow nor vanish.
+            part = np.abs(x).max(1, keepdims=True)
+            norm = part[:, 0] * np.sqrt(((x / part) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm)], [*batch.schema.names, "norm"])
+
     place = Window.partitionBy("h1", "h2", "_salt").orderBy("id")
     few = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= most)
     some = few.groupBy("h1", "h2", "_salt").agg(F.first("vec").alias("vec"), F.collect_list("id").alias("ids"))
     whole = some.groupBy("h1", "h2").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
-    return materialize(whole.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "vec", "ids"), "distinct-vectors")
+    return materialize(whole.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "vec", "ids").mapInArrow(measure, "node long, h1 long, h2 long, vec array<double>, ids array<long>, norm double"), "distinct-vectors")
 
 
 def distinct_questions(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +150,7 @@ def distinct_questions(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Da
     return asking, materialize(each.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "own", "n", "vec"), "questions")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 28, dims: int = 8, bits: int = 7, blocks: int = 75, least: int = 256, most_block: int = 8192, sample: int = 10_000, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 28, dims: int = 8, bits: int = 7, blocks: int = 75, least: int = 256, most_block: int = 8192, sample: int = 10_000, ranges: int = 8, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows found of each row where ``is_query`` (of ``id``)."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col).dropDuplicates(["id", "vec"])
@@ -132,11 +160,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = common["d"]
     rows = rows.where(F.size("vec") == width)
-    nodes = distinct_vectors(rows, k + 1)
-    n = nodes.count()
+    nodes = distinct_vectors(rows, width, k + 1)
     asking, questions = distinct_questions(rows, nodes)
     n_queries = questions.count()
-    largest = nodes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
+    top = nodes.agg(F.max("norm")).first()[0]
+    power = F.floor(F.log2(F.lit(top)) - F.log2("norm") + 1e-9).cast("int")
+    split = norm_ranges(dict(nodes.groupBy(power.alias("power")).count().collect()), curves * least, ranges)  # a row per power of two
+    where = F.lit(len(split) - 1)
+    for r in range(len(split) - 2, -1, -1):
+        where = F.when(power <= split[r][0], r).otherwise(where)
+    nodes = materialize(nodes.withColumn("range", where.cast("int")), "norm-ranges")
+    largest = dict(nodes.groupBy("range").agg(F.max("norm")).collect())
+    curved = [r for r, (_, many) in enumerate(split) if many > curves * least]
 
     rng = np.random.default_rng(seed)
     dims = min(dims, width + 1)
@@ -144,31 +179,40 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     axes, aside = np.stack([t[:, :dims] for t in turns]), np.stack([t @ rng.normal(size=width + 1) for t in turns])
     shifts = rng.random((curves, dims))
 
-    def points(x: np.ndarray, query: bool) -> np.ndarray:
-        size = np.sqrt((x * x).sum(1))
-        own = x / (size[:, None] if query else largest)
-        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (size / largest) ** 2))
+    def points(x: np.ndarray, r: int | None) -> np.ndarray:
+        """On the unit sphere: candidates of range ``r``, or queries (None)."""
+        part = np.abs(x).max(1, keepdims=True)
+        size = part[:, 0] * np.sqrt(((x / part) ** 2).sum(1))
+        own = x / (size[:, None] if r is None else largest[r])
+        more = np.zeros(len(x)) if r is None else np.sqrt(np.maximum(0, 1 - (size / largest[r]) ** 2))
         return np.c_[own, more]
 
-    some = np.array([r.vec for r in nodes.orderBy(F.xxhash64("h1", F.lit(seed)), "h1", "h2").limit(sample).select("vec").collect()])
-    low, high = np.quantile(np.einsum("nd,cdk->cnk", points(some, False), axes), [0.001, 0.999], axis=1)
-    reach = np.maximum(high - low, 1e-12)
+    def some(df: DataFrame, r: int | None) -> np.ndarray:
+        chosen = df.orderBy(F.xxhash64("h1", F.lit(seed)), "h1", "h2").limit(max(1, sample // max(1, len(curved)))).select("vec").collect()
+        return np.einsum("nd,cdk->cnk", points(np.array([x.vec for x in chosen]).reshape(-1, width), r), axes)
 
+    low, reach = {}, {}
+    asked = some(questions, None) if curved and n_queries else None
+    for r in curved:
+        bounds = [np.quantile(y, [0.001, 0.999], axis=1) for y in (some(nodes.where(F.col("range") == r), r), asked) if y is not None]
+        low[r], high = np.min([b[0] for b in bounds], axis=0), np.max([b[1] for b in bounds], axis=0)
+        reach[r] = np.maximum(high - low[r], 1e-12)
     steps = 1 << (2 * bits)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x, asked = batch.column(0).to_numpy(), _matrix(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False)
-            for query in (False, True):
-                keep = asked == query
-                if keep.any():
-                    own, at = ids[keep], points(x[keep], query)
-                    for c in range(curves):
-                        # Half of the cube holds the points, the shift moves them within it.
-                        y = ((at @ axes[c] - low[c]) / reach[c] + shifts[c]) / 2
-                        key, fine = hilbert_words(np.clip(y * steps, 0, steps - 1).astype(np.int64), bits, 2)
-                        places = [np.full(len(own), c, np.int32), key, fine, at @ aside[c], mixed(own, 2 * c + query), own, np.full(len(own), query)]
-                        yield pa.RecordBatch.from_arrays([pa.array(p) for p in places], [*along, "id", "query"])
+            ids, x, of = batch.column(0).to_numpy(), _matrix(batch.column(1), width), batch.column(2).to_numpy()
+            for r in curved:
+                for query in (False, True):
+                    keep = of == (-1 if query else r)
+                    if keep.any():
+                        own, at = ids[keep], points(x[keep], None if query else r)
+                        for c in range(curves):
+                            # Half of the cube holds the points, the shift moves them within it.
+                            y = ((at @ axes[c] - low[r][c]) / reach[r][c] + shifts[c]) / 2
+                            key, fine = hilbert_words(np.clip(y * steps, 0, steps - 1).astype(np.int64), bits, 2)
+                            places = [np.full(len(own), r * curves + c, np.int32), key, fine, at @ aside[c], mixed(own, 2 * c + query), own, np.full(len(own), query)]
+                            yield pa.RecordBatch.from_arrays([pa.array(p) for p in places], [*along, "id", "query"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -177,40 +221,65 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             at += batch.num_rows
 
     none = F.array().cast("array<long>")
-    items = nodes.select("node", "vec", F.lit(False).alias("query"), F.lit("").alias("own"), "ids")
-    items = items.unionByName(questions.select("node", "vec", F.lit(True).alias("query"), "own", none.alias("ids")))
+    # ``range`` is -1 for queries, which meet all ranges.
+    items = nodes.select("node", "vec", "range", F.lit("").alias("own"), "ids")
+    items = items.unionByName(questions.select("node", "vec", F.lit(-1).alias("range"), "own", none.alias("ids")))
     along = ["curve", "key", "fine", "side", "mixed"]
-    entries = (n + n_queries) * curves
-    keyed = items.select("node", "vec", "query").mapInArrow(order, "curve int, key long, fine long, side double, mixed long, id long, query boolean")
-    keyed = keyed.repartitionByRange(parts_for(entries, 500_000, 8), *along).sortWithinPartitions(*along).select("curve", "id", "query")
+    entries = {r: split[r][1] + n_queries for r in curved}  # on each curve of the range
+    keyed = items.select("node", "vec", "range").mapInArrow(order, "curve int, key long, fine long, side double, mixed long, id long, query boolean")
+    keyed = keyed.repartitionByRange(parts_for(curves * sum(entries.values()), 500_000, 8), *along).sortWithinPartitions(*along).select("curve", "id", "query")
     ordered = materialize(keyed.mapInArrow(number, "curve int, id long, query boolean, part int, at long"), "curve-order")
     counts = dict(ordered.groupBy("part").count().collect())  # one number per partition
     before, total = {}, 0
     for p in sorted(counts):
         before[p], total = total, total + counts[p]
     starts = spark.createDataFrame(sorted(before.items()), "part int, before long")
-    share = max(least, -(-(n + n_queries) // blocks))
-    size = min(share, most_block)
-    wide = -(-share // size)
-    rank = F.col("before") + F.col("at") - F.col("curve").cast("long") * (n + n_queries)
-    last = (n + n_queries - 1) // size
-    block = F.floor(rank / size)
+    size, wide, last, first = {}, {}, {}, {}
+    gone = 0
+    for r, many in entries.items():
+        share = max(least, -(-many // blocks))
+        size[r] = min(share, most_block)
+        wide[r], last[r], first[r] = -(-share // size[r]), (many - 1) // size[r], gone
+        gone += curves * many
+    block = F.lit(0).cast("long")
+    for r, many in entries.items():
+        own = F.floor((F.col("before") + F.col("at") - first[r] - (F.col("curve") - r * curves).cast("long") * many) / size[r])
+        block = F.when(F.floor(F.col("curve") / curves) == r, own).otherwise(block)
+    # Ranges without curves: their vectors are held against every query, in groups of queries.
+    plain = [r for r in range(len(split)) if r not in curved]
+    spread = parts_for(n_queries, 4096)
+    for r in plain:
+        last[r] = spread - 1
     placed = ordered.join(F.broadcast(starts), "part").select(F.col("id").alias("node"), "query", F.struct("curve", block.alias("block")).alias("place"))
     places = placed.groupBy("node", "query").agg(F.collect_list("place").alias("places"))  # one on each curve
+    places = places.select(F.col("node").alias("_node"), F.col("query").alias("_query"), "places")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, asked = batch.column(5), batch.column(2).to_numpy(zero_copy_only=False)
+            of = batch.column(2).to_numpy()
+            places, node = batch.column(5), batch.column(0).to_numpy()
+
+            def send(row: np.ndarray, curve: np.ndarray, to: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for lo in range(0, len(row), 4096):
+                    i = row[lo : lo + 4096]
+                    take = pa.array(i)
+                    columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(of[i] < 0), batch.column(3).take(take), batch.column(4).take(take)]
+                    yield pa.RecordBatch.from_arrays([pa.array(curve[lo : lo + 4096]), pa.array(to[lo : lo + 4096]), *columns], ["curve", "block", "node", "vec", "query", "own", "ids"])
+
+            for r in plain:
+                asks = np.flatnonzero(of < 0)
+                yield from send(asks, np.full(len(asks), r * curves, np.int32), np.mod(mixed(node[asks], 0), spread))
+                held = np.flatnonzero(of == r)
+                for to in range(spread):
+                    yield from send(held, np.full(len(held), r * curves, np.int32), np.full(len(held), to))
             curve, own = (x.to_numpy(zero_copy_only=False) for x in places.flatten().flatten())
             row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-            query = asked[row]
-            for step in range(-wide, wide + 1):
-                to = own + step
-                keep = (to >= 0) & (to <= last) & (query | (step == 0))
-                for lo in range(0, int(keep.sum()), 4096):
-                    i = np.flatnonzero(keep)[lo : lo + 4096]
-                    take = pa.array(row[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(curve[i]), pa.array(to[i]), *(batch.column(k).take(take) for k in range(5))], ["curve", "block", "node", "vec", "query", "own", "ids"])
+            for r in curved:
+                mine = curve // curves == r
+                for step in range(-wide[r], wide[r] + 1):
+                    to = own + step
+                    keep = np.flatnonzero(mine & (to >= 0) & (to <= last[r]) & ((of[row] < 0) | (step == 0)))
+                    yield from send(row[keep], curve[keep], to[keep])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def best(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +333,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         if held:
             yield from best(held)
 
-    with_places = items.join(places, ["node", "query"]).select("node", "vec", "query", "own", "ids", "places")
+    if curved:
+        with_places = items.join(places, (F.col("node") == F.col("_node")) & ((F.col("range") < 0) == F.col("_query")), "left").select("node", "vec", "range", "own", "ids", "places")
+    else:
+        with_places = items.withColumn("places", F.lit(None).cast("array<struct<curve:int,block:bigint>>"))
+    with_places = with_places.withColumn("places", F.coalesce("places", F.array().cast("array<struct<curve:int,block:bigint>>")))
     dealt = with_places.mapInArrow(deal, "curve int, block long, node long, vec array<double>, query boolean, own string, ids array<long>")
-    groups = parts_for(curves * (last + 1), 64, 8)
+    groups = parts_for(sum((curves if r in curved else 1) * (last[r] + 1) for r in last), 64, 8)
     found = dealt.repartition(groups, "curve", "block").sortWithinPartitions("curve", "block").mapInArrow(search, "node long, vec_id long, score double")
-    # At most curves x (2 x wide + 1) x (k + 1) rows per question, whatever the number of rows.
+    # At most ranges x curves x (2 x wide + 1) x (k + 1) rows per question, whatever the number of rows.
     hits = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id").alias("vec_id"))))
     best = found.groupBy("node").agg(F.slice(hits, 1, k + 1).alias("_best")).join(questions.select("node", "h1", "h2", "own", "n"), "node").drop("node")
     each = join_groups(asking, materialize(best, "answers"), ["h1", "h2", "own"], "n", asking.count())
