@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one is set only where none is."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A temporary one is set only in local mode,
+    where there is one machine; on a cluster each executor would write to its own disk, so there it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -47,7 +50,7 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
 
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 
 
 def word_count(text: Column) -> Column:
@@ -56,6 +59,14 @@ def word_count(text: Column) -> Column:
     return F.length(marks).cast("long")
 
 
+def row_words(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of all columns of a row, 128 bits in all."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    # A null leaves the hash as it is, so which columns are null is hashed too.
+    cols += [F.col(f"`{c}`").isNull() for c in df.columns]
+    return F.xxhash64(*cols), F.xxhash64(F.lit(1), *reversed(cols))
+
+
 def learns(id_col: Column, folds: int, held_out: int) -> Column:
     """False for the held-out fold: rows whose crc32(id as text) mod ``folds`` is ``held_out``. A null id is held out."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds != held_out, F.lit(False))
@@ -94,3 +105,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: s
     hot = marked.where("_large").drop("_large")
     rest = marked.where("_large IS NULL").drop("_large", *values)
     return hot.unionByName(rest.join(groups, keys, how))
+
+
+BITMAP = 1 << 15
+
+
+def in_filter(rows: DataFrame, key: Column, known: DataFrame, bits_per_key: int = 16, most_bytes: int = 64 << 20) -> DataFrame:
+    """``rows`` and ``_maybe``: false only if ``key`` (long) is none of the values in the one column of ``known``.
+
+    A Bloom filter in SQL functions only: bitmaps of 32,768 bits, two bits a key in one of them, all of at most
+    ``most_bytes``, broadcast. Beyond that size the filter fills, and more rows are taken for known.
+    """
+    count = known.count()
+    blocks = min(max(1, -(-count * bits_per_key // BITMAP)), most_bytes * 8 // BITMAP)
+
+    def bits(k: Column) -> list[Column]:
+        h = F.xxhash64(k, F.lit("bits"))
+        return [h.bitwiseAND(BITMAP - 1), F.shiftrightunsigned(h, 15).bitwiseAND(BITMAP - 1)]
+
+    block = lambda k: F.pmod(F.xxhash64(k, F.lit("block")), F.lit(blocks))
+    marks = known.toDF("k").select(block(F.col("k")).alias("_block"), F.explode(F.array(*bits(F.col("k")))).alias("bit"))
+    maps = marks.groupBy("_block").agg(F.bitmap_construct_agg("bit").alias("_map"))
+    placed = rows.withColumn("_key", key).withColumn("_block", block(F.col("_key"))).join(F.broadcast(maps), "_block", "left")
+    byte = lambda b: F.conv(F.hex(F.substring(F.col("_map"), (F.shiftright(b, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.lit(True)
+    for b in bits(F.col("_key")):
+        hit = hit & (F.pmod(F.floor(byte(b) / F.pow(F.lit(2), b.bitwiseAND(7))), F.lit(2)) == 1)
+    return placed.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_key", "_block", "_map")
