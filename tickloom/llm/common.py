@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: The characters that count as white space: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,6 +50,19 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 
 
+def word_slices(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, a list for each slice of about ``size`` bytes, so that long texts don't become one long list."""
+    if len(text) <= size:
+        yield text.split()
+        return
+    at = 0
+    while at < len(text):
+        end = BLANK.search(text, min(at + size, len(text)))
+        to = end.start() if end else len(text)
+        yield text[at:to].split()
+        at = to
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
