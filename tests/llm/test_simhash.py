@@ -72,6 +72,26 @@ def test_empty_nulls_and_repeats(spark):
     assert got == [("7", 7), ("7", 7), ("None", 7), ("None", None)]
 
 
+def test_rows_that_repeat_an_id_are_judged_apart(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a, 0), (5, a, 0), (5, b, 0), (None, b, 1), (None, "z y x", 1), (None, "z y x", 2), (7, "m n", 3), (7, "m n", 3), (7, "m n", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    kept = sorted((tuple(r) for r in simhash.drop_near_duplicates(df).collect()), key=str)
+    assert [r[:2] for r in kept] == [(1, a), (5, b), (7, "m n"), (None, "z y x")] and len({r[1] for r in kept}) == 4
+    got = {(r.doc_id, r.component_id) for r in simhash.simhash_components(df).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (None, 5), (None, None), (7, 7)}
+    assert simhash.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 13, 200])
+def test_slices_change_nothing(monkeypatch, size):
+    texts = [" ".join(f"w{i % 977}" for i in range(1000)), "  a\n b \t", "x" * 50 + " y", "a b", "a b c", "a\x0bb  c d " * 9, " " * 40]
+    whole = [simhash.fingerprint(t.encode()) for t in texts]
+    assert whole == [slow_fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "SLICE", size)
+    assert [simhash.fingerprint(t.encode()) for t in texts] == whole
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (100, 95), (3, 3)], "u long, v long")
     got = {r.node: r.root for r in simhash.connected_components(edges).collect()}

@@ -1,78 +1,88 @@
 """SimHash near-duplicates by segment bit counts.
 
-A fingerprint's 64 bits are cut into 16 segments of four, and each segment is mapped to its number of one bits. The
+A fingerprint's 64 bits are cut into 32 segments of two, and each segment is mapped to its number of one bits. The
 Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so all links of at most
-three bits lie within Manhattan distance three. The vector's two halves (eight segments each) are grids: of a link,
+three bits lie within Manhattan distance three. The vector's two halves (16 segments each) are grids: of a link,
 one half must lie within distance one, so each fingerprint is placed in its own cell of either grid and, as a probe,
-in the eight cells one step up; the pair that is one step apart then meets in the cell of its upper member. Pairs that
-meet are held against the Manhattan bound over all segments, and those left are verified exactly.
+in the cells one step up (at most 16); the pair that is one step apart then meets in the cell of its upper member. Pairs that
+meet are held against the Manhattan bound over all segments, and those left are verified exactly. Two fingerprints of
+random bits share a cell of a grid once in six million times.
 
-Only distinct fingerprints take part, each with the smallest id that has it. Cells are streamed from sorted
-partitions; a cell sends a spanning forest of its links and not all pairs, which joins the same documents. Cells of more
-than ``block`` members are split: members and probes are dealt into blocks, and each pair of blocks is a group of its own.
+Only distinct fingerprints take part. Cells are streamed from sorted partitions; a cell sends a spanning forest of its
+links and not all pairs, which joins the same fingerprints. Cells of more than ``block`` members are split: members and
+probes are dealt into blocks, and each pair of blocks is a group of its own.
 
 Components are found by alternating large and small stars over the forests' edges, written to the shared folder in
 each round; nothing of them goes to the driver but the number of edges that changed.
 
 Defined results: a null text is empty; texts without words have fingerprint zero, linked like any other; rows with a
-null id get the component of their fingerprint (null if it has no other id); rows that repeat an id are one node per
-fingerprint; an empty table gives an empty result; extra columns are ignored by ``simhash_components`` and kept by
-``drop_near_duplicates``.
+null id get the component of their fingerprint (null if it has no other id); rows that repeat an id are judged by the
+fingerprint each has; an empty table gives an empty result; extra columns are ignored by ``simhash_components`` and kept by
+``drop_near_duplicates``, which leaves the row of the smallest id (null last, then the least hash of all columns) and, of
+rows equal in all columns, one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, text_of
+from .common import join_groups, materialize, row_words, text_of, word_slices
+from .in_place import file_label, listed, pack_columns, select_rows, store_keys
 from .memory import release
 
 SEED = 42
-HALF = 8
+HALF = 16
 #: Number of one bits of the bytes.
 POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
-CHUNK = 1 << 16
+#: Bytes of a text cut into words at once.
+SLICE = 1 << 19
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """SimHash of the XXH64 values of the text's word shingles, repeats included; A-Z are lower-cased."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    ones, n, tail = np.zeros(64, np.int64), 0, []
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    n = len(words) - shingle + 1
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        own = words[at : min(at + CHUNK, n) + shingle - 1]
-        h = np.fromiter((digest(join(s), SEED) for s in zip(*(own[k:] for k in range(shingle)))), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for words in word_slices(text.lower(), SLICE):
+        own = tail + words
+        tail = own[-(shingle - 1) :] if shingle > 1 else []
+        if len(own) >= shingle:
+            h = np.fromiter((digest(join(s), SEED) for s in zip(*(own[k:] for k in range(shingle)))), np.uint64)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            n += len(h)
+    if not n:
+        return digest(join(tail), SEED) if tail else 0
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit integer."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *others: Column) -> DataFrame:
+    """(id, fp, ...): the fingerprint as a signed 64-bit integer, and ``others`` under their names."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).cast("binary").alias("text"), *others)
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, "fp"])
         release()
 
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
 
 
-def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, across: bool = False, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one group: pairs of ids. ``own``: members of the cell, the rest are probes.
+def segment_counts(fp: np.ndarray, half: int) -> np.ndarray:
+    """(n, HALF): one bits of the two-bit segments of one half of each fingerprint."""
+    shifts = np.arange(HALF, dtype=np.uint64) * np.uint64(2) + np.uint64(32 * half)
+    pairs = (fp[:, None] >> shifts) & np.uint64(3)
+    return ((pairs & np.uint64(1)) + (pairs >> np.uint64(1))).astype(np.int8)
+
+
+def _forest(fp: np.ndarray, own: np.ndarray, most: int, across: bool = False, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one group: pairs of places. ``own``: members of the cell, the rest are probes.
 
     Links among probes only are left out; they meet in other cells. ``across``: those among members are left out too.
     """
@@ -85,9 +95,8 @@ def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, across:
             i = parent[i]
         return i
 
-    # Counts of one bits by half-byte: the Manhattan bound is held before the exact distance.
-    nibbles = np.stack([(fp >> np.uint64(4 * k)) & np.uint64(15) for k in range(16)], 1)
-    counts = POPCOUNT[nibbles.astype(np.uint8)].astype(np.int8)
+    # The Manhattan bound is held before the exact distance.
+    counts = np.concatenate([segment_counts(fp, half) for half in range(2)], 1)
     members = np.flatnonzero(own)
     left, right = [], []
     for at in range(0, len(members), step):
@@ -95,7 +104,7 @@ def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, across:
         for to in range(0, n, step):
             b = np.arange(to, min(to + step, n))
             bound = np.zeros((len(a), len(b)), np.int8)
-            for k in range(16):
+            for k in range(2 * HALF):
                 bound += np.abs(counts[a, k][:, None] - counts[b, k][None, :])
             i, j = np.nonzero(bound <= most)
             i, j = a[i], b[j]
@@ -110,58 +119,76 @@ def _forest(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, most: int, across:
                     parent[max(rp, rq)] = min(rp, rq)
                     left.append(p)
                     right.append(q)
-    return rep[left], rep[right]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def near_links(nodes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
-    """(u, v), u < v: links that join the same nodes as all links of at most ``most`` (3 or fewer) bits do.
+    """(u, v), u < v: links that join the same fingerprints as all links of at most ``most`` (3 or fewer) bits do.
 
-    ``nodes``: (fp, rep), distinct fingerprints and their ids. The grids cover no wider links, so those are refused.
+    ``nodes``: (fp), distinct. The grids cover no wider links, so those are refused.
     """
     if most > 3:
         raise ValueError(f"the grids cover links of at most 3 bits, not {most}")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            rep = batch.column(1).to_numpy()
+            fp = batch.column(0)
             for half in range(2):
-                cell = np.full(len(fp), half, np.int64)
-                for k in range(HALF):
-                    count = POPCOUNT[((fp >> np.uint64(32 * half + 4 * k)) & np.uint64(15)).astype(np.uint8)].astype(np.int64)
-                    cell += count << (4 + 4 * k)
+                counts = segment_counts(fp.to_numpy().view(np.uint64), half).astype(np.int64)
+                cell = half + sum(counts[:, k] << (1 + 2 * k) for k in range(HALF))
                 for k in range(-1, HALF):
-                    to = cell if k < 0 else cell + (1 << (4 + 4 * k))
-                    real = np.ones(len(fp), bool) if k < 0 else ((to >> (4 + 4 * k)) & 15) <= 4
-                    yield pa.RecordBatch.from_arrays([pa.array(to[real]), pa.array(np.full(real.sum(), k < 0)), batch.column(0).filter(pa.array(real)), pa.array(rep[real])], ["cell", "own", "fp", "rep"])
+                    real = np.ones(len(fp), bool) if k < 0 else counts[:, k] < 2
+                    to = cell if k < 0 else cell + (1 << (1 + 2 * k))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[real]), pa.array(np.full(real.sum(), k < 0)), fp.filter(pa.array(real))], ["cell", "own", "fp"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            fp, rep, own = t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy(), t["own"].to_numpy()
-            u, v = _forest(fp, rep, own, most, t["part"][0].as_py() < 0) if len(fp) > 1 and own.any() else (rep[:0], rep[:0])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def group(fp: np.ndarray, own: np.ndarray, part: int) -> None:
+            i, j = _forest(fp.view(np.uint64), own, most, part < 0)
+            if len(i):
+                out.append((np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])))
+
+        def close(held: list[tuple]) -> None:
+            fp, own = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            if len(fp) > 1 and own.any():
+                group(fp, own, key[1])
 
-        held, now, out, n_out = [], None, [], 0
+        def sent() -> pa.RecordBatch:
+            u, v = (np.concatenate([x[k] for x in out]) for k in range(2))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        held, key = [], None
         for batch in batches:
-            cell, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1
-            for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(cell)]):
-                key = (cell[i], part[i])
-                if key != now and held:
-                    out.append(done(held))
+            cell, part, own, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "own", "fp"))
+            starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+            ends = np.r_[starts[1:], len(cell)]
+            # The first run may go on with what is held, the last is held; of those between, most are one row alone.
+            if held and (cell[0], part[0]) != key:
+                close(held)
+                held = []
+            first = 0
+            if held:
+                held.append((fp[: ends[0]], own[: ends[0]]))
+                first = 1
+                if len(starts) > 1:
+                    close(held)
                     held = []
-                now = key
-                held.append(batch.slice(i, j - i))
+            if first < len(starts):
+                some = np.logical_or.reduceat(own, starts)
+                for r in np.flatnonzero((ends - starts > 1) & some):
+                    if first <= r < len(starts) - 1:
+                        group(fp[starts[r] : ends[r]], own[starts[r] : ends[r]], part[starts[r]])
+                held, key = [(fp[starts[-1] :], own[starts[-1] :])], (cell[-1], part[-1])
             if len(out) > 1000:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
+                yield sent()
         if held:
-            out.append(done(held))
+            close(held)
         if out:
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+            yield sent()
 
-    placed = nodes.select("fp", "rep").mapInArrow(place, "cell long, own boolean, fp long, rep long")
+    placed = nodes.select("fp").mapInArrow(place, "cell long, own boolean, fp long")
     # The members of a cell of more than ``block`` are dealt into k blocks, its probes into 8 k: one group for each pair of
     # blocks of members, and one (numbered below 0) for each pair of a block of members and one of probes.
     sizes = materialize(placed.where("own").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).withColumn("k", F.ceil(F.col("n") / block).cast("int")).drop("n"), "large-cells")
@@ -176,42 +203,98 @@ def near_links(nodes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
         .when(F.col("own"), F.concat(members, F.transform(upto(n_probes), lambda j: group(-1 - (at * n_probes + j), F.lit(True)))))
         .otherwise(F.transform(upto(k), lambda j: group(-1 - (j * n_probes + probe), F.lit(False))))
     )
-    dealt = known.select("cell", F.explode(groups).alias("g"), "fp", "rep").select("cell", "g.part", "g.own", "fp", "rep")
+    dealt = known.select("cell", F.explode(groups).alias("g"), "fp").select("cell", "g.part", "g.own", "fp")
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(links, "u long, v long")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (u, v), for each node of an edge."""
+    """(node, root): the smallest node reachable over ``edges`` (u, v), for each node of an edge.
+
+    A hub's many edges meet its least neighbour in a broadcast (``join_groups``), so they are no one task's work.
+    """
     edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    state = (edges.count(), None)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select("v", "m").where("v <> m").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_groups(both.where("v > u"), least, ["u"], "n", 2 * state[0]).select("v", "m").where("v <> m").distinct()
         # In ``large`` each v points at smaller nodes: its least becomes the hub of the others.
-        hub = large.groupBy("v").agg(F.min("m").alias("hub"))
-        small = large.join(hub, "v").select(F.col("hub").alias("u"), F.explode(F.array("v", "m")).alias("v")).where("u <> v").distinct()
+        hub = large.groupBy("v").agg(F.min("m").alias("hub"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(large, hub, ["v"], "n", 2 * state[0]).select(F.col("hub").alias("u"), F.explode(F.array("v", "m")).alias("v")).where("u <> v").distinct()
         edges = materialize(small, "edges")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        before, state = state, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def fingerprint_components(nodes: DataFrame, most: int, block: int) -> DataFrame:
+    """``nodes`` (fp, ...; a written table, fp distinct) and root, the smallest fingerprint reachable."""
+    roots = connected_components(near_links(nodes, most, block))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, block: int = 4096) -> DataFrame:
     """One row per document: ``id_col``, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
-    roots = connected_components(near_links(nodes.where("rep IS NOT NULL").select("fp", F.col("rep").cast("long").alias("rep")), most, block))
-    named = materialize(nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")), "named")
-    return join_groups(rows, named, ["fp"], "n", rows.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = materialize(fingerprint_components(nodes, most, block), "roots")
+    names = found.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    total = rows.count()
+    named = materialize(join_groups(found, materialize(names, "components"), ["root"], "members", total).select("fp", "n", "component_id"), "named")
+    return join_groups(rows, named, ["fp"], "n", total).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _listed_rows(folder: str, listed_stay: bool) -> Callable:
+    """A decision for ``select_rows``: the rows in the files' lists, or those that are not."""
+
+    def decide() -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+        look = listed(folder)
+        return lambda label, a, b: look(label, a, b) == listed_stay
 
+    return decide
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those of another component's smallest id: one document of each component stays; columns as they are."""
-    found = materialize(simhash_components(docs, id_col, text_col, **options), "near-duplicates")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` (a stored table) with one row of each group; the columns stay as they are.
+
+    ``rows``: a written table (label, a, b, id, group) that has each row of ``docs`` by its file and both words of its hash. The
+    row of the smallest id stays (null last, then the least hash). Rows are picked where they lie; only those that stay
+    but are equal in all columns to another row shuffle, so that one of them is left.
+    """
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "a", "b")
+    best = materialize(rows.groupBy("group").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), "group-best")
+    total = rows.count()
+    ranked = join_groups(rows, best, ["group"], "n", total)
+    chosen = (F.col("a") == F.col("best.a")) & (F.col("b") == F.col("best.b"))
+    marked = materialize(ranked.select("label", "a", "b", chosen.alias("chosen")), "near-marks")
+    # Rows equal in all columns are told apart by nothing: counted by hash, they leave the files and one comes back.
+    many = materialize(marked.where("chosen").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("labels")).where("n > 1"), "equal-rows")
+    again = many.select(F.explode("labels").alias("label"), "a", "b")
+    gone = marked.where("NOT chosen").select("label", "a", "b").unionByName(again)
+    words = row_words(docs)
+    left = select_rows(docs, file_label(), *words, _listed_rows(store_keys(pack_columns(gone), "rows-gone"), False))
+    if many.count() == 0:
+        return left
+    back = select_rows(docs, file_label(), *words, _listed_rows(store_keys(pack_columns(again), "rows-again"), True))
+    a, b = row_words(back)
+    one = back.select(F.struct(*[F.col(f"`{c}`") for c in back.columns]).alias("_row"), a.alias("_a"), b.alias("_b")).groupBy("_a", "_b").agg(F.first("_row").alias("_row"))
+    return left.union(one.select("_row.*"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, block: int = 4096, stored: bool = False) -> DataFrame:
+    """``docs`` with one row of each component; columns as they are. Texts don't shuffle.
+
+    ``stored``: ``docs`` is a table as read from files; otherwise it is written to the shared folder first, as its rows are
+    found again by file.
+    """
+    if not stored:
+        docs = materialize(docs, "near-dedup-input")
+    a, b = row_words(docs)
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, file_label().alias("label"), a.alias("a"), b.alias("b")), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
+    found = materialize(fingerprint_components(nodes, most, block), "roots")
+    grouped = materialize(join_groups(rows, found, ["fp"], "n", rows.count()).select("label", "a", "b", "id", F.col("root").alias("group")), "near-groups")
+    return one_of_each(docs, grouped)
