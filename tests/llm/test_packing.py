@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm.packing import WordTokenizer, pack_documents, pack_lengths, sequences
+from tickloom.llm import packing
+from tickloom.llm.packing import WordTokenizer, assign_sequences, pack_documents, pack_lengths, sequence_ids, sequences
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 TOKENIZER = WordTokenizer(PATH)
@@ -82,5 +83,41 @@ def test_pieces_round_trip(spark, shard):
     assert {k: len(v) for k, v in got.items()} == {k: sum(n for _, n in v) for k, v in by_seq.items()}
 
 
+def test_every_document_has_the_tokens_of_the_whole_text(spark, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    want = [x for i in range(0, len(texts), 500) for x in TOKENIZER.whole(texts[i : i + 500])]
+    assert [TOKENIZER.encode(t) for t in texts] == want
+    monkeypatch.setattr(packing, "SLICE", 100)
+    assert [TOKENIZER.encode(t) for t in texts[:2000]] == want[:2000]
+
+
+def test_sequence_ids_do_not_meet():
+    bins = np.array([0, 1, (1 << 26) - 1])
+    tasks, levels = [0, 1, 65_535, 65_536, 65_537, (1 << 31) - 1], [0, 1, 2, 63]
+    got = [int(x) for t in tasks for level in levels for x in sequence_ids(bins, t, level)]
+    assert len(set(got)) == len(got) and min(got) == 0 and max(got) < 1 << 63
+    with pytest.raises(ValueError):
+        sequence_ids(np.array([1 << 26]), 0, 0)
+
+
+def test_rounds_keep_tasks_bounded(spark):
+    # Most pieces fit no other: rounds end when nothing is saved, and no task gets them all.
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, 0, int(n)) for i, n in enumerate(np.r_[rng.integers(600, 1000, 3000), rng.integers(1, 400, 1500)])]
+    pieces = spark.createDataFrame(rows, "id long, piece int, start long, length long")
+    out = assign_sequences(pieces, 1024, shard=300).collect()
+    fill = {}
+    for r in out:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in fill.values():
+        end = 0
+        for o, n in sorted(spans):
+            assert o == end
+            end += n
+        assert end <= 1024
+    whole = assign_sequences(pieces, 1024).select("sequence_id").distinct().count()
+    assert len(out) == len(rows) and len(fill) <= 1.01 * whole
+
+
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -5,8 +5,12 @@ may be shorter. Pieces of full length are sequences of their own. The others are
 length, and each task places them one by one: of all open gaps that fit (and a new sequence), the one after which the
 sum over all gaps of the squared number of open sequences with that gap is smallest. Tasks hold lengths, not texts or tokens.
 
-A task takes about ``shard`` lengths. What lies in sequences that are not full is taken out and packed again, first in the
-task, as long as that saves a sequence, then over all tasks, in rounds of a sixteenth of the tasks each.
+A task takes about ``shard`` lengths, in every round. What lies in sequences that are not full is taken out and packed
+again, first in the task, then dealt out anew over as many tasks as its number asks for, as long as that saves more than a
+thousandth of the sequences that are not full.
+
+A text's tokens are made slice by slice, so a task holds the ids of one text (4 bytes each) but not its words; texts with
+runs of white space or special tokens are the exception, as their tokenizer takes them whole.
 
 Defined results: a null text is empty, a single end token; ties between gaps go to the smaller gap and a new sequence
 comes last; rows that repeat an id are packed each for itself; a null id is kept as it is; an empty table gives an
@@ -35,6 +39,10 @@ from .memory import release
 RUN = re.compile(r"\s (?!\S)")
 #: How byte-level vocabularies of this kind split texts into words; a fixed value of the vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters cut into words at once, up to the next space.
+SLICE = 1 << 18
+#: Bits of a sequence id for the sequence's number in its task, and for the task's number; the rest are the round's.
+BIN_BITS, TASK_BITS = 26, 31
 #: Words a process remembers (of about 150 bytes each) before it starts anew.
 CACHE = 250_000
 
@@ -76,6 +84,16 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if RUN.search(text) or any(s in text for s in self.special):
             return self.whole([text])[0]
+        parts, at = [], 0
+        while True:
+            to = text.find(" ", at + SLICE)
+            parts.append(self._words(text[at:] if to < 0 else text[at:to]))
+            if to < 0:
+                return parts[0] if len(parts) == 1 else b"".join(parts)
+            at = to
+
+    def _words(self, text: str) -> bytes:
+        """Slices after the first begin with a space, so that their first word is empty."""
         if len(self.known) > CACHE:
             self.known.clear()
         known, encode = self.known, self.words.encode_ordinary
@@ -97,7 +115,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end: int = 2) -> DataFrame:
     """(id, piece, start, length, ids): the pieces of each document; ids are little-endian unsigned 32-bit integers."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "piece", "start", "length", "ids"]
     last = np.array([end], "<u4").tobytes()
@@ -191,7 +209,14 @@ def pack_lengths(sizes: list[int], capacity: int, rounds: int = 8) -> tuple[np.n
     return bins, offsets, full
 
 
-def _pack(items: DataFrame, parts: int, capacity: int) -> DataFrame:
+def sequence_ids(bins: np.ndarray, task: int, level: int) -> np.ndarray:
+    """Numbers from 0 that no other (bin, task, level) has."""
+    if len(bins) and bins.max() >> BIN_BITS or task >> TASK_BITS or level >> (63 - BIN_BITS - TASK_BITS):
+        raise ValueError("too many sequences in a task, tasks or rounds for 63 bits")
+    return bins | (task << BIN_BITS) | (level << (BIN_BITS + TASK_BITS))
+
+
+def _pack(items: DataFrame, parts: int, capacity: int, level: int) -> DataFrame:
     """``items`` (length, ...) and bin, at, full: dealt evenly into ``parts`` tasks that pack by falling length."""
     schema = items.schema
     names = [f.name for f in schema]
@@ -201,7 +226,7 @@ def _pack(items: DataFrame, parts: int, capacity: int) -> DataFrame:
         if held:
             t = pa.Table.from_batches(held)
             bins, at, full = pack_lengths(t["length"].to_pylist(), capacity)
-            for name, x in (("bin", bins + (TaskContext.get().partitionId() << 40)), ("at", at), ("full", full)):
+            for name, x in (("bin", sequence_ids(bins, TaskContext.get().partitionId(), level)), ("at", at), ("full", full)):
                 t = t.append_column(name, pa.array(x))
             yield from t.combine_chunks().to_batches(10_000)
 
@@ -209,21 +234,25 @@ def _pack(items: DataFrame, parts: int, capacity: int) -> DataFrame:
     return items.repartition(parts).sortWithinPartitions(F.col("length").desc(), *[c for c in names if c != "length"]).mapInArrow(run, f"{kinds}, bin long, at long, full boolean")
 
 
-def assign_sequences(pieces: DataFrame, length: int = 1024, shard: int = 1 << 16) -> DataFrame:
+def assign_sequences(pieces: DataFrame, length: int = 1024, shard: int = 1 << 16, most_rounds: int = 16) -> DataFrame:
     """``pieces`` (a written table with id, piece, start, length, ...) and sequence_id, offset.
 
     Sequence ids are distinct numbers; offsets within a sequence are gapless from 0.
     """
-    whole = pieces.where(F.col("length") >= length).withColumn("bin", -1 - F.monotonically_increasing_id()).withColumn("at", F.lit(0).cast("long"))
-    left = pieces.where(F.col("length") < length)
-    parts, level, done = parts_for(left.count(), shard), 0, whole
+    done = pieces.where(F.col("length") >= length).withColumn("bin", -1 - F.monotonically_increasing_id()).withColumn("at", F.lit(0).cast("long"))
+    left, held, level = pieces.where(F.col("length") < length), None, 0
     while True:
-        placed = materialize(_pack(left, parts, length).withColumn("bin", F.col("bin") + F.lit(level << 56)), f"packed-{level}")
-        done = done.unionByName((placed.where("full") if parts > 1 else placed).drop("full"))
-        if parts == 1:
-            return done.withColumnRenamed("bin", "sequence_id").withColumnRenamed("at", "offset")
-        left = placed.where("NOT full").drop("bin", "at", "full")
-        parts, level = parts_for(parts, 16), level + 1
+        parts = parts_for(left.count(), shard)
+        placed = materialize(_pack(left, parts, length, level), f"packed-{level}")
+        # Each sequence has one piece at its start.
+        counted = {r.full: r["count"] for r in placed.where("at = 0").groupBy("full").count().collect()}
+        open_ = counted.get(False, 0)
+        saved = None if held is None else held - open_ - counted.get(True, 0)
+        held = open_
+        if parts == 1 or level == most_rounds - 1 or (saved is not None and saved <= open_ / 1000):
+            return done.unionByName(placed.drop("full")).withColumnRenamed("bin", "sequence_id").withColumnRenamed("at", "offset")
+        done = done.unionByName(placed.where("full").drop("full"))
+        left, level = placed.where("NOT full").drop("bin", "at", "full"), level + 1
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end: int = 2, shard: int = 1 << 16) -> DataFrame:
