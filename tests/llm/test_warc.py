@@ -31,6 +31,29 @@ def test_round_trip(spark):
             assert x.get("warc-target-uri") == (url.replace("\r", "%0D").replace("\n", "%0A") if url else None)
 
 
+def test_reading_is_dealt_out_by_bytes(spark):
+    df = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "concat(id, repeat('x', 1200), id % 3) AS html")
+    index = write_archives(df)
+    total = index.agg(F.sum("length")).first()[0]
+    records = read_records(index, task_bytes=total // 5)
+    assert records.rdd.getNumPartitions() >= 5 and records.count() == 200
+
+
+def test_hot_payload(spark):
+    pages = [(i, "u", BIG if i % 3 == 0 else f"{i % 500} " * 700) for i in range(900)] + [(None, "u", "z" * 2000)] * 2
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    rows = read_records(write_archives(df)).collect()
+    keep = {}
+    for i, _, html in pages:
+        if i is not None:
+            keep[html] = max(i, keep.get(html, -1))
+    assert len(rows) == len(pages)
+    for r in rows:
+        html = next(h for i, _, h in pages if i == r.page_id)
+        want = (None, "response") if keep.get(html, r.page_id) == r.page_id else (keep[html], "revisit")
+        assert (r.refers_to, r.record_type) == want and r.payload_bytes == len(html.encode())
+
+
 def test_selected_ranges_only(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
     index = write_archives(df)

@@ -67,7 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("payload")
+    return archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), stored=True).drop("payload")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

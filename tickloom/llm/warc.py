@@ -5,10 +5,12 @@ index of what it wrote: file, offset, length, URL, digest and more per record. A
 file under another name; the index names only the file of the attempt that counted, so lost executors do no harm.
 
 Reading starts from the index: rows are selected there (any filter), sorted by file and offset within range
-partitions, and ranges that touch or lie less than ``gap`` bytes apart are read as one, up to ``most`` bytes at a time.
+partitions of about ``task_bytes`` of the archives each, and ranges that touch or lie less than ``gap`` bytes apart are
+read as one, up to ``most`` bytes at a time.
 
 Payloads equal in SHA-1 and length, of at least ``min_bytes`` bytes, are stored once: the record of the largest page
-id is a response, the others are revisits of it. Only digests are grouped, aggregated before the shuffle.
+id is a response, the others are revisits of it. Which payloads may repeat is found by the filter of exact
+deduplication; only their digests are grouped and only their pages meet the groups, all others are written where they lie.
 
 Defined results: null html is an empty payload; a null URL leaves out the target's header; line breaks in URLs are
 written as %0D and %0A; pages with a null id never become the stored copy of others and revisit it as any other (if
@@ -28,7 +30,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, shared_path
+from .common import join_groups, materialize, parts_for, shared_path
+from .exact_dedup import RepeatFilter
 
 INDEX = "page_id long, url string, file string, offset long, length long, record_type string, refers_to long, payload_digest string, payload_bytes long"
 RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -61,17 +64,31 @@ def parse_record(raw: bytes) -> dict:
     return fields | {"payload": block.partition(b"\r\n\r\n")[2]}
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, html, digest, size, keeper): keeper is the stored page of a repeated payload, else null."""
+def plan_records(pages: DataFrame, min_bytes: int = 1000, bits_per_key: int = 16) -> DataFrame:
+    """(page_id, url, html, digest, size, keeper): keeper is the stored page of a repeated payload, else null.
+
+    ``pages`` is a stored table: its rows are found again by file.
+    """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    digests = materialize(keyed.where(F.col("size") >= min_bytes).select("page_id", "digest", "size"), "page-digests")
+    large, key = keyed.where(F.col("size") >= min_bytes), F.xxhash64("digest", "size")
+    n = large.count()
+    repeats = RepeatFilter(large, key, n, bits_per_key)
+    digests = materialize(repeats.rows(large.select("page_id", "digest", "size"), key, True), "page-digests")
     keepers = digests.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("keeper")).where("_n > 1")
-    return join_groups(keyed, materialize(keepers, "keepers"), ["digest", "size"], "_n", digests.count(), how="left").drop("_n")
+    again = join_groups(repeats.rows(large, key, True), materialize(keepers, "keepers"), ["digest", "size"], "_n", n, how="left").drop("_n")
+    alone = repeats.rows(large, key, False).unionByName(keyed.where(F.col("size") < min_bytes)).withColumn("keeper", F.lit(None).cast("long"))
+    return again.unionByName(alone)
+
 
+def write_archives(pages: DataFrame, min_bytes: int = 1000, level: int = 6, path: str | None = None, stored: bool = False) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as WARC files and return their index (see ``INDEX``).
 
-def write_archives(pages: DataFrame, min_bytes: int = 1000, level: int = 6, path: str | None = None) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as WARC files and return their index (see ``INDEX``)."""
+    ``stored``: ``pages`` is a table as read from files; otherwise it is written to the shared folder first.
+    """
+    pages = pages.select("page_id", "url", "html")
+    if not stored:
+        pages = materialize(pages, "warc-pages")
     out = path or shared_path(pages.sparkSession, "warc")
     names = [x.split(" ")[0] for x in INDEX.split(", ")]
 
@@ -99,7 +116,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000, level: int = 6, path
     return index.withColumn("file", F.concat(F.lit(f"{out}/"), "file"))
 
 
-def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, keep_payload: bool = False) -> DataFrame:
+def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, keep_payload: bool = False, task_bytes: int = 32 << 20) -> DataFrame:
     """The records that ``index`` names (see ``RECORD``), read back from the archives; digest and size are those of the
     payload read for responses, those of the header for revisits. ``payload`` is null unless ``keep_payload``."""
 
@@ -143,7 +160,9 @@ def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, kee
         for f in open_files.values():
             f.close()
 
-    sorted_ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # The number of tasks follows from what they read, not from the size of the index.
+    parts = parts_for(index.agg(F.sum("length")).first()[0] or 0, task_bytes)
+    sorted_ranges = index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return sorted_ranges.mapInArrow(read, RECORD)
 
 
