@@ -8,8 +8,8 @@ out of the equations; on it, scores are mapped to shares of good documents by is
 
 All labelled rows outside the held-out fold are learned from; labels meet the statistics by id, no texts shuffle.
 
-Defined results: a null text is empty, and the empty text gets the score of its statistics (all 0); null labels and
-ids of labels are left out, and of labels that repeat an id the larger counts; with no row or only one class to learn
+Defined results: a null text is empty, and the empty text gets the score of its statistics (all 0); labels other
+than 0 and 1 (null ones too) and null ids of labels are left out, and of labels that repeat an id the larger counts; with no row or only one class to learn
 from, every score is the share of class 1 (0.5 without rows); an empty table gives an empty result; extra columns are
 ignored by ``score_quality`` and kept by ``keep_good``.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learns, materialize, text_of, tree_sum
+from .common import learns, materialize, text_of, tree_sum, word_slices
 from .memory import release
 from .toxicity import predicted
 
@@ -34,35 +34,44 @@ STATISTICS = (
     "long_words distinct_words top_word same_as_before mixed_words repeated_lines line_words short_lines byte_entropy"
 ).split()
 BINS = 2000
+#: Bytes of a text cut into words at once.
+SLICE = 1 << 19
 
 
 def document_statistics(text: str) -> list[float]:
-    """The values of ``STATISTICS`` of one whole text."""
+    """The values of ``STATISTICS`` of one whole text. Its words are seen slice by slice; distinct words and lines are held."""
     raw = text.encode("utf-8", "replace")
     if not raw.strip():
         return [0.0] * len(STATISTICS)
     n = len(raw)
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     of = lambda chars: float(count[list(chars)].sum()) / n
-    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    kinds = Counter(words)
+    kinds: Counter = Counter()
+    n_words, total, squares, long_words, same, before = 0, 0, 0, 0, 0, []
+    for words in word_slices(raw, SLICE):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n_words, total, squares, long_words = n_words + len(words), total + int(sizes.sum()), squares + int((sizes * sizes).sum()), long_words + int((sizes > 20).sum())
+        same += sum(map(bytes.__eq__, before + words, (before + words)[1:]))
+        before = words[-1:] or before
+        kinds.update(words)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
     in_lines = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
     share = count[count > 0] / n
     letters = sum(x.isalpha() for x in kinds)
+    mean = total / n_words
     return [
-        np.log1p(n), np.log1p(len(words)), np.log1p(len(lines)),
+        np.log1p(n), np.log1p(n_words), np.log1p(len(lines)),
         of(range(65, 91)), of(range(48, 58)), of(b" \t\r\n\x0b\f"), of(b"#$%&*+=<>@^_~\\"), of(b"|"), of(b"!"), of(b".,;:?"), of(b"\"'()[]{}/-`"),
         of(range(128, 256)), of([*range(9), *range(14, 32), 127]),
-        float(sizes.mean()), float(sizes.std()), float((sizes > 20).mean()), len(kinds) / len(words), max(kinds.values()) / len(words),
-        sum(map(bytes.__eq__, words, words[1:])) / len(words), 1 - letters / len(kinds),
+        mean, max(squares / n_words - mean * mean, 0.0) ** 0.5, long_words / n_words, len(kinds) / n_words, max(kinds.values()) / n_words,
+        same / n_words, 1 - letters / len(kinds),
         1 - len(set(lines)) / len(lines), float(np.log1p(in_lines.mean())), float((in_lines < 4).mean()), float(-(share * np.log2(share)).sum()),
     ]
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stats array<double>), one row per document."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +123,8 @@ def isotonic(good: np.ndarray, all_: np.ndarray) -> np.ndarray:
 
 def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", folds: int = 3, held_out: int = 1, features: int = 256, width: float = 0.12, ridge: float = 1e-3, seed: int = 5) -> QualityModel:
     """Learn from the labelled rows outside the held-out fold. ``stats``: (id, stats), a written table."""
-    known = labels.where(F.col(label).isNotNull() & learns(F.col(id_col), folds, held_out)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    y = F.col(f"`{label}`").cast("int")
+    known = labels.where(y.isin(0, 1) & learns(F.col(f"`{id_col}`"), folds, held_out)).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(y).alias("y"))
     own = stats.join(known, F.col("id") == F.col("_id")).select("stats", "y", (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("calibrates"))
     own = materialize(own, "quality-training")
     m = len(STATISTICS)

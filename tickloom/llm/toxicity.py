@@ -11,10 +11,11 @@ fits a logistic regression by Newton steps with conjugate gradients (at most sam
 Toxic rows are few, so even odds are not the best place to divide: two more models, each of one half's ratios and
 rows, score the other half, and the bias is moved to where those scores divide the classes best (by F1).
 
-Scoring is one pass over all texts, whole and in bounded pieces, with a broadcast table of 2**BITS weights.
+Scoring is one pass over all texts with a broadcast table of 2**BITS weights. Texts are read whole, ``CHUNK`` characters at
+a time; n-grams over the seams are kept by an overlap, so that the cuts change nothing.
 
-Defined results: a null text is empty, and the empty text gets the model's score for no n-gram; null labels and ids of
-labels are left out, and of labels that repeat an id the larger counts; with no row or only one class to learn from,
+Defined results: a null text is empty, and the empty text gets the model's score for no n-gram; labels other than 0 and 1
+(null ones too) and null ids of labels are left out, and of labels that repeat an id the larger counts; with no row or only one class to learn from,
 every score is the share of class 1 (0.5 without rows); an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -39,22 +40,42 @@ BLANKS = re.compile("[\x20\x09-\x0d]+")
 CHUNK = 1 << 18
 
 
+def bucket_pieces(text: str, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> Iterator[np.ndarray]:
+    """The buckets of all character n-grams of a text, repeats included, chunk by chunk."""
+    overlap = max(sizes) - 1
+    tail, blank = " ", True
+    for at in range(0, max(len(text), 1), CHUNK):
+        # Of the letters only sigma is lower-cased by what stands around it; here it is always the same.
+        new = BLANKS.sub(" ", text[at : at + CHUNK].replace("\u03a3", "\u03c3").lower())
+        if blank and new.startswith(" "):
+            new = new[1:]
+        blank = new.endswith(" ") if new else blank
+        if at + CHUNK >= len(text) and not blank:
+            new += " "
+        seen = len(tail) if at else 0
+        clean = tail + new
+        codes = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32) * np.uint32(0x9E3779B1)
+        for size in sizes:
+            # Those that end within the tail were in the chunk before.
+            own = codes[max(seen - size + 1, 0) :]
+            if len(own) >= size:
+                n = len(own) - size + 1
+                h = own[:n].copy()
+                for k in range(1, size):
+                    h *= np.uint32(0x01000193)
+                    h ^= own[k : k + n]
+                h ^= h >> np.uint32(15)
+                h *= np.uint32(0x85EBCA6B + 2 * size)
+                yield h >> np.uint32(32 - bits)
+        tail = clean[-overlap:]
+
+
 def ngram_buckets(text: str, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> np.ndarray:
-    """The buckets of all character n-grams of a text, repeats included."""
-    clean = BLANKS.sub(" ", f" {text.lower()} ")
-    codes = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32) * np.uint32(0x9E3779B1)
-    found = []
-    for size in sizes:
-        if len(codes) >= size:
-            n = len(codes) - size + 1
-            h = codes[:n].copy()
-            for k in range(1, size):
-                h *= np.uint32(0x01000193)
-                h ^= codes[k : k + n]
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x85EBCA6B + 2 * size)
-            found.append(h >> np.uint32(32 - bits))
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+    """The distinct buckets of all character n-grams of a text, in order."""
+    found = np.zeros(0, np.uint32)
+    for piece in bucket_pieces(text, sizes, bits):
+        found = np.unique(np.concatenate([found, piece]))
+    return found
 
 
 @dataclass(frozen=True)
@@ -62,20 +83,19 @@ class ToxicityModel:
     weights: np.ndarray  #: by bucket, 0 for those not chosen
     bias: float
 
-    def score(self, text: str, seen: np.ndarray) -> float:
-        """``seen``: a scratch array of false, one per bucket; it is left as it was."""
-        buckets = ngram_buckets(text)
-        buckets = buckets[self.weights[buckets] != 0]
-        seen[buckets] = True
-        own = np.flatnonzero(seen) if len(buckets) > 4096 else np.unique(buckets)
-        seen[buckets] = False
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[own].sum(), -30, 30))))
+    def score(self, text: str) -> float:
+        found = np.zeros(0, np.uint32)
+        for piece in bucket_pieces(text):
+            piece = piece[self.weights[piece] != 0]
+            if len(piece):
+                found = np.unique(np.concatenate([found, piece]))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[found].sum(dtype=np.float64), -30, 30))))
 
 
 def sampled_labels(labels: DataFrame, label: str, id_col: str, folds: int, held_out: int, sample: int) -> DataFrame:
     """(id, y, half): at most ``sample`` labelled rows outside the held-out fold, chosen by a hash of the id."""
-    known = labels.where(F.col(label).isNotNull() & learns(F.col(id_col), folds, held_out))
-    one = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = labels.where(F.col(f"`{label}`").cast("int").isin(0, 1) & learns(F.col(f"`{id_col}`"), folds, held_out))
+    one = known.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y"))
     one = one.withColumn("half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int"))
     return materialize(one.orderBy(F.xxhash64(F.col("_id"), F.lit("sample")), "_id").limit(sample), "sampled-labels")
 
@@ -115,7 +135,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Learn from at most ``sample`` labelled rows outside the held-out fold."""
     chosen = sampled_labels(labels, label, id_col, folds, held_out, sample)
     # At most ``sample`` rows of an id and a label: small enough to broadcast at any input size.
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "y", "half")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "y", "half")
     texts = materialize(texts, "toxicity-sample")
     n_buckets = 1 << BITS
 
@@ -124,7 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         total, some = np.zeros((2, 2, n_buckets + 1), np.int64), False
         for batch in batches:
             for text, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                total[half, y, np.unique(ngram_buckets(text.as_py()))] += 1
+                total[half, y, ngram_buckets(text.as_py())] += 1
                 total[half, y, n_buckets] += 1
                 some = True
         if some:
@@ -150,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [placed.value[np.unique(ngram_buckets(x.as_py()))] for x in batch.column(0)]
+            own = [placed.value[ngram_buckets(x.as_py())] for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x[x >= 0].astype("<u2").tobytes() for x in own], pa.binary())], ["y", "half", "at"])
 
     picked = texts.mapInArrow(pick, "y int, half int, at binary").collect()
@@ -182,14 +202,13 @@ def dividing_score(y: np.ndarray, score: np.ndarray) -> float:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) for each document."""
-    rows = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("_text"))
     kind = rows.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, bool)
         for batch in batches:
-            scores = [sent.value.score(x.as_py(), seen) for x in batch.column(1)]
+            scores = [sent.value.score(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
         release()
 
