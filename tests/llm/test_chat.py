@@ -1,11 +1,16 @@
 import hashlib
 
+import pytest
+
+from tickloom.llm import chat
 from tickloom.llm.chat import chat_digests, format_chat
 
 HARD = [r"\### Assistant: </turn> ok", r"\b\l\h\c", "</turn>\n### user: ", "</part>", "a\\", "<", "#", "\\\\<", "###### x: y", "", None, "é😀\n\n"]
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("block", [512, 2, 3])
+def test_round_trip(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
     rows = [(1, k, "assistant" if k % 3 else "user", t) for k, t in enumerate(HARD)]
     rows += [(2, 5, "assistant", "b"), (2, 5, "assistant", "b"), (2, None, "user", "last"), (2, -1, None, "first"), (3, 0, "role: <#\\>", "x"), (None, 0, "assistant", "null id"), (None, 1, "assistant", "both")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS formatted", "2 AS loss_spans")
@@ -27,3 +32,12 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_long_conversation(spark):
+    turns = [(5, k, "assistant" if k % 2 else "user", f"turn {k} <é>") for k in range(3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    r = chat_digests(format_chat(df)).first()
+    assert r.n_turns == 3000
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in turns).encode()).hexdigest()
+    assert r.loss_sha256 == hashlib.sha256("".join(b for _, _, a, b in turns if a == "assistant").encode()).hexdigest()

@@ -11,6 +11,7 @@ turn of the trained role, which cover exactly the escaped texts.
 Defined results: null text and null role are empty; null turns come last; rows of equal turn are ordered by role and
 text, and repeated rows are all kept; the rows of a null conversation id form one conversation; an empty table gives
 an empty result; extra columns are ignored. A conversation is one row, so its formatted text must fit in one (2 GB).
+Turns are folded in blocks of ``BLOCK``, so that arrays which grow turn by turn stay short in conversations of any length.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN_END, PART_END = "</turn>\n", "</part>"
+#: Turns folded, or spans read, as one block.
+BLOCK = 512
+SPAN = "struct<start:int,length:int>"
 
 
 def escape(text: Column) -> Column:
@@ -35,15 +39,10 @@ def unescape(text: Column) -> Column:
 
 def format_chat(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv_col``, formatted string, loss_spans array<struct<start int, length int>>."""
-    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    turn = F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    convs = rows.select(F.col(conv_col).alias("_conv"), turn.alias("_turn")).groupBy("_conv").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
-    start = F.struct(
-        F.lit(None).cast("string").alias("role"),
-        F.lit(0).alias("chars"),
-        F.array().cast("array<string>").alias("pieces"),
-        F.array().cast("array<struct<start:int,length:int>>").alias("spans"),
-    )
+    role, text = F.coalesce(F.col(f"`{role_col}`"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    turn = F.struct(F.col(f"`{turn_col}`").isNull().alias("last"), F.col(f"`{turn_col}`").alias("turn"), role.alias("role"), text.alias("text"))
+    convs = rows.select(F.col(f"`{conv_col}`").alias("_conv"), turn.alias("_turn")).groupBy("_conv").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def fold(seen: Column, turn: Column) -> Column:
         coded = escape(turn["text"])
@@ -57,8 +56,18 @@ def format_chat(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
             F.when(turn["role"] == trained_role, F.concat(seen["spans"], F.array(span))).otherwise(seen["spans"]).alias("spans"),
         )
 
-    done = convs.select("_conv", F.aggregate("_turns", start, fold).alias("_done"))
-    return done.select(F.col("_conv").alias(conv_col), F.concat(F.array_join("_done.pieces", ""), F.lit(TURN_END)).alias("formatted"), F.col("_done.spans").alias("loss_spans"))
+    def block(at: Column) -> Column:
+        # A block goes on with the role of the turn before it; its places count from its own start.
+        start = F.struct(F.get(F.col("_turns"), at - 1)["role"].alias("role"), F.lit(0).alias("chars"), F.array().cast("array<string>").alias("pieces"), none.alias("spans"))
+        done = lambda held: F.struct(held["chars"].alias("chars"), F.array_join(held["pieces"], "").alias("text"), held["spans"].alias("spans"))
+        return F.aggregate(F.slice("_turns", at + 1, BLOCK), start, fold, done)
+
+    blocks = convs.select("_conv", F.transform(F.sequence(F.lit(0), F.size("_turns") - 1, F.lit(BLOCK)), block).alias("_blocks"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate("_blocks", begin, lambda held, b: F.struct((held["at"] + b["chars"]).alias("at"), F.concat(held["starts"], F.array(held["at"])).alias("starts")), lambda held: held["starts"])
+    placed = blocks.select("_conv", "_blocks", starts.alias("_starts"))
+    moved = F.transform("_blocks", lambda b, i: F.transform(b["spans"], lambda s: F.struct((s["start"] + F.get(F.col("_starts"), i)).alias("start"), s["length"].alias("length"))))
+    return placed.select(F.col("_conv").alias(conv_col), F.concat(F.array_join(F.transform("_blocks", lambda b: b["text"]), ""), F.lit(TURN_END)).alias("formatted"), F.flatten(moved).alias("loss_spans"))
 
 
 def parse_chat(formatted: Column) -> Column:
@@ -75,8 +84,15 @@ def parse_chat(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, loss_spans: Column) -> Column:
-    """The text under the loss mask, unescaped, nothing between the spans."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    """The text under the loss mask, unescaped, nothing between the spans. A block of spans is read from its own part."""
+
+    def block(at: Column) -> Column:
+        own = F.slice(loss_spans, at + 1, BLOCK)
+        first, last = F.element_at(own, 1), F.element_at(own, -1)
+        part = F.struct(F.substr(formatted, first["start"] + 1, last["start"] + last["length"] - first["start"]).alias("text"), first["start"].alias("at"))
+        return F.array_join(F.flatten(F.transform(F.array(part), lambda p: F.transform(own, lambda s: unescape(F.substr(p["text"], s["start"] - p["at"] + 1, s["length"]))))), "")
+
+    return F.when(F.size(loss_spans) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(loss_spans) - 1, F.lit(0)), F.lit(BLOCK)), block), ""))
 
 
 def chat_digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -31,8 +31,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), sha
     """(source, source_size, ...) -> the same and target.
 
     Sources by code point, null last, get ``weights`` in turn and share ``share`` of all words; a target stops at
-    ``most`` times its source's words, and the excess goes to the others by weight. One row per source, so the
-    windows over all sources see an aggregate.
+    ``most`` times its source's words, and the excess goes to the others by weight. The windows over all sources run in
+    one task, on one row of five numbers per source: right for up to some ten million sources.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sources.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1))
@@ -101,7 +101,7 @@ def pivotal_round(units: DataFrame, most_buckets: int, bucket: int = 128, seed:
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, bucket: int = 128, seed: int = 7) -> DataFrame:
     """One row per unit (id, source, size): rows, source_size, target, copies (how often the mix takes each row)."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
+    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(text_of(text_col)).alias("size"))
     units = materialize(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-units")
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("_units"))
     targets = materialize(source_targets(totals, weights, share, most), "mix-targets")
@@ -126,6 +126,6 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs``, each row as often as the mix takes it; the columns stay as they are."""
     units = mix_sizes(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_of(text_col)).alias("_size"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), word_count(text_of(text_col)).alias("_size"))
     taken = row.join(units, F.col("_id").eqNullSafe(F.col("_mix_id")) & F.col("_source").eqNullSafe(F.col("_mix_source")) & (F.col("_size") == F.col("_mix_size")))
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_copy")).select("_row.*")
