@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalar import argmax, finite, ratio, sign, softmax
 from tickloom.operators import align, classification, evaluate, features, labels, models, monitor, normalize, regression, resample, validate
 
+from tickloom.sources import ticks as ticks_module
+from tickloom.sources.ticks import windowed
+
 NAN, INF = float("nan"), float("inf")
 
 
@@ -23,13 +26,13 @@ def values(df, *columns):
 
 def test_point_returns_end_with_the_day(spark):
     df = days(spark, [100, 101], [100, 99], [100, 100.5])
-    got = values(df.withColumn("y", labels.point_return(1)), "y")
+    got = values(windowed(df, {"y": labels.point_return(1)}, after=1), "y")
     assert [x[0] for x in got] == pytest.approx([100, None, -100, None, 50, None])
 
 
 def test_forward_price_arrays_agree_with_leads(spark):
     df = days(spark, np.random.default_rng(0).uniform(90, 110, 30))
-    both = df.withColumn("fp", labels.forward_prices(5, 10)).withColumn("y", labels.point_return(7)).where("fp IS NOT NULL")
+    both = windowed(df, {"fp": labels.forward_prices(5, 10), "y": labels.point_return(7)}, before=5, after=10).where("fp IS NOT NULL")
     assert both.count() == 15
     assert both.where(F.abs(F.col("y") - labels.returns_from_forward(F.col("fp"), 5, 7)) > 1e-9).count() == 0
 
@@ -51,6 +54,77 @@ def test_sample_weights_average_one(spark):
     assert np.mean(got) == pytest.approx(1) and min(got) > 0 and max(got) > 1.5
 
 
+def slow_weights(n, horizon, stride):
+    spans = [range(i * stride, i * stride + horizon) for i in range(n)]
+    cover = {}
+    for s in spans:
+        for t in s:
+            cover[t] = cover.get(t, 0) + 1
+    w = np.array([np.mean([1 / cover[t] for t in s]) for s in spans])
+    return w / w.mean()
+
+
+@pytest.mark.parametrize("horizon,stride", [(10, 1), (1, 1), (10, 3), (9, 3), (4, 10), (30, 4), (50, 7)])
+def test_sample_weights_are_those_of_the_spans(spark, monkeypatch, horizon, stride):
+    monkeypatch.setattr(ticks_module, "BLOCK", 11)
+    df = days(spark, range(1, 38), range(1, 3), range(1, 100))
+    got = {}
+    for r in labels.sample_weights(df, horizon, stride).orderBy("day", "seq").collect():
+        got.setdefault(r.day, []).append(r.weight)
+    for day, n in ((0, 37), (1, 2), (2, 99)):
+        assert got[day] == pytest.approx(list(slow_weights(n, horizon, stride)))
+
+
+@pytest.mark.parametrize("block", [1, 7, 10])
+def test_blocks_change_nothing(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    df = days(spark, rng.uniform(90, 110, 45), rng.uniform(90, 110, 3), rng.uniform(90, 110, 20)).withColumn("k", F.col("seq") % 5)
+    stages = [
+        {"y": labels.point_return(4), "s": labels.smoothed_return(6, 3), "pk": labels.peak_return(5), "m": labels.mean_return(5), "pl": labels.profit_labels(4, 6, 2, 1.0), "fp": labels.forward_prices(2, 6), "lr": features.log_return()},
+        {"v": features.realized_vol("lr", 6), "sl": features.rolling_slope("price", 5), "sd": features.rolling_std("price", 5), "roc": features.rate_of_change("price", 5), "mo": features.momentum("price", 2, 6), "prev": evaluate.previous_label("k")},
+    ]
+
+    def rows():
+        out = windowed(df, *stages, before=7, after=6).orderBy("day", "seq").collect()
+        var = labels.forward_variance(df, 5, "fv").orderBy("day", "seq").collect()
+        steps = features.sequences(df, F.array("price"), 4, 2).orderBy("day", "seq").collect()
+        return [tuple(r) for part in (out, var, steps) for r in part]
+
+    whole = rows()
+    monkeypatch.setattr(ticks_module, "BLOCK", block)
+    got = rows()
+    assert len(got) == len(whole)
+    for a, b in zip(got, whole):
+        for x, z in zip(a, b):
+            assert x == (pytest.approx(z) if isinstance(z, float) else z)
+
+
+def test_days_are_numbered_over_slots(spark):
+    import datetime
+
+    rng = np.random.default_rng(2)
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(base + datetime.timedelta(seconds=int(s)), k) for k, s in enumerate(rng.integers(0, 3 * 86400, 500))] + [(None, 900), (None, 901)]
+    got = ticks_module.number_days(spark.createDataFrame(rows, "ts timestamp, id int"), "ts", "id").collect()
+    want = {}
+    for day in {r.day for r in got}:
+        own = sorted((t, i) for t, i in rows if t and t.date() == day) if day else [(None, 900), (None, 901)]
+        want |= {i: (day, k) for k, (_, i) in enumerate(own)}
+    assert len(got) == len(rows) and {r.id: (r.day, r.seq) for r in got} == want
+
+
+def test_trip_wire_over_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(d, s, float(rng.choice([-1, 0, 1])), float(rng.choice([-1, 1]))) for d in range(2) for s in range(200)]
+    df = spark.createDataFrame(rows, "day int, seq long, y double, yhat double")
+    whole = regression.hit_tripwire(df).first()
+    old, regression.BLOCK = regression.BLOCK, 3
+    try:
+        assert list(regression.hit_tripwire(df).first()) == pytest.approx(list(whole))
+    finally:
+        regression.BLOCK = old
+
+
 def test_trip_wire_over_days(spark):
     y = [[1.0, -1.0, 1.0], [1.0, -1.0]]
     p = [[1.0, 1.0, 1.0], [1.0, -1.0]]
@@ -184,7 +258,7 @@ def test_book_valid_falls_back_to_all_rows(spark):
 
 def test_rolling_features_need_a_full_frame(spark):
     df = days(spark, range(1, 8), range(1, 4))
-    got = values(df.withColumn("m", features.rolling_mean("price", 5)).withColumn("s", features.rolling_slope("price", 5)), "m", "s")
+    got = values(windowed(df, {"m": features.rolling_mean("price", 5), "s": features.rolling_slope("price", 5)}, before=4), "m", "s")
     assert got[4] == pytest.approx((3, 1)) and got[3] == (None, None) and got[-1] == (None, None)
 
 
@@ -226,7 +300,7 @@ def test_calibration_keeps_order_and_matches_moments(spark):
 
 def test_baselines(spark):
     df = spark.createDataFrame([(0, k, v) for k, v in enumerate([2, 2, 0, 1, 1])], "day int, seq int, label int")
-    assert [r[0] for r in df.select(evaluate.previous_label()).collect()] == [2, 2, 2, 0, 1]
+    assert [r[0] for r in windowed(df, {"p": evaluate.previous_label()}, before=1).orderBy("seq").select("p").collect()] == [2, 2, 2, 0, 1]
     assert evaluate.class_prior(df).first().majority == 1
 
 
@@ -267,10 +341,72 @@ def test_importance_finds_the_feature_that_matters(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(2, 400))
     df = spark.createDataFrame([(k, float(x), float(z), float(x)) for k, (x, z) in enumerate(zip(a, b))], "i long, a double, b double, y double")
-    got = {r.feature: r.importance for r in resample.permutation_importance(df, ["a", "b"], "y", F.col("a"), regression.pearson(F.col("y"), F.col("_score")), 400, 3).collect()}
+    got = {r.feature: r.importance for r in resample.permutation_importance(df, ["a", "b"], "y", F.col("a"), resample.metric_for_task("regression"), 400, 3).collect()}
     assert got["a"] > 0.7 and got["b"] == pytest.approx(0)
     with pytest.raises(ValueError):
-        resample.permutation_importance(df, ["a"], "y", F.col("a"), F.avg("_score"), 400, 1, length=300)
+        resample.permutation_importance(df, ["a"], "y", F.col("a"), resample.metric_for_task("regression"), 400, 1, length=300)
+
+
+def test_early_stopping_moves_its_best_on_improvements_only(spark):
+    losses = [1, 0.95, 0.91, 0.87, 0.83, 0.79, 0.80, 0.78, 0.79]
+    log = spark.createDataFrame([("r", e, float(v)) for e, v in enumerate(losses)], "run string, epoch int, val_loss double")
+    best, waited, stop, want = math.inf, 0, False, []
+    for v in losses:
+        better = v < best - 0.08
+        best, waited = (v, 0) if better else (best, waited + 1)
+        stop = stop or waited >= 3
+        want.append((better, best, waited, stop))
+    got = monitor.early_stopping(log, min_delta=0.08).orderBy("epoch").collect()
+    assert [(r.improved, r.best, r.waited, r.stop) for r in got] == want
+    assert [r.improved for r in got[:3]] == [True, False, True]
+
+
+def test_merged_moments_hold_far_from_zero(spark):
+    from tickloom.streaming.moments import batch_moments, finish_moments, merge_moments
+
+    x = np.random.default_rng(0).normal(1e9, 2, 200)
+    df = spark.createDataFrame([(k % 3, float(v)) for k, v in enumerate(x)], "part int, x double").withColumn("key", F.lit(1))
+    r = finish_moments(merge_moments(batch_moments(df, ["key", "part"], "x"), ["key"])).first()
+    assert r.n == 200 and r.mean == pytest.approx(x.mean()) and r.std == pytest.approx(x.std(), rel=1e-6)
+
+
+def test_intervals_and_metrics_are_checked(spark):
+    good = spark.createDataFrame([("a", 1.0, 0.5, 2.0)], "metric string, estimate double, low double, high double")
+    resample.require_sound(good)
+    for bad in (good.withColumn("estimate", F.lit(3.0)), good.withColumn("low", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError, match="not sound"):
+            resample.require_sound(bad)
+    with pytest.raises(ValueError, match="not finite"):
+        resample.require_finite(good.withColumn("low", F.lit(NAN)), ["low"])
+    for wrong in ({"metrics": ("nope",)}, {"metrics": ()}, {"replicates": 5}, {"confidence": 1.0}):
+        with pytest.raises(ValueError):
+            resample.bootstrap_ci(good, "low", "high", 100, **wrong)
+    with pytest.raises(ValueError):
+        resample.metric_for_task("ranking")
+    df = spark.createDataFrame([(1, [0.1, 0.9]), (0, [0.2, 0.8])], "y int, _score array<double>")
+    assert resample.metric_for_task("classification")(df, []).first().value == 0.5
+
+
+def test_differences_and_screening(spark):
+    days_of = lambda *x: spark.createDataFrame([(d,) for d in x], "day int")
+    assert sorted(r.day for r in align.days_without(days_of(1, 2, 2, 3), days_of(3, 4)).collect()) == [1, 2]
+    assert align.name_differences(["a", "b"], ["b", "c"]) == {"missing": ["a"], "unexpected": ["c"]}
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 3))
+    df = spark.createDataFrame([(*map(float, r), float(r[0] + rng.normal()), float(-r[1]), 1.0) for r in x], "a double, b double, c double, u double, v double, flat double")
+    got = {(r.horizon, r.feature): r for r in regression.screening(df, ["a", "b", "flat"], {10: "u", 20: "v"}).collect()}
+    assert got[10, "a"].rank == 1 and got[20, "b"].rank == 1 and got[20, "b"].direction == "-" and got[20, "b"].best and got[10, "a"].best
+    assert got[10, "flat"].p == 1.0 and got[10, "flat"].r == 0 and got[10, "flat"].place is None and got[20, "b"].p == 0.0 and got[10, "a"].p < 1e-10
+    with pytest.warns(UserWarning, match="smoothed"):
+        assert labels.warn_if_smoothed("smoothed_return")
+    assert not labels.warn_if_smoothed("point_return")
+
+
+def test_temporal_set_is_checked():
+    with pytest.raises(ValueError):
+        features.TemporalSet(("a",), (), (), (), top=2)
+    with pytest.raises(ValueError):
+        features.TemporalSet(("a", "b", "c"), (), (), (), windows=(1,))
 
 
 def test_monitoring_rules(spark):

@@ -21,6 +21,4 @@ def test_query_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_query_without_sql_gives_rows(spark, name):
-    if name == "q_boosting":
-        pytest.skip("covered by test_models")
     assert QUERIES[name](spark, D).count() > 0

@@ -15,6 +15,16 @@ def common_days(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.intersect(b), [s.select("day").distinct() for s in sources])
 
 
+def days_without(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The days of ``left`` that ``right`` lacks."""
+    return left.select("day").distinct().join(right.select("day").distinct(), "day", "left_anti")
+
+
+def name_differences(wanted: list[str], known: list[str]) -> dict[str, list[str]]:
+    """missing: wanted but not known; unexpected: known but not wanted. In order, for error messages and drift checks."""
+    return {"missing": sorted(set(wanted) - set(known)), "unexpected": sorted(set(known) - set(wanted))}
+
+
 def require_common_days(*sources: DataFrame) -> DataFrame:
     days = common_days(*sources)
     if days.isEmpty():
@@ -88,5 +98,12 @@ def subsample(rows: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
 
 
 def day_of(rows: DataFrame, boundaries: DataFrame, index: str = "index") -> DataFrame:
-    """Adds day to rows with a global index, from (day, first, last): a small interval table that is broadcast."""
-    return rows.join(F.broadcast(boundaries), F.col(index).between(F.col("first"), F.col("last"))).drop("first", "last")
+    """Adds day to rows with a global index, from (day, first, last), a partition of the indices.
+
+    An equi-join on ranges of ``step`` indices (the mean length of a day), with each day in the ranges it touches.
+    """
+    step = boundaries.agg(F.max("last"), F.count(F.lit(1))).first()
+    step = max(1, ((step[0] or 0) + 1) // max(step[1], 1))
+    spans = boundaries.withColumn("_range", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor(F.col("last") / step))))
+    got = rows.withColumn("_range", F.floor(F.col(index) / step)).join(spans, "_range")
+    return got.where(F.col(index).between(F.col("first"), F.col("last"))).drop("first", "last", "_range")

@@ -128,20 +128,69 @@ def class_weights(rows: DataFrame, classes: int, label: str = "label") -> DataFr
     return got.withColumn("focal_weight", F.col("weight") / F.sum("weight").over(every) * classes)
 
 
-#: Filters over agreement, confirmation and direction: name -> condition; a row may pass several.
-def confidence_filters(agreement: float = 1.0) -> dict[str, Column]:
-    full, directional = F.col("agreement") >= agreement, F.col("pred").isin(0, 2)
-    levels = {f"confirmation_over_{int(100 * c):02}": F.col("confirmation") > c for c in (0.5, 0.55, 0.6, 0.65, 0.7, 0.8)}
-    found = {"all": F.lit(True), "directional": directional, "full_agreement": full, "full_agreement_directional": full & directional}
-    found |= levels
-    found |= {f"agreement_{name}": full & c for name, c in levels.items()}
-    return found
+def confidence_filters() -> dict[str, Column]:
+    """The 16 filters over agreement, confirmation and direction: name -> condition; a row may pass several. Fixed values."""
+    a, c, directional = F.col("agreement"), F.col("confirmation"), F.col("pred").isin(0, 2)
+    full = a == 1.0
+    return {
+        "all_samples": F.lit(True),
+        "agreement=1.0": full,
+        "agreement>=0.667": a >= 0.667,
+        "agreement<1.0": a < 1.0,
+        "confirm>0.50": c > 0.50,
+        "confirm>0.55": c > 0.55,
+        "confirm>0.60": c > 0.60,
+        "confirm>0.65": c > 0.65,
+        "confirm>0.70": c > 0.70,
+        "confirm>0.75": c > 0.75,
+        "agree=1.0 AND confirm>0.60": full & (c > 0.60),
+        "agree=1.0 AND confirm>0.65": full & (c > 0.65),
+        "agree=1.0 AND confirm>0.70": full & (c > 0.70),
+        "agree=1.0 AND confirm>0.75": full & (c > 0.75),
+        "directional AND agree=1.0": directional & full,
+        "directional AND agree=1.0 AND confirm>0.70": directional & full & (c > 0.70),
+    }
+
+
+def spread_buckets(tick: float = 0.01, price: float = 100.0) -> dict[str, Column]:
+    """The three buckets of the spread in basis points, in ticks of ``tick`` at ``price``."""
+    one, s = tick / price * 1e4, F.col("spread")
+    return {"1tick": s <= 1.05 * one, "2tick": (s > 1.05 * one) & (s <= 2.05 * one), "wide": s > 2.05 * one}
 
 
 def spread_filters(tick: float = 0.01, price: float = 100.0) -> dict[str, Column]:
-    one = tick / price * 1e4
-    s = F.col("spread")
-    return {"all": F.lit(True), "one_tick": s <= 1.05 * one, "two_tick": (s > 1.05 * one) & (s <= 2.05 * one), "wide": s > 2.05 * one}
+    """The 13 filters over spread, agreement and confirmation. Fixed values."""
+    bucket = spread_buckets(tick, price)
+    one, two, wide = bucket["1tick"], bucket["2tick"], bucket["wide"]
+    full, directional = F.col("agreement") == 1.0, F.col("pred").isin(0, 2)
+    sure = full & (F.col("confirmation") > 0.65)
+    return {
+        "all_samples": F.lit(True),
+        "spread=1tick": one,
+        "spread=2tick": two,
+        "spread=wide": wide,
+        "agree=1.0": full,
+        "agree=1.0 + spread=1tick": full & one,
+        "agree=1.0 + spread=2tick": full & two,
+        "high_conf": sure,
+        "high_conf + spread=1tick": sure & one,
+        "high_conf + spread=2tick": sure & two,
+        "FULL_READABILITY: high_conf+1tick+dir": sure & one & directional,
+        "disagree (<1.0)": ~full,
+        "disagree + spread=1tick": ~full & one,
+    }
+
+
+def spread_distribution(rows: DataFrame, tick: float = 0.01, price: float = 100.0) -> DataFrame:
+    """(n, p10 ... p99, n_1tick, share_1tick, ...): quantiles of the spread and the buckets' sizes and shares, one row."""
+    levels = (10, 25, 50, 75, 90, 95, 99)
+    buckets = spread_buckets(tick, price)
+    got = rows.agg(
+        F.count("spread").alias("n"),
+        F.percentile("spread", F.array(*[F.lit(p / 100) for p in levels])).alias("_p"),
+        *[x for name, c in buckets.items() for x in (count_if(c).alias(f"n_{name}"), share(c).alias(f"share_{name}"))],
+    )
+    return got.select("*", *[F.get("_p", F.lit(i)).alias(f"p{p}") for i, p in enumerate(levels)]).drop("_p")
 
 
 def readable(agreement: float = 1.0, confirmation: float = 0.65, spread: float = 1.05) -> Column:
@@ -149,21 +198,32 @@ def readable(agreement: float = 1.0, confirmation: float = 0.65, spread: float =
     return (F.col("agreement") >= agreement) & (F.col("confirmation") > confirmation) & (F.col("spread") <= spread) & F.col("pred").isin(0, 2)
 
 
-def conditioned_metrics(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
-    """(filter, n, rate, accuracy, directional_accuracy, up_recall, down_recall): one scan, a row counts in each filter it passes."""
+def conditioned_metrics(rows: DataFrame, filters: dict[str, Column], horizons: dict[int, tuple[str, str]] | None = None) -> DataFrame:
+    """(filter, n, rate, accuracy, directional_accuracy, n_directional, precision_c, recall_c, support_c, predicted_c for the
+    classes c, h<horizon>_accuracy): one scan, a row counts in each filter it passes.
+
+    Directional rows have a label and a prediction among the outer classes. ``horizons``: horizon -> columns of its label
+    and prediction. The first filter passes every row; 0 where a filter passes none.
+    """
     label, pred = F.col("label"), F.col("pred")
     both = _outer(label) & _outer(pred)
     passed = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in filters.items()]), lambda x: x.isNotNull())
-    each = rows.select("label", "pred", F.explode(passed).alias("filter"))
+    sides = [c for pair in (horizons or {}).values() for c in pair]
+    each = rows.select("label", "pred", *dict.fromkeys(sides), F.explode(passed).alias("filter"))
+    classes = []
+    for c in range(3):
+        hit = count_if((label == c) & (pred == c))
+        classes += [ratio(hit, count_if(pred == c)).alias(f"precision_{c}"), ratio(hit, count_if(label == c)).alias(f"recall_{c}"), count_if(label == c).alias(f"support_{c}"), count_if(pred == c).alias(f"predicted_{c}")]
     got = each.groupBy("filter").agg(
         F.count(F.lit(1)).alias("n"),
         accuracy(label, pred).alias("accuracy"),
         ratio(count_if(both & (label == pred)), count_if(both)).alias("directional_accuracy"),
-        ratio(count_if((label == 2) & (pred == 2)), count_if(label == 2)).alias("up_recall"),
-        ratio(count_if((label == 0) & (pred == 0)), count_if(label == 0)).alias("down_recall"),
+        count_if(both).alias("n_directional"),
+        *classes,
+        *[accuracy(F.col(l), F.col(p)).alias(f"h{h}_accuracy") for h, (l, p) in (horizons or {}).items()],
     )
     names = rows.sparkSession.createDataFrame([(n,) for n in filters], "filter string")
-    # "all" counts every row, so the rate needs no second scan.
+    # The first filter counts every row, so the rate needs no second scan; one row per filter.
     got = names.join(got, "filter", "left").na.fill(0)
     return got.withColumn("rate", ratio(F.col("n"), F.max("n").over(Window.partitionBy())))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import content_hash
-from ..sources.ticks import by_day
+from ..sources.ticks import by_day, windowed
 
 #: Target mean and deviation used where labels give none; fixed values.
 STATIC_TARGET = (-0.167, 27.41)
@@ -25,7 +25,7 @@ def calibrate_variance(rows: DataFrame, pred: str = "yhat", label: str | None =
 
 
 def previous_label(label: str = "label") -> Column:
-    """The label before; the first of a day predicts itself."""
+    """The label before (for ``windowed``, ``before`` 1); the first of a day predicts itself."""
     return F.coalesce(F.lag(label).over(by_day()), F.col(label))
 
 
@@ -38,7 +38,7 @@ def class_prior(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def baseline_report(rows: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
     """Accuracy of the model, of the class prior and of the previous label; improvements in percentage points."""
-    hits = rows.withColumn("_prev", previous_label(label)).agg(F.avg((F.col(pred) == F.col(label)).cast("double")).alias("model"), F.avg((F.col("_prev") == F.col(label)).cast("double")).alias("previous_label"))
+    hits = windowed(rows, {"_prev": previous_label(label)}, before=1).agg(F.avg((F.col(pred) == F.col(label)).cast("double")).alias("model"), F.avg((F.col("_prev") == F.col(label)).cast("double")).alias("previous_label"))
     both = hits.join(class_prior(rows, label).select(F.col("share").alias("class_prior")))  # one row each
     return both.select("model", "class_prior", "previous_label", ((F.col("model") - F.col("class_prior")) * 100).alias("over_prior_pp"), ((F.col("model") - F.col("previous_label")) * 100).alias("over_previous_pp"))
 
@@ -86,8 +86,11 @@ def rank_experiments(experiments: DataFrame, metric: str, key: str = "id", top:
     return ranked.limit(top) if top else ranked
 
 
-def comparison_table(experiments: DataFrame, metrics: list[str], name: str = "name", width: int = 25) -> DataFrame:
-    """(line): names cut to ``width``, metrics with four decimals, padded columns."""
+def comparison_table(experiments: DataFrame, metrics: list[str], name: str = "name", width: int = 25, sort_by: str | None = None, ascending: bool = False, key: str = "id") -> DataFrame:
+    """(line): names cut to ``width``, metrics with four decimals, padded columns; rows by one of the metrics (null as 0), then key."""
+    if sort_by in metrics:
+        value = F.coalesce(F.col(sort_by), F.lit(0.0))
+        experiments = experiments.orderBy(value.asc() if ascending else value.desc(), key)
     cells = [F.rpad(F.substring(name, 1, width), width, " ")] + [F.lpad(F.coalesce(F.format_string("%.4f", F.col(m).cast("double")), F.lit("-")), 12, " ") for m in metrics]
     return experiments.select(F.concat_ws(" | ", *cells).alias("line"))
 
@@ -120,7 +123,9 @@ def flatten_metrics(metrics: DataFrame, prefix: str = "test_") -> DataFrame:
 
 
 def signal_metadata(rows: DataFrame, model: str, experiment: str) -> DataFrame:
-    """(json): distribution of the predictions and labels of a signal table, with a content fingerprint."""
-    got = rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("yhat"), 6).alias("mean"), F.round(F.stddev_pop("yhat"), 6).alias("std"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
+    """(json): distribution of the predictions, labels, prices and spreads of a signal table, with a content fingerprint."""
+    stats = [f(F.col(c)).alias(f"{c}_{name}") for c in ("yhat", "y", "price", "spread") for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), *stats)
+    got = got.select("n", "first_day", "last_day", *[F.round(c, 6).alias(c) for c in got.columns[3:]])
     body = F.struct(F.lit(model).alias("model_type"), F.lit(experiment).alias("experiment_id"), *got.columns)
     return got.select(body.alias("b")).select(F.to_json(F.struct("b.*", F.sha2(F.to_json("b"), 256).alias("fingerprint"))).alias("json"))

@@ -1,14 +1,20 @@
-"""Feature selection and rolling temporal features. All rolling features share one window, so one sort serves them."""
+"""Feature selection and rolling temporal features.
+
+All rolling features share one window, so one sort serves them; the column functions are for ``windowed``, with
+``before`` at least the longest frame less one.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nulled
-from ..sources.ticks import by_day
+from ..sources.ticks import by_day, windowed
 
 #: Feature sets by name; ranges of the fixed feature layout.
 PRESETS: dict[str, tuple[int, ...]] = {
@@ -21,6 +27,11 @@ PRESETS: dict[str, tuple[int, ...]] = {
     "signals_full": tuple(range(84, 98)),
     "lob_signals": (*range(40), *range(84, 98)),
     "signals_core": tuple(range(84, 92)),
+    "full_98": tuple(range(98)),
+    # All but the features that never change: 68, 69, 76, 77, 92, 94, 96, 97, 102.
+    "analysis_ready_128": tuple(i for i in range(128) if i not in (68, 69, 76, 77, 92, 94, 96, 97, 102)),
+    "deeplob_extended": (*range(40), 40, 41, 45, 46, *range(84, 92)),
+    "short_term_40": (0, 1, 10, 11, 20, 21, 30, 31, *range(40, 47), *range(48, 60), *range(84, 95), 104, 105),
 }
 
 
@@ -92,10 +103,10 @@ def momentum(x: str, short: int = 5, long: int = 20) -> Column:
     return rolling_mean(x, short) - rolling_mean(x, long)
 
 
-def log_return(rows: DataFrame, price: str = "price", out: str = "logret", floor: float = 1e-6) -> DataFrame:
-    """Adds the one-step log return within the day; prices below the floor count as 1."""
+def log_return(price: str = "price", floor: float = 1e-6) -> Column:
+    """The one-step log return within the day; prices below the floor count as 1."""
     p = F.when(F.col(price) < floor, 1.0).otherwise(F.col(price))
-    return rows.withColumn(out, F.ln(p) - F.ln(F.lag(p, 1).over(by_day())))
+    return F.ln(p) - F.ln(F.lag(p, 1).over(by_day()))
 
 
 def realized_vol(logret: str, w: int) -> Column:
@@ -116,25 +127,84 @@ def cross_products(columns: list[str]) -> list[Column]:
 
 def sequences(rows: DataFrame, features: Column, window: int, stride: int = 1) -> DataFrame:
     """Adds sequence: the last ``window`` feature vectors, kept where complete and on the stride."""
-    got = rows.withColumn("sequence", F.collect_list(features).over(by_day().rowsBetween(-(window - 1), 0)))
+    got = windowed(rows, {"sequence": F.collect_list(features).over(by_day().rowsBetween(-(window - 1), 0))}, before=window - 1)
     return got.where((F.size("sequence") == window) & ((F.col("seq") - (window - 1)) % stride == 0))
 
 
-#: Signals and context columns of the two feed types' temporal sets.
-TEMPORAL = {"order_flow": {"windows": (5, 10, 20), "signals": 3}, "basic": {"windows": (5, 10, 20), "signals": 3}}
-
-
-def temporal_features(rows: DataFrame, signals: list[str], price: str = "price", windows: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """Adds, per signal: rolling means, slopes, changes, deviation, momentum; of the price: volatility; and products."""
-    rows = log_return(rows, price)
-    added: list[Column] = []
-    for s in signals:
-        added += [rolling_mean(s, w).alias(f"{s}_mean_{w}") for w in windows]
-        added += [rolling_slope(s, w).alias(f"{s}_slope_{w}") for w in windows]
-        added += [rate_of_change(s, w).alias(f"{s}_roc_{w}") for w in windows]
-        added += [rolling_std(s, 10).alias(f"{s}_std_10"), momentum(s).alias(f"{s}_momentum")]
-    added += [realized_vol("logret", 10).alias("realized_vol_10"), realized_vol_bps("logret", 10).alias("realized_vol_bps_10"), realized_vol_bps("logret", 5).alias("realized_vol_bps_5")]
-    return rows.select("*", *added, *cross_products(signals))
+@dataclass(frozen=True)
+class TemporalSet:
+    """What ``temporal_features`` makes columns of; names are columns of the rows.
+
+    ``top`` of the signals have rolling columns over ``windows``. Context and regime are last values again, as the set's
+    order has them.
+    """
+
+    signals: tuple[str, ...]
+    pairs: tuple[tuple[str, str], ...]
+    context: tuple[str, ...]
+    regime: tuple[str, ...]
+    price: str = "price"
+    top: int = 3
+    windows: tuple[int, ...] = (5, 10, 20)
+    deviation_window: int = 10
+    volatility_windows: tuple[int, ...] = (10, 5)
+    momentum_windows: tuple[int, int] = (5, 20)
+
+    def __post_init__(self):
+        if not 0 < self.top <= len(self.signals):
+            raise ValueError(f"{self.top} of {len(self.signals)} signals can't be rolled")
+        if min(self.windows + self.volatility_windows + self.momentum_windows + (self.deviation_window,)) < 2:
+            raise ValueError("a window is shorter than two steps")
+
+
+def order_book_set(name: Callable[[int], str] = "f{}".format) -> TemporalSet:
+    """The set of the order-book feed; ``name`` gives the column of a feature of the fixed layout.
+
+    Fixed values: signals 85, 84, 86, 56, 45; products 85x84, 85x86, 85x45, 84x56, 84x86, 86x45; context 42, 45, 54, 40,
+    95; regime 93, 95; mid price 40.
+    """
+    pairs = ((85, 84), (85, 86), (85, 45), (84, 56), (84, 86), (86, 45))
+    return TemporalSet(
+        tuple(name(i) for i in (85, 84, 86, 56, 45)),
+        tuple((name(a), name(b)) for a, b in pairs),
+        tuple(name(i) for i in (42, 45, 54, 40, 95)),
+        tuple(name(i) for i in (93, 95)),
+        name(40),
+    )
+
+
+def temporal_features(rows: DataFrame, of: TemporalSet) -> DataFrame:
+    """Adds, in this order (53 columns for five signals, three of them rolled): last values of the signals; rolling means,
+    slopes and changes; products; context; regime; deviations and the price's volatility; momentum.
+
+    Columns are named <kind>_<column>[_<window>]; frames that are not full give null.
+    """
+    top, w, (short, long) = of.signals[: of.top], of.windows, of.momentum_windows
+    frame = lambda k: by_day().rowsBetween(-(k - 1), 0)
+    # Sums over each frame are taken once; means, slopes and momentum follow from them.
+    sums: dict[str, Column] = {}
+    for k in sorted({*w, short, long}):
+        sums[f"_n_{k}"] = F.count(F.lit(1)).over(frame(k))
+        sums |= {f"_s_{s}_{k}": F.sum(s).over(frame(k)) for s in top}
+    sums |= {f"_t_{s}_{k}": F.sum(F.col("seq") * F.col(s)).over(frame(k)) for s in top for k in w}
+    sums |= {f"change_{s}_{k}": rate_of_change(s, k) for s in top for k in w}
+    sums |= {f"std_{s}_{of.deviation_window}": rolling_std(s, of.deviation_window) for s in top}
+    sums |= {f"volatility_{k}": realized_vol("_logret", k) for k in of.volatility_windows}
+    full = lambda k, value: F.when(F.col(f"_n_{k}") == k, value)
+    mean = lambda s, k: full(k, F.col(f"_s_{s}_{k}") / k)
+    slope = lambda s, k: full(k, (F.col(f"_t_{s}_{k}") - (F.col("seq") - (k - 1) / 2) * F.col(f"_s_{s}_{k}")) / (k * (k * k - 1) / 12))
+    added: dict[str, Column] = {f"last_{s}": F.col(s) for s in of.signals}
+    added |= {f"mean_{s}_{k}": mean(s, k) for s in top for k in w}
+    added |= {f"slope_{s}_{k}": slope(s, k) for s in top for k in w}
+    added |= {f"change_{s}_{k}": F.col(f"change_{s}_{k}") for s in top for k in w}
+    added |= {f"product_{a}_{b}": F.col(a) * F.col(b) for a, b in of.pairs}
+    added |= {f"context_{c}": F.col(c) for c in of.context}
+    added |= {f"regime_{c}": F.col(c) for c in of.regime}
+    added |= {f"std_{s}_{of.deviation_window}": F.col(f"std_{s}_{of.deviation_window}") for s in top}
+    added |= {f"volatility_{k}": F.col(f"volatility_{k}") for k in of.volatility_windows}
+    added |= {f"momentum_{s}": mean(s, short) - mean(s, long) for s in top}
+    reach = max(*w, of.deviation_window, *of.volatility_windows, short, long)
+    return windowed(rows, {"_logret": log_return(of.price)}, sums, before=reach).select(*rows.columns, *[c.alias(n) for n, c in added.items()])
 
 
 def finite_rows(rows: DataFrame, features: str = "features") -> DataFrame:
@@ -144,8 +214,6 @@ def finite_rows(rows: DataFrame, features: str = "features") -> DataFrame:
 
 def book_valid(rows: DataFrame, index: int = 92, features: str = "features", by: str = "day") -> DataFrame:
     """Rows whose valid flag is over 0.5; all rows of a day without any."""
-    from pyspark.sql import Window
-
     ok = F.coalesce(F.get(features, F.lit(index)) > 0.5, F.lit(False))
-    some = F.max(ok.cast("int")).over(Window.partitionBy(by)) == 1
-    return rows.withColumn("_keep", ok | ~some).where("_keep").drop("_keep")
+    some = rows.groupBy(F.col(by).alias("_by")).agg(F.max(ok.cast("int")).alias("_some"))
+    return rows.join(some, F.col(by).eqNullSafe(F.col("_by"))).where(ok | (F.col("_some") == 0)).drop("_by", "_some")

@@ -1,11 +1,16 @@
-"""Labels from forward prices. Rows whose window leaves the day have a null label; nothing crosses days."""
+"""Labels from forward prices. Rows whose window leaves the day have a null label; nothing crosses days.
+
+The column functions are for ``windowed``, with ``after`` at least the horizon (and ``before`` the look back).
+"""
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.ticks import by_day
+from ..sources.ticks import by_day, windowed
 
 BPS = 1e4
 
@@ -42,8 +47,9 @@ def peak_return(h: int, price: str = "price") -> Column:
 
 def forward_variance(rows: DataFrame, h: int, out: str, price: str = "price") -> DataFrame:
     """Adds ``out``: sum over [t+1, t+h] of squared one-step log returns."""
-    step = rows.withColumn("_r", F.ln(F.col(price) / F.lag(price, 1).over(by_day())))
-    return step.withColumn(out, _complete(F.sum(F.pow("_r", F.lit(2))).over(by_day().rowsBetween(1, h)), h, 1, h)).drop("_r")
+    step = {"_r": F.ln(F.col(price) / F.lag(price, 1).over(by_day()))}
+    total = {out: _complete(F.sum(F.pow("_r", F.lit(2))).over(by_day().rowsBetween(1, h)), h, 1, h)}
+    return windowed(rows, step, total, before=1, after=h).drop("_r")
 
 
 def forward_prices(k: int, most_h: int, price: str = "price") -> Column:
@@ -130,15 +136,46 @@ def label_source(requested: str, columns: list[str]) -> str:
     return requested
 
 
-def sample_weights(rows: DataFrame, horizon: int, by: str = "day") -> DataFrame:
+def sample_weights(rows: DataFrame, horizon: int, stride: int = 1) -> DataFrame:
     """Adds weight: mean over a label's span of 1 / (labels that cover the step), divided by the mean of its day.
 
-    With one label at each step, step t of a day of n rows is covered by min(t+1, h, n, n+h-1-t) labels, so the
-    spans need no explosion: prefix sums of 1 / c give the mean over any span.
+    Row i of a day of n rows stands at step i x stride, and its label spans the ``horizon`` steps from there. A step's
+    cover follows from n, so nothing is exploded: each row sums 1 / cover over its own ``stride`` steps, and differences
+    of running sums give whole spans; steps after the last row's own are added up where spans reach them.
     """
-    n = F.count(F.lit(1)).over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    steps = F.sequence(F.col("seq"), F.col("seq") + (horizon - 1))
-    cover = F.transform(steps, lambda t: 1.0 / F.least(t + 1, F.lit(horizon).cast("long"), F.col("_n"), F.col("_n") + (horizon - 1) - t))
-    raw = F.aggregate(cover, F.lit(0.0), lambda s, x: s + x) / horizon
-    rows = rows.withColumn("_n", n).withColumn("_w", raw)
-    return rows.withColumn("weight", F.col("_w") / F.avg("_w").over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("_n", "_w")
+    per_day = rows.groupBy("day").agg(F.count(F.lit(1)).alias("_n"))
+    n, start, long = F.col("_n"), F.col("seq") * stride, lambda k: F.lit(k).cast("long")
+
+    def inverse(t: Column) -> Column:
+        newest = F.least(F.floor(t / stride), n - 1)
+        oldest = F.greatest(F.floor((t - horizon + stride) / stride), long(0))
+        return 1.0 / (newest - oldest + 1)
+
+    def total(first: Column, last: Column) -> Column:
+        """Over the steps first to last; 0 if there are none."""
+        steps = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(F.transform(steps, inverse), F.lit(0.0), lambda s, x: s + x)
+
+    whole, rest = divmod(horizon, stride)
+    upto = F.sum("_own").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
+    end = F.last("_upto").over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    blocks = F.coalesce(F.lead("_upto", whole - 1).over(by_day()), end) - F.col("_upto") + F.col("_own") if whole else F.lit(0.0)
+    part = F.coalesce(F.lead("_part", whole).over(by_day()), F.lit(0.0)) if rest else F.lit(0.0)
+    tail = total(F.greatest(n * stride, start), start + (horizon - 1))
+    got = windowed(
+        rows.join(per_day, "day"),
+        {"_own": total(start, start + (stride - 1)) if stride > 1 else inverse(start), "_part": total(start, start + (rest - 1)) if rest else F.lit(0.0)},
+        {"_upto": upto},
+        {"_w": (blocks + part + tail) / horizon},
+        after=whole + 1,
+    ).drop("_n", "_own", "_part", "_upto")
+    means = got.groupBy("day").agg(F.avg("_w").alias("_mean"))
+    return got.join(means, "day").withColumn("weight", F.col("_w") / F.col("_mean")).drop("_w", "_mean")
+
+
+def warn_if_smoothed(return_type: str) -> bool:
+    """Whether labels are smoothed returns, which an execution at one price does not earn; then a warning is given."""
+    if return_type != "smoothed_return":
+        return False
+    warnings.warn("labels are smoothed returns: they differ from the point return of an execution at the horizon", UserWarning, stacklevel=2)
+    return True

@@ -34,15 +34,26 @@ def require_finite_losses(log: DataFrame, loss: str = "loss") -> None:
 def early_stopping(log: DataFrame, loss: str = "val_loss", patience: int = 3, min_delta: float = 0.0) -> DataFrame:
     """Adds improved, best, waited and stop.
 
-    An epoch improves if it lies more than ``min_delta`` below the best so far; with min_delta 0 the best is the
-    running minimum. ``waited`` counts epochs since the last improvement, ``stop`` holds from the first time it
-    reaches ``patience``.
+    An epoch improves if it lies more than ``min_delta`` below the best so far, and only then it becomes the best: steps
+    smaller than that don't add up to a new best by themselves, but together they may pass the old one. ``waited`` counts
+    the run's epochs since the last improvement, ``stop`` holds from the first time it reaches ``patience``. A run's epochs
+    are folded in order, as one array; null and NaN never improve.
     """
-    best_before = F.min(loss).over(before())
-    got = log.withColumn("improved", best_before.isNull() | (F.col(loss) < best_before - min_delta)).withColumn("best", F.min(loss).over(so_far()))
-    last = F.max(F.when(F.col("improved"), F.col("epoch"))).over(so_far())
-    got = got.withColumn("waited", F.col("epoch") - last)
-    return got.withColumn("stop", F.max((F.col("waited") >= patience).cast("int")).over(so_far()) == 1)
+    row = F.struct(*[F.col(f"`{c}`") for c in log.columns])
+    runs = log.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(F.col("epoch").alias("e"), row.alias("row")))).alias("_log"))
+    kept = F.struct(F.lit(True).alias("improved"), F.lit(0.0).alias("best"), F.lit(0).alias("waited"), F.lit(False).alias("stop"))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("waited"), F.lit(False).alias("stop"), F.slice(F.array(kept), 1, 0).alias("out"))
+
+    def step(held, epoch):
+        now = epoch["row"][loss].cast("double")
+        better = F.coalesce(finite(now) & (held["best"].isNull() | (now < held["best"] - min_delta)), F.lit(False))
+        waited = F.when(better, 0).otherwise(held["waited"] + 1)
+        best, stop = F.when(better, now).otherwise(held["best"]), held["stop"] | (waited >= patience)
+        one = F.struct(better.alias("improved"), best.alias("best"), waited.alias("waited"), stop.alias("stop"))
+        return F.struct(best.alias("best"), waited.alias("waited"), stop.alias("stop"), F.concat(held["out"], F.array(one)).alias("out"))
+
+    folded = runs.select("_log", F.aggregate("_log", start, step, lambda held: held["out"]).alias("_out"))
+    return folded.select(F.explode(F.arrays_zip("_log", "_out")).alias("x")).select("x._log.row.*", "x._out.*")
 
 
 def overfit_flags(log: DataFrame, train: str = "train_loss", val: str = "val_loss") -> DataFrame:

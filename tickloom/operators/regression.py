@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, finite, ratio, share, sign
-from ..sources.ticks import by_day
+from ..sources.shared import materialize
+from ..sources.ticks import BLOCK, windowed
 from .labels import point_return
 
 
@@ -18,30 +19,55 @@ def pearson(x: Column, y: Column, least: int = 2) -> Column:
     return F.when((F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= least) & (spread > 1e-14), F.try_divide(F.covar_pop(x, y), spread))
 
 
-def average_ranks(rows: DataFrame, value: str, by: list[str], out: str, buckets: int = 64) -> DataFrame:
-    """Adds ``out``: the rank of ``value`` within ``by`` from 1, ties getting the mean of their ranks.
+def _ranked(rows: DataFrame, value: str, by: list[str], out: str, weight: str, buckets: int) -> DataFrame:
+    """Adds ``out``: the rank of ``value`` within ``by`` from 1, ties getting the mean of their ranks; null for null.
 
-    Distinct values are counted first; their running counts come from windows over value ranges (split at approximate
-    quantiles) plus the totals of the ranges before, so that a rank over all rows is not one task's work.
+    A row counts ``weight`` times. Each group's values are cut into ranges at its own approximate quantiles, so that a rank
+    over all rows is not one task's work: running counts come from windows over ranges plus the totals of the ranges
+    before. One row of ``buckets`` numbers per group is broadcast, so ``by`` is meant for few groups (features,
+    horizons, event types).
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    splits = counts.select(F.percentile_approx(value, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 1000)).first()[0] or []
-    cuts = F.array(*[F.lit(float(s)) for s in sorted(set(splits))]) if splits else F.array().cast("array<double>")
-    placed = counts.withColumn("_b", F.aggregate(cuts, F.lit(0), lambda s, c: s + (F.col(value) > c).cast("int")))
-    totals = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
+    # All branches read the same columns, so that they share one exchange of ``rows``.
+    known = F.col(value).isNotNull() & (F.col(weight) > 0)
+    cuts = rows.where(known).groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 1000).alias("_cuts"))
+    # Binary search: halving steps over the cuts.
+    steps = F.array(*[F.lit(2**k) for k in reversed(range((buckets - 1).bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(F.col("_cuts"), at + s - 1) < F.col(value), F.lit(False)), at + s).otherwise(at))
+    placed = (rows.join(F.broadcast(cuts), by, "left") if by else rows.crossJoin(F.broadcast(cuts))).withColumn("_b", F.when(known, place)).drop("_cuts")
+    totals = placed.where(known).groupBy(*by, "_b").agg(F.sum(weight).alias("_t"))
     before = F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.withColumn("_before", before).drop("_t")
-    within = F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.withColumn("_upto", within).join(totals, [*by, "_b"])
-    ranked = ranked.select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).cast("double").alias(out))
-    return rows.join(ranked, [*by, value], "left")
+    totals = totals.select(*by, "_b", before.alias("_before"))
+    # Peers are in the frame, so the running count is that of the last of equal values.
+    upto = F.sum(weight).over(Window.partitionBy(*by, "_b").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    peers = F.sum(weight).over(Window.partitionBy(*by, "_b", value))
+    got = placed.withColumn("_upto", upto).withColumn("_peers", peers).join(F.broadcast(totals), [*by, "_b"], "left")
+    rank = F.when(known, (F.col("_before") + F.col("_upto") - (F.col("_peers") - 1) / 2).cast("double"))
+    return got.withColumn(out, rank).drop("_b", "_before", "_upto", "_peers")
+
+
+def average_ranks(rows: DataFrame, value: str, by: list[str], out: str, buckets: int = 64) -> DataFrame:
+    """Adds ``out``: the rank of ``value`` within ``by`` (few groups) from 1, ties getting the mean of their ranks."""
+    return _ranked(rows.withColumn("_one", F.lit(1)), value, by, out, "_one", buckets).drop("_one")
+
+
+def weighted_pearson(x: Column, y: Column, n: Column, least: int) -> Column:
+    """Correlation of rows that count ``n`` times, from sums."""
+    total, sx, sy = F.sum(n), F.sum(n * x), F.sum(n * y)
+    cov, vx, vy = F.sum(n * x * y) - sx * sy / total, F.sum(n * x * x) - sx * sx / total, F.sum(n * y * y) - sy * sy / total
+    spread = F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))
+    return F.when((total >= least) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(cov, spread))
 
 
-def spearman(rows: DataFrame, x: str, y: str, by: list[str], out: str = "ic", least: int = 3) -> DataFrame:
-    """(by, ic, n): rank correlation with mean ranks for ties; null for fewer than ``least`` rows."""
-    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_ranks(average_ranks(full, x, by, "_rx"), y, by, "_ry")
-    return ranked.groupBy(*by).agg(pearson(F.col("_rx"), F.col("_ry"), least).alias(out), F.count(F.lit(1)).alias("n"))
+def spearman(rows: DataFrame, x: str, y: str, by: list[str], out: str = "ic", least: int = 3, buckets: int = 64) -> DataFrame:
+    """(by, ic, n): rank correlation with mean ranks for ties; null for fewer than ``least`` rows.
+
+    Equal pairs are counted first, and ranks are taken over the counted pairs: columns of few values never sort all rows.
+    The counts are written once to the shared folder, since ranks read them several times.
+    """
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    one = materialize(_ranked(materialize(pairs, "value-pairs"), "_x", by, "_rx", "_n", buckets), "ranked-pairs")
+    ranked = _ranked(one, "_y", by, "_ry", "_n", buckets)
+    return ranked.groupBy(*by).agg(weighted_pearson(F.col("_rx"), F.col("_ry"), F.col("_n"), least).alias(out), F.sum("_n").alias("n"))
 
 
 def r_squared(y: Column, p: Column) -> Column:
@@ -76,14 +102,15 @@ def moment_metrics(y: Column, p: Column, breakeven: float = 5.0) -> dict[str, Co
 def regression_metrics(rows: DataFrame, by: list[str], y: str = "y", p: str = "yhat", breakeven: float = 5.0) -> DataFrame:
     """(by, r2, ic, pearson, mae, rmse, directional_accuracy, profitable_accuracy, n)."""
     full = rows.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    ranked = average_ranks(average_ranks(full, y, by, "_ry"), p, by, "_rp")
     metrics = [m.alias(name) for name, m in moment_metrics(F.col(y), F.col(p), breakeven).items()]
-    return ranked.groupBy(*by).agg(*metrics, pearson(F.col("_ry"), F.col("_rp"), 3).alias("ic"), F.count(F.lit(1)).alias("n"))
+    moments = full.groupBy(*by).agg(*metrics, F.count(F.lit(1)).alias("n"))
+    ic = spearman(full, y, p, by).drop("n")
+    return moments.join(ic, by) if by else moments.crossJoin(ic)  # one row per group each
 
 
 def by_horizon(rows: DataFrame, horizons: list[int], yhat: str = "yhat", price: str = "price") -> DataFrame:
     """(horizon, y, yhat): the point returns of several horizons, stacked after one window pass."""
-    wide = rows.select(F.col(yhat).alias("yhat"), *[point_return(h, price).alias(f"_y{h}") for h in horizons])
+    wide = windowed(rows.select("day", "seq", F.col(price).alias("_p"), F.col(yhat).alias("yhat")), {f"_y{h}": point_return(h, "_p") for h in horizons}, after=max(horizons))
     pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y")) for h in horizons]))
     return wide.select("yhat", pairs.alias("_x")).select(F.col("_x.horizon").alias("horizon"), F.col("_x.y").alias("y"), "yhat").where(F.col("y").isNotNull())
 
@@ -91,7 +118,12 @@ def by_horizon(rows: DataFrame, horizons: list[int], yhat: str = "yhat", price:
 def hit_tripwire(rows: DataFrame, y: str = "y", p: str = "yhat") -> DataFrame:
     """Directional accuracy on moves that are not 0, their number, and the lag-1 autocorrelation of hits within days."""
     moved = rows.where(F.col(y) != 0).withColumn("_hit", F.when(sign(F.col(y)) == sign(F.col(p)), 1.0).otherwise(0.0))
-    chained = moved.withColumn("_before", F.lag("_hit").over(by_day()))
+    # The hit before may lie any number of rows back: within a block by a window, else in the last block that has one.
+    moved = moved.withColumn("_own", F.floor(F.col("seq") / BLOCK))
+    last = moved.groupBy("day", "_own").agg(F.max_by("_hit", "seq").alias("_last"))
+    last = last.select("day", "_own", F.lag("_last").over(Window.partitionBy("day").orderBy("_own")).alias("_earlier"))
+    inside = F.lag("_hit").over(Window.partitionBy("day", "_own").orderBy("seq"))
+    chained = moved.withColumn("_inside", inside).join(last, ["day", "_own"]).withColumn("_before", F.coalesce("_inside", "_earlier"))
     got = chained.agg(F.avg("_hit").alias("da"), F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("_s"), F.sum(F.col("_hit") * F.col("_before")).alias("_xy"), F.sum(F.when(F.col("_before").isNotNull(), F.col("_hit"))).alias("_x"), F.sum("_before").alias("_y"), F.count("_before").alias("_pairs"))
     # Sum (x - m)(x' - m) over pairs / sum (x - m)^2 over all, from sums.
     m = F.col("da")
@@ -107,6 +139,25 @@ def feature_correlations(rows: DataFrame, features: list[str], label: str, flat:
     return got.withColumn("direction", F.when(F.col("r") > mark, "+").when(F.col("r") < -mark, "-").otherwise("0"))
 
 
+def screening(rows: DataFrame, features: list[str], labels: dict[int, str], flat: float = 1e-10, mark: float = 0.01) -> DataFrame:
+    """(horizon, feature, r, p, n, direction, rank, place, best): features against the label of each horizon.
+
+    ``p``: two-sided p-value (1 for a flat feature); ``rank``: by size of r within the horizon; ``place``: by size within
+    the horizon and direction, null where there is no direction (the strongest five each way have place 5 or less);
+    ``best``: whether the horizon is the one where the feature's r is largest in size. One scan; what follows has one row
+    per feature and horizon.
+    """
+    stacked = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for h, y in labels.items() for f in features]))
+    each = rows.select(stacked.alias("_f")).select("_f.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    r = F.when(F.stddev_pop("x") < flat, 0.0).otherwise(F.coalesce(pearson(F.col("x"), F.col("y")), F.lit(0.0)))
+    got = each.groupBy("horizon", "feature").agg(r.alias("r"), F.count(F.lit(1)).alias("n")).withColumn("direction", F.when(F.col("r") > mark, "+").when(F.col("r") < -mark, "-").otherwise("0"))
+    p = F.udf(lambda r, n: 1.0 if r == 0 else correlation_p_value(r, n), "double")  # one call per feature and horizon
+    size = F.abs("r").desc()
+    got = got.withColumn("p", p("r", "n")).withColumn("rank", F.row_number().over(Window.partitionBy("horizon").orderBy(size, "feature")))
+    got = got.withColumn("place", F.when(F.col("direction") != "0", F.row_number().over(Window.partitionBy("horizon", "direction").orderBy(size, "feature"))))
+    return got.withColumn("best", F.row_number().over(Window.partitionBy("feature").orderBy(size, "horizon")) == 1)
+
+
 def correlation_p_value(r: float, n: int) -> float:
     """Two-sided p-value of a correlation by Student's t with n - 2 degrees of freedom (continued fraction of the beta integral)."""
     if n < 3 or abs(r) >= 1:
@@ -155,7 +206,7 @@ def move_magnitudes(rows: DataFrame, horizons: list[int], gate: Column, levels:
     """Per horizon over the gated rows: moves in the predicted direction, their quantiles and shares above ``levels``,
     the entry price, the move that pays for ``cost`` and the net result of an option of ``delta`` on 100 shares."""
     price = F.col("price")
-    wide = rows.withColumn("_gate", gate).select("price", "pred", "_gate", *[point_return(h).alias(f"_m{h}") for h in horizons]).where("_gate")
+    wide = windowed(rows.select("day", "seq", "price", "pred", gate.alias("_gate")), {f"_m{h}": point_return(h) for h in horizons}, after=max(horizons)).where("_gate")
     pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_m{h}").alias("raw")) for h in horizons]))
     each = wide.select("price", "pred", pairs.alias("_x")).select("price", "pred", "_x.*").where(F.col("raw").isNotNull())
     each = each.withColumn("move", F.when(F.col("pred") == 2, F.col("raw")).otherwise(-F.col("raw")))
@@ -167,7 +218,9 @@ def move_magnitudes(rows: DataFrame, horizons: list[int], gate: Column, levels:
         F.min("move").alias("min"),
         F.max("move").alias("max"),
         F.avg("raw").alias("raw_mean"),
+        F.stddev_pop("raw").alias("raw_std"),
         F.avg(F.abs("raw")).alias("raw_abs_mean"),
+        F.percentile(F.abs("raw"), F.lit(0.5)).alias("raw_abs_median"),
         F.percentile("move", F.array(*[F.lit(x) for x in q])).alias("_q"),
         *[share(F.col("move") > level).alias(f"share_over_{str(level).replace('.', '_')}") for level in levels],
         F.avg(price).alias("entry_price"),
@@ -187,6 +240,6 @@ def fold_summary(folds: DataFrame, by: list[str], value: str) -> DataFrame:
     return folds.groupBy(*by).agg(F.avg(value).alias(f"{value}_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias(f"{value}_std"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def best_epoch(epochs: DataFrame, loss: str = "loss") -> DataFrame:
-    """The first epoch of smallest finite loss."""
-    return epochs.where(finite(F.col(loss))).agg(F.min_by("epoch", F.struct(loss, "epoch")).alias("best_epoch"), F.min(loss).alias("best_loss"))
+def best_epoch(epochs: DataFrame, loss: str = "loss", by: list[str] | None = None) -> DataFrame:
+    """The first epoch of smallest finite loss, over all rows or for each key in ``by``."""
+    return epochs.where(finite(F.col(loss))).groupBy(*(by or [])).agg(F.min_by("epoch", F.struct(loss, "epoch")).alias("best_epoch"), F.min(loss).alias("best_loss"))

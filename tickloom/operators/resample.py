@@ -12,7 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio, sign
+from ..functions.scalar import argmax, finite, ratio, sign
+from ..sources.shared import materialize
+from .regression import average_ranks, spearman
 
 #: A linear congruential step over 2**31 - 1, so that SQL engines can repeat the draws.
 LCG = (48271, 2147483647)
@@ -66,61 +68,120 @@ def replicate_sums(blocks: DataFrame, names: list[str], n: int, length: int, rep
     return drawn.join(blocks, "start").groupBy("replicate").agg(*[F.sum(k).alias(k) for k in names])
 
 
-def metric_sums(y: Column, p: Column, breakeven: float = 5.0) -> dict[str, Column]:
+#: The metrics of bootstrap and comparison.
+METRICS = ("ic", "pearson", "r2", "mae", "rmse", "directional_accuracy", "profitable_accuracy")
+
+
+def metric_sums(y: Column, p: Column, ry: Column, rp: Column, breakeven: float = 5.0, tag: str = "") -> dict[str, Column]:
+    """Sums per row for all ``METRICS``; ``ry`` and ``rp`` are ranks, taken from their middle by the caller."""
     hit, large = (sign(y) == sign(p)).cast("int"), (F.abs(y) > breakeven).cast("int")
-    return {
-        "s_n": F.lit(1.0), "s_y": y, "s_p": p, "s_yy": y * y, "s_pp": p * p, "s_yp": y * p, "s_ae": F.abs(y - p), "s_se": (y - p) * (y - p),
-        "s_moved": (y != 0).cast("int"), "s_hit": (y != 0).cast("int") * hit, "s_large": large, "s_large_hit": large * hit,
+    sums = {
+        "n": F.lit(1.0), "y": y, "p": p, "yy": y * y, "pp": p * p, "yp": y * p, "ae": F.abs(y - p), "se": (y - p) * (y - p),
+        "moved": (y != 0).cast("int"), "hit": (y != 0).cast("int") * hit, "large": large, "large_hit": large * hit,
+        "ry": ry, "rp": rp, "ryy": ry * ry, "rpp": rp * rp, "ryp": ry * rp,
     }
+    return {f"s{tag}_{k}": v for k, v in sums.items()}
 
 
-def metrics_of_sums() -> dict[str, Column]:
-    n, y, p = F.col("s_n"), F.col("s_y"), F.col("s_p")
-    sst = F.col("s_yy") - y * y / n
-    cov, vp = F.col("s_yp") - y * p / n, F.col("s_pp") - p * p / n
+def metrics_of_sums(tag: str = "") -> dict[str, Column]:
+    c = lambda k: F.col(f"s{tag}_{k}")
+    n = c("n")
+
+    def correlation(a: str, b: str) -> Column:
+        va, vb = c(a + a[-1]) - c(a) * c(a) / n, c(b + b[-1]) - c(b) * c(b) / n
+        # Rounding leaves a constant side a little above 0.
+        some = (va > 1e-12 * c(a + a[-1])) & (vb > 1e-12 * c(b + b[-1]))
+        return F.when(some, F.try_divide(c(a + b[-1]) - c(a) * c(b) / n, F.sqrt(va) * F.sqrt(vb)))
+
+    sst = c("yy") - c("y") * c("y") / n
     return {
-        "r2": F.when(sst > 1e-12, 1 - F.try_divide(F.col("s_se"), sst)).otherwise(0.0),
-        "pearson": F.try_divide(cov, F.sqrt(F.greatest(sst * vp, F.lit(0.0)))),
-        "mae": F.col("s_ae") / n,
-        "rmse": F.sqrt(F.col("s_se") / n),
-        "directional_accuracy": ratio(F.col("s_hit"), F.col("s_moved"), 0.5),
-        "profitable_accuracy": ratio(F.col("s_large_hit"), F.col("s_large")),
+        "ic": correlation("ry", "rp"),
+        "pearson": correlation("y", "p"),
+        "r2": F.when(sst > 1e-12, 1 - F.try_divide(c("se"), sst)).otherwise(0.0),
+        "mae": c("ae") / n,
+        "rmse": F.sqrt(c("se") / n),
+        "directional_accuracy": ratio(c("hit"), c("moved"), 0.5),
+        "profitable_accuracy": ratio(c("large_hit"), c("large")),
     }
 
 
-def bootstrap_ci(rows: DataFrame, y: str, p: str, n: int, replicates: int = 1000, seed: int = 42, confidence: float = 0.95, length: int | None = None) -> DataFrame:
-    """(metric, estimate, low, high): percentile intervals of a moving block bootstrap of paired rows (with i)."""
+def with_ranks(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """Adds _r_<column>: mean ranks over all ``n`` rows (with i), from their middle (which correlations don't see).
+
+    The columns are ranked together, one below the other, and come back by i. Rows and result are written to the shared
+    folder, since they are read several times.
+    """
+    rows = materialize(rows, "paired-rows")
+    stacked = rows.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_s")).select(*rows.columns, F.col("_s.c").alias("_c"), F.col("_s.v").alias("_v"))
+    ranked = average_ranks(stacked, "_v", ["_c"], "_r")
+    back = [F.max(F.when(F.col("_c") == c, F.col("_r") - (n + 1) / 2)).alias(f"_r_{c}") for c in columns]
+    return materialize(ranked.groupBy("i").agg(*[F.first(c).alias(c) for c in rows.columns if c != "i"], *back), "ranked-rows")
+
+
+def require_finite(rows: DataFrame, columns: list[str]) -> None:
+    """Raises unless all of ``columns`` are finite in all rows."""
+    bad = rows.agg(*[F.count(F.when(~finite(F.col(c)), 1)).alias(c) for c in columns]).first().asDict()
+    if any(bad.values()):
+        raise ValueError(f"rows that are not finite: {bad}")
+
+
+def require_sound(intervals: DataFrame) -> None:
+    """Raises unless each (metric, estimate, low, high) is finite and the estimate lies within its bounds. A row per metric."""
+    for r in intervals.collect():
+        if None in (r.estimate, r.low, r.high) or not r.low <= r.estimate <= r.high:
+            raise ValueError(f"the interval of {r.metric} is not sound: {r.estimate} in [{r.low}, {r.high}]")
+
+
+def bootstrap_ci(rows: DataFrame, y: str, p: str, n: int, replicates: int = 10_000, seed: int = 42, confidence: float = 0.95, length: int | None = None, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """(metric, estimate, low, high): percentile intervals of a moving block bootstrap of paired rows (with i).
+
+    The rank correlation's ranks are those over all rows, taken once: a replicate is a function of sums like the others.
+    """
+    unknown = set(metrics) - set(METRICS)
+    if unknown or not metrics:
+        raise ValueError(f"unknown metrics {sorted(unknown)}" if unknown else "no metric is named")
+    if replicates < 100 or not 0 < confidence < 1:
+        raise ValueError("at least 100 replicates and a confidence between 0 and 1 are needed")
     size = block_length(n, length)
-    sums = metric_sums(F.col(y), F.col(p))
-    names = list(sums)
-    drawn = replicate_sums(block_sums(rows, sums, size), names, n, size, replicates, seed)
+    ranked = with_ranks(rows.select("i", y, p), [y, p], n)
+    sums = metric_sums(F.col(y), F.col(p), F.col(f"_r_{y}"), F.col(f"_r_{p}"))
+    drawn = replicate_sums(block_sums(ranked, sums, size), list(sums), n, size, replicates, seed)
     tail = (1 - confidence) / 2
 
     def stacked(df: DataFrame) -> DataFrame:
-        return df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics_of_sums().items()])).alias("x")).select("x.*")
+        return df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics_of_sums().items() if k in metrics])).alias("x")).select("x.*")
 
-    point = stacked(rows.agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])).withColumnRenamed("value", "estimate")
+    point = stacked(ranked.agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])).withColumnRenamed("value", "estimate")
     bounds = stacked(drawn).groupBy("metric").agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
     return point.join(bounds, "metric").select("metric", "estimate", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
 
 
-def paired_differences(rows: DataFrame, y: str, treatments: list[str], n: int, replicates: int = 1000, seed: int = 42, length: int | None = None) -> DataFrame:
-    """(a, b, delta, low, high, p, q): mean absolute error of a minus that of b for all pairs, over shared replicates;
-    two-sided p from the share of replicates on either side of 0, and Benjamini-Hochberg q."""
+def paired_differences(rows: DataFrame, y: str, treatments: list[str], n: int, replicates: int = 10_000, seed: int = 42, length: int | None = None, metric: str = "ic", alpha: float = 0.05) -> DataFrame:
+    """(a, b, metric, delta, low, high, p, q): a metric of a minus that of b for all pairs, over shared replicates;
+    two-sided p from the share of replicates on either side of 0, and Benjamini-Hochberg q. Ranks as in ``bootstrap_ci``."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
     size = block_length(n, length)
     names = sorted(treatments)
-    sums = {"s_n": F.lit(1.0)} | {f"s_{t}": F.abs(F.col(y) - F.col(t)) for t in names}
-    drawn = replicate_sums(block_sums(rows, sums, size), list(sums), n, size, replicates, seed)
+    ranked = rows.select("i", y, *names)
+    if metric == "ic":
+        ranked = with_ranks(ranked, [y, *names], n)
+    rank = lambda c: F.col(f"_r_{c}") if metric == "ic" else F.lit(0.0)
+    sums: dict[str, Column] = {}
+    for t in names:
+        sums |= metric_sums(F.col(y), F.col(t), rank(y), rank(t), tag=f"_{t}")
+    drawn = replicate_sums(block_sums(ranked, sums, size), list(sums), n, size, replicates, seed)
     every = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
 
     def stacked(df: DataFrame) -> DataFrame:
-        return df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), ((F.col(f"s_{a}") - F.col(f"s_{b}")) / F.col("s_n")).alias("delta")) for a, b in every])).alias("x")).select("x.*")
+        value = {t: metrics_of_sums(f"_{t}")[metric] for t in names}
+        return df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (value[a] - value[b]).alias("delta")) for a, b in every])).alias("x")).select("x.*")
 
-    point = stacked(rows.agg(*[F.sum(v).alias(k) for k, v in sums.items()]))
+    point = stacked(ranked.agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()]))
     below = F.avg((F.col("delta") <= 0).cast("double"))
     above = F.avg((F.col("delta") >= 0).cast("double"))
-    null = stacked(drawn).groupBy("a", "b").agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
-    got = point.join(null, ["a", "b"]).select("a", "b", "delta", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"), "p")
+    null = stacked(drawn).groupBy("a", "b").agg(F.percentile("delta", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
+    got = point.join(null, ["a", "b"]).select("a", "b", F.lit(metric).alias("metric"), "delta", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"), "p")
     return benjamini_hochberg(got, "p", ["a", "b"])
 
 
@@ -132,34 +193,64 @@ def benjamini_hochberg(tests: DataFrame, p: str, keys: list[str]) -> DataFrame:
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("_raw")
 
 
-def permutation_importance(rows: DataFrame, features: list[str], label: str, score: Column, baseline: Column, n: int, repeats: int = 5, seed: int = 42, length: int | None = None) -> DataFrame:
-    """(feature, importance, std): baseline metric minus the mean metric with the feature's blocks exchanged.
+def metric_for_task(task: str, label: str = "y", score: str = "_score"):
+    """The metric by which importance is measured: (rows, by) -> (by, value). Rank correlation for regression, accuracy for
+    classification (of the largest of several scores, if ``score`` is an array)."""
+    if task == "regression":
+        return lambda rows, by: spearman(rows, score, label, by, "value").drop("n")
+    if task == "classification":
+
+        def accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
+            many = rows.schema[score].dataType.typeName() == "array"
+            pred = argmax(F.col(score)) if many else F.col(score)
+            return rows.groupBy(*by).agg(F.avg((pred == F.col(label)).cast("double")).alias("value"))
+
+        return accuracy
+    raise ValueError(f"unknown task {task}")
+
+
+def block_permutations(spark, features: list[str], blocks: int, repeats: int, seed: int) -> DataFrame:
+    """(feature, repeat, to, from): for each feature and repeat the blocks in a drawn order; seed + repeat + place x repeats."""
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(seed + r + k * repeats).alias("seed")) for k, f in enumerate(features) for r in range(repeats)]))
+    every = spark.range(blocks).select(F.col("id").alias("to"), named.alias("x")).select("to", "x.*")
+    a, m = LCG
+    key = (F.col("seed").cast("long") * 7919 + F.col("to") * 104729) % m
+    for _ in range(3):
+        key = (key * a + 12345) % m
+    order = Window.partitionBy("feature", "repeat").orderBy("_key", "to")
+    return every.withColumn("_key", key).withColumn("from", (F.row_number().over(order) - 1).cast("long")).drop("seed", "_key")
+
+
+def permutation_importance(rows: DataFrame, features: list[str], label: str, score: Column, metric, n: int, repeats: int = 5, seed: int = 42, length: int | None = None) -> DataFrame:
+    """(feature, importance, std, low, high): baseline metric minus the mean metric with the feature's blocks exchanged,
+    the sample deviation over repeats, and the baseline minus the 97.5 and 2.5 % quantiles of the repeats.
 
-    ``score``: prediction from columns named as ``features``; ``baseline``: aggregate of ``label`` and column _score.
-    Whole blocks trade places by an affine map over block numbers; the target's order stays. Rows meet the value they
-    borrow in an equi-join on its place.
+    ``score``: prediction from columns named as ``features``; ``metric``: as ``metric_for_task`` gives it. Whole blocks
+    trade places in a drawn order; the target's order stays, and so do rows after the last full block. Blocks travel as
+    arrays: each block's values of a feature go to the blocks that borrow them, all in one shuffle by block.
     """
     size = block_length(n, length)
     blocks = n // size
     if blocks < 2:
         raise ValueError("a single block can't be exchanged")
-    base = rows.withColumn("_score", score).agg(baseline.alias("_base"))
-    # Multipliers coprime to the number of blocks give permutations.
-    steps = [k for k in range(2, 4 * blocks + 3) if math.gcd(k, blocks) == 1] or [1]
-    null = []
-    for f in features:
-        donor = rows.select(F.col("i").alias("_j"), F.col(f).alias("_borrowed"))
-        for r in range(repeats):
-            mult, add = steps[(seed + 7 * r) % len(steps)], (seed + 3 * r + 1) % blocks
-            block = F.floor(F.col("i") / size)
-            to = F.when(block < blocks, ((block * mult + add) % blocks) * size + F.col("i") % size).otherwise(F.col("i"))
-            moved = rows.withColumn("_j", to).join(donor, "_j").withColumn(f, F.col("_borrowed")).withColumn("_score", score)
-            null.append(moved.agg(baseline.alias("_value")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "_value"))
-    every = null[0]
-    for part in null[1:]:
-        every = every.unionByName(part)
-    got = every.join(F.broadcast(base)).groupBy("feature").agg((F.first("_base") - F.avg("_value")).alias("importance"), F.coalesce(F.stddev_samp("_value"), F.lit(0.0)).alias("std"))
-    return got
+    needed = list(dict.fromkeys([*features, label]))
+    block = F.floor(F.col("i") / size)
+    held = rows.where(block < blocks).groupBy(block.alias("to")).agg(F.array_sort(F.collect_list(F.struct("i", *needed))).alias("_rows"))
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.transform("_rows", lambda x: x[f].cast("double")).alias("borrowed")) for f in features]))
+    donors = held.select(F.col("to").alias("from"), values.alias("x")).select("from", "x.*")
+    moves = block_permutations(rows.sparkSession, features, blocks, repeats, seed)
+    arrived = donors.join(moves, ["feature", "from"]).groupBy("to").agg(F.collect_list(F.struct("feature", "repeat", "borrowed")).alias("_in"))
+    pairs = held.join(arrived, "to").select("_rows", F.explode("_in").alias("_x")).select("_x.feature", "_x.repeat", F.explode(F.zip_with("_rows", "_x.borrowed", lambda r, b: F.struct(r.alias("row"), b.alias("borrowed")))).alias("_r"))
+    moved = pairs.select("feature", "repeat", F.col(f"_r.row.{label}").alias(label), *[F.when(F.col("feature") == f, F.col("_r.borrowed")).otherwise(F.col(f"_r.row.{f}")).alias(f) for f in features if f != label])
+    rest = rows.where(block >= blocks).select(label, *[f for f in features if f != label])
+    again = rows.sparkSession.createDataFrame([(f, r) for f in features for r in range(repeats)], "feature string, repeat int")
+    tail = rest.crossJoin(F.broadcast(again)).select(moved.columns)  # fewer rows than a block, times features and repeats
+    null = metric(moved.unionByName(tail).withColumn("_score", score), ["feature", "repeat"])
+    base = metric(rows.withColumn("_score", score), []).select(F.col("value").alias("_base"))
+    ok = F.assert_true(F.coalesce(finite(F.col("_base")), F.lit(False)), F.lit("the baseline is not finite"))
+    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    got = null.crossJoin(F.broadcast(base.where(ok.isNull()))).groupBy("feature").agg(F.first("_base").alias("_base"), F.avg("value").alias("_mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), q.alias("_q"))
+    return got.select("feature", (F.col("_base") - F.col("_mean")).alias("importance"), "std", (F.col("_base") - F.get("_q", F.lit(1))).alias("low"), (F.col("_base") - F.get("_q", F.lit(0))).alias("high"))
 
 
 def purged_folds(days: DataFrame, folds: int, embargo: int) -> DataFrame:

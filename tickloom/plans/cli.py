@@ -53,7 +53,7 @@ def overrides(pairs: list[str]) -> dict:
 def train(spark: SparkSession, experiment: config.Experiment, sf_dir: str) -> DataFrame:
     """(split, model metrics) of the configured model: fitted on the training days, measured on each split."""
     from ..operators import classification, evaluate, models, regression
-    from ..sources.ticks import with_split
+    from ..sources.ticks import windowed, with_split
 
     rows = with_split(scored(spark, sf_dir)).withColumn("k", F.col("k").cast("double"))
     fit, columns, kind = rows.where("split = 'train'"), ["value", "spread", "k"], experiment.model.kind
@@ -67,7 +67,7 @@ def train(spark: SparkSession, experiment: config.Experiment, sf_dir: str) -> Da
     elif kind == "class_prior":
         out = rows.drop("pred").join(F.broadcast(evaluate.class_prior(fit).select(F.col("majority").alias("pred"))))
     else:
-        out = rows.withColumn("pred", evaluate.previous_label())
+        out = windowed(rows, {"pred": evaluate.previous_label()}, before=1)
     return out.groupBy("split").agg(classification.accuracy(F.col("label"), F.col("pred")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 

@@ -11,6 +11,7 @@ from ..operators import resample as B
 from ..operators import validate as V
 from ..sources.ticks import table, ticks, with_split
 from .fixtures import EPOCHS, EXPERIMENTS, SCORED, TICKS, W, epochs, experiments, query, r, scored
+from .metric_queries import pearson_sql, ranks
 
 
 @query(f"WITH {SCORED}, s AS (SELECT avg(yhat) AS pm, stddev_pop(yhat) AS ps, avg(y) AS tm, stddev_pop(y) AS ts FROM scored) SELECT day, seq, {r('(yhat - pm) * (s.ts / ps) + tm', 'calibrated')} FROM scored, s")
@@ -59,7 +60,7 @@ def q_registry_summary(spark, d):
 
 @query(f"WITH {EXPERIMENTS} SELECT rpad(left(name, 25), 25, ' ') || ' | ' || lpad(printf('%.4f', accuracy), 12, ' ') || ' | ' || lpad(printf('%.4f', f1), 12, ' ') AS line FROM experiments")
 def q_comparison_table(spark, d):
-    return E.comparison_table(experiments(spark, d), ["accuracy", "f1"])
+    return E.comparison_table(experiments(spark, d), ["accuracy", "f1"], sort_by="f1")
 
 
 @query(f"WITH {EXPERIMENTS} SELECT id, CASE WHEN accuracy > f1 + 0.01 THEN 'bullish' WHEN f1 > accuracy + 0.01 THEN 'bearish' ELSE 'neutral' END AS direction FROM experiments")
@@ -78,9 +79,16 @@ def q_flat_metrics(spark, d):
     return E.flatten_metrics(scored(spark, d).agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")))
 
 
-@query()
+_DISTRIBUTIONS = [(f"{c}_{n}", f"{f}({c})") for c in ("yhat", "y", "price", "spread") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))]
+
+
+@query(f"WITH {SCORED} SELECT 'contrarian' AS model_type, 'experiment' AS experiment_id, count(*) AS n, min(day) AS first_day, max(day) AS last_day, {', '.join(r(e, n) for n, e in _DISTRIBUTIONS)}, TRUE AS fingerprint_fits FROM scored")
 def q_signal_metadata(spark, d):
-    return E.signal_metadata(scored(spark, d), "contrarian", "experiment")
+    """The record as read back from its JSON; the fingerprint is that of the rest."""
+    kinds = "model_type string, experiment_id string, n long, first_day string, last_day string, " + ", ".join(f"{n} double" for n, _ in _DISTRIBUTIONS)
+    got = E.signal_metadata(scored(spark, d), "contrarian", "experiment").select(F.from_json("json", f"{kinds}, fingerprint string").alias("m"), "json")
+    body = F.concat(F.regexp_extract("json", r'^(.*),"fingerprint":', 1), F.lit("}"))
+    return got.select("m.*", (F.sha2(body, 256) == F.col("m.fingerprint")).alias("fingerprint_fits")).drop("fingerprint")
 
 
 # Resampling -------------------------------------------------------------------------------------------------------
@@ -91,7 +99,7 @@ def q_purged_folds(spark, d):
     return B.purged_folds(ticks(spark, d), 5, 2).select(F.col("fold").cast("long").alias("fold"), "day", "role")
 
 
-REPLICATES = 200
+REPLICATES = 1000
 
 
 def draws(count: str, size: str, n: str) -> str:
@@ -102,11 +110,13 @@ def draws(count: str, size: str, n: str) -> str:
 
 
 NUMBERED = SCORED + """,
-rows AS (SELECT *, row_number() OVER (ORDER BY day, seq) - 1 AS i FROM scored),
+rows AS (SELECT *, row_number() OVER (ORDER BY day, seq) - 1 AS i, """ + ", ".join(f"{ranks(e)} AS r_{n}" for n, e in (("y", "y"), ("a", "yhat"), ("b", "(50 - value)"), ("c", "spread"))) + """ FROM scored),
 size AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(ceil(round(power(count(*), 1.0 / 3), 9)) AS BIGINT) AS len FROM scored)"""
 DRAWN = NUMBERED + ", " + draws("(SELECT CAST(ceil(n / len) AS BIGINT) FROM size)", "(SELECT len FROM size)", "(SELECT n FROM size)") + """,
 picked AS (SELECT rep, r.* FROM draws, size, rows r WHERE r.i >= start AND r.i < start + len)"""
+_IC = "(sum({0} * {1}) - sum({0}) * sum({1}) / count(*)) / sqrt((sum({0} * {0}) - sum({0}) * sum({0}) / count(*)) * (sum({1} * {1}) - sum({1}) * sum({1}) / count(*)))"
 METRICS = {
+    "ic": _IC.format("r_y", "r_a"),
     "r2": "1 - sum((y - yhat) * (y - yhat)) / (sum(y * y) - sum(y) * sum(y) / count(*))",
     "pearson": "(sum(y * yhat) - sum(y) * sum(yhat) / count(*)) / sqrt((sum(y * y) - sum(y) * sum(y) / count(*)) * (sum(yhat * yhat) - sum(yhat) * sum(yhat) / count(*)))",
     "mae": "avg(abs(y - yhat))",
@@ -122,23 +132,51 @@ def q_block_bootstrap_ci(spark, d):
     return B.bootstrap_ci(rows, "y", "yhat", rows.count(), REPLICATES)
 
 
-@query(f"""WITH {DRAWN}, t AS (SELECT rep, avg(abs(y - yhat)) AS a, avg(abs(y - 0.5 * yhat)) AS b, avg(abs(y)) AS c FROM picked GROUP BY rep),
-o AS (SELECT avg(abs(y - yhat)) AS a, avg(abs(y - 0.5 * yhat)) AS b, avg(abs(y)) AS c FROM rows),
-x AS (SELECT 'a' AS a, 'b' AS b, t.a - t.b AS delta, o.a - o.b AS point FROM t, o UNION ALL SELECT 'a', 'c', t.a - t.c, o.a - o.c FROM t, o UNION ALL SELECT 'b', 'c', t.b - t.c, o.b - o.c FROM t, o),
+def _pairwise(metric: str, value: dict[str, str]) -> str:
+    each = ", ".join(f"{e} AS {n}" for n, e in value.items())
+    delta = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, t.{a} - t.{b} AS delta, o.{a} - o.{b} AS point FROM t, o" for a, b in (("a", "b"), ("a", "c"), ("b", "c")))
+    return f"""WITH {DRAWN}, t AS (SELECT rep, {each} FROM picked GROUP BY rep), o AS (SELECT {each} FROM rows), x AS ({delta}),
 s AS (SELECT a, b, any_value(point) AS delta, quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high, least(1.0, 2 * least(avg(CASE WHEN delta <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN delta >= 0 THEN 1.0 ELSE 0.0 END))) AS p FROM x GROUP BY a, b),
 q AS (SELECT *, p * 3 / row_number() OVER (ORDER BY p, a, b) AS raw FROM s)
-SELECT a, b, {r('delta', 'delta')}, {r('low', 'low')}, {r('high', 'high')}, {r('p', 'p')}, {r('least(1.0, min(raw) OVER (ORDER BY p, a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'q')} FROM q""")
+SELECT a, b, '{metric}' AS metric, {r('delta', 'delta')}, {r('low', 'low')}, {r('high', 'high')}, {r('p', 'p')}, {r('least(1.0, min(raw) OVER (ORDER BY p, a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'q')} FROM q"""
+
+
+def _treatments(spark, d):
+    return B.numbered(scored(spark, d).select("day", "seq", "y", F.col("yhat").alias("a"), (50 - F.col("value")).alias("b"), F.col("spread").alias("c")), ["seq"])
+
+
+@query(_pairwise("ic", {n: _IC.format("r_y", f"r_{n}") for n in "abc"}))
 def q_pairwise_bh(spark, d):
-    rows = B.numbered(scored(spark, d).select("day", "seq", "y", F.col("yhat").alias("a"), (0.5 * F.col("yhat")).alias("b"), F.lit(0.0).alias("c")), ["seq"])
+    rows = _treatments(spark, d)
     return B.paired_differences(rows, "y", ["a", "b", "c"], rows.count(), REPLICATES)
 
 
-@query()
+@query(_pairwise("mae", {"a": "avg(abs(y - yhat))", "b": "avg(abs(y - (50 - value)))", "c": "avg(abs(y - spread))"}))
+def q_pairwise_mae(spark, d):
+    rows = _treatments(spark, d)
+    return B.paired_differences(rows, "y", ["a", "b", "c"], rows.count(), REPLICATES, metric="mae")
+
+
+_STEP = lambda x: f"(({x}) * 48271 + 12345) % 2147483647"
+_KEY = _STEP(_STEP(_STEP('((42 + rep + f * 3) * 7919 + "to" * 104729) % 2147483647')))
+_MOVED = ", ".join(f"CASE WHEN f = {k} THEN s.{c} ELSE r.{c} END AS {c}" for k, c in enumerate(("value", "spread", "k")))
+PERMUTED = f"""{NUMBERED}, names AS (SELECT * FROM (VALUES (0, 'value'), (1, 'spread'), (2, 'k')) v(f, feature), (SELECT unnest(range(0, 3)) AS rep) q),
+keys AS (SELECT f, feature, rep, "to" FROM names, (SELECT unnest(range(0, (SELECT n // len FROM size))) AS "to") t),
+perm AS (SELECT f, feature, rep, "to", row_number() OVER (PARTITION BY f, rep ORDER BY {_KEY}, "to") - 1 AS src FROM keys),
+moved AS (
+  SELECT feature, rep, r.y, {_MOVED} FROM size, rows r JOIN perm p ON r.i // (SELECT len FROM size) = p."to" JOIN rows s ON s.i = p.src * (SELECT len FROM size) + r.i % (SELECT len FROM size)
+  UNION ALL SELECT feature, rep, y, value, spread, k FROM rows, names, size WHERE i >= (n // len) * len
+  UNION ALL SELECT '', 0, y, value, spread, k FROM rows),
+scores AS (SELECT feature, rep, y, -value + 0.1 * spread + 0.0 * k AS score FROM moved),
+ranked AS (SELECT feature, rep, {ranks('y', 'feature, rep')} AS ry, {ranks('score', 'feature, rep')} AS rs FROM scores),
+m AS (SELECT feature, rep, {pearson_sql('ry', 'rs')} AS v FROM ranked GROUP BY feature, rep)"""
+
+
+@query(f"WITH {PERMUTED} SELECT m.feature, {r('any_value(b.v) - avg(m.v)', 'importance')}, {r('stddev_samp(m.v)', 'std')}, {r('any_value(b.v) - quantile_cont(m.v, 0.975)', 'low')}, {r('any_value(b.v) - quantile_cont(m.v, 0.025)', 'high')} FROM m, m b WHERE b.feature = '' AND m.feature <> '' GROUP BY m.feature")
 def q_permutation_importance(spark, d):
     rows = B.numbered(scored(spark, d).select("day", "seq", "y", "value", "spread", "k"), ["seq"])
-    from ..operators.regression import pearson
-
-    return B.permutation_importance(rows, ["value", "spread", "k"], "y", -F.col("value") + 0.1 * F.col("spread") + 0.0 * F.col("k"), pearson(F.col("y"), F.col("_score")), rows.count(), 3)
+    score = -F.col("value") + 0.1 * F.col("spread") + 0.0 * F.col("k")
+    return B.permutation_importance(rows, ["value", "spread", "k"], "y", score, B.metric_for_task("regression"), rows.count(), 3)
 
 
 # Models -----------------------------------------------------------------------------------------------------------
@@ -185,7 +223,22 @@ def q_mean_probabilities(spark, d):
 _RIDGE = ["l_quantity", "l_extendedprice", "l_tax"]
 
 
-@query()
+def _det(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _ridge_sql(columns: list[str], label: str, alpha: float) -> str:
+    """The penalized normal equations of centred columns, solved by determinants."""
+    sums = ", ".join([f"regr_sxy({a}, {b}) + {alpha if a == b else 0.0} AS s{i}{j}" for i, a in enumerate(columns) for j, b in enumerate(columns)] + [f"regr_sxy({label}, {a}) AS t{i}" for i, a in enumerate(columns)] + [f"avg({c}) AS m{i}" for i, c in enumerate([*columns, label])])
+    m = [[f"s{i}{j}" for j in range(3)] for i in range(3)]
+    put = lambda k: [[f"t{i}" if j == k else m[i][j] for j in range(3)] for i in range(3)]
+    w = ", ".join(f"{_det(put(k))} / {_det(m)} AS w{k}" for k in range(3))
+    rows = [f"SELECT '{c}' AS feature, {r(f'w{k}', 'weight')} FROM w" for k, c in enumerate(columns)] + [f"SELECT 'intercept', {r('m3 - w0 * m0 - w1 * m1 - w2 * m2', 'weight')} FROM w"]
+    return f"WITH l AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in [*columns, label])} FROM lineitem), s AS (SELECT {sums} FROM l), w AS (SELECT *, {w} FROM s) " + " UNION ALL ".join(rows)
+
+
+@query(_ridge_sql(_RIDGE, "l_discount", 1.0))
 def q_ridge(spark, d):
     model = M.fit_ridge(table(spark, d, "lineitem"), _RIDGE, "l_discount")
     return spark.createDataFrame([(f, float(c)) for f, c in zip([*_RIDGE, "intercept"], [*model.coefficients, model.intercept])], "feature string, weight double")
@@ -202,7 +255,7 @@ def q_logistic(spark, d):
 @query()
 def q_boosting(spark, d):
     rows = scored(spark, d).select("y", "value", "spread", F.col("k").cast("double").alias("k"), "day", "seq")
-    model = M.fit_boosting(rows, ["value", "spread", "k"], "y", trees=5)
+    model = M.fit_boosting(rows, ["value", "spread", "k"], "y", trees=20)
     return model.transform(M.assemble(rows, ["value", "spread", "k"])).select("day", "seq", "prediction")
 
 
@@ -213,9 +266,17 @@ BEFORE = "(PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND
 NEW = f"min(val_loss) OVER {BEFORE} IS NULL OR val_loss < min(val_loss) OVER {BEFORE}"
 
 
-@query(f"WITH {EPOCHS}, i AS (SELECT *, {NEW} AS improved, min(val_loss) OVER w AS best FROM epochs {WR}), s AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER w AS waited FROM i {WR}) SELECT run, epoch, improved, {r('best', 'best')}, waited, max(CASE WHEN waited >= 3 THEN 1 ELSE 0 END) OVER w = 1 AS stop FROM s {WR}")
+DELTA = 0.4
+BETTER = f"o.val_loss < f.best - {DELTA}"
+
+
+@query(f"""WITH RECURSIVE {EPOCHS}, o AS (SELECT run, epoch, val_loss, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM epochs),
+f AS (
+  SELECT run, epoch, i, TRUE AS improved, val_loss AS best, CAST(0 AS INTEGER) AS waited, FALSE AS stop FROM o WHERE i = 1
+  UNION ALL SELECT o.run, o.epoch, o.i, {BETTER}, CASE WHEN {BETTER} THEN o.val_loss ELSE f.best END, CASE WHEN {BETTER} THEN 0 ELSE f.waited + 1 END, f.stop OR (NOT ({BETTER}) AND f.waited + 1 >= 3) FROM f JOIN o ON o.run = f.run AND o.i = f.i + 1)
+SELECT run, epoch, improved, {r('best', 'best')}, waited, stop FROM f""")
 def q_early_stopping(spark, d):
-    return O.early_stopping(epochs(spark, d)).select("run", "epoch", "improved", "best", "waited", "stop")
+    return O.early_stopping(epochs(spark, d), min_delta=DELTA).select("run", "epoch", "improved", "best", "waited", "stop")
 
 
 @query(f"WITH {EPOCHS} SELECT run, epoch, coalesce(lag(train_loss, 2) OVER w >= lag(train_loss) OVER w AND lag(train_loss) OVER w >= train_loss AND lag(val_loss, 2) OVER w <= lag(val_loss) OVER w AND lag(val_loss) OVER w <= val_loss, FALSE) AS overfit FROM epochs {WR}")
@@ -257,10 +318,9 @@ def q_metric_history(spark, d):
 
 @query(f"WITH {EPOCHS} SELECT run, min(epoch) FILTER (WHERE loss = m) AS best_epoch, {r('any_value(m)', 'best_loss')} FROM (SELECT *, min(loss) OVER (PARTITION BY run) AS m FROM epochs) GROUP BY run")
 def q_best_epoch(spark, d):
-    from ..functions.scalar import finite
+    from ..operators.regression import best_epoch
 
-    e = epochs(spark, d).where(finite(F.col("loss")))
-    return e.groupBy("run").agg(F.min_by("epoch", F.struct("loss", "epoch")).alias("best_epoch"), F.min("loss").alias("best_loss"))
+    return best_epoch(epochs(spark, d), "loss", ["run"])
 
 
 # Data quality -----------------------------------------------------------------------------------------------------
@@ -291,9 +351,10 @@ def q_split_sizes(spark, d):
     return with_split(ticks(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TICKS} SELECT event_type, count(value) AS n, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')} FROM ticks GROUP BY event_type")
+@query(f"WITH {TICKS} SELECT event_type, count(value) AS n, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, round(stddev_pop(value + 1e9), 3) + 0.0 AS far_std FROM ticks GROUP BY event_type")
 def q_merged_moments(spark, d):
+    """Of the values, and of values far from 0, where sums of squares would cancel."""
     from ..streaming.moments import batch_moments, finish_moments, merge_moments
 
-    parts = batch_moments(ticks(spark, d), ["event_type", "day"], "value")
-    return finish_moments(merge_moments(parts, ["event_type"])).select("event_type", "n", "mean", "std")
+    near, far = (finish_moments(merge_moments(batch_moments(ticks(spark, d).withColumn("v", F.col("value") + shift), ["event_type", "day"], "v"), ["event_type"])) for shift in (0.0, 1e9))
+    return near.join(far.select("event_type", F.round("std", 3).alias("far_std")), "event_type").select("event_type", "n", "mean", "std", "far_std")

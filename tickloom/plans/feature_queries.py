@@ -8,7 +8,7 @@ from ..operators import align as A
 from ..operators import features as X
 from ..operators import normalize as N
 from ..operators.labels import point_return
-from ..sources.ticks import table, ticks
+from ..sources.ticks import price_and_spread, table, ticks, windowed
 from .fixtures import SCORED, TICKS, VECTORS, W, query, r, scored, vectors
 
 PRICES, SIZES = "(idx < 10 OR idx BETWEEN 20 AND 29)", "(idx BETWEEN 10 AND 19 OR idx BETWEEN 30 AND 39)"
@@ -121,22 +121,22 @@ def _full(e: str, w: int) -> str:
 
 @query(f"WITH {TICKS} SELECT day, seq, {', '.join(r(_full(_last('avg(value)', w), w), f'mean_{w}') for w in (5, 10, 20))} FROM ticks")
 def q_rolling_mean_5_10_20(spark, d):
-    return ticks(spark, d).select("day", "seq", *[X.rolling_mean("value", w).alias(f"mean_{w}") for w in (5, 10, 20)])
+    return windowed(ticks(spark, d), {f"mean_{w}": X.rolling_mean("value", w) for w in (5, 10, 20)}, before=19).select("day", "seq", "mean_5", "mean_10", "mean_20")
 
 
 @query(f"WITH {TICKS} SELECT day, seq, {r(_full(_last('regr_slope(value, seq)', 10), 10), 'slope_10')} FROM ticks")
 def q_rolling_slope(spark, d):
-    return ticks(spark, d).select("day", "seq", X.rolling_slope("value", 10).alias("slope_10"))
+    return windowed(ticks(spark, d), {"slope_10": X.rolling_slope("value", 10)}, before=9).select("day", "seq", "slope_10")
 
 
 @query(f"WITH {TICKS} SELECT day, seq, {r('value - lag(value, 9) OVER w', 'roc_10')} FROM ticks {W}")
 def q_roc(spark, d):
-    return ticks(spark, d).select("day", "seq", X.rate_of_change("value", 10).alias("roc_10"))
+    return windowed(ticks(spark, d), {"roc_10": X.rate_of_change("value", 10)}, before=9).select("day", "seq", "roc_10")
 
 
 @query(f"WITH {TICKS} SELECT day, seq, {r(_full(_last('stddev_pop(value)', 10), 10), 'std_10')} FROM ticks")
 def q_rolling_std(spark, d):
-    return ticks(spark, d).select("day", "seq", X.rolling_std("value", 10).alias("std_10"))
+    return windowed(ticks(spark, d), {"std_10": X.rolling_std("value", 10)}, before=9).select("day", "seq", "std_10")
 
 
 LOGRET = TICKS + f", lr AS (SELECT *, ln(price) - ln(lag(price) OVER w) AS lr FROM ticks {W})"
@@ -148,12 +148,13 @@ def _vol(e: str, w: int) -> str:
 
 @query(f"WITH {LOGRET} SELECT day, seq, {r(_vol(_last('stddev_pop(lr)', 10) + ' * sqrt(10.0)', 10), 'vol_10')}, {r(_vol('sqrt(' + _last('sum(lr * lr)', 5) + ') * 1e4', 5), 'vol_bps_5')} FROM lr")
 def q_realized_vol(spark, d):
-    return X.log_return(ticks(spark, d)).select("day", "seq", X.realized_vol("logret", 10).alias("vol_10"), X.realized_vol_bps("logret", 5).alias("vol_bps_5"))
+    got = windowed(ticks(spark, d), {"logret": X.log_return()}, {"vol_10": X.realized_vol("logret", 10), "vol_bps_5": X.realized_vol_bps("logret", 5)}, before=10)
+    return got.select("day", "seq", "vol_10", "vol_bps_5")
 
 
 @query(f"WITH {TICKS} SELECT day, seq, {r(_full(_last('avg(value)', 5), 5) + ' - ' + _full(_last('avg(value)', 20), 20), 'momentum')} FROM ticks")
 def q_momentum(spark, d):
-    return ticks(spark, d).select("day", "seq", X.momentum("value").alias("momentum"))
+    return windowed(ticks(spark, d), {"momentum": X.momentum("value")}, before=19).select("day", "seq", "momentum")
 
 
 @query(f"WITH {TICKS} SELECT day, seq, {r('value * k', 'value_x_k')}, {r('value * price', 'value_x_price')}, {r('k * price', 'k_x_price')} FROM ticks")
@@ -161,23 +162,43 @@ def q_cross_products(spark, d):
     return ticks(spark, d).select("day", "seq", *X.cross_products(["value", "k", "price"]))
 
 
-_SIGNALS = ("value", "kd", "price")
+#: Features of the fixed layout, made of a tick's columns.
+LAYOUT = {85: "value", 84: "CAST(k AS DOUBLE)", 86: "price", 56: "value - k", 45: "value + price", 42: "k * 0.5", 54: "2 * value", 40: "price", 95: "CAST(seq AS DOUBLE)", 93: "CAST(k % 7 AS DOUBLE)"}
+_SET = X.order_book_set()
+_TOP = _SET.signals[:3]
 _TEMPORAL = ", ".join(
-    [r(_full(_last(f"avg({s})", w), w), f"{s}_mean_{w}") for s in _SIGNALS for w in (5, 10, 20)]
-    + [r(_full(_last(f"regr_slope({s}, seq)", w), w), f"{s}_slope_{w}") for s in _SIGNALS for w in (5, 10, 20)]
-    + [r(f"{s} - lag({s}, {w - 1}) OVER w", f"{s}_roc_{w}") for s in _SIGNALS for w in (5, 10, 20)]
-    + [r(_full(_last(f"stddev_pop({s})", 10), 10), f"{s}_std_10") for s in _SIGNALS]
-    + [r(_full(_last(f"avg({s})", 5), 5) + " - " + _full(_last(f"avg({s})", 20), 20), f"{s}_momentum") for s in _SIGNALS]
-    + [r(_vol(_last("stddev_pop(lr)", 10) + " * sqrt(10.0)", 10), "realized_vol_10")]
-    + [r(_vol(f"sqrt({_last('sum(lr * lr)', w)}) * 1e4", w), f"realized_vol_bps_{w}") for w in (5, 10)]
-    + [r(f"{a} * {b}", f"{a}_x_{b}") for a, b in (("value", "kd"), ("value", "price"), ("kd", "price"))]
+    [r(s, f"last_{s}") for s in _SET.signals]
+    + [r(_full(_last(f"avg({s})", w), w), f"mean_{s}_{w}") for s in _TOP for w in (5, 10, 20)]
+    + [r(_full(_last(f"regr_slope({s}, seq)", w), w), f"slope_{s}_{w}") for s in _TOP for w in (5, 10, 20)]
+    + [r(f"{s} - lag({s}, {w - 1}) OVER w", f"change_{s}_{w}") for s in _TOP for w in (5, 10, 20)]
+    + [r(f"{a} * {b}", f"product_{a}_{b}") for a, b in _SET.pairs]
+    + [r(c, f"context_{c}") for c in _SET.context]
+    + [r(c, f"regime_{c}") for c in _SET.regime]
+    + [r(_full(_last(f"stddev_pop({s})", 10), 10), f"std_{s}_10") for s in _TOP]
+    + [r(_vol(_last("stddev_pop(lr)", w) + f" * sqrt({w}.0)", w), f"volatility_{w}") for w in (10, 5)]
+    + [r(_full(_last(f"avg({s})", 5), 5) + " - " + _full(_last(f"avg({s})", 20), 20), f"momentum_{s}") for s in _TOP]
 )
 
 
-@query(f"WITH {LOGRET}, t AS (SELECT *, CAST(k AS DOUBLE) AS kd FROM lr) SELECT day, seq, {_TEMPORAL} FROM t {W}")
+@query(f"WITH {LOGRET}, t AS (SELECT day, seq, lr, {', '.join(f'{e} AS f{i}' for i, e in LAYOUT.items())} FROM lr) SELECT day, seq, {_TEMPORAL} FROM t {W}")
 def q_temporal_features(spark, d):
-    got = X.temporal_features(ticks(spark, d).withColumn("kd", F.col("k").cast("double")), list(_SIGNALS))
-    return got.drop("event_id", "user_id", "event_type", "ts", "value", "price", "k", "kd", "logret")
+    rows = ticks(spark, d).select("day", "seq", *[F.expr(e).cast("double").alias(f"f{i}") for i, e in LAYOUT.items()])
+    return X.temporal_features(rows, _SET).drop(*[f"f{i}" for i in LAYOUT])
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, {', '.join(r(f'max(x) FILTER (WHERE idx = {i})', n) for i, n in ((40, 'price'), (42, 'spread')))} FROM cells GROUP BY vec_id")
+def q_price_and_spread(spark, d):
+    v = vectors(spark, d).withColumn("day", F.lit(0)).withColumnRenamed("vec_id", "seq")
+    return price_and_spread(v, F.array("features")).select(F.col("seq").alias("vec_id"), "price", "spread")
+
+
+_PRESETS = ("analysis_ready_128", "deeplob_extended", "full_98", "short_term_40")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS preset, CAST(count(*) AS BIGINT) AS n, CAST(sum(i) AS BIGINT) AS total FROM (SELECT unnest({list(X.PRESETS[n])}) AS i)" for n in _PRESETS))
+def q_feature_presets(spark, d):
+    rows = spark.createDataFrame([(n, list(X.PRESETS[n])) for n in _PRESETS], "preset string, indices array<int>")
+    return rows.select("preset", F.explode("indices").alias("i")).groupBy("preset").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total"))
 
 
 # Alignment --------------------------------------------------------------------------------------------------------
@@ -204,6 +225,12 @@ def q_common_days(spark, d):
     return A.common_days(_source(spark, d, "click"), _source(spark, d, "view"))
 
 
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE)::VARCHAR AS day FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT CAST(o_orderdate AS DATE)::VARCHAR FROM orders WHERE o_orderpriority = '5-LOW'")
+def q_days_without(spark, d):
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), "o_orderpriority")
+    return A.days_without(orders.where("o_orderpriority = '1-URGENT'"), orders.where("o_orderpriority = '5-LOW'"))
+
+
 @query(f"WITH {SOURCES} SELECT a.day, a.seq, {r('a.value + 2 * a.k + 3 * b.value + 4 * b.k', 'weighted')} FROM a JOIN b ON a.day = b.day AND a.seq = b.seq")
 def q_fuse_features(spark, d):
     part = lambda kind: _source(spark, d, kind).withColumn("f", F.array("value", F.col("k").cast("double")))
@@ -233,7 +260,7 @@ def q_paired_treatments(spark, d):
 
 @query(f"WITH {TICKS} SELECT day, seq, {r('(lead(price, 30) OVER w - price) / price * 1e4', 'y')} FROM ticks {W} QUALIFY lead(price, 30) OVER w IS NOT NULL")
 def q_forward_lookup(spark, d):
-    return ticks(spark, d).select("day", "seq", point_return(30).alias("y")).where("y IS NOT NULL")
+    return windowed(ticks(spark, d), {"y": point_return(30)}, after=30).where("y IS NOT NULL").select("day", "seq", "y")
 
 
 @query(f"WITH {TICKS}, b AS (SELECT day, sum(count(*)) OVER (ORDER BY day) - count(*) AS first, sum(count(*)) OVER (ORDER BY day) - 1 AS last FROM ticks GROUP BY day), i AS (SELECT p_partkey AS index FROM part) SELECT index, day FROM i JOIN b ON index BETWEEN first AND last")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import round6
 from ..operators.labels import classify, point_return
-from ..sources.ticks import by_day, table, ticks
+from ..sources.ticks import by_day, table, ticks, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,16 +48,17 @@ def query(sql: str | None = None):
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks and y, the point return at horizon 10; the last rows of a day have none."""
-    return ticks(spark, sf_dir).withColumn("y", point_return(HORIZON))
+    return windowed(ticks(spark, sf_dir), {"y": point_return(HORIZON)}, after=HORIZON)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows with classes 0, 1, 2, the previous label as prediction, the negative previous return as forecast."""
-    rows = labeled(spark, sf_dir).where(F.col("y").isNotNull()).withColumn("label", (classify(F.col("y"), THRESHOLD) + 1).cast("int"))
-    return rows.select(
+    # Rows without a label end the day, so that the row before a labelled one is labelled too.
+    label = (classify(F.col("y"), THRESHOLD) + 1).cast("int")
+    before = {"pred": F.coalesce(F.lag("label").over(by_day()), F.col("label")), "yhat": F.coalesce(-F.lag("y").over(by_day()), F.lit(0.0))}
+    rows = windowed(ticks(spark, sf_dir), {"y": point_return(HORIZON)}, {"label": label}, before, before=1, after=HORIZON)
+    return rows.where(F.col("y").isNotNull()).select(
         "*",
-        F.coalesce(F.lag("label").over(by_day()), F.col("label")).alias("pred"),
-        F.coalesce(-F.lag("y").over(by_day()), F.lit(0.0)).alias("yhat"),
         ((F.col("k") % 3) / 2.0).alias("agreement"),
         (F.col("k") / 100.0).alias("confirmation"),
         (F.col("value") - 3 * F.floor(F.col("value") / 3)).alias("spread"),
@@ -78,7 +79,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days as epochs: one run per event type, mean values as losses."""
     t = ticks(spark, sf_dir)
-    per_day = t.groupBy(F.col("event_type").alias("run"), "day").agg(F.avg("value").alias("loss"), F.avg(F.col("k") / 100.0).alias("accuracy"), F.avg(F.when(F.col("seq") % 2 == 0, F.col("value"))).alias("train_loss"), F.avg(F.when(F.col("seq") % 2 == 1, F.col("value"))).alias("val_loss"))
+    per_day = t.groupBy(F.col("event_type").alias("run"), "day").agg(F.avg("value").alias("loss"), (F.avg("k") / 100.0).alias("accuracy"), F.avg(F.when(F.col("seq") % 2 == 0, F.col("value"))).alias("train_loss"), F.avg(F.when(F.col("seq") % 2 == 1, F.col("value"))).alias("val_loss"))
     first = t.agg(F.min("day").alias("_first"))
     return per_day.join(F.broadcast(first)).withColumn("epoch", F.datediff("day", "_first")).drop("_first", "day").where(F.col("val_loss").isNotNull() & F.col("train_loss").isNotNull())
 
@@ -101,7 +102,7 @@ EXPERIMENTS = """experiments AS (
   SELECT p_partkey AS id, p_name AS name, p_brand AS model, p_type AS strategy, string_split(p_name, ' ') AS tags, p_size / 50.0 AS accuracy, p_retailprice / 2500.0 AS f1 FROM part)"""
 EPOCHS = TICKS + """,
 epochs AS (
-  SELECT event_type AS run, date_diff('day', (SELECT min(CAST(day AS DATE)) FROM ticks), CAST(day AS DATE)) AS epoch, avg(value) AS loss, avg(k / 100.0) AS accuracy,
+  SELECT event_type AS run, date_diff('day', (SELECT min(CAST(day AS DATE)) FROM ticks), CAST(day AS DATE)) AS epoch, avg(value) AS loss, avg(k) / 100.0 AS accuracy,
          avg(CASE WHEN seq % 2 = 0 THEN value END) AS train_loss, avg(CASE WHEN seq % 2 = 1 THEN value END) AS val_loss
   FROM ticks GROUP BY event_type, day HAVING avg(CASE WHEN seq % 2 = 0 THEN value END) IS NOT NULL AND avg(CASE WHEN seq % 2 = 1 THEN value END) IS NOT NULL)"""
 

@@ -46,17 +46,17 @@ def _frame(value: str, low: int, high: int) -> str:
 
 @query(f"WITH {TICKS}, x AS (SELECT day, seq, {_frame('avg(price)', -5, 0)} AS past, {_frame('avg(price)', 5, 10)} AS future, {_frame('count(*)', -5, 0)} AS a, {_frame('count(*)', 5, 10)} AS b FROM ticks) SELECT day, seq, {r('(future - past) / past * 1e4', 'y')} FROM x WHERE a = 6 AND b = 6")
 def q_smoothed_return_h10_k5(spark, d):
-    return S.ticks(spark, d).withColumn("y", L.smoothed_return(10, 5)).where("y IS NOT NULL").select("day", "seq", "y")
+    return S.windowed(S.ticks(spark, d), {"y": L.smoothed_return(10, 5)}, before=5, after=10).where("y IS NOT NULL").select("day", "seq", "y")
 
 
 @query(f"WITH {TICKS}, x AS (SELECT day, seq, price, {_frame('avg(price)', 1, 10)} AS future, {_frame('count(*)', 1, 10)} AS n FROM ticks) SELECT day, seq, {r('(future - price) / price * 1e4', 'y')} FROM x WHERE n = 10")
 def q_mean_return_h10(spark, d):
-    return S.ticks(spark, d).withColumn("y", L.mean_return(10)).where("y IS NOT NULL").select("day", "seq", "y")
+    return S.windowed(S.ticks(spark, d), {"y": L.mean_return(10)}, after=10).where("y IS NOT NULL").select("day", "seq", "y")
 
 
 @query(f"WITH {TICKS}, x AS (SELECT day, seq, price, {_frame('max(price)', 1, 10)} AS hi, {_frame('min(price)', 1, 10)} AS lo, {_frame('count(*)', 1, 10)} AS n FROM ticks) SELECT day, seq, {r('CASE WHEN abs((hi - price) / price * 1e4) >= abs((lo - price) / price * 1e4) THEN (hi - price) / price * 1e4 ELSE (lo - price) / price * 1e4 END', 'y')} FROM x WHERE n = 10")
 def q_peak_return_h10(spark, d):
-    return S.ticks(spark, d).withColumn("y", L.peak_return(10)).where("y IS NOT NULL").select("day", "seq", "y")
+    return S.windowed(S.ticks(spark, d), {"y": L.peak_return(10)}, after=10).where("y IS NOT NULL").select("day", "seq", "y")
 
 
 @query(f"WITH {TICKS}, s AS (SELECT *, ln(price / lag(price) OVER w) AS lr FROM ticks {W}), x AS (SELECT day, seq, {_frame('sum(lr * lr)', 1, 10)} AS v, {_frame('count(*)', 1, 10)} AS n FROM s) SELECT day, seq, {r('v', 'y')} FROM x WHERE n = 10")
@@ -66,12 +66,12 @@ def q_fwd_variance_h10(spark, d):
 
 @query(f"WITH {TICKS} SELECT day, seq, {r('(lead(price, 5) OVER w - price) / price * 1e4', 'y_5')}, {r('(lead(price, 10) OVER w - price) / price * 1e4', 'y_10')}, {r('(lead(price, 30) OVER w - price) / price * 1e4', 'y_30')} FROM ticks {W}")
 def q_multi_horizon(spark, d):
-    return S.ticks(spark, d).select("day", "seq", *[L.point_return(h).alias(f"y_{h}") for h in (5, 10, 30)])
+    return S.windowed(S.ticks(spark, d), {f"y_{h}": L.point_return(h) for h in (5, 10, 30)}, after=30).select("day", "seq", "y_5", "y_10", "y_30")
 
 
 @query(f"WITH {TICKS}, x AS (SELECT day, seq, lag(price, 2) OVER w AS a, lead(price, 3) OVER w AS b, lead(price, 10) OVER w AS e, price FROM ticks {W}) SELECT day, seq, {r('(b - price) / price * 1e4', 'y_3')}, {r('(e - price) / price * 1e4', 'y_10')} FROM x WHERE a IS NOT NULL AND e IS NOT NULL")
 def q_forward_price_array(spark, d):
-    rows = S.ticks(spark, d).withColumn("fp", L.forward_prices(2, 10)).where("fp IS NOT NULL")
+    rows = S.windowed(S.ticks(spark, d), {"fp": L.forward_prices(2, 10)}, before=2, after=10).where("fp IS NOT NULL")
     return rows.select("day", "seq", *[L.returns_from_forward(F.col("fp"), 2, h).alias(f"y_{h}") for h in (3, 10)])
 
 
@@ -82,7 +82,7 @@ def q_classify_bps(spark, d):
 
 @query(f"WITH {TICKS}, x AS (SELECT day, seq, {_frame('avg(price)', -9, 0)} AS past, {_frame('avg(price)', 1, 4)} AS future, {_frame('count(*)', 1, 4)} AS n FROM ticks) SELECT day, seq, CASE WHEN n < 4 OR past < 1e-8 THEN 0 WHEN (future - past) / past * 1e4 > 10 THEN 1 WHEN (future - past) / past * 1e4 < -10 THEN -1 ELSE 0 END AS label FROM x")
 def q_profit_threshold_labels(spark, d):
-    return S.ticks(spark, d).select("day", "seq", L.profit_labels(10, 20, 5, 10.0).alias("label"))
+    return S.windowed(S.ticks(spark, d), {"label": L.profit_labels(10, 20, 5, 10.0)}, before=9, after=4).select("day", "seq", "label")
 
 
 @query(f"WITH {LABELED} SELECT day, seq, CAST(CASE WHEN y > 8 OR y < -8 THEN 1 ELSE 0 END AS BIGINT) AS signal FROM labeled WHERE y IS NOT NULL")
@@ -100,19 +100,27 @@ def q_label_shift(spark, d):
 @query(f"WITH {TICKS} SELECT day, seq, {r('(lead(price, 10) OVER w - price) / price * 1e4', 'primary_return')} FROM ticks {W}")
 def q_horizon_map(spark, d):
     horizons = [5, 10, 30]
-    rows = S.ticks(spark, d).withColumn("labels", F.array(*[L.point_return(h) for h in horizons]))
+    rows = S.windowed(S.ticks(spark, d), {"labels": F.array(*[L.point_return(h) for h in horizons])}, after=30)
     return rows.select("day", "seq", F.element_at(L.label_map(horizons, F.col("labels")), F.lit(10)).alias("primary_return"))
 
 
-@query(f"""WITH {TICKS}, n AS (SELECT day, seq, count(*) OVER (PARTITION BY day) AS n FROM ticks),
-spans AS (SELECT day, seq, n, seq + unnest(range(0, 10)) AS t FROM n),
+def _weights(horizon: int, stride: int) -> str:
+    return f"""WITH {TICKS}, spans AS (SELECT day, seq, seq * {stride} + unnest(range(0, {horizon})) AS t FROM ticks),
 cover AS (SELECT day, t, count(*) AS c FROM spans GROUP BY day, t),
-raw AS (SELECT s.day, s.seq, sum(1.0 / c) / 10 AS w FROM spans s JOIN cover USING (day, t) GROUP BY s.day, s.seq)
-SELECT day, seq, {r('w / avg(w) OVER (PARTITION BY day)', 'weight')} FROM raw""")
+raw AS (SELECT s.day, s.seq, sum(1.0 / c) / {horizon} AS w FROM spans s JOIN cover USING (day, t) GROUP BY s.day, s.seq)
+SELECT day, seq, {r('w / avg(w) OVER (PARTITION BY day)', 'weight')} FROM raw"""
+
+
+@query(_weights(10, 1))
 def q_sample_weights(spark, d):
     return L.sample_weights(S.ticks(spark, d), 10).select("day", "seq", "weight")
 
 
+@query(_weights(10, 3))
+def q_sample_weights_stride(spark, d):
+    return L.sample_weights(S.ticks(spark, d), 10, 3).select("day", "seq", "weight")
+
+
 @query(f"WITH {TICKS}, x AS (SELECT day, seq, {_frame('list(value)', -9, 0)} AS s FROM ticks) SELECT day, seq, {r('s[1]', 'first_value')}, {r('s[10]', 'last_value')} FROM x WHERE len(s) = 10 AND (seq - 9) % 5 = 0")
 def q_sequences(spark, d):
     got = sequences(S.ticks(spark, d), F.array("value"), 10, 5)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classification as C
 from ..operators import regression as R
-from ..sources.ticks import table, ticks
+from ..sources.ticks import by_day, table, ticks, windowed
 from .fixtures import SCORED, TICKS, W, labeled, query, r, ratio_sql, scored
 
 
@@ -83,28 +83,46 @@ def q_readability_gate(spark, d):
     return scored(spark, d).where(C.readable()).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_return"))
 
 
-_LEVELS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.8)
-CONFIDENCE = {"all": "TRUE", "directional": OUT_P, "full_agreement": "agreement >= 1.0", "full_agreement_directional": f"agreement >= 1.0 AND {OUT_P}"}
-CONFIDENCE |= {f"confirmation_over_{int(100 * c):02}": f"confirmation > {c}" for c in _LEVELS}
-CONFIDENCE |= {f"agreement_confirmation_over_{int(100 * c):02}": f"agreement >= 1.0 AND confirmation > {c}" for c in _LEVELS}
+CONFIDENCE = {
+    "all_samples": "TRUE", "agreement=1.0": "agreement = 1", "agreement>=0.667": "agreement >= 0.667", "agreement<1.0": "agreement < 1",
+    **{f"confirm>{c}": f"confirmation > {c}" for c in ("0.50", "0.55", "0.60", "0.65", "0.70", "0.75")},
+    **{f"agree=1.0 AND confirm>{c}": f"agreement = 1 AND confirmation > {c}" for c in ("0.60", "0.65", "0.70", "0.75")},
+    "directional AND agree=1.0": f"agreement = 1 AND {OUT_P}", "directional AND agree=1.0 AND confirm>0.70": f"agreement = 1 AND confirmation > 0.70 AND {OUT_P}",
+}
+ONE, TWO, WIDE, FULL, SURE = "spread <= 1.05", "spread > 1.05 AND spread <= 2.05", "spread > 2.05", "agreement = 1", "agreement = 1 AND confirmation > 0.65"
+SPREAD = {
+    "all_samples": "TRUE", "spread=1tick": ONE, "spread=2tick": TWO, "spread=wide": WIDE, "agree=1.0": FULL, "agree=1.0 + spread=1tick": f"{FULL} AND {ONE}",
+    "agree=1.0 + spread=2tick": f"{FULL} AND {TWO}", "high_conf": SURE, "high_conf + spread=1tick": f"{SURE} AND {ONE}", "high_conf + spread=2tick": f"{SURE} AND {TWO}",
+    "FULL_READABILITY: high_conf+1tick+dir": f"{SURE} AND {ONE} AND {OUT_P}", "disagree (<1.0)": "agreement <> 1", "disagree + spread=1tick": f"agreement <> 1 AND {ONE}",
+}
 
 
-def conditioned(filters: dict[str, str]) -> str:
+def conditioned(filters: dict[str, str], more: str = "") -> str:
     both = f"{OUT_P} AND {OUT_L}"
-    one = lambda name, c: f"""SELECT '{name}' AS filter, count(*) AS n, {r(ratio_sql('count(*)', '(SELECT count(*) FROM scored)'), 'rate')}, {r('coalesce(' + _share('label = pred') + ', 0.0)', 'accuracy')}, {r(_part(both + ' AND label = pred', both), 'directional_accuracy')}, {r(_part('label = 2 AND pred = 2', 'label = 2'), 'up_recall')}, {r(_part('label = 0 AND pred = 0', 'label = 0'), 'down_recall')} FROM scored WHERE {c}"""
-    return f"WITH {SCORED} " + " UNION ALL ".join(one(n, c) for n, c in filters.items())
+    classes = ", ".join(f"{r(_part(f'label = {c} AND pred = {c}', f'pred = {c}'), f'precision_{c}')}, {r(_part(f'label = {c} AND pred = {c}', f'label = {c}'), f'recall_{c}')}, count(*) FILTER (WHERE label = {c}) AS support_{c}, count(*) FILTER (WHERE pred = {c}) AS predicted_{c}" for c in range(3))
+    one = lambda name, c: f"""SELECT '{name}' AS filter, count(*) AS n, {r(ratio_sql('count(*)', '(SELECT count(*) FROM later)'), 'rate')}, {r('coalesce(' + _share('label = pred') + ', 0.0)', 'accuracy')}, {r(_part(both + ' AND label = pred', both), 'directional_accuracy')}, count(*) FILTER (WHERE {both}) AS n_directional, {classes}{more} FROM later WHERE {c}"""
+    return f"WITH {SCORED}, later AS (SELECT *, coalesce(lead(label, 5) OVER w, -1) AS l5 FROM scored {W}) " + " UNION ALL ".join(one(n, c) for n, c in filters.items())
 
 
-@query(conditioned(CONFIDENCE))
+@query(conditioned(CONFIDENCE, "".join(f", {r('coalesce(' + _share(f'{x} = pred') + ', 0.0)', f'h{h}_accuracy')}" for h, x in ((10, "label"), (15, "l5")))))
 def q_conditioned_metrics(spark, d):
-    return C.conditioned_metrics(scored(spark, d), C.confidence_filters())
+    return C.conditioned_metrics(_later(spark, d), C.confidence_filters(), {10: ("label", "pred"), 15: ("l5", "pred")})
 
 
-@query(conditioned({"all": "TRUE", "one_tick": "spread <= 1.05", "two_tick": "spread > 1.05 AND spread <= 2.05", "wide": "spread > 2.05"}))
+def _later(spark, d):
+    return windowed(scored(spark, d), {"l5": F.coalesce(F.lead("label", 5).over(by_day()), F.lit(-1))}, after=5)
+
+
+@query(conditioned(SPREAD))
 def q_spread_buckets(spark, d):
     return C.conditioned_metrics(scored(spark, d), C.spread_filters())
 
 
+@query(f"WITH {SCORED} SELECT count(spread) AS n, {', '.join(r(f'quantile_cont(CAST(spread AS DOUBLE), {p / 100})', f'p{p}') for p in (10, 25, 50, 75, 90, 95, 99))}, {', '.join(f'count(*) FILTER (WHERE {c}) AS n_{n}, {r(_share(c), f'share_{n}')}' for n, c in (('1tick', ONE), ('2tick', TWO), ('wide', WIDE)))} FROM scored")
+def q_spread_distribution(spark, d):
+    return C.spread_distribution(scored(spark, d))
+
+
 @query(f"WITH {SCORED} SELECT day, {r('sum(spread * k) / sum(k)', 'mean_spread')}, CAST(sum(k) AS BIGINT) AS n FROM scored GROUP BY day HAVING sum(k) > 0")
 def q_weighted_epochs(spark, d):
     return C.weighted_epochs(scored(spark, d), "day", "spread", "k").where("n > 0")
@@ -117,9 +135,7 @@ def q_prediction_distribution(spark, d):
 
 @query(f"WITH {SCORED}, m AS (SELECT label, pred, coalesce(lead(label, 5) OVER w, -1) AS l5 FROM scored {W}) SELECT 10 AS horizon, {r(_share('label = pred'), 'accuracy')}, count(*) AS n FROM m UNION ALL SELECT 15, {r(_share('l5 = pred'), 'accuracy')}, count(*) FROM m")
 def q_horizon_accuracy(spark, d):
-    from ..sources.ticks import by_day
-
-    rows = scored(spark, d).select(F.col("label").alias("label_h10"), F.col("pred").alias("pred_h10"), F.coalesce(F.lead("label", 5).over(by_day()), F.lit(-1)).alias("label_h15"), F.col("pred").alias("pred_h15"))
+    rows = _later(spark, d).select(F.col("label").alias("label_h10"), F.col("pred").alias("pred_h10"), F.col("l5").alias("label_h15"), F.col("pred").alias("pred_h15"))
     return C.horizon_accuracy(rows, [10, 15])
 
 
@@ -151,9 +167,9 @@ def q_spearman_ic(spark, d):
     return R.spearman(scored(spark, d), "y", "value", ["event_type"])
 
 
-@query(f"WITH {SCORED}, w AS (SELECT day, seq, yhat, {', '.join(f'(lead(price, {h}) OVER w - price) / price * 1e4 AS y{h}' for h in (1, 5, 10))} FROM scored {W}), h AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, y{h} AS y, yhat FROM w WHERE y{h} IS NOT NULL' for h in (1, 5, 10))}) SELECT horizon, {MOMENTS}, count(*) AS n FROM h GROUP BY horizon")
+@query(f"WITH {SCORED}, w AS (SELECT day, seq, yhat, {', '.join(f'(lead(price, {h}) OVER w - price) / price * 1e4 AS y{h}' for h in (1, 5, 10))} FROM scored {W}), h AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, y{h} AS y, yhat FROM w WHERE y{h} IS NOT NULL' for h in (1, 5, 10))}), k AS (SELECT *, {ranks('y', 'horizon')} AS ry, {ranks('yhat', 'horizon')} AS rp FROM h) SELECT horizon, {MOMENTS}, {r(pearson_sql('ry', 'rp'), 'ic')}, count(*) AS n FROM k GROUP BY horizon")
 def q_directional_by_horizon(spark, d):
-    return R.regression_metrics(R.by_horizon(scored(spark, d), [1, 5, 10]), ["horizon"]).drop("ic")
+    return R.regression_metrics(R.by_horizon(scored(spark, d), [1, 5, 10]), ["horizon"])
 
 
 @query(f"WITH {SCORED}, h AS (SELECT day, seq, CASE WHEN sign(y) = sign(yhat) THEN 1.0 ELSE 0.0 END AS hit FROM scored WHERE y <> 0), c AS (SELECT *, lag(hit) OVER w AS before, (SELECT avg(hit) FROM h) AS m FROM h {W}) SELECT {r('avg(hit)', 'da')}, count(*) AS n, {r(ratio_sql('sum((hit - m) * (before - m))', 'sum((hit - m) * (hit - m))'), 'hit_autocorrelation')} FROM c")
@@ -177,6 +193,17 @@ def q_feature_correlation(spark, d):
     return R.feature_correlations(table(spark, d, "lineitem"), NUMBERS, "l_discount")
 
 
+SCREENED = f"""s AS ({' UNION ALL '.join(f"SELECT {h} AS horizon, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM lineitem" for h, y in ((10, 'l_discount'), (20, 'l_tax')) for c in NUMBERS if c != 'l_tax')}),
+c AS (SELECT horizon, feature, CASE WHEN stddev_pop(x) < 1e-10 THEN 0.0 ELSE coalesce({pearson_sql('x', 'y')}, 0.0) END AS r, count(*) AS n FROM s GROUP BY ALL),
+g AS (SELECT *, CASE WHEN r > 0.01 THEN '+' WHEN r < -0.01 THEN '-' ELSE '0' END AS direction FROM c)"""
+
+
+@query(f"WITH {SCREENED} SELECT horizon, feature, {r('r', 'r')}, n, direction, row_number() OVER (PARTITION BY horizon ORDER BY abs(r) DESC, feature) AS rank, CASE WHEN direction <> '0' THEN row_number() OVER (PARTITION BY horizon, direction ORDER BY abs(r) DESC, feature) END AS place, row_number() OVER (PARTITION BY feature ORDER BY abs(r) DESC, horizon) = 1 AS best FROM g")
+def q_feature_screening(spark, d):
+    got = R.screening(table(spark, d, "lineitem"), [c for c in NUMBERS if c != "l_tax"], {10: "l_discount", 20: "l_tax"}).drop("p")
+    return got.withColumn("rank", F.col("rank").cast("long")).withColumn("place", F.col("place").cast("long"))
+
+
 @query(f"WITH {CORRELATED} SELECT feature, {r('r', 'r')}, row_number() OVER (ORDER BY abs(r) DESC, feature) AS rank FROM c QUALIFY rank <= 3")
 def q_topk_features(spark, d):
     from ..operators.evaluate import top_features
@@ -201,7 +228,7 @@ moves AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, price, m{h} AS raw, CASE
 DOLLAR = "(0.5 * avg(price) / 1e4 * 100)"
 
 
-@query(f"WITH {MOVES} SELECT horizon, count(*) AS n, {r('avg(move)', 'mean')}, {r('stddev_pop(move)', 'std')}, {r('min(move)', 'min')}, {r('max(move)', 'max')}, {r('avg(raw)', 'raw_mean')}, {r('avg(abs(raw))', 'raw_abs_mean')}, {', '.join(r(_share(f'move > {x}'), 'share_over_' + str(x).replace('.', '_')) for x in LEVELS)}, {', '.join(r(f'quantile_cont(move, {x / 100})', f'p{x}') for x in (10, 25, 50, 75, 90))}, {r('avg(price)', 'entry_price')}, {r('1.40 / ' + DOLLAR, 'breakeven')}, {r('avg(move) * ' + DOLLAR, 'gross')}, {r('avg(move) * ' + DOLLAR + ' - 1.40', 'net')} FROM moves GROUP BY horizon")
+@query(f"WITH {MOVES} SELECT horizon, count(*) AS n, {r('avg(move)', 'mean')}, {r('stddev_pop(move)', 'std')}, {r('min(move)', 'min')}, {r('max(move)', 'max')}, {r('avg(raw)', 'raw_mean')}, {r('stddev_pop(raw)', 'raw_std')}, {r('avg(abs(raw))', 'raw_abs_mean')}, {r('quantile_cont(abs(raw), 0.5)', 'raw_abs_median')}, {', '.join(r(_share(f'move > {x}'), 'share_over_' + str(x).replace('.', '_')) for x in LEVELS)}, {', '.join(r(f'quantile_cont(move, {x / 100})', f'p{x}') for x in (10, 25, 50, 75, 90))}, {r('avg(price)', 'entry_price')}, {r('1.40 / ' + DOLLAR, 'breakeven')}, {r('avg(move) * ' + DOLLAR, 'gross')}, {r('avg(move) * ' + DOLLAR + ' - 1.40', 'net')} FROM moves GROUP BY horizon")
 def q_move_magnitude(spark, d):
     return R.move_magnitudes(scored(spark, d), list(range(1, 31)), C.readable())
 

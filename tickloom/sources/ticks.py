@@ -1,13 +1,35 @@
-"""Reading ordered time series: the canonical relation is keyed by (day, seq), seq from 0 within a day."""
+"""Reading ordered time series: the canonical relation is keyed by (day, seq), seq from 0 within a day.
+
+A day is not the unit of work: days are numbered by slots of the clock, and windows run over blocks of ``BLOCK`` rows of
+a day, each with copies of the few rows before and after it that its frames reach (``windowed``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Rows of a day in one window partition, and minutes of the clock in one slot of its numbering.
+BLOCK, SLOT_MINUTES = 1 << 18, 10
+
+
 def by_day() -> WindowSpec:
-    """Per-day sequences keep their order; windows of all operators share this specification."""
-    return Window.partitionBy("day").orderBy("seq")
+    """The order within a day, for use in ``windowed``; windows of all operators share this specification."""
+    return Window.partitionBy("day", "_block").orderBy("seq")
+
+
+def windowed(rows: DataFrame, *stages: dict[str, Column], before: int = 0, after: int = 0) -> DataFrame:
+    """``rows`` with columns over ``by_day()``, one ``select`` for each of ``stages``.
+
+    ``before`` and ``after`` are how far all frames together reach. Rows within that distance of a block's edge are copied
+    into the next block, so every frame is as full as in the whole day; copies are dropped at the end.
+    """
+    seq = F.col("seq")
+    first, last = F.greatest(F.floor((seq - after) / BLOCK), F.lit(0).cast("long")), F.floor((seq + before) / BLOCK)
+    got = rows.withColumn("_block", F.explode(F.sequence(first, last)))
+    for stage in stages:
+        got = got.withColumns(stage)
+    return got.where(F.col("_block") == F.floor(seq / BLOCK)).drop("_block")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def number_days(rows: DataFrame, ts: str, tie: str) -> DataFrame:
-    """Adds day (date of ``ts``) and seq (place within the day by ``ts``, then ``tie``)."""
-    day = rows.withColumn("day", F.to_date(ts))
-    return day.withColumn("seq", (F.row_number().over(Window.partitionBy("day").orderBy(ts, tie)) - 1).cast("long"))
+    """Adds day (date of ``ts``) and seq (place within the day by ``ts``, then ``tie``).
+
+    Rows are ordered within slots of the clock; the counts of the slots before (a row per slot and day) give the rest.
+    """
+    slot = F.floor((F.hour(ts) * 60 + F.minute(ts)) / SLOT_MINUTES)
+    placed = rows.withColumn("day", F.to_date(ts)).withColumn("_slot", slot)
+    counts = placed.groupBy("day", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("day").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("day").alias("_day"), F.col("_slot").alias("_at"), earlier.alias("_start"))
+    within = placed.withColumn("_within", F.row_number().over(Window.partitionBy("day", "_slot").orderBy(ts, tie)) - 1)
+    # A null moment is of no day and no slot.
+    got = within.join(starts, F.col("day").eqNullSafe(F.col("_day")) & F.col("_slot").eqNullSafe(F.col("_at")))
+    return got.withColumn("seq", (F.col("_start") + F.col("_within")).cast("long")).drop("_slot", "_day", "_at", "_start", "_within")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +66,7 @@ def with_split(rows: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFr
 
 
 def first_days(rows: DataFrame, most: int) -> DataFrame:
-    """The rows of the first ``most`` days."""
+    """The rows of the first ``most`` days (a table of at most ``most`` rows is broadcast)."""
     days = rows.select("day").distinct().orderBy("day").limit(most)
     return rows.join(F.broadcast(days), "day", "left_semi")
 
@@ -59,6 +91,16 @@ def last_step(sequence: Column | str = "sequence") -> Column:
     return F.element_at(F.col(sequence) if isinstance(sequence, str) else sequence, -1)
 
 
+def price_and_spread(rows: DataFrame, features: Column, price: int = 40, spread: int = 42) -> DataFrame:
+    """(day, seq, price, spread) from the last step's mid-price and spread columns, as doubles.
+
+    ``features``: a row's sequence (its last step counts) or feature vector. The defaults are the layout's fixed places.
+    """
+    kind = rows.select(features.alias("x")).schema["x"].dataType.simpleString()
+    step = last_step(features) if kind.startswith("array<array") else features
+    return rows.select("day", "seq", F.get(step, F.lit(price)).cast("double").alias("price"), F.get(step, F.lit(spread)).cast("double").alias("spread"))
+
+
 def day_profile(rows: DataFrame) -> DataFrame:
     """Rows, first and last moment and value range per day."""
     return rows.groupBy("day").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,15 @@ def batch_moments(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
-    """One row per key from any number of partial rows: means weigh by count, and their spread joins the squares."""
-    total = F.sum("n")
-    mean = F.sum(F.col("mean") * F.col("n")) / total
-    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - total * mean * mean
-    return parts.groupBy(*by).agg(total.alias("n"), mean.alias("mean"), (F.sum("m2") + F.greatest(between, F.lit(0.0))).alias("m2"))
+    """One row per key from any number of partial rows: means weigh by count, and their spread joins the squares.
+
+    The spread is summed around the mean of all, known from a window over the key (no further shuffle), so that nothing
+    cancels where the mean is large.
+    """
+    key = Window.partitionBy(*by)
+    placed = parts.withColumn("_mean", F.sum(F.col("mean") * F.col("n")).over(key) / F.sum("n").over(key))
+    apart = F.col("mean") - F.col("_mean")
+    return placed.groupBy(*by).agg(F.sum("n").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"))
 
 
 def finish_moments(moments: DataFrame) -> DataFrame:
