@@ -67,7 +67,7 @@ def format_chat(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     starts = F.aggregate("_blocks", begin, lambda held, b: F.struct((held["at"] + b["chars"]).alias("at"), F.concat(held["starts"], F.array(held["at"])).alias("starts")), lambda held: held["starts"])
     placed = blocks.select("_conv", "_blocks", starts.alias("_starts"))
     moved = F.transform("_blocks", lambda b, i: F.transform(b["spans"], lambda s: F.struct((s["start"] + F.get(F.col("_starts"), i)).alias("start"), s["length"].alias("length"))))
-    return placed.select(F.col("_conv").alias(conv_col), F.concat(F.array_join(F.transform("_blocks", lambda b: b["text"]), ""), F.lit(TURN_END)).alias("formatted"), F.flatten(moved).alias("loss_spans"))
+    return placed.select(F.col("_conv").alias(conv_col), F.concat(F.array_join(F.transform("_blocks", lambda b: b["text"]), ""), F.lit(TURN_END)).alias("formatted"), F.when(F.size("_blocks") == 1, F.get("_blocks", F.lit(0))["spans"]).otherwise(F.flatten(moved)).alias("loss_spans"))
 
 
 def parse_chat(formatted: Column) -> Column:
@@ -92,7 +92,8 @@ def masked_text(formatted: Column, loss_spans: Column) -> Column:
         part = F.struct(F.substr(formatted, first["start"] + 1, last["start"] + last["length"] - first["start"]).alias("text"), first["start"].alias("at"))
         return F.array_join(F.flatten(F.transform(F.array(part), lambda p: F.transform(own, lambda s: unescape(F.substr(p["text"], s["start"] - p["at"] + 1, s["length"]))))), "")
 
-    return F.when(F.size(loss_spans) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(loss_spans) - 1, F.lit(0)), F.lit(BLOCK)), block), ""))
+    few = F.array_join(F.transform(loss_spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    return F.when(F.size(loss_spans) <= BLOCK, few).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(loss_spans) - 1, F.lit(0)), F.lit(BLOCK)), block), ""))
 
 
 def chat_digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:

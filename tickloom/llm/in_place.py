@@ -42,6 +42,7 @@ def store_keys(keys: DataFrame, tag: str) -> str:
         def done(label: int, held: list[bytes]) -> pa.RecordBatch:
             found = np.frombuffer(b"".join(held), KEY)
             found = found[np.lexsort((found["b"], found["a"]))]
+            found = found[np.r_[True, (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])]]
             own = f"{root}/{uuid.uuid4().hex}.part"
             with files.open_output_stream(own, compression=None) as stream:
                 stream.write(found.tobytes())
@@ -92,6 +93,27 @@ def listed(folder: str) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
     return look
 
 
+def listed_values(folder: str) -> Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For use in a task, of lists of (hash, value) pairs that hold two hashes of each thing: (label of a file, first hashes,
+    second hashes) -> (whether both are listed with one value, that value). Holds one list."""
+    files, root = fs.FileSystem.from_uri(folder)
+    held: dict = {"label": None}
+
+    def look(label: int, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if held["label"] != label:
+            path = f"{root}/{label}"
+            known = files.get_file_info(path).type != fs.FileType.NotFound
+            held.update(label=label, keys=np.frombuffer(files.open_input_file(path).read(), KEY) if known else np.zeros(0, KEY))
+        keys = held["keys"]
+        if not len(keys):
+            return np.zeros(len(first), bool), np.zeros(len(first), np.int64)
+        at, to = (np.minimum(np.searchsorted(keys["a"], x), len(keys) - 1) for x in (first, second))
+        found = (keys["a"][at] == first) & (keys["a"][to] == second) & (keys["b"][at] == keys["b"][to])
+        return found, keys["b"][at]
+
+    return look
+
+
 def packed(a: np.ndarray, b: np.ndarray) -> bytes:
     keys = np.empty(len(a), KEY)
     keys["a"], keys["b"] = a, b

@@ -9,8 +9,8 @@ partitions of about ``task_bytes`` of the archives each, and ranges that touch o
 read as one, up to ``most`` bytes at a time.
 
 Payloads equal in SHA-1 and length, of at least ``min_bytes`` bytes, are stored once: the record of the largest page
-id is a response, the others are revisits of it. Which payloads may repeat is found by the filter of exact
-deduplication; only their digests are grouped and only their pages meet the groups, all others are written where they lie.
+id is a response, the others are revisits of it. Only digests are grouped; which pages revisit which goes to the tasks
+that write them by input file (``in_place``), so that pages are written where they lie.
 
 Defined results: null html is an empty payload; a null URL leaves out the target's header; line breaks in URLs are
 written as %0D and %0A; pages with a null id never become the stored copy of others and revisit it as any other (if
@@ -25,13 +25,14 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_groups, materialize, parts_for, shared_path
-from .exact_dedup import RepeatFilter
+from .in_place import file_label, listed_values, pack_columns, store_keys
 
 INDEX = "page_id long, url string, file string, offset long, length long, record_type string, refers_to long, payload_digest string, payload_bytes long"
 RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -64,21 +65,23 @@ def parse_record(raw: bytes) -> dict:
     return fields | {"payload": block.partition(b"\r\n\r\n")[2]}
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 1000, bits_per_key: int = 16) -> DataFrame:
-    """(page_id, url, html, digest, size, keeper): keeper is the stored page of a repeated payload, else null.
+def _digest_columns() -> dict[str, Column]:
+    """Digest and size of the payload, two hashes of both, and the row's file."""
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    digest, size = F.sha1(html), F.octet_length(html).cast("long")
+    return {"digest": digest, "size": size, "a": F.xxhash64(digest, size), "b": F.xxhash64(F.lit(1), size, digest), "label": file_label()}
+
+
+def plan_revisits(pages: DataFrame, min_bytes: int = 1000) -> str:
+    """Store, for each input file, the hashes of its repeated payloads with the page that is kept of each. Returns the folder.
 
     ``pages`` is a stored table: its rows are found again by file.
     """
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    large, key = keyed.where(F.col("size") >= min_bytes), F.xxhash64("digest", "size")
-    n = large.count()
-    repeats = RepeatFilter(large, key, n, bits_per_key)
-    digests = materialize(repeats.rows(large.select("page_id", "digest", "size"), key, True), "page-digests")
-    keepers = digests.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("keeper")).where("_n > 1")
-    again = join_groups(repeats.rows(large, key, True), materialize(keepers, "keepers"), ["digest", "size"], "_n", n, how="left").drop("_n")
-    alone = repeats.rows(large, key, False).unionByName(keyed.where(F.col("size") < min_bytes)).withColumn("keeper", F.lit(None).cast("long"))
-    return again.unionByName(alone)
+    keyed = materialize(pages.select("page_id", *[c.alias(n) for n, c in _digest_columns().items()]).where(F.col("size") >= min_bytes), "page-digests")
+    keepers = keyed.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("keeper")).where("_n > 1 AND keeper IS NOT NULL")
+    again = join_groups(keyed, materialize(keepers, "keepers"), ["digest", "size"], "_n", keyed.count())
+    pairs = again.select("label", F.explode(F.array("a", "b")).alias("a"), F.col("keeper").alias("b"))
+    return store_keys(pack_columns(pairs), "revisits")
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 1000, level: int = 6, path: str | None = None, stored: bool = False) -> DataFrame:
@@ -92,14 +95,23 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000, level: int = 6, path
     out = path or shared_path(pages.sparkSession, "warc")
     names = [x.split(" ")[0] for x in INDEX.split(", ")]
 
+    revisits = plan_revisits(pages, min_bytes)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(out)
         files.create_dir(root, recursive=True)
+        look = listed_values(revisits)
         stream, at, name = None, 0, f"part-{uuid.uuid4().hex}.warc.gz"
         for batch in batches:
+            label, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "a", "b"))
+            cuts, known = np.r_[0, np.flatnonzero(label[1:] != label[:-1]) + 1, len(label)], []
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    found, page = look(int(label[i]), a[i:j], b[i:j])
+                    known += [int(p) if f else None for f, p in zip(found, page)]
             rows = []
-            for page_id, url, html, digest, size, keeper in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "keeper"))):
-                kind = "response" if keeper is None or keeper == page_id else "revisit"
+            for page_id, url, html, digest, size, keeper in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size")), known):
+                kind = "response" if keeper is None or keeper == page_id or size < min_bytes else "revisit"
                 refers_to = None if kind == "response" else keeper
                 raw = gzip.compress(_record(page_id, url, html.encode(), digest, kind, refers_to, size), level, mtime=0)
                 stream = stream or files.open_output_stream(f"{root}/{name}", compression=None)
@@ -112,7 +124,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000, level: int = 6, path
         if stream:
             stream.close()
 
-    index = materialize(plan_records(pages, min_bytes).mapInArrow(write, INDEX), "warc-index")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), *[c.alias(n) for n, c in _digest_columns().items()])
+    index = materialize(keyed.mapInArrow(write, INDEX), "warc-index")
     return index.withColumn("file", F.concat(F.lit(f"{out}/"), "file"))
 
 
