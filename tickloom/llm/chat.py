@@ -65,9 +65,10 @@ def format_chat(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     blocks = convs.select("_conv", F.transform(F.sequence(F.lit(0), F.size("_turns") - 1, F.lit(BLOCK)), block).alias("_blocks"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     starts = F.aggregate("_blocks", begin, lambda held, b: F.struct((held["at"] + b["chars"]).alias("at"), F.concat(held["starts"], F.array(held["at"])).alias("starts")), lambda held: held["starts"])
-    placed = blocks.select("_conv", "_blocks", starts.alias("_starts"))
-    moved = F.transform("_blocks", lambda b, i: F.transform(b["spans"], lambda s: F.struct((s["start"] + F.get(F.col("_starts"), i)).alias("start"), s["length"].alias("length"))))
-    return placed.select(F.col("_conv").alias(conv_col), F.concat(F.array_join(F.transform("_blocks", lambda b: b["text"]), ""), F.lit(TURN_END)).alias("formatted"), F.when(F.size("_blocks") == 1, F.get("_blocks", F.lit(0))["spans"]).otherwise(F.flatten(moved)).alias("loss_spans"))
+    # The starts are an argument and not looked up in the lambda, where they would be folded anew for each span.
+    moved = F.zip_with("_blocks", starts, lambda b, at: F.transform(b["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length"))))
+    spans = F.when(F.size("_blocks") == 1, F.get("_blocks", F.lit(0))["spans"]).otherwise(F.flatten(moved))
+    return blocks.select(F.col("_conv").alias(conv_col), F.concat(F.array_join(F.transform("_blocks", lambda b: b["text"]), ""), F.lit(TURN_END)).alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse_chat(formatted: Column) -> Column:
