@@ -44,10 +44,13 @@ def test_stages_follow_brute_force(spark):
 
     near = materialize(steps["near dedup"](spark, exact, D), "t")
     rows = exact.collect()
-    fp = np.array([simhash.fingerprint(r.text.encode()) for r in rows], np.uint64)
+    fp = np.array([simhash.fingerprint(r.text.encode(), 5) for r in rows], np.uint64)
+    words = [r.text.split() for r in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
     group = {r.doc_id: {r.doc_id} for r in rows}
     for i, r in enumerate(rows):
-        for j in np.flatnonzero(np.bitwise_count(fp[i] ^ fp) <= 3):
+        alike = [j for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        for j in [*np.flatnonzero(np.bitwise_count(fp[i] ^ fp) <= 3), *alike]:
             a, b = group[r.doc_id], group[rows[j].doc_id]
             if a is not b:
                 a |= b

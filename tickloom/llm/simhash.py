@@ -24,19 +24,18 @@ rows equal in all columns, one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, row_words, text_of, word_slices
+from .common import join_groups, materialize, row_words, text_of
 from .in_place import file_label, listed, pack_columns, select_rows, store_keys
 from .memory import release
+from .shingle_sets import bands_of, name_of, set_links, shingle_hashes, shingle_set
 
-SEED = 42
 HALF = 16
 #: Number of one bits of the bytes.
 POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
@@ -44,34 +43,46 @@ POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
 SLICE = 1 << 19
 
 
+def fingerprint_of(hashes: Iterable[np.ndarray]) -> int:
+    """SimHash of 64-bit hashes, repeats included; zero of none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """SimHash of the XXH64 values of the text's word shingles, repeats included; A-Z are lower-cased."""
-    ones, n, tail = np.zeros(64, np.int64), 0, []
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    for words in word_slices(text.lower(), SLICE):
-        own = tail + words
-        tail = own[-(shingle - 1) :] if shingle > 1 else []
-        if len(own) >= shingle:
-            h = np.fromiter((digest(join(s), SEED) for s in zip(*(own[k:] for k in range(shingle)))), np.uint64)
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            n += len(h)
-    if not n:
-        return digest(join(tail), SEED) if tail else 0
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *others: Column) -> DataFrame:
-    """(id, fp, ...): the fingerprint as a signed 64-bit integer, and ``others`` under their names."""
+    return fingerprint_of(shingle_hashes(text, shingle, SLICE))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *others: Column, sets: bool = False) -> DataFrame:
+    """(id, ..., fp): the fingerprint as a signed 64-bit integer, and ``others`` under their names.
+
+    ``sets``: also s, n and bands, the name, size and bands of the set of shingles.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).cast("binary").alias("text"), *others)
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, "fp"])
+            fps = np.zeros(batch.num_rows, np.uint64)
+            named, sizes, bands = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            for k, text in enumerate(batch.column(1)):
+                if not sets:
+                    fps[k] = fingerprint(text.as_py(), shingle)
+                    continue
+                hashes = list(shingle_hashes(text.as_py(), shingle, SLICE))
+                items = shingle_set(hashes)
+                fps[k], named[k], sizes[k] = fingerprint_of(hashes), name_of(items), len(items)
+                bands.append(bands_of(items))
+            more = [pa.array(named.view(np.int64)), pa.array(sizes), pa.array(bands, pa.binary())] if sets else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64)), *more], [*names, "fp", *(["s", "n", "bands"] if sets else [])])
         release()
 
-    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in names]
+    return rows.mapInArrow(run, ", ".join([*kinds, "fp long", *(["s long", "n long", "bands binary"] if sets else [])]))
 
 
 def segment_counts(fp: np.ndarray, half: int) -> np.ndarray:
@@ -230,9 +241,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def fingerprint_components(nodes: DataFrame, most: int, block: int) -> DataFrame:
-    """``nodes`` (fp, ...; a written table, fp distinct) and root, the smallest fingerprint reachable."""
-    roots = connected_components(near_links(nodes, most, block))
+def fingerprint_components(nodes: DataFrame, most: int, block: int, others: DataFrame | None = None) -> DataFrame:
+    """``nodes`` (fp, ...; a written table, fp distinct) and root, the smallest fingerprint reachable, over ``others`` (u, v) too."""
+    links = near_links(nodes, most, block)
+    roots = connected_components(links if others is None else links.unionByName(others))
     return nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
@@ -284,17 +296,24 @@ def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return left.union(one.select("_row.*"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, block: int = 4096, stored: bool = False) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, block: int = 4096, stored: bool = False, similarity: float | None = None
+) -> DataFrame:
     """``docs`` with one row of each component; columns as they are. Texts don't shuffle.
 
-    ``stored``: ``docs`` is a table as read from files; otherwise it is written to the shared folder first, as its rows are
-    found again by file.
+    ``similarity``: texts whose sets of shingles have at least this Jaccard similarity are linked too (``shingle_sets.py``), as
+    fingerprints that are ``most`` bits apart find few of them at 0.8. Hashes of shingles shuffle for texts that have a
+    partner to be held against. ``stored``: ``docs`` is a table as read from files; otherwise it is written to the shared
+    folder first, as its rows are found again by file.
     """
     if not stored:
         docs = materialize(docs, "near-dedup-input")
     a, b = row_words(docs)
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle, file_label().alias("label"), a.alias("a"), b.alias("b")), "fingerprints")
+    places = (file_label().alias("label"), a.alias("a"), b.alias("b"))
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, *places, sets=similarity is not None), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
-    found = materialize(fingerprint_components(nodes, most, block), "roots")
-    grouped = materialize(join_groups(rows, found, ["fp"], "n", rows.count()).select("label", "a", "b", "id", F.col("root").alias("group")), "near-groups")
+    others = None if similarity is None else set_links(docs, rows, text_col, shingle, similarity)
+    found = materialize(fingerprint_components(nodes, most, block, others), "roots")
+    narrow = rows.select("label", "a", "b", "id", "fp")
+    grouped = materialize(join_groups(narrow, found, ["fp"], "n", rows.count()).select("label", "a", "b", "id", F.col("root").alias("group")), "near-groups")
     return one_of_each(docs, grouped)
