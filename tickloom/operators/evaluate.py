@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,20 @@ def flatten_metrics(metrics: DataFrame, prefix: str = "test_") -> DataFrame:
     return metrics.select(F.explode(F.array(*[F.struct(F.lit(f"{prefix}{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in numeric])).alias("x")).select("x.*")
 
 
+def append_ledger(metrics: DataFrame, path: str, experiment: str, fingerprint: str) -> bool:
+    """Append the numeric metrics of a one-row record to the ledger, rows of (experiment_id, fingerprint, metric, value).
+
+    A ledger only observes: where it cannot be written, a warning is logged, nothing is raised and the result is false.
+    """
+    record = flatten_metrics(metrics, "").select(F.lit(experiment).alias("experiment_id"), F.lit(fingerprint).alias("fingerprint"), "metric", "value")
+    try:
+        record.write.mode("append").parquet(path)
+    except Exception:
+        logging.getLogger(__name__).warning("the ledger %s was not written", path, exc_info=True)
+        return False
+    return True
+
+
 def signal_metadata(rows: DataFrame, model: str, experiment: str) -> DataFrame:
     """(json): distribution of the predictions, labels, prices and spreads of a signal table, with a content fingerprint."""
     stats = [f(F.col(c)).alias(f"{c}_{name}") for c in ("yhat", "y", "price", "spread") for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import argmax, finite, softmax
+from ..sources.ticks import windowed
 from .classification import class_weights
+from .evaluate import class_prior, previous_label
 
 
 def assemble(rows: DataFrame, features: list[str], out: str = "vector") -> DataFrame:
@@ -57,6 +60,21 @@ def logistic_importance(model, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, abs(matrix).mean(0).tolist()), key=lambda x: (-x[1], x[0]))
 
 
+def feature_sweep(rows: DataFrame, sets: dict[str, list[str]], classes: int, label: str = "label", split: str = "split", fit: str = "train", c: float = 1.0) -> DataFrame:
+    """(name, split, accuracy, n): the class prior and a logistic model of each named set of features, both taken from the split ``fit``,
+    and the previous label, measured on each split. Rows with a feature that is not finite are left out of that set's model."""
+    own = rows.where(F.col(split) == fit)
+    found = {
+        "class_prior": rows.join(F.broadcast(class_prior(own, label).select(F.col("majority").alias("_pred")))),
+        "previous_label": windowed(rows, {"_pred": previous_label(label)}, before=1),
+    }
+    for name, features in sets.items():
+        scaler, model = fit_logistic(own, features, label, classes, c)
+        found[f"logistic_{name}"] = model.transform(scaler.transform(assemble(rows, features))).withColumnRenamed("prediction", "_pred")
+    hit = F.avg((F.col("_pred") == F.col(label)).cast("double")).alias("accuracy")
+    return reduce(DataFrame.unionByName, [df.groupBy(F.lit(name).alias("name"), split).agg(hit, F.count(F.lit(1)).alias("n")) for name, df in found.items()])
+
+
 def fit_boosting(rows: DataFrame, features: list[str], label: str, trees: int = 200, depth: int = 5, step: float = 0.05, share: float = 0.8, leaf: int = 50, seed: int = 42):
     """Gradient-boosted trees with squared loss (MLlib has no Huber loss)."""
     from pyspark.ml.regression import GBTRegressor

@@ -244,6 +244,12 @@ def q_ridge(spark, d):
     return spark.createDataFrame([(f, float(c)) for f, c in zip([*_RIDGE, "intercept"], [*model.coefficients, model.intercept])], "feature string, weight double")
 
 
+@query()
+def q_feature_sweep(spark, d):
+    rows = with_split(scored(spark, d)).withColumn("k", F.col("k").cast("double"))
+    return M.feature_sweep(rows, {"price_level": ["value"], "all": ["value", "spread", "k"]}, 3)
+
+
 @query()
 def q_logistic(spark, d):
     rows = scored(spark, d).select("label", "value", "spread", F.col("k").cast("double").alias("k"))
