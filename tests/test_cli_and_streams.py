@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ def test_train(spark, tmp_path, kind, column):
     assert {r.split for r in rows} == {"train", "val", "test"} and all(r[column] is not None for r in rows)
 
 
+def test_export_writes_what_the_model_says(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("name: n\nhypothesis: h\n")
+    own, path = ["--data", D, "--set"], str(tmp_path / "signals")
+    meta = json.loads(cli.main(["export", str(tmp_path / "c.yaml"), "--out", path, *own, "model.kind=ridge"], spark).first().json)
+    got = spark.read.parquet(path)
+    assert got.count() == meta["n"] > 0 and meta["experiment_id"] == "n" and {r.split for r in got.select("split").distinct().collect()} == {"train", "val", "test"}
+    mse = {r.split: r.m for r in got.groupBy("split").agg(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)).alias("m")).collect()}
+    rmse = {r.split: r.rmse for r in cli.main(["train", str(tmp_path / "c.yaml"), *own, "model.kind=ridge"], spark).collect()}
+    assert mse == pytest.approx({k: v * v for k, v in rmse.items()}, rel=1e-4)
+    with pytest.raises(config.ConfigError):
+        cli.main(["export", str(tmp_path / "c.yaml"), "--out", path, *own, "model.kind=logistic"], spark)
+
+
 def test_run_writes_and_validates(spark, tmp_path):
     cli.main(["run", "q_class_prior", "--data", D, "--out", str(tmp_path / "o")], spark)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1

@@ -3,6 +3,7 @@
     python -m tickloom.plans.cli list
     python -m tickloom.plans.cli run q_class_report --data DIR [--out PATH]
     python -m tickloom.plans.cli train CONFIG --data DIR [--set train.epochs=3] [--out PATH]
+    python -m tickloom.plans.cli export CONFIG --data DIR --out PATH [--set model.kind=ridge]
     python -m tickloom.plans.cli validate --data DIR
 """
 
@@ -14,9 +15,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.ticks import windowed, with_split, write_signals
 from . import catalog, config
 from .fixtures import finish, scored
 
+COLUMNS = ["value", "spread", "k"]
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tickloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -24,13 +28,14 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("list")
     run = sub.add_parser("run")
     run.add_argument("name")
-    train = sub.add_parser("train")
-    train.add_argument("config")
-    train.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
+    train, export = sub.add_parser("train"), sub.add_parser("export")
+    for s in (train, export):
+        s.add_argument("config")
+        s.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     validate = sub.add_parser("validate")
-    for s in (run, train, validate):
+    for s in (run, train, export, validate):
         s.add_argument("--data", required=True)
-        s.add_argument("--out")
+        s.add_argument("--out", required=s is export)
     return p
 
 
@@ -50,20 +55,32 @@ def overrides(pairs: list[str]) -> dict:
     return out
 
 
+def regressed(rows: DataFrame, experiment: config.Experiment) -> DataFrame:
+    """``rows`` with yhat, of the configured regression model fitted on the training days; rows it cannot score are left out."""
+    from ..operators import models
+
+    fit, kind = rows.where("split = 'train'"), experiment.model.kind
+    if kind not in ("ridge", "boosting"):
+        raise config.ConfigError(f"a {kind} model gives no forecasts")
+    model = models.fit_ridge(fit, COLUMNS, "y", experiment.model.alpha) if kind == "ridge" else models.fit_boosting(fit, COLUMNS, "y", trees=20, seed=experiment.train.seed)
+    return model.transform(models.assemble(rows.drop("yhat"), COLUMNS)).withColumnRenamed("prediction", "yhat").drop("vector")
+
+
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_split(scored(spark, sf_dir)).withColumn("k", F.col("k").cast("double"))
+
+
 def train(spark: SparkSession, experiment: config.Experiment, sf_dir: str) -> DataFrame:
     """(split, model metrics) of the configured model: fitted on the training days, measured on each split."""
     from ..operators import classification, evaluate, models, regression
-    from ..sources.ticks import windowed, with_split
 
-    rows = with_split(scored(spark, sf_dir)).withColumn("k", F.col("k").cast("double"))
-    fit, columns, kind = rows.where("split = 'train'"), ["value", "spread", "k"], experiment.model.kind
+    rows, kind = split_rows(spark, sf_dir), experiment.model.kind
+    fit = rows.where("split = 'train'")
     if kind in ("ridge", "boosting"):
-        model = models.fit_ridge(fit, columns, "y", experiment.model.alpha) if kind == "ridge" else models.fit_boosting(fit, columns, "y", trees=20, seed=experiment.train.seed)
-        out = model.transform(models.assemble(rows.drop("yhat"), columns)).withColumnRenamed("prediction", "yhat")
-        return regression.regression_metrics(out, ["split"])
+        return regression.regression_metrics(regressed(rows, experiment), ["split"])
     if kind == "logistic":
-        scaler, model = models.fit_logistic(fit, columns, "label", experiment.model.classes)
-        out = model.transform(scaler.transform(models.assemble(rows, columns))).withColumn("pred", F.col("prediction").cast("int"))
+        scaler, model = models.fit_logistic(fit, COLUMNS, "label", experiment.model.classes)
+        out = model.transform(scaler.transform(models.assemble(rows, COLUMNS))).withColumn("pred", F.col("prediction").cast("int"))
     elif kind == "class_prior":
         out = rows.drop("pred").join(F.broadcast(evaluate.class_prior(fit).select(F.col("majority").alias("pred"))))
     else:
@@ -71,6 +88,15 @@ def train(spark: SparkSession, experiment: config.Experiment, sf_dir: str) -> Da
     return out.groupBy("split").agg(classification.accuracy(F.col("label"), F.col("pred")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
+def export_signals(spark: SparkSession, experiment: config.Experiment, sf_dir: str, path: str) -> DataFrame:
+    """Write the model's signals by split and day; returns their metadata record."""
+    from ..operators import evaluate
+
+    rows = regressed(split_rows(spark, sf_dir), experiment).select("split", "day", "seq", "price", "spread", "y", "yhat")
+    write_signals(rows, path)
+    return evaluate.signal_metadata(spark.read.schema(rows.schema).parquet(path), experiment.model.kind, experiment.name)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame | None:
     args = parser().parse_args(argv)
     if args.command == "list":
@@ -79,10 +105,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "run":
         out = catalog.queries()[args.name](spark, args.data)
-    elif args.command == "train":
+    elif args.command in ("train", "export"):
         experiment = config.override(config.load(args.config), overrides(args.set))
         for w in experiment.warnings():
             print(f"warning: {w}")
+        if args.command == "export":
+            out = export_signals(spark, experiment, args.data, args.out)
+            out.show(1, truncate=False)
+            return out
         out = finish(train(spark, experiment, args.data)).withColumn("fingerprint", F.lit(config.fingerprint(experiment)))
     else:
         out = catalog.queries()["q_data_quality"](spark, args.data).where("n_null + n_nan + n_inf > 0")
