@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .chat import chat_digests, format_chat
 from .common import learns, table
+from .decompose import decompose_documents
+from .divergence import source_divergence
 from .exact_dedup import find_exact_duplicates
 from .line_dedup import drop_repeated_lines
+from .lloyd import cluster_vectors
 from .mixing import mix_report
 from .packing import pack_documents
 from .quality import score_quality
@@ -70,8 +73,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), stored=True).drop("payload")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10)
+
+
+def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decompose_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), length=2048, end=1)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"), least_docs=3, most_terms=200).drop("p", "q")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op2_mixing, op3_chat_format, op4_toxicity, op5_quality, op6_nearest, op7_line_dedup, op8_simhash, op9_packing, op10_warc]
+    found = [op1_exact_dedup, op2_mixing, op3_chat_format, op4_toxicity, op5_quality, op6_nearest, op7_line_dedup, op8_simhash, op9_packing, op10_warc, op11_centroids, op12_binary_packing, op13_source_divergence]
     return {f.__name__: f for f in found}
 
 
@@ -130,6 +145,37 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
 FROM k""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT row_id, lang, source, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL),
+v AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row_id) >= 3),
+k AS (SELECT c.* FROM c JOIN v USING (lang, term)),
+size AS (SELECT lang, count(*)::HUGEINT AS V FROM v GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(any_value(V), 0) AS V, coalesce(sum(k.n), 0)::HUGEINT AS N
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN k USING (lang, source) LEFT JOIN size USING (lang) GROUP BY lang, source),
+dense AS (
+  SELECT g.lang, g.source, v.term, coalesce(k.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(k.n, 0) + 1)) // (g.N + g.V) AS p
+  FROM g JOIN v ON g.lang = v.lang LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.term = v.term),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 1)) // (any_value(total) + any_value(V)) AS q
+  FROM k JOIN (SELECT lang, sum(N)::HUGEINT AS total, any_value(V) AS V FROM g GROUP BY lang) USING (lang) GROUP BY lang, term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT dense.lang, dense.source, 'term' AS part, dense.term AS item, ((p - q) * (p - q)) // q AS value
+  FROM dense JOIN whole ON dense.lang = whole.lang AND dense.term = whole.term WHERE n > 0 AND p > q),
+every AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM every WHERE part = 'pair' OR rank <= 200""",
 }
 
 
