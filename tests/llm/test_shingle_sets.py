@@ -87,6 +87,67 @@ def test_nulls_empty_short_and_repeats(spark):
     assert {(r.doc_id, r.text) for r in simhash.drop_near_duplicates(odd, shingle=5, similarity=0.8).collect()} == {(2, "a b c d e f"), (None, None)}
 
 
+def edited(rng, base, edits, mark):
+    """A copy with ``edits`` words replaced, far enough from each other that each changes five shingles."""
+    w = list(base)
+    for k in 4 + 6 * rng.permutation((len(base) - 8) // 6)[:edits]:
+        w[k] = f"{mark}x{k}"
+    return w
+
+
+def test_a_page_and_its_edited_copies(spark):
+    """Copies are at 0.818 to the page, and at most 0.78 to each other: only the page links them."""
+    rng = np.random.default_rng(7)
+    page = [f"p{i}" for i in range(204)]
+    docs = [(i, " ".join(page if i == 300 else edited(rng, page, 4, f"c{i}"))) for i in range(601)]
+    for partitions in ("4", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            assert kept(spark, docs) == [0]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_copies_without_their_page_stay(spark):
+    rng = np.random.default_rng(8)
+    page = [f"p{i}" for i in range(204)]
+    docs = [(i, " ".join(edited(rng, page, 5, f"c{i}"))) for i in range(150)]
+    assert kept(spark, docs) == brute(docs)
+
+
+def test_two_pages_of_one_passage_and_chains(spark, monkeypatch):
+    """Groups that share buckets, and chains whose ends are no copies; small blocks."""
+    monkeypatch.setattr(shingle_sets, "BLOCK", 16)
+    monkeypatch.setattr(shingle_sets, "SENT", 8)
+    rng = np.random.default_rng(9)
+    passage, docs = [f"p{i}" for i in range(120)], []
+    for g in range(2):
+        page = passage + words_of(rng, 80)
+        docs += [(len(docs) + i, " ".join(edited(rng, page, 3, f"g{g}c{i}"))) for i in range(60)]
+    for g in range(40):
+        w = words_of(rng, 300)
+        for step in range(8):
+            docs.append((len(docs), " ".join(w)))
+            w = w[18:] + [f"s{g}x{step}x{i}" for i in range(18)]
+    want, got = brute(docs), kept(spark, docs)
+    assert set(want) <= set(got) and len(got) <= len(want) + 2
+    assert len(want) < len(docs) / 4
+
+
+@pytest.mark.parametrize("low,high", [(0.8, 0.85), (0.85, 1.0)])
+def test_recall_of_pairs(spark, low, high):
+    rng = np.random.default_rng(10)
+    docs, pairs = [], 0
+    while pairs < 400:
+        base = words_of(rng, int(rng.choice([100, 300])))
+        copy = edited(rng, base, int(rng.integers(1, len(base) // 30 + 1)), "z")
+        x, y = shingles(" ".join(base)), shingles(" ".join(copy))
+        if low <= len(x & y) / len(x | y) < high:
+            docs += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(copy))]
+            pairs += 1
+    assert len(kept(spark, docs)) <= pairs * 1.02
+
+
 @pytest.mark.parametrize("size", [3, 64])
 def test_slices_and_similarity(size):
     text = b" ".join(b"w%d" % (i % 97) for i in range(500))
@@ -96,3 +157,4 @@ def test_slices_and_similarity(size):
     assert shingle_sets.similarity_of(x, y) == shingle_sets.similarity_of(y, x) == 8 / 10
     assert shingle_sets.similarity_of(x[:0], y) == 0 and shingle_sets.bands_of(x[:0]) == b""
     assert len(shingle_sets.bands_of(whole)) == 8 * shingle_sets.BANDS
+    assert len(shingle_sets.marks_of(shingle_sets.least_hashes(whole))) == shingle_sets.BANDS * shingle_sets.DEPTH

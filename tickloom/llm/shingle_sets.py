@@ -1,13 +1,24 @@
 """Links between texts by the similarity of their sets of word shingles: bands find pairs, the whole sets decide them.
 
-For each distinct set of shingle hashes 100 least hashes are taken, in 20 bands of 5. Sets that agree in a band are put
-in order of that band and the next one, over ranges, so that a band that very many texts share is split over tasks. Each
-set is paired with the one before it in the order of each band: at most 40 partners, so no set and no group is a hot key,
-and a group of near copies hangs together by its members' pairs in 20 different orders. Pairs whose sizes allow the
-similarity are held against each other by their whole sets (Jaccard similarity of 64-bit hashes); only those texts are read again.
-
-Two texts alone of similarity 0.8 share no band, and are then not found, with a probability of 0.0004 (0.9: 2e-8). What was
-measured is in the README. A text's set takes eight bytes a shingle in the task that holds it.
+For each distinct set of shingle hashes 100 least hashes are taken, in 20 bands of 5, and a byte of each is kept as a mark.
+Sets that agree in a band share a bucket. Links are found in two steps:
+
+1. Each bucket has a representative, the member that shares buckets with most others (the original of many edited copies
+   agrees with all of them, a copy with few), and every member is held against it. So a page meets all its copies, and
+   a group of like copies hangs together, with as many pairs as a bucket has members.
+2. Members that are not linked through one representative are held against each other, in the buckets where that is so. Their
+   marks are compared in the task, in blocks of ``BLOCK`` members, and pairs that are alike in at least ``similarity`` - ``SLACK`` of
+   them and not yet linked to one representative, go on. There is no cap on partners.
+
+In both steps pairs whose sizes and marks allow the similarity are held against each other by their whole sets (Jaccard
+similarity of 64-bit hashes). Only the texts in shared buckets are read again; a set that many are held against is sent
+once for every ``SENT`` of them.
+
+Two texts of similarity 0.8 share no band with a probability of 0.0004 (0.9: 2e-8), and have too few like marks for step 2 with one of
+0.002 (0.85: 5e-6), for step 1 with one of 2e-6. Step 2 compares marks of all pairs of unlinked members of a
+bucket, so its time grows with the square of the number of such members (texts that share a passage and are no copies); what it
+sends on grows with the number of pairs that are nearly as alike as asked. A text's set takes eight bytes a shingle in the
+task that holds it.
 """
 
 from __future__ import annotations
@@ -20,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_words, text_of, word_slices
+from .common import join_groups, materialize, row_words, text_of, word_slices
 from .in_place import file_label, listed, pack_columns, select_rows, store_keys
 from .memory import release
 
@@ -28,6 +39,10 @@ SEED = 42
 BANDS, DEPTH = 20, 5
 #: Odd factors: each orders the hashes in another way.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+#: How far the share of like marks may lie below the similarity asked for, in each step.
+WIDE, SLACK = 0.2, 0.12
+#: Members of a bucket compared at once, and partners that one copy of a set is sent to.
+BLOCK, SENT = 2048, 512
 #: Bytes of a text cut into words at once.
 SLICE = 1 << 19
 
@@ -55,15 +70,23 @@ def name_of(items: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(items.tobytes(), SEED) if len(items) else 0
 
 
-def bands_of(items: np.ndarray) -> bytes:
-    """The hashes of the bands of a set, 8 bytes each; none for an empty set."""
-    if not len(items):
-        return b""
+def least_hashes(items: np.ndarray) -> np.ndarray:
+    """For each of ``FACTORS`` the least product with an item; none for an empty set."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
     for at in range(0, len(items), 4096):
         least = np.minimum(least, (items[at : at + 4096, None] * FACTORS).min(0))
-    rows = least.reshape(BANDS, DEPTH)
-    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).tobytes()
+    return least if len(items) else least[:0]
+
+
+def bands_of(items: np.ndarray, least: np.ndarray | None = None) -> bytes:
+    """The hashes of the bands of a set, 8 bytes each; none for an empty set."""
+    rows = (least_hashes(items) if least is None else least).reshape(-1, DEPTH)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).tobytes()
+
+
+def marks_of(least: np.ndarray) -> bytes:
+    """A byte of each least hash."""
+    return ((least >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def similarity_of(x: np.ndarray, y: np.ndarray) -> float:
@@ -76,48 +99,107 @@ def similarity_of(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def banded_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """(s, fp, s2, fp2), s <= s2, distinct: neighbours in the orders of the bands, of sizes that allow the similarity.
-
-    ``entries``: (s, fp, n, bands), distinct in (s, fp).
-    """
+def shared_buckets(entries: DataFrame) -> DataFrame:
+    """(key, s, n, many, deg), written: the buckets that several sets share, with their sizes; ``deg`` is the sum of the
+    sizes of all buckets that a set is in. ``entries``: (s, n, bands, marks), distinct in s."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.filter(pa.array(batch.column("n").to_numpy() > 0))
-            keys = np.frombuffer(b"".join(x.as_py() for x in some.column("bands")), np.int64).reshape(-1, BANDS)
-            for k in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].copy()), pa.array(keys[:, (k + 1) % BANDS].copy()), *(some.column(c) for c in ("s", "fp", "n"))], ["key", "next", "s", "fp", "n"])
+            keys = np.frombuffer(b"".join(x.as_py() for x in some.column("bands")), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(some.column(c).to_numpy(), BANDS)) for c in ("s", "n"))], ["key", "s", "n"])
+
+    placed = materialize(entries.select("s", "n", "bands").mapInArrow(place, "key long, s long, n long"), "bands")
+    counts = materialize(placed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared-bands")
+    shared = materialize(join_groups(placed, counts, ["key"], "many", placed.count()), "buckets")
+    return materialize(shared.join(shared.groupBy("s").agg(F.sum("many").alias("deg")), "s"), "buckets-by-degree")
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(0, np.int64)] * 4
+
+def representative_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(s, s2), distinct: each set and the representatives of its buckets, where their sizes allow the similarity."""
+    first = materialize(shared.groupBy("key").agg(F.max(F.struct("deg", "s", "n")).alias("rep"), F.count(F.lit(1)).alias("many")), "representatives")
+    held = join_groups(shared.drop("many", "deg"), first, ["key"], "many", shared.count())
+    sizes = F.least("n", "rep.n") >= similarity * F.greatest("n", "rep.n")
+    return held.where(sizes & (F.col("s") != F.col("rep.s"))).select("s", F.col("rep.s").alias("s2")).distinct()
+
+
+def unlinked_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
+    """(s, s2), s < s2, distinct: members of one bucket that differ in ``labels`` (s, label), of like sizes and marks.
+
+    ``labels``: each set's representative, itself if it has none. Buckets with one label are done.
+    """
+    block, least = block or BLOCK, (similarity - SLACK) * len(FACTORS)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch], both: bool) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            s, n, label, side = (t[c].to_numpy() for c in ("s", "n", "label", "side"))
+            marks = np.frombuffer(b"".join(x.as_py() for x in t["marks"]), np.uint8).reshape(len(s), -1)
+            for at in np.flatnonzero(~side) if both else range(len(s)):
+                to = np.flatnonzero(side) if both else np.arange(at + 1, len(s))
+                fits = (label[to] != label[at]) & (np.minimum(n[to], n[at]) >= similarity * np.maximum(n[to], n[at]))
+                to = to[fits]
+                to = to[(marks[to] == marks[at]).sum(1) >= least]
+                if len(to):
+                    own = np.full(len(to), s[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, s[to])), pa.array(np.maximum(own, s[to]))], ["s", "s2"])
+
+        held, now = [], None
+        for batch in batches:
+            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)]):
+                group = (key[a], i[a], j[a])
+                if group != now and held:
+                    yield from pairs(held, now[1] != now[2])
+                    held = []
+                now = group
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from pairs(held, now[1] != now[2])
+
+    labelled = shared.select("key", "s", "n").join(labels, "s")
+    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").drop("_a", "_b")
+    rows = materialize(join_groups(materialize(labelled, "labelled"), materialize(open_, "open-buckets"), ["key"], "many", shared.count()), "open-members").join(marks, "s")
+    # Members are dealt into k blocks, and each pair of blocks is a group; ``side``: whether a member is of the second block.
+    k, own = F.ceil(F.col("many") / block).cast("int"), F.pmod(F.xxhash64("s"), F.ceil(F.col("many") / block)).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("side")))
+    dealt = rows.select("key", "s", "n", "label", "marks", F.explode(groups).alias("g")).select("key", "g.i", "g.j", "g.side", "s", "n", "label", "marks")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(alike, "s long, s2 long").distinct()
+
+
+def like_marks(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose marks allow the similarity. ``s2`` may be the partner of many."""
+    least = (similarity - WIDE) * len(FACTORS)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [batch.column(c).to_numpy() for c in ("key", "s", "fp", "n")]
-            key, s, fp, n = (np.concatenate([x, y]) for x, y in zip(last, own))
-            last = [x[-1:] for x in (key, s, fp, n)]
-            p = np.flatnonzero((key[1:] == key[:-1]) & (fp[1:] != fp[:-1]))
-            p = p[np.minimum(n[p], n[p + 1]) >= similarity * np.maximum(n[p], n[p + 1])]
-            if len(p):
-                ahead = s[p] <= s[p + 1]
-                i, j = np.where(ahead, p, p + 1), np.where(ahead, p + 1, p)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[i], fp[i], s[j], fp[j])], ["s", "fp", "s2", "fp2"])
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(m.as_py() for m in batch.column(c)), np.uint8).reshape(batch.num_rows, -1) for c in ("marks", "marks2"))
+                yield batch.select(["s", "s2"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return beside(pairs, marks.toDF("s2", "marks2")).join(marks, "s").select("s", "s2", "marks", "marks2").mapInArrow(keep, "s long, s2 long")
+
 
-    placed = materialize(entries.select("s", "fp", "n", "bands").mapInArrow(place, "key long, next long, s long, fp long, n long"), "bands")
-    order = ["key", "next", "s", "fp"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, "s long, fp long, s2 long, fp2 long").distinct()
+def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` (written) joined with ``values`` by s2, which many pairs may share: its value is sent once for each ``SENT`` of them."""
+    many = materialize(pairs.groupBy("s2").agg(F.count(F.lit(1)).alias("_many")), "partners")
+    parts = F.ceil(F.col("_many") / SENT).cast("int")
+    dealt = join_groups(pairs, many, ["s2"], "_many", pairs.count()).withColumn("_part", F.pmod(F.xxhash64("s"), parts).cast("int")).drop("_many")
+    sent = values.join(many, "s2").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_many")
+    return dealt.join(sent, ["s2", "_part"]).drop("_part")
 
 
 def set_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(u, v), u < v: fingerprints of texts whose sets of shingles have at least this Jaccard similarity.
+    """(u, v), u < v: fingerprints of texts whose sets of shingles have at least this Jaccard similarity, or that are linked
+    through others by it.
 
-    ``docs``: a stored table. ``rows``: a written table (label, a, b, fp, s, n, bands) of its rows.
+    ``docs``: a stored table. ``rows``: a written table (label, a, b, fp, s, n, bands, marks) of its rows.
     """
-    entries = materialize(rows.groupBy("s", "fp").agg(F.min(F.struct("label", "a", "b")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
-    pairs = materialize(banded_pairs(entries, similarity), "set-pairs")
-    link = (F.least("fp", "fp2").alias("u"), F.greatest("fp", "fp2").alias("v"))
-    open_pairs = pairs.where("s <> s2")
-    wanted = open_pairs.select(F.explode(F.array("s", "s2")).alias("s")).distinct()
-    places = wanted.join(entries.groupBy("s").agg(F.min("at").alias("at")), "s").select("at.label", "at.a", "at.b")
+    entries = materialize(rows.groupBy("s").agg(F.min(F.struct("label", "a", "b")).alias("at"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "sets")
+    shared = shared_buckets(entries)
+    marks = entries.where("n > 0").select("s", "marks")
+    places = shared.select("s").distinct().join(entries, "s").select("at.label", "at.a", "at.b")
     folder = store_keys(pack_columns(places), "texts-wanted")
     texts = select_rows(docs, file_label(), *row_words(docs), lambda: listed(folder)).select(text_of(text_col).cast("binary").alias("text"))
 
@@ -132,12 +214,25 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, sim
         for batch in batches:
             x, y = batch.column("items"), batch.column("items2")
             near = [similarity_of(*(np.frombuffer(c[k].as_py(), np.uint64) for c in (x, y))) >= similarity for k in range(len(x))]
-            yield batch.select(["fp", "fp2"]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(["s", "s2"]).filter(pa.array(near, pa.bool_()))
         release()
 
     # Rows equal in all columns give one set more than once.
-    sets = texts.mapInArrow(whole, "s long, items binary").groupBy("s").agg(F.first("items").alias("items"))
-    sets = materialize(sets, "whole-sets")
-    held = open_pairs.join(sets, "s").join(sets.toDF("s2", "items2"), "s2").select("fp", "fp2", "items", "items2")
-    decided = held.mapInArrow(decide, "fp long, fp2 long")
-    return decided.unionByName(pairs.where("s = s2").select("fp", "fp2")).select(*link).distinct()
+    sets = materialize(texts.mapInArrow(whole, "s long, items binary").groupBy("s").agg(F.first("items").alias("items")), "whole-sets")
+
+    def linked(pairs: DataFrame, tag: str) -> DataFrame:
+        held = beside(pairs, sets.toDF("s2", "items2")).join(sets, "s").select("s", "s2", "items", "items2")
+        return materialize(held.mapInArrow(decide, "s long, s2 long"), f"{tag}-links")
+
+    nearby = like_marks(materialize(representative_pairs(shared, similarity), "representative-pairs"), marks, similarity)
+    to_first = linked(materialize(nearby, "first-pairs"), "first")
+    degree = shared.select("s", "deg").distinct()
+    ends = to_first.join(degree.toDF("s2", "deg"), "s2").select("s", F.struct("deg", F.col("s2").alias("label")).alias("to"))
+    ends = ends.unionByName(degree.select("s", F.struct("deg", F.col("s").alias("label")).alias("to")))
+    labels = materialize(ends.groupBy("s").agg(F.max("to").alias("to")).select("s", "to.label"), "labels")
+    others = linked(materialize(unlinked_pairs(shared, labels, marks, similarity), "unlinked-pairs"), "more")
+    names = entries.select("s", "fp")
+    edges = beside(to_first.unionByName(others), names.toDF("s2", "v")).join(names.toDF("s", "u"), "s").select("u", "v")
+    # Texts of one set may have several fingerprints.
+    same = rows.select("s", "fp").distinct().join(names.toDF("s", "v"), "s").select(F.col("fp").alias("u"), "v")
+    return edges.unionByName(same).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import join_groups, materialize, row_words, text_of
 from .in_place import file_label, listed, pack_columns, select_rows, store_keys
 from .memory import release
-from .shingle_sets import bands_of, name_of, set_links, shingle_hashes, shingle_set
+from .shingle_sets import bands_of, least_hashes, marks_of, name_of, set_links, shingle_hashes, shingle_set
 
 HALF = 16
 #: Number of one bits of the bytes.
@@ -60,7 +60,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *others: Column, sets: bool = False) -> DataFrame:
     """(id, ..., fp): the fingerprint as a signed 64-bit integer, and ``others`` under their names.
 
-    ``sets``: also s, n and bands, the name, size and bands of the set of shingles.
+    ``sets``: also s, n, bands and marks: the name, size, bands and marks of the set of shingles.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).cast("binary").alias("text"), *others)
     names = [c for c in rows.columns if c != "text"]
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
-            named, sizes, bands = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            named, sizes, bands, marks = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), [], []
             for k, text in enumerate(batch.column(1)):
                 if not sets:
                     fps[k] = fingerprint(text.as_py(), shingle)
@@ -76,13 +76,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hashes = list(shingle_hashes(text.as_py(), shingle, SLICE))
                 items = shingle_set(hashes)
                 fps[k], named[k], sizes[k] = fingerprint_of(hashes), name_of(items), len(items)
-                bands.append(bands_of(items))
-            more = [pa.array(named.view(np.int64)), pa.array(sizes), pa.array(bands, pa.binary())] if sets else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64)), *more], [*names, "fp", *(["s", "n", "bands"] if sets else [])])
+                least = least_hashes(items)
+                bands.append(bands_of(items, least))
+                marks.append(marks_of(least))
+            more = [pa.array(named.view(np.int64)), pa.array(sizes), pa.array(bands, pa.binary()), pa.array(marks, pa.binary())] if sets else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64)), *more], [*names, "fp", *(["s", "n", "bands", "marks"] if sets else [])])
         release()
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in names]
-    return rows.mapInArrow(run, ", ".join([*kinds, "fp long", *(["s long", "n long", "bands binary"] if sets else [])]))
+    return rows.mapInArrow(run, ", ".join([*kinds, "fp long", *(["s long", "n long", "bands binary", "marks binary"] if sets else [])]))
 
 
 def segment_counts(fp: np.ndarray, half: int) -> np.ndarray:
