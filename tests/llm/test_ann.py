@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.llm import queries
 from tickloom.llm.ann import hilbert_keys, nearest, norm_ranges
 
 
@@ -104,6 +105,28 @@ def test_norm_ranges():
     assert norm_ranges({0: 500, 1: 500, 2: 500, 9: 500}, 100, 2) == [(0, 500), (9, 1500)]
 
 
+def test_recall_of_the_query_on_a_whole_table(spark):
+    """The query's own defaults, by curves like every size, on the given vectors."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = {}
+    for r in queries.op6_nearest(spark, d).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert recall_of(got, exact(ids, x, 20, 20)) >= 0.9
+
+
+def test_recall_with_the_defaults_beyond_ten_thousand(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("id") % 100 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert recall_of(got, exact(np.arange(12_000), x, 20, 100)) >= 0.9
+
+
 def test_ids_with_several_vectors(spark):
     rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [2.0, 0.0]), (3, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

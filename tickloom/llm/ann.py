@@ -1,9 +1,8 @@
 """Nearest neighbours by inner product over shifted Hilbert curves.
 
 Candidates are split by norm into ranges of powers of two below the largest (at most ``ranges``, the rest in the last), and
-each range is searched on its own: neighbouring ranges that hold no more than ``curves`` x ``least`` vectors together are
-one, compared with every query; the others have curves, bounds and a largest norm of their own. So a few long vectors
-leave the order of the others as it is. Within a range
+each range is searched on its own, by curves, bounds and a largest norm of its own (neighbouring ranges that hold no more than
+``curves`` x ``least`` vectors together are one). So a few long vectors leave the order of the others as it is. Within a range
 largest inner product becomes nearest point by one more coordinate (candidates are divided by the range's largest norm and
 get the coordinate that makes them unit vectors; queries are divided by their own norm and get 0). For each of
 ``curves`` curves, points are projected onto ``dims`` random orthonormal directions, shifted, cut into 2**(2 ``bits``) steps
@@ -92,8 +91,8 @@ def mixed(ids: np.ndarray, salt: int) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec array<double>): the rows that take part."""
-    vec = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 is 0.0
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    vec = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 is 0.0
+    good = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     return good.where(F.coalesce(fine, F.lit(False)))
 
@@ -171,7 +170,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         where = F.when(power <= split[r][0], r).otherwise(where)
     nodes = materialize(nodes.withColumn("range", where.cast("int")), "norm-ranges")
     largest = dict(nodes.groupBy("range").agg(F.max("norm")).collect())
-    curved = [r for r, (_, many) in enumerate(split) if many > curves * least]
+    curved = list(range(len(split)))
 
     rng = np.random.default_rng(seed)
     dims = min(dims, width + 1)
@@ -188,11 +187,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return np.c_[own, more]
 
     def some(df: DataFrame, r: int | None) -> np.ndarray:
-        chosen = df.orderBy(F.xxhash64("h1", F.lit(seed)), "h1", "h2").limit(max(1, sample // max(1, len(curved)))).select("vec").collect()
+        chosen = df.orderBy(F.xxhash64("h1", F.lit(seed)), "h1", "h2").limit(max(1, sample // len(curved))).select("vec").collect()
         return np.einsum("nd,cdk->cnk", points(np.array([x.vec for x in chosen]).reshape(-1, width), r), axes)
 
     low, reach = {}, {}
-    asked = some(questions, None) if curved and n_queries else None
+    asked = some(questions, None) if n_queries else None
     for r in curved:
         bounds = [np.quantile(y, [0.001, 0.999], axis=1) for y in (some(nodes.where(F.col("range") == r), r), asked) if y is not None]
         low[r], high = np.min([b[0] for b in bounds], axis=0), np.max([b[1] for b in bounds], axis=0)
@@ -245,11 +244,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     for r, many in entries.items():
         own = F.floor((F.col("before") + F.col("at") - first[r] - (F.col("curve") - r * curves).cast("long") * many) / size[r])
         block = F.when(F.floor(F.col("curve") / curves) == r, own).otherwise(block)
-    # Ranges without curves: their vectors are held against every query, in groups of queries.
-    plain = [r for r in range(len(split)) if r not in curved]
-    spread = parts_for(n_queries, 4096)
-    for r in plain:
-        last[r] = spread - 1
     placed = ordered.join(F.broadcast(starts), "part").select(F.col("id").alias("node"), "query", F.struct("curve", block.alias("block")).alias("place"))
     places = placed.groupBy("node", "query").agg(F.collect_list("place").alias("places"))  # one on each curve
     places = places.select(F.col("node").alias("_node"), F.col("query").alias("_query"), "places")
@@ -257,7 +251,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = batch.column(2).to_numpy()
-            places, node = batch.column(5), batch.column(0).to_numpy()
+            places = batch.column(5)
 
             def send(row: np.ndarray, curve: np.ndarray, to: np.ndarray) -> Iterator[pa.RecordBatch]:
                 for lo in range(0, len(row), 4096):
@@ -266,12 +260,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                     columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(of[i] < 0), batch.column(3).take(take), batch.column(4).take(take)]
                     yield pa.RecordBatch.from_arrays([pa.array(curve[lo : lo + 4096]), pa.array(to[lo : lo + 4096]), *columns], ["curve", "block", "node", "vec", "query", "own", "ids"])
 
-            for r in plain:
-                asks = np.flatnonzero(of < 0)
-                yield from send(asks, np.full(len(asks), r * curves, np.int32), np.mod(mixed(node[asks], 0), spread))
-                held = np.flatnonzero(of == r)
-                for to in range(spread):
-                    yield from send(held, np.full(len(held), r * curves, np.int32), np.full(len(held), to))
             curve, own = (x.to_numpy(zero_copy_only=False) for x in places.flatten().flatten())
             row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
             for r in curved:
@@ -333,13 +321,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         if held:
             yield from best(held)
 
-    if curved:
-        with_places = items.join(places, (F.col("node") == F.col("_node")) & ((F.col("range") < 0) == F.col("_query")), "left").select("node", "vec", "range", "own", "ids", "places")
-    else:
-        with_places = items.withColumn("places", F.lit(None).cast("array<struct<curve:int,block:bigint>>"))
-    with_places = with_places.withColumn("places", F.coalesce("places", F.array().cast("array<struct<curve:int,block:bigint>>")))
+    with_places = items.join(places, (F.col("node") == F.col("_node")) & ((F.col("range") < 0) == F.col("_query"))).select("node", "vec", "range", "own", "ids", "places")
     dealt = with_places.mapInArrow(deal, "curve int, block long, node long, vec array<double>, query boolean, own string, ids array<long>")
-    groups = parts_for(sum((curves if r in curved else 1) * (last[r] + 1) for r in last), 64, 8)
+    groups = parts_for(sum(curves * (last[r] + 1) for r in last), 64, 8)
     found = dealt.repartition(groups, "curve", "block").sortWithinPartitions("curve", "block").mapInArrow(search, "node long, vec_id long, score double")
     # At most ranges x curves x (2 x wide + 1) x (k + 1) rows per question, whatever the number of rows.
     hits = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("less"), F.col("vec_id").alias("vec_id"))))
