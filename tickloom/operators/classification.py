@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, ratio, share
+from ..sources.shared import materialize
+from .quantiles import exact_quantiles, with_quantiles
 
 #: Names of the classes by labelling strategy.
 CLASS_NAMES = {
@@ -184,13 +186,12 @@ def spread_filters(tick: float = 0.01, price: float = 100.0) -> dict[str, Column
 def spread_distribution(rows: DataFrame, tick: float = 0.01, price: float = 100.0) -> DataFrame:
     """(n, p10 ... p99, n_1tick, share_1tick, ...): quantiles of the spread and the buckets' sizes and shares, one row."""
     levels = (10, 25, 50, 75, 90, 95, 99)
-    buckets = spread_buckets(tick, price)
+    buckets, rows = spread_buckets(tick, price), materialize(rows.select("spread"), "spreads")
     got = rows.agg(
         F.count("spread").alias("n"),
-        F.percentile("spread", F.array(*[F.lit(p / 100) for p in levels])).alias("_p"),
         *[x for name, c in buckets.items() for x in (count_if(c).alias(f"n_{name}"), share(c).alias(f"share_{name}"))],
     )
-    return got.select("*", *[F.get("_p", F.lit(i)).alias(f"p{p}") for i, p in enumerate(levels)]).drop("_p")
+    return with_quantiles(got, exact_quantiles(rows, "spread", [p / 100 for p in levels], []), [], [f"p{p}" for p in levels])
 
 
 def readable(agreement: float = 1.0, confirmation: float = 0.65, spread: float = 1.05) -> Column:
@@ -235,15 +236,15 @@ def weighted_epochs(rows: DataFrame, by: str, value: str, weight: str) -> DataFr
 
 def prediction_distribution(rows: DataFrame) -> DataFrame:
     """Shares of predicted classes, of directional and of fully agreed rows, and quantiles of confirmation."""
-    pct = F.percentile("confirmation", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.99)]))
-    return rows.agg(
+    rows = materialize(rows.select("pred", "agreement", "confirmation"), "predictions")
+    got = rows.agg(
         *[count_if(F.col("pred") == c).alias(f"n_pred_{c}") for c in range(3)],
         share(F.col("pred") != 1).alias("directional_rate"),
         count_if(F.col("agreement") > 0.99).alias("n_full_agreement"),
         F.avg("agreement").alias("mean_agreement"),
         F.avg("confirmation").alias("mean_confirmation"),
-        pct.alias("_p"),
-    ).select("*", *[F.get("_p", F.lit(i)).alias(f"confirmation_p{p}") for i, p in enumerate((25, 50, 75, 99))]).drop("_p")
+    )
+    return with_quantiles(got, exact_quantiles(rows, "confirmation", [0.25, 0.5, 0.75, 0.99], []), [], [f"confirmation_p{p}" for p in (25, 50, 75, 99)])
 
 
 def horizon_accuracy(rows: DataFrame, horizons: list[int], label: str = "label_h{}", pred: str = "pred_h{}") -> DataFrame:

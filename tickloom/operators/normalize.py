@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, finite
+from .quantiles import exact_quantiles, with_quantiles
 
 #: Columns of the raw book (below 40) that hold prices and sizes, by layout; fixed values.
 LAYOUTS = {
@@ -88,11 +89,14 @@ def apply_global(rows: DataFrame, pooled: DataFrame, price_size: tuple[list[int]
 
 
 def feature_statistics(rows: DataFrame, by: list[str], features: str = "features", floor: float = 1e-8) -> DataFrame:
-    """(by, idx, mean, std, min, max, median, q25, q75, iqr, n) of the finite values; deviations not below ``floor``."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = exploded(rows, features, by).groupBy(*by, "idx").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("_q"), F.count(F.lit(1)).alias("n"))
-    q25, q50, q75 = (F.get("_q", F.lit(i)) for i in range(3))
-    return got.select(*by, "idx", "mean", "std", "min", "max", q50.alias("median"), q25.alias("q25"), q75.alias("q75"), (q75 - q25).alias("iqr"), "n")
+    """(by, idx, mean, std, min, max, median, q25, q75, iqr, n) of the finite values; deviations not below ``floor``.
+
+    ``rows`` are scanned several times (``exact_quantiles``).
+    """
+    each, keys = exploded(rows, features, by), [*by, "idx"]
+    got = each.groupBy(*keys).agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count(F.lit(1)).alias("n"))
+    got = with_quantiles(got, exact_quantiles(each, "x", [0.25, 0.5, 0.75], keys), keys, ["q25", "median", "q75"])
+    return got.select(*keys, "mean", "std", "min", "max", "median", "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"), "n")
 
 
 def column_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -121,12 +125,14 @@ def plain_zscore(value: Column, mean: Column, std: Column, flat: float = 1e-10)
 
 
 def scale_columns(rows: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """minmax to [0, 1] or robust by median and quartiles, over all rows: one aggregate, joined back as one row."""
+    """minmax to [0, 1] or robust by median and quartiles, over all rows: one row of statistics, joined back."""
     if how == "minmax":
         one = rows.agg(*[x for c in columns for x in (F.min(c).alias(f"_{c}_a"), (F.max(c) - F.min(c)).alias(f"_{c}_b"))])
     elif how == "robust":
-        q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        one = rows.agg(*[F.percentile(c, q).alias(f"_{c}_q") for c in columns]).select(*[x for c in columns for x in (F.get(f"_{c}_q", F.lit(1)).alias(f"_{c}_a"), (F.get(f"_{c}_q", F.lit(2)) - F.get(f"_{c}_q", F.lit(0))).alias(f"_{c}_b"))])
+        each = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_f")).select("_f.*")
+        q = exact_quantiles(each, "x", [0.25, 0.5, 0.75], ["column"])
+        of = lambda c, k: F.max(F.when(F.col("column") == c, F.get("quantiles", F.lit(k))))
+        one = q.agg(*[x for c in columns for x in (of(c, 1).alias(f"_{c}_a"), (of(c, 2) - of(c, 0)).alias(f"_{c}_b"))])
     else:
         raise ValueError(f"unknown scaling {how}")
     out = rows.join(F.broadcast(one))

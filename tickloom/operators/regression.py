@@ -11,6 +11,7 @@ from ..functions.scalar import count_if, finite, ratio, share, sign
 from ..sources.shared import materialize
 from ..sources.ticks import BLOCK, windowed
 from .labels import point_return
+from .quantiles import exact_quantiles, with_quantiles
 
 
 def pearson(x: Column, y: Column, least: int = 2) -> Column:
@@ -197,9 +198,10 @@ def ic_gate(rows: DataFrame, features: list[str], label: str, least_ic: float =
 
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:
-    """mean, std (population), min, max, median, p90 of the finite values."""
+    """mean, std (population), min, max, median, p90 of the finite values. ``rows`` are scanned several times."""
     x = F.when(finite(F.col(value)), F.col(value))
-    return rows.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(F.lit(0.5), F.lit(0.9))).alias("_p")).select("mean", "std", "min", "max", F.get("_p", F.lit(0)).alias("median"), F.get("_p", F.lit(1)).alias("p90"))
+    got = rows.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return with_quantiles(got, exact_quantiles(rows, value, [0.5, 0.9], []), [], ["median", "p90"])
 
 
 def move_magnitudes(rows: DataFrame, horizons: list[int], gate: Column, levels: tuple[float, ...] = (0, 1, 2, 2.15, 3, 5, 10), cost: float = 1.40, delta: float = 0.50) -> DataFrame:
@@ -209,8 +211,8 @@ def move_magnitudes(rows: DataFrame, horizons: list[int], gate: Column, levels:
     wide = windowed(rows.select("day", "seq", "price", "pred", gate.alias("_gate")), {f"_m{h}": point_return(h) for h in horizons}, after=max(horizons)).where("_gate")
     pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_m{h}").alias("raw")) for h in horizons]))
     each = wide.select("price", "pred", pairs.alias("_x")).select("price", "pred", "_x.*").where(F.col("raw").isNotNull())
-    each = each.withColumn("move", F.when(F.col("pred") == 2, F.col("raw")).otherwise(-F.col("raw")))
-    q = (0.1, 0.25, 0.5, 0.75, 0.9)
+    each = materialize(each.withColumn("move", F.when(F.col("pred") == 2, F.col("raw")).otherwise(-F.col("raw"))).drop("pred"), "moves")
+    q = [0.1, 0.25, 0.5, 0.75, 0.9]
     got = each.groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("move").alias("mean"),
@@ -220,12 +222,12 @@ def move_magnitudes(rows: DataFrame, horizons: list[int], gate: Column, levels:
         F.avg("raw").alias("raw_mean"),
         F.stddev_pop("raw").alias("raw_std"),
         F.avg(F.abs("raw")).alias("raw_abs_mean"),
-        F.percentile(F.abs("raw"), F.lit(0.5)).alias("raw_abs_median"),
-        F.percentile("move", F.array(*[F.lit(x) for x in q])).alias("_q"),
         *[share(F.col("move") > level).alias(f"share_over_{str(level).replace('.', '_')}") for level in levels],
         F.avg(price).alias("entry_price"),
     )
-    got = got.select("*", *[F.get("_q", F.lit(i)).alias(f"p{int(100 * x)}") for i, x in enumerate(q)]).drop("_q")
+    sizes = exact_quantiles(each.select("horizon", F.abs("raw").alias("size")), "size", [0.5], ["horizon"])
+    got = with_quantiles(got, sizes, ["horizon"], ["raw_abs_median"])
+    got = with_quantiles(got, exact_quantiles(each, "move", q, ["horizon"]), ["horizon"], [f"p{int(100 * x)}" for x in q])
     dollar = delta * F.col("entry_price") / 1e4 * 100
     got = got.withColumn("breakeven", ratio(F.lit(cost), dollar)).withColumn("gross", F.col("mean") * dollar)
     return got.withColumn("net", F.col("gross") - cost)

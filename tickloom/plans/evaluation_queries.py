@@ -316,9 +316,10 @@ def q_gradient_summary(spark, d):
     return O.gradient_summary(ticks(spark, d).select(F.col("day").alias("run"), F.col("event_type").alias("epoch"), F.col("value").alias("grad_norm")))
 
 
-@query(f"WITH {EPOCHS} SELECT run, epoch, 'val_f1' AS metric, {r('accuracy', 'value')} FROM epochs UNION ALL SELECT run, epoch, 'precision_up', {r('accuracy / 2', 'value')} FROM epochs")
+@query(f"WITH {EPOCHS} SELECT run, epoch, 'val_f1' AS metric, {r('sqrt(accuracy)', 'value')} FROM epochs UNION ALL SELECT run, epoch, 'precision_up', {r('sqrt(accuracy) / 2', 'value')} FROM epochs")
 def q_metric_history(spark, d):
-    logs = F.create_map(F.lit("loss"), F.col("loss"), F.lit("val_f1"), F.col("accuracy"), F.lit("precision_up"), F.col("accuracy") / 2)
+    # Roots, as means of few whole numbers may lie half way between two rounded values.
+    logs = F.create_map(F.lit("loss"), F.col("loss"), F.lit("val_f1"), F.sqrt("accuracy"), F.lit("precision_up"), F.sqrt("accuracy") / 2)
     return O.history(epochs(spark, d).withColumn("logs", logs))
 
 
