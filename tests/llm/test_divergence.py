@@ -4,10 +4,11 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import assert_same, connect
-from tickloom.llm import queries
-from tickloom.llm.divergence import source_divergence
+from tickloom.llm import divergence, queries
+from tickloom.llm.divergence import share, source_divergence
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "lang string, source string, text string, term string, n long"
@@ -63,6 +64,17 @@ def test_planted_cases(spark, broadcast_rows):
     assert got(source_divergence(df, least_docs=1, most_terms=2, broadcast_rows=broadcast_rows)) == plain(ROWS, 1, 2)
 
 
+def test_shares_are_exact_at_any_size(spark):
+    rows = [(0, 0, 1), (8_999_999_999, 10**12, 7), (9_000_000_001, 10**10, 3), (9 * 10**17, 10**18, 5), (0, 0, 0)]
+    df = spark.createDataFrame(rows, "n long, total long, terms long").select("n", "total", "terms", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
+    assert [r.p for r in df.collect()] == [1 + 10**9 * (n + 1) // (t + v) if t + v else None for n, t, v in rows]
+
+
+def test_counts_handed_on_early_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 0)
+    assert got(source_divergence(spark.createDataFrame(ROWS, SCHEMA))) == plain(ROWS)
+
+
 def test_empty_table(spark):
     assert source_divergence(spark.createDataFrame([], SCHEMA)).count() == 0
 

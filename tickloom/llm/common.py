@@ -27,19 +27,24 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 
 
-def word_slices(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words of a text, a list for each slice of about ``size`` bytes, so that long texts don't become one long list."""
+def blank_slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Slices of about ``size`` bytes of a text, cut before a blank; none is cut off."""
     if len(text) <= size:
-        yield text.split()
+        yield text
         return
     at = 0
     while at < len(text):
         end = BLANK.search(text, min(at + size, len(text)))
         to = end.start() if end else len(text)
-        yield text[at:to].split()
+        yield text[at:to]
         at = to
 
 
+def word_slices(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, a list for each slice of about ``size`` bytes, so that long texts don't become one long list."""
+    return map(bytes.split, blank_slices(text, size))
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))

@@ -1,7 +1,7 @@
 """Audit of how far the sources of a language differ in their words, in relations only.
 
-Texts are cut into terms by a regular expression and exploded, and counts of (lang, source, term) are added up in the tasks
-before they shuffle. Each language keeps the terms that are in at least ``least_docs`` of its documents. The kept vocabulary
+The matches of a regular expression are exploded from the texts, and counts of (lang, source, term) are added up in the
+tasks before they shuffle. Each language keeps the terms that are in at least ``least_docs`` of its documents. The kept vocabulary
 is crossed with the language's groups (an equality join on the language), so that groups without a term have it with
 count 0; smoothed shares ``p`` follow as integers per 10**9. The dense relation is joined with itself on language and term;
 sums over the terms give each pair of sources a divergence, and windows rank pairs and terms.
@@ -19,41 +19,87 @@ value 0 and there are no terms. An empty table gives an empty result. Shares are
 
 from __future__ import annotations
 
-import string
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import blank_slices, materialize, text_of
+from .memory import release
 
-#: Runs of ASCII letters and of all characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of ASCII letters and of all characters beyond ASCII: a space for every other byte, a-z for A-Z.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]")
+FOLD = b"".join(bytes([b]).lower() if TERM.match(bytes([b])) else b" " for b in range(256))
+#: Terms by group whose counts a task holds.
+HELD = 400_000
 #: Most rows of totals that are broadcast, and the parts that a language's terms are salted into beyond that.
 BROADCAST_ROWS, SALTS = 50_000, 64
 SCALE = 1_000_000_000
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term, and the documents that hold it."""
-    lower = F.translate(text_of(text), string.ascii_uppercase, string.ascii_lowercase)
-    found = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"), F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("_terms"))
-    # Occurrences, and each document's distinct terms once more to count documents: one scan, one exchange.
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("docs"))
-    marks = F.concat(F.transform("_terms", one(1, 0)), F.transform(F.array_distinct("_terms"), one(0, 1)))
-    return found.select("lang", "source", F.explode(marks).alias("_m")).groupBy("lang", "source", "_m.term").agg(F.sum("_m.n").alias("n"), F.sum("_m.docs").alias("docs"))
+    """(lang, term, docs, sources array, n array): occurrences of terms by source and the documents that hold them, added up
+    in the tasks: a term may have several rows.
+
+    Terms are matched on UTF-8 bytes, where A-Z are the only letters that ``FOLD`` changes. A task hands its counts on
+    when it holds more than ``HELD`` of them.
+    """
+    rows = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"), text_of(text).cast("binary").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[str, dict[str, tuple[Counter, Counter]]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, by_source in groups.items():
+                names = pa.array(list(by_source), pa.string())
+                parts = [pa.table({"term": pa.array(list(n), pa.binary()), "source": pa.array(np.full(len(n), k)), "n": pa.array(list(n.values()), pa.int64()), "docs": pa.array([found[t] for t in n], pa.int64())}) for k, (n, found) in enumerate(by_source.values())]
+                t = pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([("docs", "sum"), ("source", "list"), ("n", "list")]).combine_chunks()
+                for b in t.to_batches(10_000):
+                    at = b["source_list"]
+                    sources = pa.ListArray.from_arrays(at.offsets, names.take(at.values))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), pa.string()), b["term"].cast(pa.string()), b["docs_sum"], sources, b["n_list"]], ["lang", "term", "docs", "sources", "n"])
+            groups.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                n, found = groups.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
+                seen: set[bytes] = set()
+                for part in blank_slices(text.as_py()):
+                    terms = part.translate(FOLD).split()
+                    n.update(terms)
+                    seen.update(terms)
+                found.update(seen)
+            if sum(len(n) for own in groups.values() for n, _ in own.values()) > HELD:
+                yield from flush()
+        yield from flush()
+        release()
+
+    return rows.mapInArrow(count, "lang string, term string, docs long, sources array<string>, n array<long>")
 
 
 def kept_terms(counts: DataFrame, least_docs: int = 3) -> DataFrame:
-    """(lang, term, total, counts): terms in enough documents of a language, their occurrences in all and by source."""
-    got = counts.groupBy("lang", "term").agg(F.sum("docs").alias("_docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
+    """(lang, term, total, counts): terms in enough documents of a language, their occurrences in all and by source.
+
+    ``counts``: as ``term_counts`` gives them. Rows are dealt out by (lang, term) once; both sums are made where they arrive.
+    """
+    dealt = counts.repartition("lang", "term")
+    # A row's documents are counted at the first of its sources.
+    each = dealt.select("lang", "term", "docs", F.posexplode(F.arrays_zip("sources", "n")).alias("_at", "_s"))
+    each = each.groupBy("lang", "term", F.col("_s.sources").alias("source")).agg(F.sum("_s.n").alias("n"), F.sum(F.when(F.col("_at") == 0, F.col("docs")).otherwise(0)).alias("docs"))
+    got = each.groupBy("lang", "term").agg(F.sum("docs").alias("_docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
     return got.where(F.col("_docs") >= least_docs).drop("_docs")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE (n + 1) / (total + terms)), exactly; null where there are no terms."""
-    top = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    whole = F.call_function("div", top, F.nullif((total + terms).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")))
-    return (whole + 1).cast("long")
+    below = F.nullif(total + terms, F.lit(0).cast("long"))
+    # Beyond 63 bits in decimals.
+    large = F.call_function("div", (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), below.cast("decimal(20,0)"))
+    return F.when(n < 9 * SCALE, F.call_function("div", (n + 1) * F.lit(SCALE).cast("long"), below)).otherwise(large) + 1
 
 
 def excess(p: Column, q: Column) -> Column:
