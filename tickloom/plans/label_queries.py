@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as L
 from ..operators.features import sequences
+from ..operators.load import day_headers, load_split
 from ..sources import ticks as S
+from ..sources.day_files import write_day_files, write_metadata
 from .fixtures import LABELED, TICKS, W, labeled, query, r
 
 
@@ -125,3 +127,40 @@ def q_sample_weights_stride(spark, d):
 def q_sequences(spark, d):
     got = sequences(S.ticks(spark, d), F.array("value"), 10, 5)
     return got.select("day", "seq", F.get(F.get("sequence", F.lit(0)), F.lit(0)).alias("first_value"), F.get(S.last_step(), F.lit(0)).alias("last_value"))
+
+
+# Day files --------------------------------------------------------------------------------------------------------
+
+
+def day_export(spark, d):
+    """Ticks as an export of day files (two steps of four features, forward prices, metadata); returns its path."""
+    from ..sources.shared import shared_path
+
+    features = F.array(F.col("value"), F.col("price"), F.col("k").cast("double"), F.col("seq").cast("double"))
+    rows = S.windowed(S.ticks(spark, d), {"_f": features, "fp": L.forward_prices(2, 10)}, {"sequence": F.array(F.lag("_f").over(S.by_day()), F.col("_f"))}, before=2, after=10)
+    rows = S.with_split(rows.where("fp IS NOT NULL")).select("split", "day", "seq", "sequence", "fp")
+    path = shared_path(spark, "day-export")
+    write_day_files(rows, path, {"sequences": "sequence", "forward_prices": "fp"})
+    meta = F.to_json(F.struct(F.lit("2.2").alias("schema_version"), F.lit(4).alias("n_features"), F.lit([3, 10]).alias("horizons"), F.struct(F.lit(True).alias("exported"), F.lit(2).alias("smoothing_window_offset"), F.lit(13).alias("n_columns")).alias("forward_prices")))
+    write_metadata(rows.select(F.col("split"), F.col("day").cast("string").alias("day")).distinct().withColumn("metadata", meta), path)
+    return path
+
+
+@query(f"""WITH {TICKS}, days AS (SELECT day, percent_rank() OVER (ORDER BY day) AS place FROM (SELECT day FROM ticks GROUP BY day HAVING count(*) > 12)),
+x AS (SELECT day, seq, value, lag(value) OVER w AS before, lag(price, 2) OVER w AS a, lead(price, 3) OVER w AS b, lead(price, 10) OVER w AS e, price FROM ticks {W})
+SELECT CASE WHEN place < 0.7 THEN 'train' WHEN place < 0.85 THEN 'val' ELSE 'test' END AS split, day, seq - 2 AS seq, {r('value', 'value')}, {r('before', 'before')},
+{r('(b - price) / price * 1e4', 'y_3')}, {r('(e - price) / price * 1e4', 'y_10')}, CASE WHEN (e - price) / price * 1e4 > 8 THEN 1 WHEN (e - price) / price * 1e4 < -8 THEN -1 ELSE 0 END AS label, 'forward_prices' AS label_source
+FROM x JOIN days USING (day) WHERE a IS NOT NULL AND e IS NOT NULL""")
+def q_day_files(spark, d):
+    path, loaded = day_export(spark, d), None
+    for split in ("train", "val", "test"):
+        one = load_split(spark, path, split, "2.2", threshold=8.0, columns=("features", "sequence"))
+        loaded = one if loaded is None else loaded.unionByName(one)
+    y = lambda i: F.get("regression_labels", F.lit(i))
+    return loaded.select("split", "day", "seq", F.get("features", F.lit(0)).alias("value"), F.get(F.get("sequence", F.lit(0)), F.lit(0)).alias("before"), y(0).alias("y_3"), y(1).alias("y_10"), F.get("labels", F.lit(1)).alias("label"), "label_source")
+
+
+@query(f"""WITH {TICKS}, n AS (SELECT day, count(*) - 12 AS n FROM ticks GROUP BY day HAVING count(*) > 12), p AS (SELECT *, percent_rank() OVER (ORDER BY day) AS place FROM n)
+SELECT CASE WHEN place < 0.7 THEN 'train' WHEN place < 0.85 THEN 'val' ELSE 'test' END AS split, day, TRUE AS aligned, n AS n_rows, CAST(4 AS BIGINT) AS n_features, n AS forward_prices_rows FROM p""")
+def q_day_headers(spark, d):
+    return day_headers(spark, day_export(spark, d)).drop("labels_rows", "regression_labels_rows")
