@@ -189,7 +189,7 @@ def test_metrics_ignore_row_order_and_partitions(spark):
 
 def test_transition_accuracy_needs_a_change(spark):
     df = spark.createDataFrame([(0, k, 1, 1) for k in range(4)], "day int, seq int, label int, pred int")
-    assert classification.transition_accuracy(df, ["day"], "seq").first().transition_accuracy == 0
+    assert classification.transition_accuracy(df).first().transition_accuracy == 0
 
 
 def test_scalar_guards(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, ratio, share
 from ..sources.shared import materialize
+from ..sources.ticks import row_before
 from .quantiles import exact_quantiles, with_quantiles
 
 #: Names of the classes by labelling strategy.
@@ -113,10 +114,9 @@ def all_metrics(rows: DataFrame, strategy: str, classes: int = 3) -> DataFrame:
     return got.join(STRATEGY_METRICS[strategy](rows)) if strategy in STRATEGY_METRICS else got
 
 
-def transition_accuracy(rows: DataFrame, by: list[str], order: str, label: str = "label", pred: str = "pred") -> DataFrame:
-    """Accuracy over the rows whose label differs from the one before; 0 without such rows."""
-    before = F.lag(label).over(Window.partitionBy(*by).orderBy(order))
-    changed = rows.withColumn("_changed", F.coalesce(F.col(label) != before, F.lit(False))).where("_changed")
+def transition_accuracy(rows: DataFrame, by: tuple[str, ...] = ("day",), label: str = "label", pred: str = "pred") -> DataFrame:
+    """Accuracy over the rows whose label differs from the one before, in the order of seq; 0 without such rows."""
+    changed = row_before(rows.select(*by, "seq", label, pred), label, "_before", by).where(F.col(label) != F.col("_before"))
     return changed.agg(accuracy(F.col(label), F.col(pred)).alias("transition_accuracy"), F.count(F.lit(1)).alias("n_transitions"))
 
 

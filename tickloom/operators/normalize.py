@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, finite
@@ -112,10 +112,11 @@ def require_finite_columns(rows: DataFrame, features: str = "features") -> None:
         raise ValueError(f"features without a finite value: {[r.idx for r in bad]}")
 
 
-def zscore_per_day(value: Column, by: str = "day", flat: float = 1e-10) -> Column:
-    w = Window.partitionBy(by)
-    std = F.stddev_pop(value).over(w)
-    return (value - F.avg(value).over(w)) / F.when(std < flat, 1.0).otherwise(std)
+def zscore_per_day(rows: DataFrame, value: str, out: str, by: str = "day", flat: float = 1e-10) -> DataFrame:
+    """Adds ``out``, the z-score within each day: moments are aggregated (a row per day) and joined back."""
+    stats = rows.groupBy(by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    z = (F.col(value) - F.col("_mean")) / F.when(F.col("_std") < flat, 1.0).otherwise(F.col("_std"))
+    return rows.join(stats, by).withColumn(out, z).drop("_mean", "_std")
 
 
 def plain_zscore(value: Column, mean: Column, std: Column, flat: float = 1e-10) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, finite, ratio, share, sign
-from ..sources.shared import materialize
-from ..sources.ticks import BLOCK, windowed
+from ..sources.shared import join_counted, materialize
+from ..sources.ticks import row_before, windowed
 from .labels import point_return
 from .quantiles import exact_quantiles, with_quantiles
 
@@ -46,9 +46,34 @@ def _ranked(rows: DataFrame, value: str, by: list[str], out: str, weight: str, b
     return got.withColumn(out, rank).drop("_b", "_before", "_upto", "_peers")
 
 
+def counted_ranks(rows: DataFrame, values: dict[str, Column], by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """(column, by, v, rank, n), written: the mean rank of each distinct value of each of ``values`` within ``by``, and its rows.
+
+    Equal values are counted in the tasks before anything is ranked, so a value that many rows share is one row here.
+    """
+    by = by or []
+    stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("column"), c.cast("double").alias("v")) for name, c in values.items()]))
+    each = rows.select(*by, stacked.alias("_s")).select(*by, "_s.*").where("v IS NOT NULL")
+    counts = materialize(each.groupBy("column", *by, "v").agg(F.count(F.lit(1)).alias("n")), "counted-values")
+    return materialize(_ranked(counts, "v", ["column", *by], "rank", "n", buckets).select("column", *by, "v", "rank", "n"), "counted-ranks")
+
+
+def with_counted_ranks(rows: DataFrame, ranks: DataFrame, values: dict[str, Column], total: int, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with the rank of each of ``values`` (not null) in a column of its name; heavy values are broadcast."""
+    by = by or []
+    for name, c in values.items():
+        own = ranks.where(F.col("column") == name).select(*by, F.col("v").alias("_v"), F.col("rank").alias(name), F.col("n").alias("_n"))
+        rows = join_counted(rows.withColumn("_v", c.cast("double")), own, [*by, "_v"], "_n", total).drop("_v", "_n")
+    return rows
+
+
 def average_ranks(rows: DataFrame, value: str, by: list[str], out: str, buckets: int = 64) -> DataFrame:
-    """Adds ``out``: the rank of ``value`` within ``by`` (few groups) from 1, ties getting the mean of their ranks."""
-    return _ranked(rows.withColumn("_one", F.lit(1)), value, by, out, "_one", buckets).drop("_one")
+    """Adds ``out``: the rank of ``value`` within ``by`` (few groups, not null) from 1, ties getting the mean of their ranks;
+    null for null. Values are counted first and ranks come back by value, so a value in many rows is no one task's work."""
+    ranks = counted_ranks(rows, {out: F.col(value)}, by, buckets)
+    total = ranks.agg(F.sum("n")).first()[0] or 0
+    known = with_counted_ranks(rows.where(F.col(value).isNotNull()), ranks, {out: F.col(value)}, total, by)
+    return known.unionByName(rows.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def weighted_pearson(x: Column, y: Column, n: Column, least: int) -> Column:
@@ -59,13 +84,13 @@ def weighted_pearson(x: Column, y: Column, n: Column, least: int) -> Column:
     return F.when((total >= least) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(cov, spread))
 
 
-def spearman(rows: DataFrame, x: str, y: str, by: list[str], out: str = "ic", least: int = 3, buckets: int = 64) -> DataFrame:
-    """(by, ic, n): rank correlation with mean ranks for ties; null for fewer than ``least`` rows.
+def spearman(rows: DataFrame, x: str, y: str, by: list[str], out: str = "ic", least: int = 3, buckets: int = 64, weight: str | None = None) -> DataFrame:
+    """(by, ic, n): rank correlation with mean ranks for ties; null for fewer than ``least`` rows. A row counts ``weight`` times.
 
     Equal pairs are counted first, and ranks are taken over the counted pairs: columns of few values never sort all rows.
     The counts are written once to the shared folder, since ranks read them several times.
     """
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     one = materialize(_ranked(materialize(pairs, "value-pairs"), "_x", by, "_rx", "_n", buckets), "ranked-pairs")
     ranked = _ranked(one, "_y", by, "_ry", "_n", buckets)
     return ranked.groupBy(*by).agg(weighted_pearson(F.col("_rx"), F.col("_ry"), F.col("_n"), least).alias(out), F.sum("_n").alias("n"))
@@ -119,12 +144,7 @@ def by_horizon(rows: DataFrame, horizons: list[int], yhat: str = "yhat", price:
 def hit_tripwire(rows: DataFrame, y: str = "y", p: str = "yhat") -> DataFrame:
     """Directional accuracy on moves that are not 0, their number, and the lag-1 autocorrelation of hits within days."""
     moved = rows.where(F.col(y) != 0).withColumn("_hit", F.when(sign(F.col(y)) == sign(F.col(p)), 1.0).otherwise(0.0))
-    # The hit before may lie any number of rows back: within a block by a window, else in the last block that has one.
-    moved = moved.withColumn("_own", F.floor(F.col("seq") / BLOCK))
-    last = moved.groupBy("day", "_own").agg(F.max_by("_hit", "seq").alias("_last"))
-    last = last.select("day", "_own", F.lag("_last").over(Window.partitionBy("day").orderBy("_own")).alias("_earlier"))
-    inside = F.lag("_hit").over(Window.partitionBy("day", "_own").orderBy("seq"))
-    chained = moved.withColumn("_inside", inside).join(last, ["day", "_own"]).withColumn("_before", F.coalesce("_inside", "_earlier"))
+    chained = row_before(moved.select("day", "seq", "_hit"), "_hit", "_before")
     got = chained.agg(F.avg("_hit").alias("da"), F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("_s"), F.sum(F.col("_hit") * F.col("_before")).alias("_xy"), F.sum(F.when(F.col("_before").isNotNull(), F.col("_hit"))).alias("_x"), F.sum("_before").alias("_y"), F.count("_before").alias("_pairs"))
     # Sum (x - m)(x' - m) over pairs / sum (x - m)^2 over all, from sums.
     m = F.col("da")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import argmax, finite, ratio, sign
 from ..sources.shared import materialize
-from .regression import average_ranks, spearman
+from .regression import counted_ranks, spearman, with_counted_ranks
 
 #: A linear congruential step over 2**31 - 1, so that SQL engines can repeat the draws.
 LCG = (48271, 2147483647)
@@ -36,15 +36,6 @@ def block_length(n: int, explicit: int | None = None) -> int:
     return length
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds i, the place in the global order, from places within days and the totals of days before."""
-    per_day = rows.groupBy("day").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per day
-    starts = per_day.select("day", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("day").orderBy(*order)) - 1
-    return rows.withColumn("_within", within).join(F.broadcast(starts), "day").withColumn("i", F.col("_before") + F.col("_within")).drop("_before", "_within")
-
-
 def block_sums(rows: DataFrame, sums: dict[str, Column], length: int) -> DataFrame:
     """(start, <sums>): sums of the rows [start, start + length) for each start with a full block. ``rows`` has i.
 
@@ -106,16 +97,33 @@ def metrics_of_sums(tag: str = "") -> dict[str, Column]:
 
 
 def with_ranks(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """Adds _r_<column>: mean ranks over all ``n`` rows (with i), from their middle (which correlations don't see).
+    """Adds _r_<column>: mean ranks over all ``n`` rows, from their middle (which correlations don't see), and writes the result.
 
-    The columns are ranked together, one below the other, and come back by i. Rows and result are written to the shared
-    folder, since they are read several times.
+    Ranks are taken over counted values, of all columns together, and come back by value.
     """
-    rows = materialize(rows, "paired-rows")
-    stacked = rows.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_s")).select(*rows.columns, F.col("_s.c").alias("_c"), F.col("_s.v").alias("_v"))
-    ranked = average_ranks(stacked, "_v", ["_c"], "_r")
-    back = [F.max(F.when(F.col("_c") == c, F.col("_r") - (n + 1) / 2)).alias(f"_r_{c}") for c in columns]
-    return materialize(ranked.groupBy("i").agg(*[F.first(c).alias(c) for c in rows.columns if c != "i"], *back), "ranked-rows")
+    values = {f"_r_{c}": F.col(c) for c in columns}
+    got = with_counted_ranks(rows, counted_ranks(rows, values), values, n)
+    return materialize(got.withColumns({c: F.col(c) - (n + 1) / 2 for c in values}), "ranked-rows")
+
+
+def replicate_correlations(rows: DataFrame, y: str, treatments: list[str], n: int, length: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, treatment, ic): the rank correlation of each treatment with ``y``, ranked anew among a replicate's rows.
+
+    A replicate is the multiplicity of its blocks: a drawn block counts as often as it was drawn, and its rows are ranked with
+    that weight, over counted pairs of values. It costs replicates x rows, so ``bootstrap_ci`` does it only when asked to.
+    """
+    count = math.ceil(n / length)
+    drawn = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("position"))
+    start = draw(F.col("replicate"), F.col("position"), seed, F.lit(n - length + 1).cast("long"))
+    often = drawn.groupBy("replicate", start.alias("start")).agg(F.count(F.lit(1)).alias("often"))
+    # A block lies in the chunk of its start and the next one.
+    chunk = F.floor(F.col("start") / length)
+    reached = often.withColumn("_chunk", F.explode(F.array(chunk, chunk + 1)))
+    picked = rows.withColumn("_chunk", F.floor(F.col("i") / length)).join(reached, "_chunk").where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + length))
+    # A row lies in several of a replicate's blocks.
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("treatment"), F.col(t).cast("double").alias("p")) for t in treatments]))
+    each = picked.select("replicate", "often", F.col(y).cast("double").alias("y"), pairs.alias("_t")).select("replicate", "often", "y", "_t.*")
+    return materialize(spearman(each, "y", "p", ["replicate", "treatment"], weight="often").drop("n"), "replicate-correlations")
 
 
 def require_finite(rows: DataFrame, columns: list[str]) -> None:
@@ -132,10 +140,12 @@ def require_sound(intervals: DataFrame) -> None:
             raise ValueError(f"the interval of {r.metric} is not sound: {r.estimate} in [{r.low}, {r.high}]")
 
 
-def bootstrap_ci(rows: DataFrame, y: str, p: str, n: int, replicates: int = 10_000, seed: int = 42, confidence: float = 0.95, length: int | None = None, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def bootstrap_ci(rows: DataFrame, y: str, p: str, n: int, replicates: int = 10_000, seed: int = 42, confidence: float = 0.95, length: int | None = None, metrics: tuple[str, ...] = METRICS, rerank: bool = False) -> DataFrame:
     """(metric, estimate, low, high): percentile intervals of a moving block bootstrap of paired rows (with i).
 
-    The rank correlation's ranks are those over all rows, taken once: a replicate is a function of sums like the others.
+    The rank correlation's ranks are those over all rows, taken once, so that a replicate is a function of sums like the
+    others; with ``rerank`` each replicate's rows are ranked anew (``replicate_correlations``), at replicates x rows. ``rows``
+    are written first, as they are read several times.
     """
     unknown = set(metrics) - set(METRICS)
     if unknown or not metrics:
@@ -143,7 +153,8 @@ def bootstrap_ci(rows: DataFrame, y: str, p: str, n: int, replicates: int = 10_0
     if replicates < 100 or not 0 < confidence < 1:
         raise ValueError("at least 100 replicates and a confidence between 0 and 1 are needed")
     size = block_length(n, length)
-    ranked = with_ranks(rows.select("i", y, p), [y, p], n)
+    rows = materialize(rows.select("i", y, p), "paired-rows")
+    ranked = with_ranks(rows, [y, p], n)
     sums = metric_sums(F.col(y), F.col(p), F.col(f"_r_{y}"), F.col(f"_r_{p}"))
     drawn = replicate_sums(block_sums(ranked, sums, size), list(sums), n, size, replicates, seed)
     tail = (1 - confidence) / 2
@@ -152,20 +163,24 @@ def bootstrap_ci(rows: DataFrame, y: str, p: str, n: int, replicates: int = 10_0
         return df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics_of_sums().items() if k in metrics])).alias("x")).select("x.*")
 
     point = stacked(ranked.agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])).withColumnRenamed("value", "estimate")
-    bounds = stacked(drawn).groupBy("metric").agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    values = stacked(drawn)
+    if rerank and "ic" in metrics:
+        anew = replicate_correlations(rows, y, [p], n, size, replicates, seed)
+        values = values.where("metric <> 'ic'").unionByName(anew.select(F.lit("ic").alias("metric"), F.col("ic").alias("value")))
+    bounds = values.groupBy("metric").agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
     return point.join(bounds, "metric").select("metric", "estimate", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
 
 
-def paired_differences(rows: DataFrame, y: str, treatments: list[str], n: int, replicates: int = 10_000, seed: int = 42, length: int | None = None, metric: str = "ic", alpha: float = 0.05) -> DataFrame:
+def paired_differences(rows: DataFrame, y: str, treatments: list[str], n: int, replicates: int = 10_000, seed: int = 42, length: int | None = None, metric: str = "ic", alpha: float = 0.05, rerank: bool = False) -> DataFrame:
     """(a, b, metric, delta, low, high, p, q): a metric of a minus that of b for all pairs, over shared replicates;
-    two-sided p from the share of replicates on either side of 0, and Benjamini-Hochberg q. Ranks as in ``bootstrap_ci``."""
+    two-sided p from the share of replicates on either side of 0, and Benjamini-Hochberg q. Ranks and ``rerank`` as in ``bootstrap_ci``."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     size = block_length(n, length)
     names = sorted(treatments)
-    ranked = rows.select("i", y, *names)
+    rows = ranked = materialize(rows.select("i", y, *names), "paired-rows")
     if metric == "ic":
-        ranked = with_ranks(ranked, [y, *names], n)
+        ranked = with_ranks(rows, [y, *names], n)
     rank = lambda c: F.col(f"_r_{c}") if metric == "ic" else F.lit(0.0)
     sums: dict[str, Column] = {}
     for t in names:
@@ -180,7 +195,12 @@ def paired_differences(rows: DataFrame, y: str, treatments: list[str], n: int, r
     point = stacked(ranked.agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()]))
     below = F.avg((F.col("delta") <= 0).cast("double"))
     above = F.avg((F.col("delta") >= 0).cast("double"))
-    null = stacked(drawn).groupBy("a", "b").agg(F.percentile("delta", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
+    deltas = stacked(drawn)
+    if rerank and metric == "ic":
+        anew = replicate_correlations(rows, y, names, n, size, replicates, seed)
+        wide = anew.groupBy("replicate").agg(*[F.max(F.when(F.col("treatment") == t, F.col("ic"))).alias(f"_ic_{t}") for t in names])
+        deltas = wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"_ic_{a}") - F.col(f"_ic_{b}")).alias("delta")) for a, b in every])).alias("x")).select("x.*")
+    null = deltas.groupBy("a", "b").agg(F.percentile("delta", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
     got = point.join(null, ["a", "b"]).select("a", "b", F.lit(metric).alias("metric"), "delta", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"), "p")
     return benjamini_hochberg(got, "p", ["a", "b"])
 

@@ -9,7 +9,8 @@ from ..operators import models as M
 from ..operators import monitor as O
 from ..operators import resample as B
 from ..operators import validate as V
-from ..sources.ticks import table, ticks, with_split
+from ..sources.shared import materialize
+from ..sources.ticks import numbered, table, ticks, with_split
 from .fixtures import EPOCHS, EXPERIMENTS, SCORED, TICKS, W, epochs, experiments, query, r, scored
 from .metric_queries import pearson_sql, ranks
 
@@ -128,7 +129,7 @@ METRICS = {
 
 @query(f"WITH {DRAWN}, v AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS metric, rep, {e} AS value FROM picked GROUP BY rep' for k, e in METRICS.items())}), p AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS metric, {e} AS estimate FROM rows' for k, e in METRICS.items())}) SELECT metric, {r('any_value(estimate)', 'estimate')}, {r('quantile_cont(value, 0.025)', 'low')}, {r('quantile_cont(value, 0.975)', 'high')} FROM v JOIN p USING (metric) GROUP BY metric")
 def q_block_bootstrap_ci(spark, d):
-    rows = B.numbered(scored(spark, d), ["seq"])
+    rows = materialize(numbered(scored(spark, d).select("day", "seq", "y", "yhat")), "numbered")
     return B.bootstrap_ci(rows, "y", "yhat", rows.count(), REPLICATES)
 
 
@@ -142,7 +143,8 @@ SELECT a, b, '{metric}' AS metric, {r('delta', 'delta')}, {r('low', 'low')}, {r(
 
 
 def _treatments(spark, d):
-    return B.numbered(scored(spark, d).select("day", "seq", "y", F.col("yhat").alias("a"), (50 - F.col("value")).alias("b"), F.col("spread").alias("c")), ["seq"])
+    rows = scored(spark, d).select("day", "seq", "y", F.col("yhat").alias("a"), (50 - F.col("value")).alias("b"), F.col("spread").alias("c"))
+    return materialize(numbered(rows), "numbered")
 
 
 @query(_pairwise("ic", {n: _IC.format("r_y", f"r_{n}") for n in "abc"}))
@@ -157,6 +159,28 @@ def q_pairwise_mae(spark, d):
     return B.paired_differences(rows, "y", ["a", "b", "c"], rows.count(), REPLICATES, metric="mae")
 
 
+ANEW = 200
+REDRAWN = DRAWN.replace(f"range(0, {REPLICATES})", f"range(0, {ANEW})") + f""",
+again AS (SELECT rep, {ranks('y', 'rep')} AS ry, {ranks('yhat', 'rep')} AS ra, {ranks('(50 - value)', 'rep')} AS rb, {ranks('spread', 'rep')} AS rc FROM picked),
+t AS (SELECT rep, {', '.join(f"{pearson_sql('ry', f'r{n}')} AS {n}" for n in 'abc')} FROM again GROUP BY rep),
+o AS (SELECT {', '.join(f"{_IC.format('r_y', f'r_{n}')} AS {n}" for n in 'abc')} FROM rows)"""
+
+
+@query(f"WITH {REDRAWN} SELECT 'ic' AS metric, {r('any_value(o.a)', 'estimate')}, {r('quantile_cont(t.a, 0.025)', 'low')}, {r('quantile_cont(t.a, 0.975)', 'high')} FROM t, o")
+def q_bootstrap_reranked(spark, d):
+    rows = materialize(numbered(scored(spark, d).select("day", "seq", "y", "yhat")), "numbered")
+    return B.bootstrap_ci(rows, "y", "yhat", rows.count(), ANEW, metrics=("ic",), rerank=True)
+
+
+@query(f"""WITH {REDRAWN}, x AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, t.{a} - t.{b} AS delta, o.{a} - o.{b} AS point FROM t, o" for a, b in (("a", "b"), ("a", "c"), ("b", "c")))}),
+s AS (SELECT a, b, any_value(point) AS delta, quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high, least(1.0, 2 * least(avg(CASE WHEN delta <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN delta >= 0 THEN 1.0 ELSE 0.0 END))) AS p FROM x GROUP BY a, b),
+q AS (SELECT *, p * 3 / row_number() OVER (ORDER BY p, a, b) AS raw FROM s)
+SELECT a, b, 'ic' AS metric, {r('delta', 'delta')}, {r('low', 'low')}, {r('high', 'high')}, {r('p', 'p')}, {r('least(1.0, min(raw) OVER (ORDER BY p, a, b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'q')} FROM q""")
+def q_pairwise_reranked(spark, d):
+    rows = _treatments(spark, d)
+    return B.paired_differences(rows, "y", ["a", "b", "c"], rows.count(), ANEW, rerank=True)
+
+
 _STEP = lambda x: f"(({x}) * 48271 + 12345) % 2147483647"
 _KEY = _STEP(_STEP(_STEP('((42 + rep + f * 3) * 7919 + "to" * 104729) % 2147483647')))
 _MOVED = ", ".join(f"CASE WHEN f = {k} THEN s.{c} ELSE r.{c} END AS {c}" for k, c in enumerate(("value", "spread", "k")))
@@ -174,7 +198,7 @@ m AS (SELECT feature, rep, {pearson_sql('ry', 'rs')} AS v FROM ranked GROUP BY f
 
 @query(f"WITH {PERMUTED} SELECT m.feature, {r('any_value(b.v) - avg(m.v)', 'importance')}, {r('stddev_samp(m.v)', 'std')}, {r('any_value(b.v) - quantile_cont(m.v, 0.975)', 'low')}, {r('any_value(b.v) - quantile_cont(m.v, 0.025)', 'high')} FROM m, m b WHERE b.feature = '' AND m.feature <> '' GROUP BY m.feature")
 def q_permutation_importance(spark, d):
-    rows = B.numbered(scored(spark, d).select("day", "seq", "y", "value", "spread", "k"), ["seq"])
+    rows = materialize(numbered(scored(spark, d).select("day", "seq", "y", "value", "spread", "k")), "numbered")
     score = -F.col("value") + 0.1 * F.col("spread") + 0.0 * F.col("k")
     return B.permutation_importance(rows, ["value", "spread", "k"], "y", score, B.metric_for_task("regression"), rows.count(), 3)
 

@@ -71,7 +71,7 @@ def q_minmax_scale(spark, d):
 
 @query(f"WITH {TICKS} SELECT day, seq, {r('(value - avg(value) OVER (PARTITION BY day)) / CASE WHEN stddev_pop(value) OVER (PARTITION BY day) < 1e-10 THEN 1.0 ELSE stddev_pop(value) OVER (PARTITION BY day) END', 'z')} FROM ticks")
 def q_zscore_per_day(spark, d):
-    return ticks(spark, d).select("day", "seq", N.zscore_per_day(F.col("value")).alias("z"))
+    return N.zscore_per_day(ticks(spark, d).select("day", "seq", "value"), "value", "z").drop("value")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {r('(l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_pop(l_tax) FROM lineitem)', 'z')} FROM lineitem")

@@ -65,7 +65,7 @@ def q_trading_metrics(spark, d):
 
 @query(f"WITH {SCORED}, c AS (SELECT *, label <> lag(label) OVER w AS changed FROM scored {W}) SELECT {r('coalesce(' + _share('label = pred') + ', 0.0)', 'transition_accuracy')}, count(*) AS n_transitions FROM c WHERE changed")
 def q_transition_accuracy(spark, d):
-    return C.transition_accuracy(scored(spark, d), ["day"], "seq")
+    return C.transition_accuracy(scored(spark, d))
 
 
 @query(f"WITH {SCORED}, c AS (SELECT label, count(*) AS n FROM scored GROUP BY label), w AS (SELECT label, n, (sum(n) OVER ()) / (3.0 * greatest(n, 1)) AS weight FROM c) SELECT label, n, {r('weight', 'weight')}, {r('weight / sum(weight) OVER () * 3', 'focal_weight')} FROM w")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, heavy: int = 1000) -> DataFrame:
+    """``rows`` joined (inner) with ``groups`` (written, a row per key with the number of its rows in ``size``) on ``keys``.
+
+    Groups of more than total / heavy rows are fewer than ``heavy``: they are broadcast, and their rows don't shuffle. So a
+    key with a third of all rows is no one task's work. Keys are not null.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    large = groups.where(F.col(size) > total / heavy).withColumn("_large", F.lit(True))
+    marked = rows.join(F.broadcast(large), keys, "left")
+    rest = marked.where("_large IS NULL").drop("_large", *values).join(groups, keys)
+    return marked.where("_large").drop("_large").unionByName(rest)

@@ -32,6 +32,33 @@ def windowed(rows: DataFrame, *stages: dict[str, Column], before: int = 0, after
     return got.where(F.col("_block") == F.floor(seq / BLOCK)).drop("_block")
 
 
+def row_before(rows: DataFrame, value: str, out: str, by: tuple[str, ...] = ("day",)) -> DataFrame:
+    """Adds ``out``: ``value`` of the row before within ``by``, in the order of seq, however far back that is; null for the first.
+
+    Within blocks of a day by a window; the first row of a block takes the last value of the last block that has rows
+    (a row per block).
+    """
+    placed = rows.withColumn("_own", F.floor(F.col("seq") / BLOCK))
+    last = placed.groupBy(*by, "_own").agg(F.max_by(F.struct(value), "seq").alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(*by).orderBy("_own"))
+    last = last.select(*by, "_own", earlier.alias("_last"))
+    inside = Window.partitionBy(*by, "_own").orderBy("seq")
+    got = placed.withColumn("_inside", F.lag(F.struct(value)).over(inside)).join(last, [*by, "_own"])
+    return got.withColumn(out, F.coalesce("_inside", "_last")[value]).drop("_own", "_inside", "_last")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds i, the place in the order of (day, seq): places within blocks of a day, and the counts of blocks and days before."""
+    placed = rows.withColumn("_own", F.floor(F.col("seq") / BLOCK))
+    blocks = placed.groupBy("day", "_own").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = blocks.groupBy("day").agg(F.sum("_n").alias("_n")).select("day", earlier(Window.orderBy("day")).alias("_days"))  # a row per day
+    starts = blocks.select("day", "_own", earlier(Window.partitionBy("day").orderBy("_own")).alias("_blocks")).join(days, "day")
+    within = F.row_number().over(Window.partitionBy("day", "_own").orderBy("seq")) - 1
+    got = placed.withColumn("_within", within).join(starts, ["day", "_own"])
+    return got.withColumn("i", F.col("_days") + F.col("_blocks") + F.col("_within")).drop("_own", "_within", "_days", "_blocks")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
