@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import artifacts as A
 from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import monitor as O
 from ..operators import resample as B
 from ..operators import validate as V
-from ..sources.shared import materialize
+from ..operators.audit import write_audited
+from ..sources.shared import materialize, shared_path
 from ..sources.ticks import numbered, table, ticks, with_split
 from .fixtures import EPOCHS, EXPERIMENTS, SCORED, TICKS, W, epochs, experiments, query, r, scored
 from .metric_queries import pearson_sql, ranks
@@ -252,13 +254,13 @@ def _det(m: list[list[str]]) -> str:
     return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
 
 
-def _ridge_sql(columns: list[str], label: str, alpha: float) -> str:
+def _ridge_sql(columns: list[str], label: str, alpha: float, show=r) -> str:
     """The penalized normal equations of centred columns, solved by determinants."""
     sums = ", ".join([f"regr_sxy({a}, {b}) + {alpha if a == b else 0.0} AS s{i}{j}" for i, a in enumerate(columns) for j, b in enumerate(columns)] + [f"regr_sxy({label}, {a}) AS t{i}" for i, a in enumerate(columns)] + [f"avg({c}) AS m{i}" for i, c in enumerate([*columns, label])])
     m = [[f"s{i}{j}" for j in range(3)] for i in range(3)]
     put = lambda k: [[f"t{i}" if j == k else m[i][j] for j in range(3)] for i in range(3)]
     w = ", ".join(f"{_det(put(k))} / {_det(m)} AS w{k}" for k in range(3))
-    rows = [f"SELECT '{c}' AS feature, {r(f'w{k}', 'weight')} FROM w" for k, c in enumerate(columns)] + [f"SELECT 'intercept', {r('m3 - w0 * m0 - w1 * m1 - w2 * m2', 'weight')} FROM w"]
+    rows = [f"SELECT '{c}' AS feature, {show(f'w{k}', 'weight')} FROM w" for k, c in enumerate(columns)] + [f"SELECT 'intercept', {show('m3 - w0 * m0 - w1 * m1 - w2 * m2', 'weight')} FROM w"]
     return f"WITH l AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in [*columns, label])} FROM lineitem), s AS (SELECT {sums} FROM l), w AS (SELECT *, {w} FROM s) " + " UNION ALL ".join(rows)
 
 
@@ -389,3 +391,53 @@ def q_merged_moments(spark, d):
 
     near, far = (finish_moments(merge_moments(batch_moments(ticks(spark, d).withColumn("v", F.col("value") + shift), ["event_type", "day"], "v"), ["event_type"])) for shift in (0.0, 1e9))
     return near.join(far.select("event_type", F.round("std", 3).alias("far_std")), "event_type").select("event_type", "n", "mean", "std", "far_std")
+
+
+# Kept results, audits and checkpoints -----------------------------------------------------------------------------
+
+
+_KEPT = {k: METRICS[k] for k in ("mae", "rmse")}
+
+
+@query(f"WITH {DRAWN}, v AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS metric, rep, {e} AS value FROM picked GROUP BY rep' for k, e in _KEPT.items())}), p AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS metric, {e} AS estimate FROM rows' for k, e in _KEPT.items())}) SELECT metric, {r('any_value(estimate)', 'estimate')}, {r('quantile_cont(value, 0.025)', 'low')}, {r('quantile_cont(value, 0.975)', 'high')}, FALSE AS first_cached, TRUE AS second_cached, FALSE AS other_cached, 'seed: 42 -> 43' AS drift FROM v JOIN p USING (metric) GROUP BY metric")
+def q_ci_artifact(spark, d):
+    """Asked for twice the intervals are read the second time; another seed is noticed and computed anew."""
+    rows = materialize(numbered(scored(spark, d).select("day", "seq", "y", "yhat")), "numbered")
+    path = shared_path(spark, "artifacts")
+    one = lambda seed: A.ci_artifact(rows, path, "y", "yhat", REPLICATES, seed, metrics=tuple(_KEPT))
+    first, second, other = one(42), one(42), one(43)
+    return second.table.select("*", F.lit(first.cached).alias("first_cached"), F.lit(second.cached).alias("second_cached"), F.lit(other.cached).alias("other_cached"), F.lit("; ".join(other.drift)).alias("drift"))
+
+
+_AUDITED = SCORED + """, days AS (SELECT day, percent_rank() OVER (ORDER BY day) AS place FROM (SELECT DISTINCT day FROM scored)),
+a AS (SELECT CASE WHEN place < 0.7 THEN 'train' WHEN place < 0.85 THEN 'val' ELSE 'test' END AS split, day, label - 1 AS label, spread FROM scored JOIN days USING (day)),
+s AS (SELECT split, count(*) AS n, min(day) AS a, max(day) AS b, sum((label = -1)::INT) AS down, sum((label = 0)::INT) AS stable, sum((label = 1)::INT) AS up FROM a GROUP BY split)"""
+
+
+@query(f"""WITH {_AUDITED}
+SELECT split || ' rows' AS rule, CAST(n AS VARCHAR) AS found, TRUE AS ok, 'error' AS level FROM s
+UNION ALL SELECT split || ' values that are not finite', '0', TRUE, 'error' FROM s
+UNION ALL SELECT split || ' rows without labels', '0', TRUE, 'error' FROM s
+UNION ALL SELECT split || ' labels', 'down ' || down || ', stable ' || stable || ', up ' || up || ', other 0', down > 0 AND stable > 0 AND up > 0, 'error' FROM s
+UNION ALL SELECT 'order of splits', string_agg(split || ' ' || a || ' to ' || b, '; ' ORDER BY a), TRUE, 'error' FROM s
+UNION ALL SELECT 'rows of other splits', '0', TRUE, 'error'
+UNION ALL SELECT 'rows without 3 features', '0', TRUE, 'error'
+UNION ALL SELECT 'values of feature 2', CAST(sum((spread >= 2)::INT) AS VARCHAR), sum((spread >= 2)::INT) = 0, 'warning' FROM a
+UNION ALL SELECT 'features of the manifest', '3', TRUE, 'error'
+UNION ALL SELECT 'days of the manifest', '1, written ' || count(DISTINCT day), count(DISTINCT day) = 1, 'warning' FROM a
+UNION ALL SELECT 'rows of the manifest', '5, written ' || count(*), count(*) = 5, 'error' FROM a""")
+def q_export_audit(spark, d):
+    rows = with_split(scored(spark, d)).select("split", "day", "seq", F.array(F.col("value"), F.col("price"), F.floor("spread").cast("double")).alias("features"), F.array(F.col("label") - 1).alias("labels"))
+    return write_audited(rows, shared_path(spark, "audited"), 3, {2: (0.0, 1.0)}, {"feature_count": 3, "days_processed": 1, "total_rows": 5})
+
+
+@query(_ridge_sql(_RIDGE, "l_discount", 1.0, "{} AS {}".format).replace("WITH l AS", "WITH weights AS (WITH l AS", 1) + f""") SELECT l_orderkey, l_linenumber, {r("(SELECT weight FROM weights WHERE feature = 'intercept') + " + " + ".join(f"(SELECT weight FROM weights WHERE feature = '{c}') * {c}" for c in _RIDGE), 'yhat')} FROM lineitem""")
+def q_checkpoint_scores(spark, d):
+    """A ridge model saved and loaded with its contract scores every row."""
+    from ..operators import checkpoints as K
+
+    rows, path = table(spark, d, "lineitem"), shared_path(spark, "checkpoint")
+    contract = K.contract_of(rows, _RIDGE, "l_discount", "regression", "ridge of lineitem")
+    K.save_checkpoint([M.fit_ridge(rows, _RIDGE, "l_discount")], contract, path, spark)
+    model, held = K.load_checkpoint(spark, path, "ridge of lineitem", _RIDGE, "regression")
+    return K.score(rows.select("l_orderkey", "l_linenumber", *_RIDGE), model, held).drop(*_RIDGE)
