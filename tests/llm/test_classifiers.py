@@ -184,3 +184,12 @@ def test_statistics_are_finite(text):
 def test_isotonic_pools():
     got = isotonic(np.array([1.0, 0, 0, 3, 2, 5]), np.array([2.0, 2, 0, 4, 4, 5]))
     assert np.isnan(got[2]) and np.allclose(got[[0, 1, 3, 4, 5]], [0.25, 0.25, 0.625, 0.625, 1])
+
+
+def test_a_labelled_id_in_many_rows_keeps_the_sample_small(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    many = spark.range(3000).selectExpr("CAST(7 AS long) AS doc_id", "concat('other ', id % 1000) AS text")
+    labels = spark.range(200).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    chosen = toxicity.sampled_labels(labels, "toxic", "doc_id", 5, 0, 100)
+    texts = [sorted(r._text for r in toxicity.sampled_texts(docs.union(many).repartition(n), chosen, "doc_id", "text", 100).collect()) for n in (2, 7)]
+    assert len(texts[0]) == 100 == len(set(texts[0])) and texts[0] == texts[1]

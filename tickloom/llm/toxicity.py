@@ -131,12 +131,23 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: floa
     return w, b
 
 
+def sampled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """(text, y, half), written: at most ``sample`` texts of the ids in ``chosen`` (as many rows at most), each once per id.
+
+    An id may have any number of rows: equal ones are put together in the tasks, and of the others those of least hash are
+    taken, by hash alone.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    first = [F.first(c).alias(c) for c in ("_text", "y", "half")]
+    texts = materialize(rows.groupBy("_id", F.sha2(F.col("_text").cast("binary"), 256).alias("_digest")).agg(*first), "labelled-texts")
+    taken = texts.select("_id", "_digest").orderBy(F.xxhash64("_id", "_digest"), "_id", "_digest").limit(sample)
+    return materialize(texts.join(F.broadcast(taken), ["_id", "_digest"]).select("_text", "y", "half"), "toxicity-sample")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 20_000, features: int = 4096, penalty: float = 1.0) -> ToxicityModel:
-    """Learn from at most ``sample`` labelled rows outside the held-out fold."""
+    """Learn from at most ``sample`` labelled texts outside the held-out fold."""
     chosen = sampled_labels(labels, label, id_col, folds, held_out, sample)
-    # At most ``sample`` rows of an id and a label: small enough to broadcast at any input size.
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "y", "half")
-    texts = materialize(texts, "toxicity-sample")
+    texts = sampled_texts(docs, chosen, id_col, text_col, sample)
     n_buckets = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
