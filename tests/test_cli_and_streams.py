@@ -70,3 +70,37 @@ def test_metadata_sidecars(spark, tmp_path):
     (tmp_path / "d2.json").write_text('{"day": "2024-01-02", "n_sequences": 7, "schema_version": "1", "horizons": [10, 60]}')
     got = ticks.metadata(spark, str(tmp_path / "*.json")).orderBy("day").collect()
     assert [(r.day, r.n_sequences, r.horizons) for r in got] == [("2024-01-01", 5, [10, 60]), ("2024-01-02", 7, [10, 60])]
+
+
+def test_kept_results_from_the_command_line(spark, tmp_path, capsys):
+    rows = spark.range(200).selectExpr("'test' AS split", "concat('2025-01-0', id % 2 + 1) AS day", "id AS seq", "CAST((id * 37) % 101 AS double) AS y")
+    for name, factor in (("a", 0.5), ("b", -0.2)):
+        ticks.write_signals(rows.selectExpr("*", f"y * {factor} + seq % 7 AS yhat"), str(tmp_path / name))
+    ci = ["ci", "--signals", str(tmp_path / "a"), "--out", str(tmp_path / "kept"), "--replicates", "100"]
+    first = cli.main(ci, spark).count()
+    assert first == 7 and "computed" in capsys.readouterr().out
+    assert cli.main(ci, spark).count() == 7 and capsys.readouterr().out.startswith("read")
+    cli.main([*ci, "--seed", "3"], spark)
+    assert "seed: 42 -> 3" in capsys.readouterr().out
+    pair = ["pairwise", "--signals", f"a={tmp_path / 'a'}", f"b={tmp_path / 'b'}", "--out", str(tmp_path / "kept"), "--replicates", "100", "--metric", "mae"]
+    assert [(r.a, r.b) for r in cli.main(pair, spark).collect()] == [("a", "b")]
+    with pytest.raises(cli.config.ConfigError):
+        cli.main(["pairwise", "--signals", f"a={tmp_path / 'a'}", "--out", str(tmp_path / "kept")], spark)
+
+
+def test_audit_and_statistics_of_day_files(spark, tmp_path, capsys):
+    import json
+
+    import numpy as np
+
+    for day in ("20250101", "20250102"):
+        (tmp_path / "x" / "train").mkdir(parents=True, exist_ok=True)
+        np.save(tmp_path / "x" / "train" / f"{day}_features.npy", np.arange(20.0).reshape(10, 2))
+        np.save(tmp_path / "x" / "train" / f"{day}_labels.npy", np.zeros(10, "i8") + 5 * (day == "20250102"))
+        (tmp_path / "x" / "train" / f"{day}_metadata.json").write_text(json.dumps({"schema_version": "2.2", "n_features": 2}))
+    assert [(r.day, r.problem) for r in cli.main(["audit", "--export", str(tmp_path / "x"), "--schema", "2.2"], spark).collect()] == [("20250102", "10 rows with labels other than -1, 0, 1")]
+    assert len(cli.main(["audit", "--export", str(tmp_path / "x"), "--schema", "2.3"], spark).collect()) == 3
+    stats = ["stats", "--export", str(tmp_path / "x"), "--out", str(tmp_path / "kept")]
+    assert {r.idx: r.median for r in cli.main(stats, spark).collect()} == {0: 9.0, 1: 10.0}
+    cli.main(stats, spark)
+    assert "read" in capsys.readouterr().out

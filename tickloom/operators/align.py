@@ -92,9 +92,13 @@ def pairs(names: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
 
 
-def subsample(rows: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), the same in every run, in the order of ``keys``."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n).orderBy(*keys)
+def subsample(rows: DataFrame, n: int, seed: int, keys: list[str], drawn: Column | None = None) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), the same in every run, in the order of ``keys``.
+
+    Those of least ``drawn`` are taken, by default a hash of the keys and the seed.
+    """
+    drawn = F.xxhash64(*keys, F.lit(seed)) if drawn is None else drawn
+    return rows.orderBy(drawn, *keys).limit(n).orderBy(*keys)
 
 
 def day_of(rows: DataFrame, boundaries: DataFrame, index: str = "index") -> DataFrame:

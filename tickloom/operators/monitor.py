@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, finite
@@ -77,15 +77,20 @@ def gradient_summary(log: DataFrame, norm: str = "grad_norm") -> DataFrame:
     return log.groupBy("run", "epoch").agg(F.sqrt(F.sum(x * x)).alias("total_norm"), F.avg(x).alias("mean_norm"), F.stddev_pop(x).alias("std_norm"), F.max(x).alias("max_norm"), F.min(x).alias("min_norm"), count_if(F.isnan(norm)).alias("n_nan"), count_if(F.abs(norm) == float("inf")).alias("n_inf"))
 
 
-def learning_rates(spark: SparkSession, epochs: int, lr: float, kind: str = "cosine", step: int = 10, gamma: float = 0.1) -> DataFrame:
-    """(epoch, lr): cosine, step or constant."""
-    e = F.col("epoch")
-    rate = {
-        "cosine": 0.5 * lr * (1 + F.cos(math.pi * e / epochs)),
-        "step": lr * F.pow(F.lit(gamma), F.floor(e / step)),
+def learning_rate(epoch: Column, epochs: int, lr: float, kind: str = "cosine", step: int = 10, gamma: float = 0.1) -> Column:
+    """The rate at an epoch (from 0): cosine, step or none."""
+    rates = {
+        "cosine": 0.5 * lr * (1 + F.cos(math.pi * epoch / epochs)),
+        "step": lr * F.pow(F.lit(gamma), F.floor(epoch / step)),
         "none": F.lit(lr),
-    }[kind]
-    return spark.range(epochs).select(F.col("id").cast("int").alias("epoch")).select("epoch", rate.cast("double").alias("lr"))
+    }
+    return rates[kind].cast("double")
+
+
+def learning_rates(spark: SparkSession, epochs: int, lr: float, kind: str = "cosine", step: int = 10, gamma: float = 0.1) -> DataFrame:
+    """(epoch, lr) of a schedule."""
+    rows = spark.range(epochs).select(F.col("id").cast("int").alias("epoch"))
+    return rows.select("epoch", learning_rate(F.col("epoch"), epochs, lr, kind, step, gamma).alias("lr"))
 
 
 def plateau_rates(log: DataFrame, lr: float, loss: str = "val_loss", factor: float = 0.5, patience: int = 5) -> DataFrame:

@@ -321,10 +321,11 @@ def q_health_flags(spark, d):
     return O.health_flags(epochs(spark, d)).select("run", "epoch", "stagnant", "diverged", "weak")
 
 
-@query(f"SELECT CAST(e AS INTEGER) AS epoch, {r('0.5 * 0.001 * (1 + cos(pi() * e / 50))', 'cosine')}, {r('0.001 * pow(0.1, floor(e / 10))', 'step')} FROM range(50) t(e)")
+@query(f"WITH {EPOCHS} SELECT run, epoch, {r('val_loss', 'val_loss')}, {r('0.5 * 0.001 * (1 + cos(pi() * epoch / 50)) * 1000', 'cosine')}, {r('pow(0.1, floor(epoch / 10))', 'step')}, 1.0 AS constant FROM epochs")
 def q_lr_schedule(spark, d):
-    a = O.learning_rates(spark, 50, 0.001, "cosine").withColumnRenamed("lr", "cosine")
-    return a.join(O.learning_rates(spark, 50, 0.001, "step").withColumnRenamed("lr", "step"), "epoch")
+    """The epochs of all runs with the rates they were trained at, in thousandths."""
+    rate = lambda kind: O.learning_rate(F.col("epoch"), 50, 0.001, kind) * 1000
+    return epochs(spark, d).select("run", "epoch", "val_loss", rate("cosine").alias("cosine"), rate("step").alias("step"), rate("none").alias("constant"))
 
 
 @query(f"WITH {EPOCHS} SELECT run, epoch, {NEW} AS is_best, {NEW} OR (epoch + 1) % 5 = 0 AS save FROM epochs {WR}")

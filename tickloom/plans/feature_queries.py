@@ -8,7 +8,8 @@ from ..operators import align as A
 from ..operators import features as X
 from ..operators import normalize as N
 from ..operators.labels import point_return
-from ..sources.ticks import price_and_spread, table, ticks, windowed
+from ..operators.resample import draw
+from ..sources.ticks import numbered, price_and_spread, table, ticks, windowed
 from .fixtures import SCORED, TICKS, VECTORS, W, query, r, scored, vectors
 
 PRICES, SIZES = "(idx < 10 OR idx BETWEEN 20 AND 29)", "(idx BETWEEN 10 AND 19 OR idx BETWEEN 30 AND 39)"
@@ -95,9 +96,11 @@ def q_feature_select(spark, d):
     return got.select("vec_id", *[F.get("f", F.lit(k)).alias(f"f_{k}") for k in range(len(PICK))])
 
 
-@query("SELECT CAST(k AS BIGINT) AS local, CAST(i AS BIGINT) AS source FROM (VALUES " + ", ".join(f"({k}, {i})" for k, i in enumerate(PICK)) + ") t(k, i)")
+@query(" UNION ALL ".join(f"SELECT vec_id, CAST({k} AS INTEGER) AS local, CAST({i} AS INTEGER) AS source, {r(f'CAST(embedding[{i + 1}] AS DOUBLE)', 'value')} FROM embeddings" for k, i in enumerate(PICK)))
 def q_index_mapping(spark, d):
-    return X.index_mapping(spark, PICK).select(F.col("local").cast("long").alias("local"), F.col("source").cast("long").alias("source"))
+    """Every vector's selected values with their places before and after the selection."""
+    got = vectors(spark, d).select("vec_id", F.posexplode(X.select_features(F.col("features"), PICK, 64)).alias("local", "value"))
+    return got.join(F.broadcast(X.index_mapping(spark, PICK)), "local").select("vec_id", "local", "source", "value")
 
 
 @query("SELECT count(*) AS n FROM embeddings WHERE list_bool_and([isfinite(x) FOR x IN embedding])")
@@ -192,13 +195,21 @@ def q_price_and_spread(spark, d):
     return price_and_spread(v, F.array("features")).select(F.col("seq").alias("vec_id"), "price", "spread")
 
 
-_PRESETS = ("analysis_ready_128", "deeplob_extended", "full_98", "short_term_40")
+#: Places of some feature sets below 64, written out.
+_PRESETS = {
+    "lob_only": "idx < 40",
+    "lob_derived": "idx < 48",
+    "deeplob_extended": "idx < 42 OR idx IN (45, 46)",
+    "short_term_40": "idx IN (0, 1, 10, 11, 20, 21, 30, 31) OR idx BETWEEN 40 AND 46 OR idx BETWEEN 48 AND 59",
+}
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS preset, CAST(count(*) AS BIGINT) AS n, CAST(sum(i) AS BIGINT) AS total FROM (SELECT unnest({list(X.PRESETS[n])}) AS i)" for n in _PRESETS))
+@query(f"WITH {VECTORS} " + " UNION ALL ".join(f"SELECT '{n}' AS preset, vec_id, count(*) AS n, {r('sum(x)', 'total')}, {r('max(x)', 'largest')} FROM cells WHERE {where} GROUP BY vec_id" for n, where in _PRESETS.items()))
 def q_feature_presets(spark, d):
-    rows = spark.createDataFrame([(n, list(X.PRESETS[n])) for n in _PRESETS], "preset string, indices array<int>")
-    return rows.select("preset", F.explode("indices").alias("i")).groupBy("preset").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total"))
+    """Vectors through each named feature set; what lies beyond their 64 values is null and not counted."""
+    picked = F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), F.filter(X.select_features(F.col("features"), list(X.PRESETS[n])), lambda x: x.isNotNull()).alias("f")) for n in _PRESETS]))
+    got = vectors(spark, d).select("vec_id", picked.alias("p")).select("p.preset", "vec_id", "p.f")
+    return got.select("preset", "vec_id", F.size("f").cast("long").alias("n"), F.aggregate("f", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max("f").alias("largest"))
 
 
 # Alignment --------------------------------------------------------------------------------------------------------
@@ -273,6 +284,10 @@ def q_day_of_index(spark, d):
     return A.day_of(table(spark, d, "part").select(F.col("p_partkey").alias("index")), bounds)
 
 
-@query()
+_DRAW = lambda x: f"(({x}) * 48271 + 12345) % 2147483647"
+
+
+@query(f"WITH {TICKS}, i AS (SELECT day, seq, value, row_number() OVER (ORDER BY day, seq) - 1 AS i FROM ticks) SELECT day, seq, {r('value', 'value')} FROM i ORDER BY ({_DRAW(_DRAW(_DRAW('(i * 104729 + 42) % 2147483647')))}) % 2147483646, i LIMIT 500")
 def q_subsample(spark, d):
-    return A.subsample(ticks(spark, d).select("day", "seq", "value"), 500, 42, ["day", "seq"])
+    rows = numbered(ticks(spark, d).select("day", "seq", "value"))
+    return A.subsample(rows, 500, 42, ["day", "seq"], draw(F.lit(0), F.col("i"), 42, F.lit(2147483646).cast("long"))).drop("i")
