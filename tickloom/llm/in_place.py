@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_path
+from .memory import release
 
 #: A list of keys is stored for each file: pairs of words, sorted by the first.
 KEY = np.dtype([("a", "<i8"), ("b", "<i8")])
@@ -154,6 +155,7 @@ def select_rows(df: DataFrame, labels: Column, a: Column, b: Column, decide: Cal
                     stay[i:j] = pick(int(label[i]), x[i:j], y[i:j])
             if stay.any():
                 yield batch.select(range(n)) if stay.all() else batch.filter(pa.array(stay)).select(range(n))
+        release()
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
     return placed.mapInArrow(run, kinds).toDF(*df.columns)

@@ -108,6 +108,7 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
             some = batch.filter(pa.array(batch.column("n").to_numpy() > 0))
             keys = np.frombuffer(b"".join(x.as_py() for x in some.column("bands")), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(some.column(c).to_numpy(), BANDS)) for c in ("s", "n"))], ["key", "s", "n"])
+        release()
 
     placed = materialize(entries.select("s", "n", "bands").mapInArrow(place, "key long, s long, n long"), "bands")
     counts = materialize(placed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared-bands")
@@ -157,6 +158,7 @@ def unlinked_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame, simil
                 held.append(batch.slice(a, b - a))
         if held:
             yield from pairs(held, now[1] != now[2])
+        release()
 
     labelled = shared.select("key", "s", "n").join(labels, "s")
     open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").drop("_a", "_b")
@@ -177,6 +179,7 @@ def like_marks(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFra
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(m.as_py() for m in batch.column(c)), np.uint8).reshape(batch.num_rows, -1) for c in ("marks", "marks2"))
                 yield batch.select(["s", "s2"]).filter(pa.array((x == y).sum(1) >= least))
+        release()
 
     return beside(pairs, marks.toDF("s2", "marks2")).join(marks, "s").select("s", "s2", "marks", "marks2").mapInArrow(keep, "s long, s2 long")
 

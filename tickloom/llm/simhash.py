@@ -200,6 +200,7 @@ def near_links(nodes: DataFrame, most: int = 3, block: int = 4096) -> DataFrame:
             close(held)
         if out:
             yield sent()
+        release()
 
     placed = nodes.select("fp").mapInArrow(place, "cell long, own boolean, fp long")
     # The members of a cell of more than ``block`` are dealt into k blocks, its probes into 8 k: one group for each pair of
