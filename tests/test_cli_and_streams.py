@@ -13,7 +13,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("kind,column", [("previous_label", "accuracy"), ("class_prior", "accuracy"), ("logistic", "accuracy"), ("ridge", "r2"), ("boosting", "r2")])
 def test_train(spark, tmp_path, kind, column):
     (tmp_path / "c.yaml").write_text("name: n\nhypothesis: h\n")
-    got = cli.main(["train", str(tmp_path / "c.yaml"), "--data", D, "--set", f"model.kind={kind}"], spark)
+    got = cli.main(["train", str(tmp_path / "c.yaml"), "--data", D, "--set", f"model.kind={kind}", "--set", "model.trees=3"], spark)
     rows = got.collect()
     assert {r.split for r in rows} == {"train", "val", "test"} and all(r[column] is not None for r in rows)
 

@@ -89,7 +89,8 @@ def score_with(rows: DataFrame, predict, columns: list[str], out: str = "yhat")
     @pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(predict(pd.concat(batch, axis=1, keys=columns)))
+            held = (batch,) if isinstance(batch, pd.Series) else batch  # a single column comes by itself
+            yield pd.Series(predict(pd.concat(held, axis=1, keys=columns)))
 
     return rows.withColumn(out, run(*[F.col(c) for c in columns]))
 

@@ -84,13 +84,17 @@ def overrides(pairs: list[str]) -> dict:
 
 def regressed(rows: DataFrame, experiment: config.Experiment) -> DataFrame:
     """``rows`` with yhat, of the configured regression model fitted on the training days; rows it cannot score are left out."""
-    from ..operators import models
+    from ..operators import boosting, models
 
     fit, kind = rows.where("split = 'train'"), experiment.model.kind
     if kind not in ("ridge", "boosting"):
         raise config.ConfigError(f"a {kind} model gives no forecasts")
-    model = models.fit_ridge(fit, COLUMNS, "y", experiment.model.alpha) if kind == "ridge" else models.fit_boosting(fit, COLUMNS, "y", trees=20, seed=experiment.train.seed)
-    return model.transform(models.assemble(rows.drop("yhat"), COLUMNS)).withColumnRenamed("prediction", "yhat").drop("vector")
+    rows = rows.drop("yhat")
+    if kind == "boosting":
+        model = boosting.fit_huber_trees(fit, COLUMNS, "y", trees=experiment.model.trees, seed=experiment.train.seed)
+        return boosting.score_trees(rows, model).where("yhat IS NOT NULL")
+    model = models.fit_ridge(fit, COLUMNS, "y", experiment.model.alpha)
+    return model.transform(models.assemble(rows, COLUMNS)).withColumnRenamed("prediction", "yhat").drop("vector")
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

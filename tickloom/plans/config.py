@@ -90,8 +90,11 @@ class Model:
     kind: str = "logistic"
     classes: int = 3
     alpha: float = 1.0
+    trees: int = 200
 
     def __post_init__(self):
+        if self.trees < 1:
+            raise ConfigError("there is at least one tree")
         _one_of("kind", self.kind, ("logistic", "ridge", "boosting", "class_prior", "previous_label"))
         if self.classes < 2:
             raise ConfigError("there are at least two classes")

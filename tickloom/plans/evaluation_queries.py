@@ -291,6 +291,16 @@ def q_boosting(spark, d):
     return model.transform(M.assemble(rows, ["value", "spread", "k"])).select("day", "seq", "prediction")
 
 
+@query()
+def q_huber_boosting(spark, d):
+    """Forecasts of boosted trees with Huber loss for every labelled tick; held against a plain fit in the tests."""
+    from ..operators.boosting import fit_huber_trees, score_trees
+
+    rows = scored(spark, d).select("y", "value", "spread", F.col("k").cast("double").alias("k"), "day", "seq")
+    model = fit_huber_trees(rows, ["value", "spread", "k"], "y", trees=5, depth=3)
+    return score_trees(rows, model).select("day", "seq", "yhat")
+
+
 # Monitoring -------------------------------------------------------------------------------------------------------
 
 WR = "WINDOW w AS (PARTITION BY run ORDER BY epoch)"
