@@ -7,8 +7,8 @@ import logging
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import content_hash
-from ..sources.ticks import by_day, windowed
+from ..functions.scalar import content_hash, ratio
+from ..sources.ticks import by_day, row_before, windowed
 
 #: Target mean and deviation used where labels give none; fixed values.
 STATIC_TARGET = (-0.167, 27.41)
@@ -145,3 +145,16 @@ def signal_metadata(rows: DataFrame, model: str, experiment: str) -> DataFrame:
     got = got.select("n", "first_day", "last_day", *[F.round(c, 6).alias(c) for c in got.columns[3:]])
     body = F.struct(F.lit(model).alias("model_type"), F.lit(experiment).alias("experiment_id"), *got.columns)
     return got.select(body.alias("b")).select(F.to_json(F.struct("b.*", F.sha2(F.to_json("b"), 256).alias("fingerprint"))).alias("json"))
+
+
+def transition_report(rows: DataFrame, classes: int = 3, by: tuple[str, ...] = ("day",), keys: tuple[str, ...] = ("split",), label: str = "label", pred: str = "pred") -> DataFrame:
+    """(keys, before, label, n, share, hit): how often each class follows each within ``by``, its share of the rows after
+    ``before``, and the accuracy of the predictions there. Pairs of classes that don't occur have 0 rows."""
+    seen = row_before(rows.select(*keys, *by, "seq", label, pred), label, "before", by).where(F.col("before").isNotNull())
+    counts = seen.groupBy(*keys, "before", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(label) == F.col(pred)).cast("double")).alias("hit"))
+    own = rows.sparkSession.range(classes)
+    every = own.select(F.col("id").cast("int").alias("before")).crossJoin(own.select(F.col("id").cast("int").alias("label")))  # classes squared
+    grid = seen.select(*keys).distinct().crossJoin(F.broadcast(every))
+    got = grid.join(counts, [*keys, "before", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    after = F.sum("n").over(Window.partitionBy(*keys, "before"))  # a row per class
+    return got.select(*keys, "before", "label", "n", ratio(F.col("n"), after).alias("share"), F.coalesce("hit", F.lit(0.0)).alias("hit"))

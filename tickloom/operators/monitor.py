@@ -22,13 +22,33 @@ def before() -> WindowSpec:
 
 
 class TrainingDiverged(RuntimeError):
-    """A loss is not finite."""
+    """A loss is not finite; says of which ``run`` and ``epoch``, and its ``value``."""
+
+    def __init__(self, run, epoch, value, what: str = "the loss"):
+        self.run, self.epoch, self.value = run, epoch, value
+        super().__init__(f"run {run}, epoch {epoch}: {what} is not finite ({value})")
+
+
+class MonitorUndefined(TrainingDiverged):
+    """A monitored ``metric`` is not finite, so that no epoch could be better or worse by it."""
+
+    def __init__(self, run, epoch, value, metric: str):
+        self.metric = metric
+        super().__init__(run, epoch, value, metric)
 
 
 def require_finite_losses(log: DataFrame, loss: str = "loss") -> None:
+    """Raises with the first epoch whose loss is not finite."""
     bad = log.where(~finite(F.col(loss))).orderBy("run", "epoch").first()
     if bad is not None:
-        raise TrainingDiverged(f"run {bad.run}, epoch {bad.epoch}: the loss is not finite")
+        raise TrainingDiverged(bad.run, bad.epoch, bad[loss])
+
+
+def require_defined(log: DataFrame, metric: str = "val_loss") -> None:
+    """Raises with the first epoch whose monitored metric is null or not finite."""
+    bad = log.where(~F.coalesce(finite(F.col(metric)), F.lit(False))).orderBy("run", "epoch").first()
+    if bad is not None:
+        raise MonitorUndefined(bad.run, bad.epoch, bad[metric], metric)
 
 
 def early_stopping(log: DataFrame, loss: str = "val_loss", patience: int = 3, min_delta: float = 0.0) -> DataFrame:

@@ -32,8 +32,20 @@ def layout(name: str) -> tuple[list[int], list[int]]:
     raise ValueError(f"unknown layout {name}")
 
 
+def is_sequence(rows: DataFrame, features: str) -> bool:
+    """Whether ``features`` holds steps of vectors, not one vector."""
+    return rows.schema[features].dataType.simpleString().startswith("array<array")
+
+
+def each_step(rows: DataFrame, features: str, scaled) -> Column:
+    """``scaled`` (a vector's column -> its scaled column) of the vector, or of each step's."""
+    return F.transform(features, scaled) if is_sequence(rows, features) else scaled(F.col(features))
+
+
 def exploded(rows: DataFrame, features: str = "features", keys: list[str] | None = None) -> DataFrame:
-    """(keys, idx, x): finite values only."""
+    """(keys, idx, x): finite values only, of all steps of a sequence."""
+    if is_sequence(rows, features):
+        rows = rows.withColumn(features, F.explode(features))
     return rows.select(*(keys or []), F.posexplode(features).alias("idx", "x")).where(finite(F.col("x")))
 
 
@@ -56,7 +68,8 @@ def hybrid_stats(rows: DataFrame, price_size: tuple[list[int], list[int]], exclu
     kind = group_of(idx, price_size)
     each = exploded(rows, features).withColumn("_g", F.when(kind == "feature", idx).when(kind == "price", -1).otherwise(-2))
     stats = each.groupBy("_g").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
-    width = rows.agg(F.max(F.size(features)).alias("w"))
+    one = F.get(features, F.lit(0)) if is_sequence(rows, features) else F.col(features)
+    width = rows.agg(F.max(F.size(one)).alias("w"))
     every = width.select(F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("idx")).withColumn("_g", F.when(kind == "feature", idx).when(kind == "price", -1).otherwise(-2))
     got = every.join(stats, "_g", "left")
     out = idx.isin(*excluded) if excluded else F.lit(False)
@@ -71,10 +84,11 @@ def stats_arrays(stats: DataFrame) -> DataFrame:
 
 
 def apply_hybrid(rows: DataFrame, stats: DataFrame, features: str = "features", limit: float = 10.0) -> DataFrame:
-    """z-scores clipped to the limit in place of ``features``; excluded columns as they are. ``stats``: one row per feature."""
+    """z-scores clipped to the limit in place of ``features``, a vector or steps of vectors; excluded columns as they are.
+    ``stats``: one row per feature."""
     one = stats_arrays(stats)
-    z = F.transform(features, lambda x, i: F.when(F.get("excluded", i), x).otherwise(clip((x - F.get("means", i)) / F.get("stds", i), -limit, limit)))
-    return rows.join(F.broadcast(one)).withColumn(features, z).drop("means", "stds", "excluded")
+    z = lambda v: F.transform(v, lambda x, i: F.when(F.get("excluded", i), x).otherwise(clip((x - F.get("means", i)) / F.get("stds", i), -limit, limit)))
+    return rows.join(F.broadcast(one)).withColumn(features, each_step(rows, features, z)).drop("means", "stds", "excluded")
 
 
 def apply_global(rows: DataFrame, pooled: DataFrame, price_size: tuple[list[int], list[int]], features: str = "features", eps: float = 1e-8) -> DataFrame:
@@ -85,7 +99,7 @@ def apply_global(rows: DataFrame, pooled: DataFrame, price_size: tuple[list[int]
         kind = group_of(i, price_size)
         return F.when(kind == "price", (x - F.col("_price_mean")) / (F.col("_price_std") + eps)).when(kind == "size", (x - F.col("_size_mean")) / (F.col("_size_std") + eps)).otherwise(x)
 
-    return rows.join(F.broadcast(one)).withColumn(features, F.transform(features, scaled)).drop(*one.columns)
+    return rows.join(F.broadcast(one)).withColumn(features, each_step(rows, features, lambda v: F.transform(v, scaled))).drop(*one.columns)
 
 
 def feature_statistics(rows: DataFrame, by: list[str], features: str = "features", floor: float = 1e-8) -> DataFrame:
@@ -105,11 +119,28 @@ def column_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
     return each.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count(F.lit(1)).alias("n"))
 
 
-def require_finite_columns(rows: DataFrame, features: str = "features") -> None:
-    """Raises if a feature has no finite value in any row."""
-    bad = rows.select(F.posexplode(features).alias("idx", "x")).groupBy("idx").agg(F.count(F.when(finite(F.col("x")), 1)).alias("n")).where("n = 0").orderBy("idx").limit(20).collect()
+class DegenerateFeatures(ValueError):
+    """Features that cannot be scaled; ``indices`` and ``reason`` (no_finite_value or no_variance, then with ``eps``)."""
+
+    def __init__(self, indices: list[int], reason: str, eps: float | None = None):
+        self.indices, self.reason, self.eps = indices, reason, eps
+        super().__init__(f"features without a finite value: {indices}" if reason == "no_finite_value" else f"features that vary by less than {eps}, and are not excluded: {indices}")
+
+
+def require_finite_columns(rows: DataFrame, features: str = "features", excluded: tuple[int, ...] = (), eps: float | None = None) -> None:
+    """Raises if a feature has no finite value in any row, or (``eps``) varies by less, unless it is excluded. One aggregate."""
+    if is_sequence(rows, features):
+        rows = rows.select(F.explode(features).alias(features))
+    x = F.when(finite(F.col("x")), F.col("x"))
+    stats = rows.select(F.posexplode(features).alias("idx", "x")).groupBy("idx").agg(F.count(x).alias("n"), F.stddev_pop(x).alias("s"))
+    stats = stats.where(~F.col("idx").isin(*excluded)) if excluded else stats
+    flat = F.lit(False) if eps is None else F.col("s") < eps
+    bad = stats.where((F.col("n") == 0) | flat).orderBy("idx").collect()  # a row per feature
+    empty = [r.idx for r in bad if r.n == 0]
+    if empty:
+        raise DegenerateFeatures(empty, "no_finite_value")
     if bad:
-        raise ValueError(f"features without a finite value: {[r.idx for r in bad]}")
+        raise DegenerateFeatures([r.idx for r in bad], "no_variance", eps)
 
 
 def zscore_per_day(rows: DataFrame, value: str, out: str, by: str = "day", flat: float = 1e-10) -> DataFrame:

@@ -452,3 +452,12 @@ def q_checkpoint_scores(spark, d):
     K.save_checkpoint([M.fit_ridge(rows, _RIDGE, "l_discount")], contract, path, spark)
     model, held = K.load_checkpoint(spark, path, "ridge of lineitem", _RIDGE, "regression")
     return K.score(rows.select("l_orderkey", "l_linenumber", *_RIDGE), model, held).drop(*_RIDGE)
+
+
+@query(f"""WITH {SCORED}, days AS (SELECT day, percent_rank() OVER (ORDER BY day) AS place FROM (SELECT DISTINCT day FROM scored)),
+p AS (SELECT CASE WHEN place < 0.7 THEN 'train' WHEN place < 0.85 THEN 'val' ELSE 'test' END AS split, label, pred, lag(label) OVER w AS before FROM scored JOIN days USING (day) {W}),
+c AS (SELECT split, before, label, count(*) AS n, avg((label = pred)::INT) AS hit FROM p WHERE before IS NOT NULL GROUP BY ALL),
+g AS (SELECT DISTINCT split, b AS before, l AS label FROM c, (SELECT unnest([0, 1, 2]) AS b), (SELECT unnest([0, 1, 2]) AS l))
+SELECT split, before, label, coalesce(n, 0) AS n, {r('coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY split, before)', 'share')}, {r('coalesce(hit, 0)', 'hit')} FROM g LEFT JOIN c USING (split, before, label)""")
+def q_transition_report(spark, d):
+    return E.transition_report(with_split(scored(spark, d)))

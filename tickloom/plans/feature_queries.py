@@ -291,3 +291,16 @@ _DRAW = lambda x: f"(({x}) * 48271 + 12345) % 2147483647"
 def q_subsample(spark, d):
     rows = numbered(ticks(spark, d).select("day", "seq", "value"))
     return A.subsample(rows, 500, 42, ["day", "seq"], draw(F.lit(0), F.col("i"), 42, F.lit(2147483646).cast("long"))).drop("i")
+
+
+_STEPS = f"""steps AS (SELECT vec_id, idx, x, 0 AS step FROM c UNION ALL SELECT vec_id, idx, -2 * x, 1 FROM c),
+g AS (SELECT *, CASE WHEN {PRICES} THEN -1 WHEN {SIZES} THEN -2 ELSE idx END AS g FROM steps),
+st AS (SELECT g, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-8 THEN 1.0 ELSE stddev_pop(x) END AS s FROM g GROUP BY g)"""
+
+
+@query(f"WITH {VECTORS}, c AS (SELECT * FROM cells), {_STEPS} SELECT vec_id, step, {r('sum((idx + 1) * CASE WHEN idx = 50 THEN x ELSE greatest(least((x - m) / s, 10), -10) END)', 'weighted')} FROM g JOIN st USING (g) GROUP BY vec_id, step")
+def q_sequence_normalize(spark, d):
+    """Sequences of two steps, scaled by statistics over the steps of all of them."""
+    v = vectors(spark, d).select("vec_id", F.array(F.col("features"), F.transform("features", lambda x: -2 * x)).alias("sequence"))
+    scaled = N.apply_hybrid(v, N.hybrid_stats(v, N.layout("grouped"), (50,), "sequence"), "sequence")
+    return scaled.select("vec_id", F.posexplode("sequence").alias("step", "features")).select("vec_id", "step", _weighted())
