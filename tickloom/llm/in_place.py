@@ -135,6 +135,16 @@ def pack_columns(keys: DataFrame) -> DataFrame:
     return keys.select("label", "a", "b").mapInArrow(run, "label long, keys binary")
 
 
+def stays(pick: Callable[[int, np.ndarray, np.ndarray], np.ndarray], label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows ``pick`` takes, called once for each run of rows of one file."""
+    stay = np.zeros(len(label), bool)
+    cuts = np.r_[0, np.flatnonzero(label[1:] != label[:-1]) + 1, len(label)]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            stay[i:j] = pick(int(label[i]), a[i:j], b[i:j])
+    return stay
+
+
 def select_rows(df: DataFrame, labels: Column, a: Column, b: Column, decide: Callable[[], Callable[[int, np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
     """The rows of ``df`` that ``decide`` picks, all columns as they are.
 
@@ -147,12 +157,7 @@ def select_rows(df: DataFrame, labels: Column, a: Column, b: Column, decide: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = decide()
         for batch in batches:
-            label, x, y = (batch.column(n + k).to_numpy(zero_copy_only=False) for k in range(3))
-            stay = np.zeros(len(label), bool)
-            cuts = np.r_[0, np.flatnonzero(label[1:] != label[:-1]) + 1, len(label)]
-            for i, j in zip(cuts, cuts[1:]):
-                if j > i:
-                    stay[i:j] = pick(int(label[i]), x[i:j], y[i:j])
+            stay = stays(pick, *(batch.column(n + k).to_numpy(zero_copy_only=False) for k in range(3)))
             if stay.any():
                 yield batch.select(range(n)) if stay.all() else batch.filter(pa.array(stay)).select(range(n))
         release()

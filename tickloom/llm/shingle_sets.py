@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, materialize, row_words, text_of, word_slices
-from .in_place import file_label, listed, pack_columns, select_rows, store_keys
+from .in_place import file_label, listed, pack_columns, stays, store_keys
 from .memory import release
 
 SEED = 42
@@ -204,11 +204,15 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, sim
     marks = entries.where("n > 0").select("s", "marks")
     places = shared.select("s").distinct().join(entries, "s").select("at.label", "at.a", "at.b")
     folder = store_keys(pack_columns(places), "texts-wanted")
-    texts = select_rows(docs, file_label(), *row_words(docs), lambda: listed(folder)).select(text_of(text_col).cast("binary").alias("text"))
+    texts = docs.select(file_label().alias("label"), *row_words(docs), text_of(text_col).cast("binary").alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Picked and cut in one task: two in a row would be two processes beside each task.
+        pick = listed(folder)
         for batch in batches:
-            for text in batch.column(0):
+            stay = stays(pick, *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
+            for at in np.flatnonzero(stay):
+                text = batch.column(3)[int(at)]
                 items = shingle_set(list(shingle_hashes(text.as_py(), shingle)))
                 yield pa.RecordBatch.from_arrays([pa.array([name_of(items)], pa.uint64()).view(pa.int64()), pa.array([items.tobytes()], pa.binary())], ["s", "items"])
         release()
