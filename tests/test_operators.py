@@ -118,11 +118,11 @@ def test_trip_wire_over_blocks(spark):
     rows = [(d, s, float(rng.choice([-1, 0, 1])), float(rng.choice([-1, 1]))) for d in range(2) for s in range(200)]
     df = spark.createDataFrame(rows, "day int, seq long, y double, yhat double")
     whole = regression.hit_tripwire(df).first()
-    old, regression.BLOCK = regression.BLOCK, 3
+    old, ticks_module.BLOCK = ticks_module.BLOCK, 3
     try:
         assert list(regression.hit_tripwire(df).first()) == pytest.approx(list(whole))
     finally:
-        regression.BLOCK = old
+        ticks_module.BLOCK = old
 
 
 def test_trip_wire_over_days(spark):
