@@ -11,7 +11,7 @@ of one cell are ordered by a projection of the curve's own, and what is equal th
 that no two curves give a tight cluster the same windows. Spark range-partitions the orderings; a point's rank follows
 from the partitions' counts. A curve is cut into blocks of equal size, and a query is
 held against its own block and its neighbours, so that its window is a fixed share of all rows (3 / ``blocks`` per curve,
-and at least ``least`` rows to a block), whatever the number of rows or of equal vectors. Windows' best are merged over all
+and at least ``least`` candidates to a block, if there are no more than three queries to each), whatever the number of rows or of equal vectors. Windows' best are merged over all
 curves and ranked by exact inner products in double precision.
 
 Each distinct vector is indexed once, with the k + 1 smallest ids that have it, and asked once; ids are put in after the
@@ -236,7 +236,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     size, wide, last, first = {}, {}, {}, {}
     gone = 0
     for r, many in entries.items():
-        share = max(least, -(-many // blocks))
+        # Queries lie among the candidates: a block has ``least`` of these on average, up to three queries to each.
+        share = max(round(least * min(4, many / (many - n_queries))), -(-many // blocks))
         size[r] = min(share, most_block)
         wide[r], last[r], first[r] = -(-share // size[r]), (many - 1) // size[r], gone
         gone += curves * many
