@@ -6,9 +6,9 @@ Sets that agree in a band share a bucket. Links are found in two steps:
 1. Each bucket has a representative, the member that shares buckets with most others (the original of many edited copies
    agrees with all of them, a copy with few), and every member is held against it. So a page meets all its copies, and
    a group of like copies hangs together, with as many pairs as a bucket has members.
-2. Members that are not linked through one representative are held against each other, in the buckets where that is so. Their
-   marks are compared in the task, in blocks of ``BLOCK`` members, and pairs that are alike in at least ``similarity`` - ``SLACK`` of
-   them and not yet linked to one representative, go on. There is no cap on partners.
+2. Members that are not connected by these links are held against each other, in the buckets where that is so. Their
+   marks are compared in the task, in blocks of ``BLOCK`` members, and pairs of two components that are alike in at least
+   ``similarity`` - ``SLACK`` of them go on. There is no cap on partners.
 
 In both steps pairs whose sizes and marks allow the similarity are held against each other by their whole sets (Jaccard
 similarity of 64-bit hashes). Only the texts in shared buckets are read again; a set that many are held against is sent
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, materialize, row_words, text_of, word_slices
+from .components import connected_components
 from .in_place import file_label, listed, pack_columns, stays, store_keys
 from .memory import release
 
@@ -127,7 +128,7 @@ def representative_pairs(shared: DataFrame, similarity: float) -> DataFrame:
 def unlinked_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
     """(s, s2), s < s2, distinct: members of one bucket that differ in ``labels`` (s, label), of like sizes and marks.
 
-    ``labels``: each set's representative, itself if it has none. Buckets with one label are done.
+    ``labels``: the component each set is in so far. Buckets with one label are done.
     """
     block, least = block or BLOCK, (similarity - SLACK) * len(FACTORS)
 
@@ -233,10 +234,9 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, sim
 
     nearby = like_marks(materialize(representative_pairs(shared, similarity), "representative-pairs"), marks, similarity)
     to_first = linked(materialize(nearby, "first-pairs"), "first")
-    degree = shared.select("s", "deg").distinct()
-    ends = to_first.join(degree.toDF("s2", "deg"), "s2").select("s", F.struct("deg", F.col("s2").alias("label")).alias("to"))
-    ends = ends.unionByName(degree.select("s", F.struct("deg", F.col("s").alias("label")).alias("to")))
-    labels = materialize(ends.groupBy("s").agg(F.max("to").alias("to")).select("s", "to.label"), "labels")
+    roots = connected_components(to_first.select(F.col("s").alias("u"), F.col("s2").alias("v")))
+    labels = shared.select("s").distinct().join(roots, F.col("s") == F.col("node"), "left").select("s", F.coalesce("root", "s").alias("label"))
+    labels = materialize(labels, "labels")
     others = linked(materialize(unlinked_pairs(shared, labels, marks, similarity), "unlinked-pairs"), "more")
     names = entries.select("s", "fp")
     edges = beside(to_first.unionByName(others), names.toDF("s2", "v")).join(names.toDF("s", "u"), "s").select("u", "v")
