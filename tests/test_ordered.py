@@ -116,3 +116,51 @@ def test_many_draws_are_not_broadcast(spark):
     rows = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("x"))
     got = resample.replicate_sums(rows, {"s": F.col("x")}, n, length, 1000, 42)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("replicates", [30, 300])
+def test_replicates_ranked_anew_over_many_buckets(spark, monkeypatch, replicates):
+    """Buckets, a value in most rows, rows without a value and several batches give the ranks of the rows drawn."""
+    from tickloom.operators import reranked
+
+    monkeypatch.setattr(reranked, "SPAN", 16)
+    n, length, seed = 400, 9, 3
+    rng = np.random.default_rng(8)
+    y = np.where(rng.random(n) < 0.5, 2.0, np.round(rng.normal(2, 3, n), 1))
+    p, q = np.where(rng.random(n) < 0.3, 0.0, y + rng.normal(0, 2, n)), rng.integers(0, 5, n).astype(float)
+    q[::11] = np.nan
+    df = spark.createDataFrame([(i, float(y[i]), float(p[i]), None if np.isnan(q[i]) else float(q[i])) for i in range(n)], "i long, y double, p double, q double")
+    got = {(r.replicate, r.treatment): r.ic for r in resample.replicate_correlations(df, "y", ["p", "q"], n, length, replicates, seed).collect()}
+    starts = pd.DataFrame(resample.drawn_starts(spark, n, length, replicates, seed).collect(), columns=["r", "s"])
+    assert len(got) == 2 * replicates
+    for r in range(replicates):
+        rows = np.concatenate([np.arange(s, s + length) for s in starts[starts["r"] == r]["s"]])
+        for name, x in (("p", p), ("q", q)):
+            own = rows[~np.isnan(x[rows])]
+            assert got[r, name] == pytest.approx(pd.Series(y[own]).rank().corr(pd.Series(x[own]).rank()))
+
+
+def test_no_task_ranks_all_pairs_of_a_frequent_value(spark):
+    """Half the rows share one y, all with different x: the rank of y is taken over counted values, and its rows are not one task's."""
+    n = 40_000
+    df = spark.range(n, numPartitions=8).select(F.rand(2).alias("x"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.rand(1)).alias("y"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"))
+    df = df.withColumn("x", F.col("x") + F.col("y") / 2)
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/frequent")
+    df = spark.read.parquet(path)
+    seen = []
+    real = regression._ranked
+
+    def ranked(rows, value, *more):
+        seen.append(rows.groupBy("_g", value).count().agg(F.max("count")).first()[0])
+        return real(rows, value, *more)
+
+    regression._ranked = ranked
+    try:
+        got = {r.g: (r.ic, r.n) for r in regression.spearman(df, "x", "y", ["g"]).collect()}
+    finally:
+        regression._ranked = real
+    assert seen == [1, 1]
+    pdf = df.toPandas()
+    for g, own in pdf.groupby(pdf["g"].fillna(-1)):
+        ic, count = got[None if g == -1 else int(g)]
+        assert count == len(own) and ic == pytest.approx(own["x"].rank().corr(own["y"].rank()))

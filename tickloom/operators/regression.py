@@ -87,13 +87,20 @@ def weighted_pearson(x: Column, y: Column, n: Column, least: int) -> Column:
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], out: str = "ic", least: int = 3, buckets: int = 64, weight: str | None = None) -> DataFrame:
     """(by, ic, n): rank correlation with mean ranks for ties; null for fewer than ``least`` rows. A row counts ``weight`` times.
 
-    Equal pairs are counted first, and ranks are taken over the counted pairs: columns of few values never sort all rows.
-    The counts are written once to the shared folder, since ranks read them several times.
+    Equal pairs are counted first and written, as they are read several times. Ranks are taken over each side's counted values
+    and come back by value, heavy values by broadcast: a value that most pairs share is one row to rank and no one task's join.
     """
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-    one = materialize(_ranked(materialize(pairs, "value-pairs"), "_x", by, "_rx", "_n", buckets), "ranked-pairs")
-    ranked = _ranked(one, "_y", by, "_ry", "_n", buckets)
-    return ranked.groupBy(*by).agg(weighted_pearson(F.col("_rx"), F.col("_ry"), F.col("_n"), least).alias(out), F.sum("_n").alias("n"))
+    # A group may be null: joins see it inside a struct.
+    group = F.struct(F.lit(0).alias("_0"), *by).alias("_g")
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, F.col(x).alias("_x"), F.col(y).alias("_y")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
+    pairs = materialize(pairs, "value-pairs")
+    ranked, total = pairs, pairs.count()
+    for side in ("_x", "_y"):
+        counts = materialize(pairs.groupBy("_g", side).agg(F.sum("_n").alias("_w"), F.count(F.lit(1)).alias("_size")), "counted-values")
+        ranks = materialize(_ranked(counts, side, ["_g"], f"_r{side}", "_w", buckets).select("_g", side, f"_r{side}", "_size"), "counted-ranks")
+        ranked = join_counted(ranked, ranks, ["_g", side], "_size", total).drop("_size")
+    got = ranked.groupBy(*(["_g"] if by else [])).agg(weighted_pearson(F.col("_r_x"), F.col("_r_y"), F.col("_n"), least).alias(out), F.sum("_n").alias("n"))
+    return got.select(*[F.col(f"_g.{c}").alias(c) for c in by], out, "n")
 
 
 def r_squared(y: Column, p: Column) -> Column:
