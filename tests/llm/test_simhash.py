@@ -103,3 +103,15 @@ def test_links_wider_than_the_grids_are_refused(spark, most):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id long, text string")
     with pytest.raises(ValueError, match="at most 3 bits"):
         simhash.simhash_components(docs, most=most)
+
+
+def test_edges_in_one_piece_settle_in_one_round(spark, monkeypatch):
+    """A chain, a hub and loose pairs: each task puts stars in place of its edges, so that one round sees nothing change."""
+    from tickloom.llm import components
+
+    edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000 + 2 * k, 5001 + 2 * k) for k in range(50)]
+    df = spark.createDataFrame([(b, a) if a % 3 else (a, b) for a, b in edges], "u long, v long")
+    want = {n: 0 for n in range(301)} | {1000 + k: 1000 for k in range(200)} | {5000 + k: 5000 + k - k % 2 for k in range(100)}
+    assert {r.node: r.root for r in components.connected_components(df, most_rounds=1).collect()} == want
+    monkeypatch.setattr(components, "PIECE", 7)
+    assert {r.node: r.root for r in components.connected_components(df).collect()} == want
