@@ -39,3 +39,16 @@ def test_ledger_appends_and_never_raises(spark, tmp_path):
     assert got == [(e, f, m, v) for e, f in (("a", "f1"), ("b", "f2")) for m, v in (("accuracy", 0.5), ("n", 7.0))]
     (tmp_path / "file").write_text("")
     assert not evaluate.append_ledger(record, str(tmp_path / "file" / "below"), "a", "f1")
+
+
+def test_sweep_computes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(x):
+        made.add(1)
+        return float(x % 7)
+
+    rows = spark.range(90).select(F.lit("d").alias("day"), F.col("id").alias("seq"), (F.col("id") % 3).cast("int").alias("label"), F.when(F.col("id") < 60, "train").otherwise("test").alias("split"), slow("id").alias("a"), F.sin("id").alias("b"))
+    got = models.feature_sweep(rows, {"one": ["a"], "both": ["a", "b"]}, 3).collect()
+    assert len(got) == 8 and made.value == 90

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import argmax, finite, softmax
+from ..sources.shared import materialize
 from ..sources.ticks import windowed
 from .classification import class_weights
 from .evaluate import class_prior, previous_label
@@ -42,8 +43,11 @@ def fit_ridge(rows: DataFrame, features: list[str], label: str, alpha: float = 1
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str, classes: int, c: float = 1.0, most_iterations: int = 100):
-    """Standardized features, balanced class weights, L2 of inverse strength ``c``. Returns (scaler, model)."""
-    data = assemble(rows, features)
+    """Standardized features, balanced class weights, L2 of inverse strength ``c``. Returns (scaler, model).
+
+    The columns are written first, as each of the passes before the iterations reads them.
+    """
+    data = assemble(materialize(rows.select(label, *features), "rows-to-fit"), features)
     scaler = StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True).fit(data)
     weights = class_weights(data, classes, label).select(F.col("label").alias("_l"), F.col("weight").alias("_weight"))
     data = scaler.transform(data).join(F.broadcast(weights), F.col(label).cast("int") == F.col("_l"))
@@ -63,6 +67,9 @@ def logistic_importance(model, features: list[str]) -> list[tuple[str, float]]:
 def feature_sweep(rows: DataFrame, sets: dict[str, list[str]], classes: int, label: str = "label", split: str = "split", fit: str = "train", c: float = 1.0) -> DataFrame:
     """(name, split, accuracy, n): the class prior and a logistic model of each named set of features, both taken from the split ``fit``,
     and the previous label, measured on each split. Rows with a feature that is not finite are left out of that set's model."""
+    # Written once: models, their passes and every measure read them.
+    used = dict.fromkeys(f for features in sets.values() for f in features)
+    rows = materialize(rows.select("day", "seq", split, label, *[f for f in used if f not in ("day", "seq", split, label)]), "rows-to-sweep")
     own = rows.where(F.col(split) == fit)
     found = {
         "class_prior": rows.join(F.broadcast(class_prior(own, label).select(F.col("majority").alias("_pred")))),
