@@ -134,6 +134,48 @@ def test_two_pages_of_one_passage_and_chains(spark, monkeypatch):
     assert len(want) < len(docs) / 4
 
 
+@pytest.mark.parametrize("block,items", [(512, 1 << 19), (16, 1 << 19), (512, 1500)])
+def test_rows_do_not_grow_with_pairs(spark, monkeypatch, block, items):
+    """A bucket of many pairs that are alike or nearly so sends links that connect them, not the pairs."""
+    monkeypatch.setattr(shingle_sets, "ITEMS", items)
+    rng = np.random.default_rng(11)
+    # Three groups of 40 copies without a page: pairs at 0.72 to 0.92, and pairs of two groups at 0.6 or so.
+    common, members = rng.integers(0, 1 << 63, 80, np.uint64), {}
+    for g in range(3):
+        page = np.r_[common, rng.integers(0, 1 << 63, 20, np.uint64)]
+        for _ in range(40):
+            keep = np.delete(page, rng.permutation(100)[: int(rng.integers(2, 9))])
+            members[len(members)] = np.unique(np.r_[keep, rng.integers(0, 1 << 63, 100 - len(keep), np.uint64)])
+    label = {s: s - s % 2 for s in members}
+    parent = dict(label)
+
+    def root(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    pairs = [(a, b) for a in members for b in members if a < b and label[a] != label[b] and shingle_sets.similarity_of(members[a], members[b]) >= 0.8]
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    shared = spark.createDataFrame([(k, s, len(x)) for k in range(2) for s, x in members.items()], "key long, s long, n long")
+    labels = spark.createDataFrame(list(label.items()), "s long, label long")
+    marks = spark.createDataFrame([(s, bytearray(shingle_sets.marks_of(shingle_sets.least_hashes(x)))) for s, x in members.items()], "s long, marks binary")
+    sets = spark.createDataFrame([(s, bytearray(x.tobytes())) for s, x in members.items()], "s long, items binary")
+    got = [tuple(r) for r in shingle_sets.unlinked_links(shared, labels, marks, sets, 0.8, block).collect()]
+    blocks = max(-(-120 // block), -(-sum(map(len, members.values())) // items))
+    assert len(pairs) > 1000 and set(got) <= set(pairs) and len(got) <= 2 * 120 * (blocks + 1)
+    again = dict(label)
+
+    def root_of(s):
+        while again[s] != s:
+            s = again[s]
+        return s
+
+    for a, b in got:
+        again[root_of(a)] = root_of(b)
+    assert len({(root(s), root_of(s)) for s in members}) == len({root(s) for s in members}) == len({root_of(s) for s in members})
+
+
 @pytest.mark.parametrize("low,high", [(0.8, 0.85), (0.85, 1.0)])
 def test_recall_of_pairs(spark, low, high):
     rng = np.random.default_rng(10)

@@ -7,18 +7,19 @@ Sets that agree in a band share a bucket. Links are found in two steps:
    agrees with all of them, a copy with few), and every member is held against it. So a page meets all its copies, and
    a group of like copies hangs together, with as many pairs as a bucket has members.
 2. Members that are not connected by these links are held against each other, in the buckets where that is so. Their
-   marks are compared in the task, in blocks of ``BLOCK`` members, and pairs of two components that are alike in at least
-   ``similarity`` - ``SLACK`` of them go on. There is no cap on partners.
+   marks are compared in the task, in blocks of ``BLOCK`` members, and members that are alike in at least
+   ``similarity`` - ``SLACK`` of them with one of another component meet again in the same blocks, with their whole sets.
+   There the pairs are decided, and the links that connect components are sent, not the pairs. There is no cap on partners.
 
 In both steps pairs whose sizes and marks allow the similarity are held against each other by their whole sets (Jaccard
-similarity of 64-bit hashes). Only the texts in shared buckets are read again; a set that many are held against is sent
-once for every ``SENT`` of them.
+similarity of 64-bit hashes). Only the texts in shared buckets are read again; in step 1 a set that many are held against is
+sent once for every ``SENT`` of them.
 
 Two texts of similarity 0.8 share no band with a probability of 0.0004 (0.9: 2e-8), and have too few like marks for step 2 with one of
 0.002 (0.85: 5e-6), for step 1 with one of 2e-6. Step 2 compares marks of all pairs of unlinked members of a
-bucket, so its time grows with the square of the number of such members (texts that share a passage and are no copies); what it
-sends on grows with the number of pairs that are nearly as alike as asked. A text's set takes eight bytes a shingle in the
-task that holds it.
+bucket, so its time grows with the square of the number of such members (texts that share a passage and are no copies), and a
+member is sent once for each block of its bucket; no row is made for a pair. A text's set takes eight bytes a shingle in the
+task that holds it, and a task holds the sets of two blocks, of about ``ITEMS`` shingles each.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ BANDS, DEPTH = 20, 5
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 #: How far the share of like marks may lie below the similarity asked for, in each step.
 WIDE, SLACK = 0.2, 0.12
-#: Members of a bucket compared at once, and partners that one copy of a set is sent to.
-BLOCK, SENT = 2048, 512
+#: Members of a bucket in one block and items of their sets, about, and partners that one copy of a set is sent to.
+BLOCK, ITEMS, SENT = 512, 1 << 19, 512
 #: Bytes of a text cut into words at once.
 SLICE = 1 << 19
 
@@ -125,50 +126,92 @@ def representative_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     return held.where(sizes & (F.col("s") != F.col("rep.s"))).select("s", F.col("rep.s").alias("s2")).distinct()
 
 
-def unlinked_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
-    """(s, s2), s < s2, distinct: members of one bucket that differ in ``labels`` (s, label), of like sizes and marks.
-
-    ``labels``: the component each set is in so far. Buckets with one label are done.
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """(whether two blocks meet, its rows) for each group of sorted rows with key, i and j."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)]):
+            group = (key[a], i[a], j[a])
+            if group != now and held:
+                yield now[1] != now[2], pa.Table.from_batches(held)
+                held = []
+            now = group
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now[1] != now[2], pa.Table.from_batches(held)
+
+
+def alike_by_marks(t: pa.Table, both: bool, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(a member, the later members or those of the other block that differ in label and are of like size and marks)."""
+    n, label, side = (t[c].to_numpy() for c in ("n", "label", "side"))
+    marks = np.frombuffer(b"".join(x.as_py() for x in t["marks"]), np.uint8).reshape(len(n), -1)
+    other, least = np.flatnonzero(side), (similarity - SLACK) * marks.shape[1]
+    for at in np.flatnonzero(~side) if both else range(len(n)):
+        to = other if both else np.arange(at + 1, len(n))
+        to = to[(label[to] != label[at]) & (np.minimum(n[to], n[at]) >= similarity * np.maximum(n[to], n[at]))]
+        to = to[(marks[to] == marks[at]).sum(1) >= least]
+        if len(to):
+            yield at, to
+
+
+def unlinked_links(shared: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
+    """(s, s2), s < s2: links between members of one bucket that differ in ``labels`` (s, label), by their whole ``sets`` (s, items).
+
+    They connect what all such links connect: of each group at most one link fewer than it has labels, however many pairs
+    are alike. ``labels``: the component each set is in so far. Buckets with one label are done.
     """
-    block, least = block or BLOCK, (similarity - SLACK) * len(FACTORS)
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(held: list[pa.RecordBatch], both: bool) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            s, n, label, side = (t[c].to_numpy() for c in ("s", "n", "label", "side"))
-            marks = np.frombuffer(b"".join(x.as_py() for x in t["marks"]), np.uint8).reshape(len(s), -1)
-            for at in np.flatnonzero(~side) if both else range(len(s)):
-                to = np.flatnonzero(side) if both else np.arange(at + 1, len(s))
-                fits = (label[to] != label[at]) & (np.minimum(n[to], n[at]) >= similarity * np.maximum(n[to], n[at]))
-                to = to[fits]
-                to = to[(marks[to] == marks[at]).sum(1) >= least]
-                if len(to):
-                    own = np.full(len(to), s[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, s[to])), pa.array(np.maximum(own, s[to]))], ["s", "s2"])
-
-        held, now = [], None
-        for batch in batches:
-            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)]):
-                group = (key[a], i[a], j[a])
-                if group != now and held:
-                    yield from pairs(held, now[1] != now[2])
-                    held = []
-                now = group
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from pairs(held, now[1] != now[2])
+    block, columns = block or BLOCK, ["key", "i", "j", "side", "s", "n", "label", "marks"]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for both, t in groups_of(batches):
+            some = np.zeros(t.num_rows, bool)
+            for at, to in alike_by_marks(t, both, similarity):
+                some[at] = some[to] = True
+            if some.any():
+                yield from t.filter(pa.array(some)).select(columns).combine_chunks().to_batches()
+        release()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for both, t in groups_of(batches):
+            s, n = t["s"].to_numpy(), t["n"].to_numpy()
+            # Items by number, so that a set is held against others by flags.
+            known, code = np.unique(np.frombuffer(b"".join(x.as_py() for x in t["items"]), np.uint64), return_inverse=True)
+            own = np.split(code.astype(np.int32), n.cumsum()[:-1])
+            flags = np.zeros(len(known), bool)
+            _, part = np.unique(t["label"].to_numpy(), return_inverse=True)
+            found = []
+            for at, to in alike_by_marks(t, both, similarity):
+                to = to[part[to] != part[at]]
+                if not len(to):
+                    continue
+                flags[own[at]] = True
+                common = np.add.reduceat(flags[np.concatenate([own[k] for k in to])], np.r_[0, n[to].cumsum()[:-1]], dtype=np.int64)
+                flags[own[at]] = False
+                for k in to[common / (n[to] + n[at] - common) >= similarity]:
+                    if part[k] != part[at]:
+                        part[part == part[k]] = part[at]
+                        found.append((min(s[at], s[k]), max(s[at], s[k])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["s", "s2"])
         release()
 
     labelled = shared.select("key", "s", "n").join(labels, "s")
-    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").drop("_a", "_b")
+    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").drop("_a", "_b")
     rows = materialize(join_groups(materialize(labelled, "labelled"), materialize(open_, "open-buckets"), ["key"], "many", shared.count()), "open-members").join(marks, "s")
     # Members are dealt into k blocks, and each pair of blocks is a group; ``side``: whether a member is of the second block.
-    k, own = F.ceil(F.col("many") / block).cast("int"), F.pmod(F.xxhash64("s"), F.ceil(F.col("many") / block)).cast("int")
+    k = F.greatest(F.ceil(F.col("many") / block), F.ceil(F.col("total") / ITEMS)).cast("int")
+    own = F.pmod(F.xxhash64("s"), k).cast("int")
     groups = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("side")))
     dealt = rows.select("key", "s", "n", "label", "marks", F.explode(groups).alias("g")).select("key", "g.i", "g.j", "g.side", "s", "n", "label", "marks")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(alike, "s long, s2 long").distinct()
+    in_groups = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in columns)
+    # Sets are sent to the groups where they have a partner by marks.
+    wanted = materialize(in_groups(dealt).mapInArrow(candidates, kinds), "unlinked-members")
+    return in_groups(wanted.join(sets, "s")).mapInArrow(links, "s long, s2 long")
 
 
 def like_marks(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -228,16 +271,14 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, sim
     # Rows equal in all columns give one set more than once.
     sets = materialize(texts.mapInArrow(whole, "s long, items binary").groupBy("s").agg(F.first("items").alias("items")), "whole-sets")
 
-    def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        held = beside(pairs, sets.toDF("s2", "items2")).join(sets, "s").select("s", "s2", "items", "items2")
-        return materialize(held.mapInArrow(decide, "s long, s2 long"), f"{tag}-links")
-
     nearby = like_marks(materialize(representative_pairs(shared, similarity), "representative-pairs"), marks, similarity)
-    to_first = linked(materialize(nearby, "first-pairs"), "first")
+    pairs = materialize(nearby, "first-pairs")
+    held = beside(pairs, sets.toDF("s2", "items2")).join(sets, "s").select("s", "s2", "items", "items2")
+    to_first = materialize(held.mapInArrow(decide, "s long, s2 long"), "first-links")
     roots = connected_components(to_first.select(F.col("s").alias("u"), F.col("s2").alias("v")))
     labels = shared.select("s").distinct().join(roots, F.col("s") == F.col("node"), "left").select("s", F.coalesce("root", "s").alias("label"))
     labels = materialize(labels, "labels")
-    others = linked(materialize(unlinked_pairs(shared, labels, marks, similarity), "unlinked-pairs"), "more")
+    others = materialize(unlinked_links(shared, labels, marks, sets, similarity), "more-links")
     names = entries.select("s", "fp")
     edges = beside(to_first.unionByName(others), names.toDF("s2", "v")).join(names.toDF("s", "u"), "s").select("u", "v")
     # Texts of one set may have several fingerprints.
