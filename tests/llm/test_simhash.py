@@ -115,3 +115,20 @@ def test_edges_in_one_piece_settle_in_one_round(spark, monkeypatch):
     assert {r.node: r.root for r in components.connected_components(df, most_rounds=1).collect()} == want
     monkeypatch.setattr(components, "PIECE", 7)
     assert {r.node: r.root for r in components.connected_components(df).collect()} == want
+
+
+def test_few_edges_in_many_partitions_take_one_round(spark):
+    """A chain dealt over many partitions, of which no task holds a long part."""
+    from tickloom.llm import components
+
+    edges = spark.range(900).selectExpr("(id * 7919) % 1009 AS u", "(id * 7919 + 7919) % 1009 AS v")
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in components.connected_components(edges, most_rounds=1).collect()}
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert got == {(i * 7919) % 1009: 0 for i in range(901)}
