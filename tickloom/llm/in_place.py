@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_path
-from .memory import release
+from .memory import map_texts, release
 
 #: A list of keys is stored for each file: pairs of words, sorted by the first.
 KEY = np.dtype([("a", "<i8"), ("b", "<i8")])
@@ -163,4 +163,4 @@ def select_rows(df: DataFrame, labels: Column, a: Column, b: Column, decide: Cal
         release()
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
-    return placed.mapInArrow(run, kinds).toDF(*df.columns)
+    return map_texts(placed, run, kinds).toDF(*df.columns)

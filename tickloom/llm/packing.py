@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, parts_for, text_of
-from .memory import release
+from .memory import map_texts, release
 
 #: Places where a text may not be cut before a space: white space, a space, and no word after it.
 RUN = re.compile(r"\s (?!\S)")
@@ -148,7 +148,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str
             del rows
         release()
 
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary")
+    return map_texts(rows, run, f"id {kind}, piece int, start long, length long, ids binary")
 
 
 class Packer:

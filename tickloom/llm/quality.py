@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import learns, materialize, text_of, tree_sum, word_slices
-from .memory import release
+from .memory import map_texts, release
 from .toxicity import predicted
 
 STATISTICS = (
@@ -80,7 +81,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.list_(pa.float64()))], ["id", "stats"])
         release()
 
-    return rows.mapInArrow(run, f"id {kind}, stats array<double>")
+    return map_texts(rows, run, f"id {kind}, stats array<double>")
 
 
 def _stats(column: pa.Array) -> np.ndarray:
@@ -205,12 +206,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([document_statistics(t.as_py()) for t in batch.column(n)], np.float64).reshape(-1, len(STATISTICS))
+            x = np.array([document_statistics(t.as_py() or "") for t in batch.column(at)], np.float64).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.value.score(x) >= 0.5)).select(range(n))
         release()
 
     # Columns go by place, so that names that clash or repeat do no harm.
-    n = len(docs.columns)
-    placed = docs.toDF(*[f"c{i}" for i in range(n)]).withColumn("text", text_of(f"c{docs.columns.index(text_col)}"))
+    n, at = len(docs.columns), docs.columns.index(text_col)
+    placed = docs.toDF(*[f"c{i}" for i in range(n)])
+    if docs.schema[at].dataType != StringType():
+        # A text that is a string is sent once.
+        placed, at = placed.withColumn("text", text_of(f"c{at}")), n
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    return placed.mapInArrow(good, kinds).toDF(*docs.columns)
+    return map_texts(placed, good, kinds).toDF(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import join_groups, materialize, row_words, text_of, word_slices
 from .components import connected_components
 from .in_place import file_label, listed, pack_columns, stays, store_keys
-from .memory import release
+from .memory import map_texts, release
 
 SEED = 42
 BANDS, DEPTH = 20, 5
@@ -211,7 +211,7 @@ def unlinked_links(shared: DataFrame, labels: DataFrame, marks: DataFrame, sets:
     kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in columns)
     # Sets are sent to the groups where they have a partner by marks.
     wanted = materialize(in_groups(dealt).mapInArrow(candidates, kinds), "unlinked-members")
-    return in_groups(wanted.join(sets, "s")).mapInArrow(links, "s long, s2 long")
+    return map_texts(in_groups(wanted.join(sets, "s")), links, "s long, s2 long")
 
 
 def like_marks(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -269,12 +269,12 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, sim
         release()
 
     # Rows equal in all columns give one set more than once.
-    sets = materialize(texts.mapInArrow(whole, "s long, items binary").groupBy("s").agg(F.first("items").alias("items")), "whole-sets")
+    sets = materialize(map_texts(texts, whole, "s long, items binary").groupBy("s").agg(F.first("items").alias("items")), "whole-sets")
 
     nearby = like_marks(materialize(representative_pairs(shared, similarity), "representative-pairs"), marks, similarity)
     pairs = materialize(nearby, "first-pairs")
     held = beside(pairs, sets.toDF("s2", "items2")).join(sets, "s").select("s", "s2", "items", "items2")
-    to_first = materialize(held.mapInArrow(decide, "s long, s2 long"), "first-links")
+    to_first = materialize(map_texts(held, decide, "s long, s2 long"), "first-links")
     roots = connected_components(to_first.select(F.col("s").alias("u"), F.col("s2").alias("v")))
     labels = shared.select("s").distinct().join(roots, F.col("s") == F.col("node"), "left").select("s", F.coalesce("root", "s").alias("label"))
     labels = materialize(labels, "labels")

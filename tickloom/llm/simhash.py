@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import join_groups, materialize, row_words, text_of
 from .components import connected_components
 from .in_place import file_label, listed, pack_columns, select_rows, store_keys
-from .memory import release
+from .memory import map_texts, release
 from .shingle_sets import bands_of, least_hashes, marks_of, name_of, set_links, shingle_hashes, shingle_set
 
 HALF = 16
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release()
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in names]
-    return rows.mapInArrow(run, ", ".join([*kinds, "fp long", *(["s long", "n long", "bands binary", "marks binary"] if sets else [])]))
+    return map_texts(rows, run, ", ".join([*kinds, "fp long", *(["s long", "n long", "bands binary", "marks binary"] if sets else [])]))
 
 
 def segment_counts(fp: np.ndarray, half: int) -> np.ndarray:
