@@ -200,3 +200,29 @@ def test_slices_and_similarity(size):
     assert shingle_sets.similarity_of(x[:0], y) == 0 and shingle_sets.bands_of(x[:0]) == b""
     assert len(shingle_sets.bands_of(whole)) == 8 * shingle_sets.BANDS
     assert len(shingle_sets.marks_of(shingle_sets.least_hashes(whole))) == shingle_sets.BANDS * shingle_sets.DEPTH
+
+
+@pytest.mark.parametrize("heavy", [10, 1000])
+def test_only_shared_rows_leave_the_join_with_large_buckets(spark, monkeypatch, heavy):
+    rng, plans, written = np.random.default_rng(3), {}, shingle_sets.materialize
+
+    def recorded(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(shingle_sets, "materialize", recorded)
+    monkeypatch.setattr(shingle_sets, "HEAVY", heavy)
+    # 60 sets that share most bands (large buckets), 30 in pairs, 200 alone.
+    keys = [[j if j < 15 else 1000 + 20 * i + j for j in range(20)] for i in range(60)]
+    keys += [[5000 + 20 * (i // 2) + j if j < 3 else 10_000 + 20 * i + j for j in range(20)] for i in range(30)]
+    keys += [rng.integers(1 << 40, 1 << 50, 20).tolist() for _ in range(200)]
+    rows = [(s, 7, np.array(k, np.int64).tobytes(), b"") for s, k in enumerate(keys)]
+    got = shingle_sets.shared_buckets(spark.createDataFrame(rows, "s long, n long, bands binary, marks binary")).collect()
+    members = {}
+    for s, own in enumerate(keys):
+        for k in own:
+            members.setdefault(k, []).append(s)
+    shared = {k: m for k, m in members.items() if len(m) > 1}
+    deg = {s: sum(len(shared[k]) for k in own if k in shared) for s, own in enumerate(keys)}
+    assert sorted((r.key, r.s, r.n, r.many, r.deg) for r in got) == sorted((k, s, 7, len(m), deg[s]) for k, m in shared.items() for s in m)
+    assert "LeftOuter" not in plans["buckets"]

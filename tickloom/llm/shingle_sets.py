@@ -45,6 +45,8 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * DEPTH, np.uin
 WIDE, SLACK = 0.2, 0.12
 #: Members of a bucket in one block and items of their sets, about, and partners that one copy of a set is sent to.
 BLOCK, ITEMS, SENT = 512, 1 << 19, 512
+#: A bucket with more than this part of all rows (one in ...) is large.
+HEAVY = 1000
 #: Bytes of a text cut into words at once.
 SLICE = 1 << 19
 
@@ -114,7 +116,12 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
 
     placed = materialize(entries.select("s", "n", "bands").mapInArrow(place, "key long, s long, n long"), "bands")
     counts = materialize(placed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared-bands")
-    shared = materialize(join_groups(placed, counts, ["key"], "many", placed.count()), "buckets")
+    # Most rows are alone in their bucket: large buckets are told by a list of fewer than ``HEAVY`` keys, so no row but the shared ones leaves a join.
+    large = counts.where(F.col("many") > placed.count() / HEAVY)
+    keys = [r.key for r in large.select("key").collect()]
+    of_large = F.col("key").isin(keys) if keys else F.lit(False)
+    rest = placed.where(~of_large).join(counts, "key")
+    shared = materialize(rest.unionByName(placed.where(of_large).join(F.broadcast(large), "key")) if keys else rest, "buckets")
     return materialize(shared.join(shared.groupBy("s").agg(F.sum("many").alias("deg")), "s"), "buckets-by-degree")
 
 
