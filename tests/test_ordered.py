@@ -1,12 +1,18 @@
 """Numbers, previous rows and ranks over blocks and counted values, against pandas."""
 
+import time
+from contextlib import contextmanager
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import classification, normalize, regression, resample
 from tickloom.sources import ticks
+from tickloom.sources.shared import materialize, scratch, shared_path
 
 
 @pytest.fixture
@@ -140,6 +146,93 @@ def test_replicates_ranked_anew_over_many_buckets(spark, monkeypatch, replicates
             assert got[r, name] == pytest.approx(pd.Series(y[own]).rank().corr(pd.Series(x[own]).rank()))
 
 
+def shared_tables(spark):
+    """Names of the tables in the shared folder, without their random ends."""
+    return [p.name.rsplit("-", 1)[0] for p in Path(shared_path(spark, "x")).parent.glob("*")]
+
+
+def test_replicates_in_batches_leave_no_rows_on_disk(spark, monkeypatch):
+    """Replicates taken a few at a time are the same, and the tables of rows are gone at the end, which grow with rows x replicates."""
+    from tickloom.operators import reranked
+
+    rng = np.random.default_rng(6)
+    n, length, replicates, seed = 300, 7, 60, 5
+    rows = spark.createDataFrame([(i, float(rng.integers(0, 30)), float(rng.normal()), float(rng.normal())) for i in range(n)], "i long, y double, p double, q double")
+    correlations = lambda: {(r.replicate, r.treatment): r.ic for r in resample.replicate_correlations(rows, "y", ["p", "q"], n, length, replicates, seed).collect()}
+    want = correlations()
+    monkeypatch.setattr(reranked, "HELD", 20 * n)
+    assert reranked.batches(n, replicates) == [(0, 20), (20, 20), (40, 20)]
+    assert correlations() == pytest.approx(want) and len(want) == 2 * replicates
+    assert not {"replicates-of-y", "rows-in-chunks"} & set(shared_tables(spark))
+
+
+def test_batches_hold_fewer_replicates_of_more_rows():
+    from tickloom.operators.reranked import BATCH, HELD, LEAST, batches
+
+    for n, replicates in ((0, 5), (1000, 200), (36_000_000, 200), (10**10, 10_000)):
+        got = batches(n, replicates)
+        assert [k for a, width in got for k in range(a, a + width)] == list(range(replicates))
+        assert max(width for _, width in got) <= max(LEAST, min(BATCH, HELD // max(n, 1)))
+
+
+def test_equal_rows_travel_once(spark, monkeypatch):
+    """Rows that are equal in all ranks leave their bucket of y as one, however often they occur and wherever they lie."""
+    from tickloom.operators import reranked
+
+    monkeypatch.setattr(reranked, "SPAN", 64)
+    counts, real = [], reranked.scratch
+
+    @contextmanager
+    def seen(df, tag):
+        with real(df, tag) as table:
+            if tag == "replicates-of-y":
+                counts.append((table.where("total IS NULL").count(), table.where("total IS NOT NULL").count()))
+            yield table
+
+    monkeypatch.setattr(reranked, "scratch", seen)
+    n, length, replicates, seed = 6000, 19, 10, 5
+    rng = np.random.default_rng(7)
+    kinds = rng.integers(0, 12, n)
+    y, p = (kinds % 4).astype(float), (kinds * 5 % 7).astype(float)
+    df = spark.createDataFrame([(i, float(y[i]), float(p[i])) for i in range(n)], "i long, y double, p double")
+    got = {r.replicate: r.ic for r in resample.replicate_correlations(df, "y", ["p"], n, length, replicates, seed).collect()}
+    # Twelve different rows; a bucket of y for each of the parts that its four values are dealt to.
+    assert [c for c, _ in counts] == [12] and counts[0][1] <= 12
+    starts = pd.DataFrame(resample.drawn_starts(spark, n, length, replicates, seed).collect(), columns=["r", "s"])
+    for r in range(replicates):
+        rows = np.concatenate([np.arange(s, s + length) for s in starts[starts["r"] == r]["s"]])
+        assert got[r] == pytest.approx(pd.Series(y[rows]).rank().corr(pd.Series(p[rows]).rank()))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 29])
+@pytest.mark.parametrize("top", [0, 15, 16, 255, 256, 65535, 65536, (1 << 31) - 1, 1 << 31])
+def test_counts_travel_in_few_bits(width, top):
+    from tickloom.operators.reranked import packed, unpacked
+
+    x = np.random.default_rng(1).integers(0, top, (40, width), endpoint=True)
+    x[0, -1] = top
+    first, second = packed(x), packed(np.minimum(x[:7], 3))
+    got = unpacked(pa.chunked_array([first, second, second[3:]]), width)
+    np.testing.assert_array_equal(got, np.concatenate([x, np.minimum(x[:7], 3), np.minimum(x[3:7], 3)]))
+    assert len(second[0].as_py()) == (width + 1) // 2 and len(first[0].as_py()) == {0: (width + 1) // 2, 15: (width + 1) // 2, 16: width, 255: width}.get(top, len(first[0].as_py()))
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    """Shuffles are dropped once their table is written, in place of at some later collection of the driver's memory."""
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    df = spark.range(20_000).groupBy((F.col("id") % 5003).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    before = blocks()
+    got = materialize(df, "counted")
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.2)
+    assert blocks() <= before and got.agg(F.sum("n")).first()[0] == 20_000
+    with scratch(got, "scratch") as table:
+        assert table.count() == 5003 and "scratch" in shared_tables(spark)
+    assert "scratch" not in shared_tables(spark)
+
+
 def test_no_task_ranks_all_pairs_of_a_frequent_value(spark):
     """Half the rows share one y, all with different x: the rank of y is taken over counted values, and its rows are not one task's."""
     n = 40_000

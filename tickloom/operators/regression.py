@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, finite, ratio, share, sign
-from ..sources.shared import join_counted, materialize
+from ..sources.shared import join_counted, materialize, scratch
 from ..sources.ticks import row_before, windowed
 from .labels import point_return
 from .quantiles import exact_quantiles, with_quantiles
@@ -54,8 +54,8 @@ def counted_ranks(rows: DataFrame, values: dict[str, Column], by: list[str] | No
     by = by or []
     stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("column"), c.cast("double").alias("v")) for name, c in values.items()]))
     each = rows.select(*by, stacked.alias("_s")).select(*by, "_s.*").where("v IS NOT NULL")
-    counts = materialize(each.groupBy("column", *by, "v").agg(F.count(F.lit(1)).alias("n")), "counted-values")
-    return materialize(_ranked(counts, "v", ["column", *by], "rank", "n", buckets).select("column", *by, "v", "rank", "n"), "counted-ranks")
+    with scratch(each.groupBy("column", *by, "v").agg(F.count(F.lit(1)).alias("n")), "counted-values") as counts:
+        return materialize(_ranked(counts, "v", ["column", *by], "rank", "n", buckets).select("column", *by, "v", "rank", "n"), "counted-ranks")
 
 
 def with_counted_ranks(rows: DataFrame, ranks: DataFrame, values: dict[str, Column], total: int, by: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,36 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark drops the shuffles of a query at its end, in place of when the driver's JVM happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back. A write has a plan of its own, so nothing else reads the shuffles it drops."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, shared_path(df.sparkSession, tag))
+
+
+@contextmanager
+def scratch(df: DataFrame, tag: str) -> Iterator[DataFrame]:
+    """As ``materialize``, but the table is deleted at the end of the block: what is made of it has to be written within."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
+    try:
+        yield written(df, path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, heavy: int = 1000) -> DataFrame:
